@@ -75,3 +75,41 @@ FROM r
 """
 
 ORACLES: dict[str, str] = {"op4_chat": OP4, "op5_line_dedup": OP5, "op6_mixing": OP6}
+
+OP3 = r"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a * b FOR a, b IN e]) AS BIGINT) AS score FROM v q, v c
+  WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""".replace("list_sum([a * b FOR a, b IN e])", "list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[]))")
+
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+         ELSE [w[i:i + 4] FOR i IN range(1, len(w) - 3)] END)) AS g FROM d
+), h AS (
+  SELECT doc_id, md5(array_to_string(g, ' ')) AS g FROM s
+), n AS (
+  SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM i JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), c(node, reached) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT c.node, l.y FROM c JOIN l ON c.reached = l.x
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id, d.doc_id = min(reached) AS kept
+FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLES |= {"op3_vector_search": OP3, "op7_near_dup": OP7}
