@@ -15,10 +15,12 @@ No bucket emits all its pairs:
    with the least hash of id and bucket, another one in every bucket). Confirmed links
    are joined into components.
 3. Of all buckets, only those that still hold several components can yield a further
-   link. In these, members of different components are paired: by an equi-join in
-   buckets of at most ``small`` members; larger ones are cut into blocks, and blocks
-   are compared by their signatures in vectors, which emits only pairs whose estimate
-   is within ``slack`` (5 standard deviations) of the threshold.
+   link. In buckets of at most ``small`` members, members of different components are
+   paired by an equi-join and confirmed. Larger buckets are families of many variants,
+   most of them below the threshold to each other; their members are gathered into
+   families (components of bucket sharing), cut into blocks of ``block`` members, and
+   every pair of blocks is one group, in which the full sets are intersected as matrix
+   products. What it emits are confirmed links only, one a member and component.
 4. Components of all confirmed links.
 
 Sizes prune before any comparison: similar sets have similar sizes.
@@ -122,7 +124,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, id_type: str, permutations: int, bands: int, rows: int, width: int) -> DataFrame:
-    """(_id, _key, _n, _buckets, _sig) of docs (_id, _text)."""
+    """(_id, _key, _n, _buckets) of docs (_id, _text)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = MinMax(permutations, bands, rows)
@@ -132,27 +134,31 @@ def _sets(docs: DataFrame, id_type: str, permutations: int, bands: int, rows: in
                 s = shingles(text, width)
                 if len(s):
                     sig = family.signature(s)
-                    out.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), family.buckets(sig), (sig >> np.uint64(32)).astype("<u4").tobytes()))
+                    out.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), family.buckets(sig)))
                 else:
-                    out.append((None, 0, None, None))
-            more = pd.DataFrame(out, columns=["_key", "_n", "_buckets", "_sig"])
+                    out.append((None, 0, None))
+            more = pd.DataFrame(out, columns=["_key", "_n", "_buckets"])
             yield pd.concat([batch[["_id"]].reset_index(drop=True), more], axis=1)
 
-    return docs.mapInPandas(each, f"_id {id_type}, _key binary, _n long, _buckets array<long>, _sig binary")
+    return docs.mapInPandas(each, f"_id {id_type}, _key binary, _n long, _buckets array<long>")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are similar enough. texts: (_id, _text),
-    one row an id."""
-    needed = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select(F.col("b").alias("_id"))).distinct()
-    wanted = texts.join(needed, "_id", "left_semi")
+def _full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(_id, _set) of the texts with these ids; texts: (_id, _text), one row an id."""
     id_type = texts.schema["_id"].dataType.simpleString()
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[["_id"]].assign(_set=[shingles(t, width).tobytes() for t in batch["_text"]])
 
-    sets = materialize(wanted.mapInPandas(to_sets, f"_id {id_type}, _set binary"), "sets")
+    wanted = texts.join(ids.distinct(), "_id", "left_semi")
+    return materialize(wanted.mapInPandas(to_sets, f"_id {id_type}, _set binary"), "sets")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose texts' full sets are similar enough."""
+    sets = _full_sets(pairs.select(F.col("a").alias("_id")).unionAll(pairs.select(F.col("b").alias("_id"))), texts, width)
+    id_type = texts.schema["_id"].dataType.simpleString()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,8 +188,8 @@ def near_duplicates(
     permutations: int = 80,
     bands: int = 32,
     rows: int = 5,
-    small: int = 64,
-    slack: float = 0.14,
+    small: int = 16,
+    block: int = 512,
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row. ``keep``: further columns by name."""
@@ -214,13 +220,17 @@ def near_duplicates(
     labelled = materialize(labelled, "labelled")
     mixed_buckets = labelled.groupBy("_h").agg(F.min("_l").alias("_l0"), F.max("_l").alias("_l1")).where("_l0 != _l1").select("_h")
     open_ = materialize(labelled.join(mixed_buckets, "_h", "left_semi"), "open")
-    few = open_.where(F.col("_m") <= small)
-    x, y = few.select("_h", *[F.col(c).alias(f"{c}1") for c in ("_rep", "_n", "_l")]), few.select("_h", *[F.col(c).alias(f"{c}2") for c in ("_rep", "_n", "_l")])
+    families = materialize(_families(open_.where(F.col("_m") > small), labelled), "families")
+    kin = families.select(F.col("_rep").alias("_kin"), "_g")
+    few = open_.where(F.col("_m") <= small).join(kin, F.col("_rep") == F.col("_kin"), "left").drop("_kin")
+    x, y = (few.select("_h", *[F.col(c).alias(f"{c}{k}") for c in ("_rep", "_n", "_l", "_g")]) for k in (1, 2))
     across = (F.col("_rep1") < F.col("_rep2")) & (F.col("_l1") != F.col("_l2")) & _near_sizes("_n1", "_n2", percent)
-    pairs = x.join(y, "_h").where(across).select(F.col("_rep1").alias("a"), F.col("_rep2").alias("b"))
-    many = _large_buckets(open_.where(F.col("_m") > small), sets, id_type, percent, slack, small)
-    rest = _ordered(pairs.unionAll(many)).join(tried, ["a", "b"], "left_anti")
-    links = links.unionAll(_confirm(materialize(rest, "pairs"), given, percent, width))
+    # two members of one family are compared there
+    across = across & F.coalesce(F.col("_g1") != F.col("_g2"), F.lit(True))
+    pairs = _ordered(x.join(y, "_h").where(across).select(F.col("_rep1").alias("a"), F.col("_rep2").alias("b")))
+    rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(_confirm(rest, given, percent, width))
+    links = links.unionAll(_family_links(families, given, percent, width, block))
 
     labels = components(links)
     whole = classes.join(labels, classes["_rep"] == labels["node"], "left").select("_key", F.coalesce("label", "_rep").alias("_l"))
@@ -239,31 +249,64 @@ def near_duplicates(
     )
 
 
-def _large_buckets(open_: DataFrame, sets: DataFrame, id_type: str, percent: int, slack: float, small: int) -> DataFrame:
-    """Pairs (a, b) of different components in large buckets whose signatures don't rule
-    out a link. Buckets are cut into blocks of about 4 * small members; every pair of
-    blocks is a group of its own."""
-    blocks = F.ceil(F.col("_m") / (4 * small)).cast("int")
-    cut = open_.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
-    signed = cut.join(sets.select(F.col("_id").alias("_rep"), "_sig").where(F.col("_sig").isNotNull()).dropDuplicates(["_rep"]), "_rep")
-    dealt = signed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "_h", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_n", "_l", "_sig"
+def _families(open_: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(_g, _rep, _l): members of large open buckets by family, with their component."""
+    first = open_.groupBy("_h").agg(F.min("_rep").alias("b"))
+    edges = open_.join(first, "_h").select(F.col("_rep").alias("a"), "b")
+    family = components(edges).select(F.col("node").alias("_rep"), F.col("label").alias("_g"))
+    # a member has one component, on each of its rows
+    own = labelled.groupBy("_rep").agg(F.min("_l").alias("_l"))
+    return family.join(own, "_rep")
+
+
+def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix of ``similar`` between two lists of sorted distinct arrays: counts of
+    shared values, as products of 0/1 matrices of 4096 values at a time."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (first, second)]
+    a, b = np.concatenate(first), np.concatenate(second)
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    rows = [np.repeat(np.arange(len(side)), n) for side, n in zip((first, second), sizes)]
+    common = np.zeros((len(first), len(second)), np.float32)
+    places = [np.searchsorted(shared, x) for x in (a, b)]
+    for at in range(0, len(shared), 4096):
+        part = []
+        for values, place, row, n in zip((a, b), places, rows, (len(first), len(second))):
+            here = (place >= at) & (place < min(at + 4096, len(shared)))
+            here &= shared[np.minimum(place, len(shared) - 1)] == values
+            dense = np.zeros((n, min(4096, len(shared) - at)), np.float32)
+            dense[row[here], place[here] - at] = 1
+            part.append(dense)
+        common += part[0] @ part[1].T
+    both = common.astype(np.int64)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _family_links(families: DataFrame, texts: DataFrame, percent: int, width: int, block: int) -> DataFrame:
+    """Links (a, b) between components of a family: for every member, one to each other
+    component that it is linked to."""
+    id_type = texts.schema["_id"].dataType.simpleString()
+    sizes = families.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    cut = families.join(sizes, "_g").withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
+    sets = _full_sets(families.select(F.col("_rep").alias("_id")), texts, width)
+    dealt = (
+        cut.join(sets, cut["_rep"] == sets["_id"])
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("_g", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_l", "_set")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["_block"] == group["_i"].iloc[0]]
         second = group[group["_block"] == group["_j"].iloc[0]]
-        sig = np.stack([np.frombuffer(v, "<u4") for v in second["_sig"]]) if len(second) else np.empty((0, 1), "<u4")
-        ids, sizes, labels = (second[c].to_numpy() for c in ("_rep", "_n", "_l"))
         a, b = [], []
-        for rep, n, label, own in zip(first["_rep"], first["_n"], first["_l"], first["_sig"]):
-            able = (labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            at = np.flatnonzero(able)
-            if len(at):
-                near = (sig[at] == np.frombuffer(own, "<u4")).mean(axis=1) >= percent / 100 - slack
-                for other in ids[at[near]]:
-                    a.append(rep)
-                    b.append(other)
+        if len(first) and len(second):
+            hit = linked(*[[np.frombuffer(v, np.uint64) for v in side["_set"]] for side in (first, second)], percent)
+            labels, ids = second["_l"].to_numpy(), second["_rep"].to_numpy()
+            hit &= first["_l"].to_numpy()[:, None] != labels[None, :]
+            for i in np.flatnonzero(hit.any(axis=1)):
+                at = np.flatnonzero(hit[i])
+                _, one = np.unique(labels[at], return_index=True)
+                b += ids[at[one]].tolist()
+                a += [first["_rep"].iloc[i]] * len(one)
         return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("_h", "_i", "_j").applyInPandas(compare, f"a {id_type}, b {id_type}")
+    return materialize(dealt.groupBy("_g", "_i", "_j").applyInPandas(compare, f"a {id_type}, b {id_type}"), "links")
