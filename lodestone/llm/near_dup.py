@@ -45,6 +45,8 @@ from .common import materialize
 from .graph import components
 
 MASK = (1 << 64) - 1
+#: Ids (8 bytes each) that are broadcast rather than shuffling all texts to meet them.
+BROADCAST_IDS = 2_000_000
 
 
 def mixed(n: int, seed: int) -> np.ndarray:
@@ -65,10 +67,10 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """Hashes of words seen by this worker; emptied when there are a million."""
+    """Hashes of words seen by this worker; emptied when there are 250,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -151,7 +153,10 @@ def _full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield batch[["_id"]].assign(_set=[shingles(t, width).tobytes() for t in batch["_text"]])
 
-    wanted = texts.join(ids.distinct(), "_id", "left_semi")
+    needed = materialize(ids.distinct(), "ids")
+    if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)  # else the texts are shuffled
+    wanted = texts.join(needed, "_id", "left_semi")
     return materialize(wanted.mapInPandas(to_sets, f"_id {id_type}, _set binary"), "sets")
 
 
