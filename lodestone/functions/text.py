@@ -24,6 +24,10 @@ def document(columns: list[Column]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
+def _any_starts(found: Column, prefix: str) -> Column:
+    return F.exists(found, lambda t: t.startswith(prefix))
+
+
 def _phrase(found: Column, terms: list[str]) -> Column:
     """Whether the tokens hold ``terms`` in sequence: marked off by spaces, the one is
     part of the other."""
@@ -69,7 +73,7 @@ def matches(columns: list[Column], query: str, mode: str) -> Column:
 
     def one(kind: str, negated: bool, given: list[str]) -> Column:
         if kind == "prefix":
-            hit = reduce(lambda a, b: a & b, [F.exists(found, lambda t, p=p: t.startswith(p)) for p in given])
+            hit = reduce(lambda a, b: a & b, [_any_starts(found, p) for p in given])
         else:
             hit = _phrase(found, given)
         return ~hit if negated else hit
@@ -117,6 +121,10 @@ def json_contains(column: Column, wanted: Any) -> Column:
     return _variant_contains(F.try_parse_json(column), wanted, top=True)
 
 
+def _any_contains(items: Column, wanted: Any) -> Column:
+    return F.exists(items, lambda x: _variant_contains(x, wanted))
+
+
 def _variant_contains(value: Column, wanted: Any, top: bool = False) -> Column:
     kind = F.schema_of_variant(value)
     if isinstance(wanted, dict):
@@ -128,7 +136,7 @@ def _variant_contains(value: Column, wanted: Any, top: bool = False) -> Column:
     items = F.try_variant_get(value, "$", "array<variant>")
     if isinstance(wanted, list):
         parts = [kind.startswith("ARRAY")]
-        parts += [F.exists(items, lambda x, w=w: _variant_contains(x, w)) for w in wanted]
+        parts += [_any_contains(items, w) for w in wanted]
         return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
     same = _scalar_equal(value, kind, wanted)
     if top:  # an array holds a bare scalar, at the top only

@@ -47,7 +47,7 @@ def group(low: Lowering, outputs: list[E.Node]) -> None:
     made = [_aggregate(node, name, real).alias(f"a{j}") for j, (node, name, _) in enumerate(plans)]
     names = [f"g{i}" for i in range(len(keys))]
     if q.mode == "plain":
-        low.frame = source.groupBy(*names).agg(*made) if names else source.agg(*made)
+        low.frame = source.select(*names).distinct() if not made else source.groupBy(*names).agg(*made) if names else source.agg(*made)
     else:
         # the position of a key in q.groups, not in the distinct keys, is what sets name
         place = [keys.index(g.bare) for g in q.groups]

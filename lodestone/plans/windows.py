@@ -81,11 +81,12 @@ def _function(name: str, arguments: tuple[E.Node, ...], values: Values, spec: Wi
     if name in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist"):
         over = spec if sorted_ else spec.orderBy(F.lit(1))
         kind = "double" if name in ("percent_rank", "cume_dist") else "integer"
-        return Typed(getattr(F, name)().over(over), kind)
+        column = getattr(F, name)().over(over)
+        return Typed(column if kind == "double" else column.cast("long"), kind)
     if name == "ntile":
         n = _number(arguments[0], "ntile")
         require(n > 0, "invalid_query", "ntile must be positive")
-        return Typed(F.ntile(n).over(spec if sorted_ else spec.orderBy(F.lit(1))), "integer")
+        return Typed(F.ntile(n).over(spec if sorted_ else spec.orderBy(F.lit(1))).cast("long"), "integer")
     if name == "count" and not arguments:
         return Typed(F.count(F.lit(1)).over(spec), "integer")
     x = values.typed(arguments[0])
