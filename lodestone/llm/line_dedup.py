@@ -36,26 +36,26 @@ def _digest(key: Column) -> Column:
 
 
 def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(_id, _drop): for each document that loses lines, the hashes of their keys."""
+    """(_ld_id, _ld_drop): for each document that loses lines, the hashes of their keys."""
     long_keys = F.filter(_keys(_lines(F.col(text_col))), lambda k: F.length(k) >= min_chars)
     pairs = materialize(
         docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars)).select(
-            F.col(id_col).alias("_id"),
+            F.col(id_col).alias("_ld_id"),
             F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("_h"),
         ),
         "line-pairs",
     )
     shared = (
         pairs.groupBy("_h")
-        .agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
+        .agg(F.count_distinct("_ld_id").alias("_n"), F.max("_ld_id").alias("_last"))
         .where(F.col("_n") >= min_docs)
         .select("_h", "_last")
     )
     return (
         pairs.join(shared, "_h")
-        .where(F.col("_id") != F.col("_last"))
-        .groupBy("_id")
-        .agg(F.collect_set("_h").alias("_drop"))
+        .where(F.col("_ld_id") != F.col("_last"))
+        .groupBy("_ld_id")
+        .agg(F.collect_set("_h").alias("_ld_drop"))
     )
 
 
@@ -66,24 +66,24 @@ def dedup_lines(
     ``lines_dropped`` (long); columns of these names in ``docs`` are replaced."""
     drops = lines_to_drop(docs, id_col, text_col, min_docs, min_chars)
     kept = docs.drop("line_count", "lines_dropped")
-    joined = kept.join(drops, kept[id_col] == drops["_id"], "left").drop("_id")
+    joined = kept.join(drops, kept[id_col] == drops["_ld_id"], "left").drop("_ld_id")
     lines = _lines(F.col(text_col))
     stays = F.transform(
         F.filter(
             F.arrays_zip(lines.alias("line"), _keys(lines).alias("key")),
-            lambda x: ~((F.length(x["key"]) >= min_chars) & F.array_contains(F.col("_drop"), _digest(x["key"]))),
+            lambda x: ~((F.length(x["key"]) >= min_chars) & F.array_contains(F.col("_ld_drop"), _digest(x["key"]))),
         ),
         lambda x: x["line"],
     )
-    with_stays = joined.withColumn("_stays", F.when(F.col("_drop").isNotNull(), stays))
+    with_stays = joined.withColumn("_ld_stays", F.when(F.col("_ld_drop").isNotNull(), stays))
     n = F.size(lines).cast("long")
     return with_stays.select(
         *[
-            F.when(F.col("_stays").isNull(), F.col(text_col)).otherwise(F.array_join("_stays", "\n")).alias(c)
+            F.when(F.col("_ld_stays").isNull(), F.col(text_col)).otherwise(F.array_join("_ld_stays", "\n")).alias(c)
             if c == text_col
             else F.col(f"`{c}`")
             for c in kept.columns
         ],
         n.alias("line_count"),
-        F.when(F.col("_stays").isNull(), F.lit(0)).otherwise(n - F.size("_stays")).cast("long").alias("lines_dropped"),
+        F.when(F.col("_ld_stays").isNull(), F.lit(0)).otherwise(n - F.size("_ld_stays")).cast("long").alias("lines_dropped"),
     )
