@@ -24,6 +24,7 @@ packed each (they need a place of their own); an empty table gives an empty resu
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -42,34 +43,100 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 Filling = tuple[int, tuple[int, ...]]
 
 
+#: Letters that NFC leaves alone, and ASCII punctuation without the apostrophe, which
+#: can start a contraction: a word of these (and digits) is tokenized part by part.
+_LETTERS, _MARKS = "a-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+
+
+class _Recent:
+    """A bounded memory in two generations: when the young one is full it becomes the
+    old one, and what is not used before the next turn is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys in neither generation; those in the old one become young."""
+        if len(self.young) + len(keys) > self.most:
+            self.young, self.old = {}, self.young
+        young, old, missing = self.young, self.old, []
+        for k in keys:
+            known = old.get(k)
+            if known is not None:
+                young[k] = known
+            elif k not in young:
+                missing.append(k)
+        return missing
+
+
 class WordTokenizer:
-    """Ids of a tokenizer whose normalizer drops white space and whose words never span
-    it: words between ASCII spaces are tokenized once and remembered (``most`` of them),
-    as the bytes of little-endian unsigned 32-bit ids."""
+    """Ids of a tokenizer whose normalizer lower-cases and drops white space and whose
+    words never span it: words between ASCII spaces are tokenized once and remembered,
+    as the bytes of little-endian unsigned 32-bit ids. Words of plain letters and marks
+    are put together from their parts, which recur more often."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, words: int = 300_000, parts: int = 500_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
+        self.words, self.parts = _Recent(words), _Recent(parts)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
-        parts = text.encode("utf-8", "replace").split()  # bytes split at [\x20\x09-\x0D] only
-        self.learn(set(parts))
-        known = self.known
-        return b"".join([known[p] for p in parts])
-
-    def learn(self, parts: set[bytes]) -> None:
-        known = self.known
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(parts)
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8") for p in new], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        # bytes.split() splits at [\x20\x09-\x0D] only, bytes.lower() changes A-Z only
+        given = text.encode("utf-8", "replace").lower().split()
+        out = list(map(self.words.young.get, given))
+        if None in out:
+            self._learn({w for w, known in zip(given, out) if known is None})
+            young = self.words.young
+            out = [young[w] if known is None else known for w, known in zip(given, out)]
+        return b"".join(out)
+
+    def _learn(self, needed: set[bytes]) -> None:
+        split: dict[bytes, list[str]] = {}
+        whole: list[bytes] = []
+        for w in self.words.unknown(needed):
+            text = w.decode("utf-8")
+            if _PLAIN.fullmatch(text):
+                split[w] = _PARTS.findall(text)
+            else:
+                whole.append(w)
+        words = self.words.young
+        if whole:
+            words.update(zip(whole, self._encode([w.decode("utf-8") for w in whole])))
+        if split:
+            self._learn_parts({p for x in split.values() for p in x})
+            parts = self.parts.young
+            for w, x in split.items():
+                words[w] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
+
+    def _learn_parts(self, needed: set[str]) -> None:
+        fresh = self.parts.unknown(needed)
+        if not fresh:
+            return
+        # one text of all: every part is one word to the tokenizer, so ends of words part the ids
+        (ids,) = self._encode([" ".join(fresh)])
+        ends = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+        if len(ends) != len(fresh):
+            self.parts.young.update(zip(fresh, self._encode(fresh)))
+            return
+        at = 0
+        for p, end in zip(fresh, (ends * 4).tolist()):
+            self.parts.young[p] = ids[at:end]
+            at = end
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
