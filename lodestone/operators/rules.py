@@ -317,10 +317,10 @@ def normalize(x: Column, steps: list[str]) -> Column:
 def _nfc(x: Column) -> Column:
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def nfc(values: pd.Series) -> pd.Series:
+    def nfc(values):
         import unicodedata
 
         return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
 
-    return nfc(x)
+    nfc.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(nfc, "string")(x)
