@@ -49,6 +49,11 @@ def _flagship(s: Site) -> DataFrame:
 _CHAIN = "lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey"
 _add("flagship", _flagship, f"SELECT r_name AS region, strftime(o_orderdate, '%Y') AS year, count(*) AS lines, round(sum(l_extendedprice - l_extendedprice * l_discount), 2) AS revenue FROM {_CHAIN} GROUP BY ALL")
 
+def _whole(api: Api, body: dict) -> DataFrame:
+    """A request's rows without its page."""
+    return api.engine.dataframe(api.query(body).limit(None).offset(None))
+
+
 # -- filters ---------------------------------------------------------------------------
 
 
@@ -123,10 +128,10 @@ _add("select_repeats", lambda s: s.customers.compile(Query().select("c_custkey",
 
 def _required_predicate(s: Site) -> DataFrame:
     document = orders_document() | {"required_filters": [["o_orderstatus", "F"], ["o_totalprice", ["gt", 100000]]], "required_selected": ["o_orderkey"], "required_order_by": [["o_orderkey", "desc"]]}
-    return s.engine(document).dataframe(Query().select("o_totalprice").where(["lt", "o_totalprice", 150000]).limit(20))
+    return s.engine(document).dataframe(Query().select("o_totalprice").where(["lt", "o_totalprice", 150000]))
 
 
-_add("required_predicate", _required_predicate, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_totalprice < 150000 ORDER BY o_orderkey DESC LIMIT 20")
+_add("required_predicate", _required_predicate, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_totalprice < 150000")
 
 
 def _tenant_scope(s: Site) -> DataFrame:
@@ -141,16 +146,16 @@ _add("tenant_scope", _tenant_scope, "SELECT o_orderkey, o_custkey, o_orderstatus
 
 # -- joins -------------------------------------------------------------------------------
 
-_add("join_left_chain", lambda s: s.orders.dataframe(Query().select("o_orderkey", "customer.nation.region.r_name").where(["gt", "o_totalprice", 300000])), 'SELECT o_orderkey, r_name AS "customer.nation.region.r_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 300000')
+_add("join_left_chain", lambda s: s.orders.dataframe(Query().select("o_orderkey", "customer.nation.region.r_name")), 'SELECT o_orderkey, r_name AS "customer.nation.region.r_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey')
 _add("join_inner", lambda s: s.orders.dataframe(Query().select("o_orderkey", E.field("active_customer.c_name").as_("name"))), "SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
 _add("join_declared", lambda s: s.orders.dataframe(Query().select("o_orderkey").join("lines")), "SELECT o_orderkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 _add("join_constant_where", lambda s: s.orders.dataframe(Query().select("o_orderkey", E.field("returned_lines.l_linenumber").as_("line"))), "SELECT o_orderkey, l_linenumber AS line FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'")
-_add("join_bridge", lambda s: s.parts.dataframe(Query().select("p_partkey", E.field("suppliers.s_name").as_("supplier")).where(["lt", "p_partkey", 200])), "SELECT p_partkey, s_name AS supplier FROM part LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON p_partkey = l_partkey AND l_returnflag = 'R' WHERE p_partkey < 200")
+_add("join_bridge", lambda s: s.parts.dataframe(Query().select("p_partkey", E.field("suppliers.s_name").as_("supplier"))), "SELECT p_partkey, s_name AS supplier FROM part LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON p_partkey = l_partkey AND l_returnflag = 'R'")
 _STATUS = "orders LEFT JOIN (VALUES ('F', 'Finished'), ('O', 'Open')) v(code, label) ON o_orderstatus = code"
 _add("star_dimension_fallback", lambda s: s.orders.dataframe(Query().select(E.field("status.label").as_("status"), E.count().as_("n")).group_by("status.label")), f"SELECT coalesce(label, o_orderstatus) AS status, count(*) AS n FROM {_STATUS} GROUP BY 1")
 _add("inline_values_join", lambda s: s.orders.dataframe(Query().select("o_orderkey", E.field("status.code").as_("code"))), f"SELECT o_orderkey, code FROM {_STATUS}")
 _add("values_join", lambda s: s.orders.dataframe(Query().select("o_orderkey", E.field("w.weight").as_("weight")).with_values([("F", 1.5), ("P", 2.0)], ["code", "weight"], "w", owner="o_orderstatus", related="code", join_type="inner")), "SELECT o_orderkey, CAST(weight AS DOUBLE) AS weight FROM orders JOIN (VALUES ('F', 1.5), ('P', 2.0)) w(code, weight) ON o_orderstatus = code")
-_add("values_cross", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("k.n").as_("n")).with_values([(1,), (2,)], ["n"], "k").where(["lt", "c_custkey", 50])), "SELECT c_custkey, CAST(n AS BIGINT) AS n FROM customer, (VALUES (1), (2)) k(n) WHERE c_custkey < 50")
+_add("values_cross", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("k.n").as_("n")).with_values([(1,), (2,)], ["n"], "k")), "SELECT c_custkey, CAST(n AS BIGINT) AS n FROM customer, (VALUES (1), (2)) k(n)")
 _SPENT = "SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1"
 
 
@@ -164,7 +169,7 @@ _add("members_cte", lambda s: _rounded(s.orders.dataframe(Query().select("o_orde
 _add("members_values", lambda s: s.orders.dataframe(Query().select("o_orderkey", E.field("weights.weight").as_("weight")).with_member("weights")), "SELECT o_orderkey, CAST(weight AS BIGINT) AS weight FROM orders LEFT JOIN (VALUES ('F', 1), ('O', 2)) v(code, weight) ON o_orderstatus = code")
 _add("lateral_top1", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("t.o_orderkey").as_("top")).lateral_join("t", Query().select("o_orderkey").order_by("o_totalprice", "desc").order_by("o_orderkey").limit(1), [("c_custkey", "o_custkey")], domain=s.orders.domain)), "SELECT c_custkey, t.o_orderkey AS top FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) t ON t.o_custkey = c_custkey AND k = 1")
 _add("lateral_agg", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("t.n").as_("n")).lateral_join("t", Query().select(E.count().as_("n")).where(["gt", "o_totalprice", 100000]), [("c_custkey", "o_custkey")], domain=s.orders.domain)), "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AS n FROM customer")
-_add("function_lateral", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("g.k").as_("k")).function_lateral("generate_series", [1, 3], "g", column="k").where(["lt", "c_custkey", 20])), "SELECT c_custkey, CAST(k AS BIGINT) AS k FROM customer, generate_series(1, 3) g(k) WHERE c_custkey < 20")
+_add("function_lateral", lambda s: s.customers.dataframe(Query().select("c_custkey", E.field("g.k").as_("k")).function_lateral("generate_series", [1, 3], "g", column="k")), "SELECT c_custkey, CAST(k AS BIGINT) AS k FROM customer, generate_series(1, 3) g(k)")
 _add("unnest_array", lambda s: s.events.dataframe(Query().select("event_id", E.field("t.value").as_("tag")).array_rowset("tags", "t")), f"SELECT event_id, unnest(tags) AS tag FROM {_EVENTS}")
 _add("unnest_ordinality_left", lambda s: s.events.dataframe(Query().select("event_id", E.field("t.value").as_("tag"), E.field("t.k").as_("k")).array_rowset("tags", "t", ordinality="k", join_type="left")), f"SELECT event_id, unnest(coalesce(tags, [NULL])) AS tag, CAST(unnest(CASE WHEN tags IS NULL THEN [NULL] ELSE [1, 2] END) AS BIGINT) AS k FROM {_EVENTS}")
 _add("json_rowset", lambda s: s.events.dataframe(Query().select("event_id", E.field("i.sku").as_("sku"), E.field("i.n").as_("n")).json_rowset("items", "i", {"sku": "string", "n": "integer"})), "SELECT event_id, 'a' || CAST(event_id % 4 AS VARCHAR) AS sku, CAST(event_id % 3 AS BIGINT) AS n FROM events UNION ALL SELECT event_id, 'b', CAST(2 AS BIGINT) FROM events")
@@ -234,30 +239,30 @@ _add("order_by_expression", lambda s: s.orders.dataframe(Query().select("o_order
 
 
 def _keys(status: str, low: int, high: int) -> Query:
-    return Query().select("o_custkey").where(["and", [["eq", "o_orderstatus", status], ["between", "o_custkey", low, high]]])
+    return Query().select("o_custkey").where(["and", [["eq", "o_orderstatus", status], ["between", "o_totalprice", low, high]]])
 
 
-_K = "SELECT o_custkey FROM orders WHERE o_orderstatus = '{}' AND o_custkey BETWEEN {} AND {}"
-_A, _B, _C = _K.format("F", 1, 60), _K.format("O", 30, 90), _K.format("P", 1, 500)
+_K = "SELECT o_custkey FROM orders WHERE o_orderstatus = '{}' AND o_totalprice BETWEEN {} AND {}"
+_A, _B, _C = _K.format("F", 1000, 90000), _K.format("O", 50000, 200000), _K.format("P", 1000, 300000)
 for _op, _word in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("except_", "EXCEPT")):
-    _add(f"set_{_op.strip('_')}", lambda s, op=_op: s.orders.dataframe(getattr(_keys("F", 1, 60), op)(_keys("O", 30, 90))), f"{_A} {_word} {_B}")
-_add("set_left_to_right", lambda s: s.orders.dataframe(_keys("F", 1, 60).union(_keys("O", 30, 90)).intersect(_keys("P", 1, 500)).order_by("o_custkey").limit(25)), f"SELECT * FROM (({_A} UNION {_B}) INTERSECT {_C}) ORDER BY 1 LIMIT 25")
+    _add(f"set_{_op.strip('_')}", lambda s, op=_op: s.orders.dataframe(getattr(_keys("F", 1000, 90000), op)(_keys("O", 50000, 200000))), f"{_A} {_word} {_B}")
+_add("set_left_to_right", lambda s: s.orders.dataframe(_keys("F", 1000, 90000).union(_keys("O", 50000, 200000)).intersect(_keys("P", 1000, 300000)).order_by("o_custkey")), f"SELECT * FROM (({_A} UNION {_B}) INTERSECT {_C}) ORDER BY 1")
 
 
 def _tree(s: Site) -> DataFrame:
     base = Query().select("id", "name", E.parse_value(["literal", "", "string"]).as_("path")).where(["is_null", "parent_id"])
     path = E.parse_value(["concat", ["previous", "path"], ["literal", "/", "string"], ["field", "name"]], previous=True)
     step = Query().select("id", "name", path.as_("path"))
-    q = Query().select(E.field("t.id").as_("id"), E.field("t.path").as_("path"), E.field("t.selecto_depth").as_("depth"))
+    q = Query().select(E.field("t.id").as_("id"), E.field("t.path").as_("path"), E.field("t.recursion_depth").as_("depth"))
     q = q.with_recursive_cte("t", base, step, step_on=("id", "parent_id"), columns=["id", "name", "path"], max_depth=3, owner="id", related="id", join_type="inner")
     return s.tree.dataframe(q)
 
 
 _add("recursive_depth", _tree, "WITH RECURSIVE t(id, path, depth) AS (SELECT CAST(n_nationkey AS BIGINT), '', CAST(1 AS BIGINT) FROM nation WHERE n_nationkey = 0 UNION ALL SELECT CAST(n_nationkey AS BIGINT), path || '/' || n_name, depth + 1 FROM nation JOIN t ON n_nationkey > 0 AND (n_nationkey - 1) // 3 = t.id WHERE depth < 3) SELECT * FROM t")
-_add("library_segments", lambda s: Api(s.orders).frame({"select": ["o_orderkey"], "segments": ["at_least", "priorities"], "parameters": {"price": 250000}, "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE o_totalprice >= 250000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey LIMIT 50")
-_add("library_view", lambda s: Api(s.orders).frame({"view": "dear_open", "limit": 30}), 'SELECT o_orderkey, o_totalprice, c_name AS "customer.c_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = \'O\' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30')
-_add("library_nor", lambda s: Api(s.orders).frame({"select": ["o_orderkey"], "segments": ["not_open_nor_finished"], "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'O' OR o_orderstatus = 'F') ORDER BY 1 LIMIT 50")
-_add("library_xor", lambda s: Api(s.orders).frame({"select": ["o_orderkey"], "segments": ["one_of"], "parameters": {"price": 200000}, "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O') <> (o_totalprice >= 200000) ORDER BY 1 LIMIT 50")
+_add("library_segments", lambda s: _whole(Api(s.orders), {"select": ["o_orderkey"], "segments": ["at_least", "priorities"], "parameters": {"price": 250000}, "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE o_totalprice >= 250000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey")
+_add("library_view", lambda s: _whole(Api(s.orders), {"view": "dear_open"}), 'SELECT o_orderkey, o_totalprice, c_name AS "customer.c_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = \'O\' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey')
+_add("library_nor", lambda s: _whole(Api(s.orders), {"select": ["o_orderkey"], "segments": ["not_open_nor_finished"], "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'O' OR o_orderstatus = 'F') ORDER BY 1")
+_add("library_xor", lambda s: _whole(Api(s.orders), {"select": ["o_orderkey"], "segments": ["one_of"], "parameters": {"price": 200000}, "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O') <> (o_totalprice >= 200000) ORDER BY 1")
 
 # -- values, dates, buckets --------------------------------------------------------------------
 
@@ -389,13 +394,14 @@ _analytic("chained", ["cumulative", {"id": "moving_average", "window": 2}], None
 
 # -- surfaces ----------------------------------------------------------------------------------
 
-_add("api_filters", lambda s: Api(s.orders).frame({"select": ["o_orderkey", {"field": "customer.c_name", "alias": "name"}], "filters": [{"any": [{"field": "o_orderstatus", "op": "eq", "value": "P"}, {"all": [{"field": "o_totalprice", "op": "between", "value": 1000, "end": 20000}, {"field": "customer.c_mktsegment", "op": "not_in", "value": ["BUILDING"]}]}]}], "order_by": [{"field": "o_orderkey"}], "limit": 100}), "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' OR (o_totalprice BETWEEN 1000 AND 20000 AND c_mktsegment NOT IN ('BUILDING')) ORDER BY 1 LIMIT 100")
-_add("api_aggregates", lambda s: _rounded(Api(s.orders).frame({"select": ["o_orderpriority", {"aggregate": "count", "alias": "n"}, {"aggregate": "avg", "field": "o_totalprice", "alias": "mean"}, {"aggregate": "count_distinct", "field": "o_custkey", "alias": "customers"}], "group_by": ["o_orderpriority"]}), "mean"), "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
-_add("api_rollup", lambda s: Api(s.orders).frame({"select": ["o_orderpriority", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderpriority"], "rollup": True}), "SELECT o_orderpriority, count(*) AS n, GROUPING(o_orderpriority) AS grouping FROM orders GROUP BY ROLLUP (o_orderpriority)")
+_add("api_filters", lambda s: _whole(Api(s.orders), {"select": ["o_orderkey", {"field": "customer.c_name", "alias": "name"}], "filters": [{"any": [{"field": "o_orderstatus", "op": "eq", "value": "P"}, {"all": [{"field": "o_totalprice", "op": "between", "value": 1000, "end": 20000}, {"field": "customer.c_mktsegment", "op": "not_in", "value": ["BUILDING"]}]}]}], "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' OR (o_totalprice BETWEEN 1000 AND 20000 AND c_mktsegment NOT IN ('BUILDING')) ORDER BY 1")
+_add("api_page", lambda s: Api(s.orders).frame({"select": ["o_orderkey", "o_totalprice"], "order_by": [{"field": "o_totalprice", "direction": "desc"}, {"field": "o_orderkey"}], "limit": 40, "offset": 20}), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 20")
+_add("api_aggregates", lambda s: _rounded(_whole(Api(s.orders), {"select": ["o_orderpriority", {"aggregate": "count", "alias": "n"}, {"aggregate": "avg", "field": "o_totalprice", "alias": "mean"}, {"aggregate": "count_distinct", "field": "o_custkey", "alias": "customers"}], "group_by": ["o_orderpriority"]}), "mean"), "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+_add("api_rollup", lambda s: _whole(Api(s.orders), {"select": ["o_orderpriority", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderpriority"], "rollup": True}), "SELECT o_orderpriority, count(*) AS n, GROUPING(o_orderpriority) AS grouping FROM orders GROUP BY ROLLUP (o_orderpriority)")
 _EXPLORER = Options(explorer=True)
-_add("explorer_groups", lambda s: Api(s.orders, _EXPLORER).frame({"select": [{"group": "year"}, {"group": "band"}, {"aggregate": "count_where", "field": "o_totalprice", "where": [["gt", 100000]], "alias": "dear"}], "group_by": [{"field": "o_orderdate", "alias": "year", "format": "year"}, {"field": "o_totalprice", "alias": "band", "ranges": [{"where": [["lt", 50000]], "label": "low"}, {"where": [["gte", 50000], ["lt", 200000]], "label": "mid"}]}], "limit": 1000}), "SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice >= 50000 AND o_totalprice < 200000 THEN 'mid' ELSE 'Other' END AS band, count(*) FILTER (WHERE o_totalprice > 100000) AS dear FROM orders GROUP BY 1, 2")
+_add("explorer_groups", lambda s: _whole(Api(s.orders, _EXPLORER), {"select": [{"group": "year"}, {"group": "band"}, {"aggregate": "count_where", "field": "o_totalprice", "where": [["gt", 100000]], "alias": "dear"}], "group_by": [{"field": "o_orderdate", "alias": "year", "format": "year"}, {"field": "o_totalprice", "alias": "band", "ranges": [{"where": [["lt", 50000]], "label": "low"}, {"where": [["gte", 50000], ["lt", 200000]], "label": "mid"}]}]}), "SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice >= 50000 AND o_totalprice < 200000 THEN 'mid' ELSE 'Other' END AS band, count(*) FILTER (WHERE o_totalprice > 100000) AS dear FROM orders GROUP BY 1, 2")
 _add("explorer_grid", lambda s: Api(s.orders, _EXPLORER).grid({"select": ["o_orderpriority", "o_orderstatus", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderpriority", "o_orderstatus"]}, "n"), "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
-_add("explorer_drilldown", lambda s: Api(s.orders, _EXPLORER).frame({"select": ["o_orderkey"], "filters": [{"field": "o_orderdate", "format": "month", "op": "eq", "value": "1996-03"}], "order_by": [{"field": "o_orderkey"}], "limit": 500}), "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-03' ORDER BY 1 LIMIT 500")
+_add("explorer_drilldown", lambda s: _whole(Api(s.orders, _EXPLORER), {"select": ["o_orderkey"], "filters": [{"field": "o_orderdate", "format": "month", "op": "eq", "value": "1996-03"}], "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-03' ORDER BY 1")
 _add("explorer_summary", lambda s: Api(s.orders).summary("o_custkey"), "SELECT count(*) AS rows, count(o_custkey) AS filled, count(DISTINCT o_custkey) AS distinct, min(o_custkey) AS minimum, max(o_custkey) AS maximum FROM orders")
 _add("explorer_choices", lambda s: Api(s.customers).choices("c_mktsegment", "b"), "SELECT c_mktsegment AS value, count(*) AS count FROM customer WHERE starts_with(lower(c_mktsegment), 'b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 
@@ -433,7 +439,7 @@ def _writer(s: Site) -> Writer:
 
 
 _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
-_add("write_update", lambda s: _writer(s).update({"o_orderstatus": "X", "o_totalprice": ["increment", 100]}, ["lt", "o_orderkey", 50]).table, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < 50 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey < 50 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
+_add("write_update", lambda s: _writer(s).update({"o_orderstatus": "X", "o_totalprice": ["increment", 100]}, ["eq", "o_orderpriority", "5-LOW"]).table, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 _add("write_delete", lambda s: _writer(s).delete(["gt", "o_totalprice", 200000]).table, f"SELECT {_ORDER_COLUMNS} FROM orders WHERE NOT o_totalprice > 200000")
 _add("write_upsert", lambda s: _writer(s).upsert([{"o_orderkey": 1, "o_orderstatus": "Z"}, {"o_orderkey": -1, "o_orderstatus": "N"}], ["o_orderkey"]).table, f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 1 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders UNION ALL SELECT -1, NULL, 'N', NULL, NULL, NULL")
 _add("sink_csv", lambda s: delimited_lines(s.customers.dataframe(Query().select("c_custkey", "c_name", E.parse_value(["literal", "=1,2", "string"]).as_("x")))), "SELECT CAST(c_custkey AS VARCHAR) || ',' || c_name || ',\"''=1,2\"' AS line FROM customer")

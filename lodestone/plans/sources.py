@@ -187,7 +187,7 @@ def _recursive(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) ->
     require(len(base.names) == len(columns), "invalid_query", "recursive columns must match the anchor")
     kinds = base.types
     depth = spec["max_depth"]
-    level = written(base.frame.toDF(*columns).withColumn("selecto_depth", F.lit(1).cast("long")), "recursion")
+    level = written(base.frame.toDF(*columns).withColumn("recursion_depth", F.lit(1).cast("long")), "recursion")
     levels = [level]
     before, step_field = spec["step_on"]
     require(before in columns, "invalid_query", "the step joins on an unknown column", column=before)
@@ -203,7 +203,7 @@ def _recursive(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) ->
     frame = levels[0]
     for one in levels[1:]:
         frame = frame.unionAll(one)
-    names = [*columns, *(["selecto_depth"] if depth is not None else [])]
+    names = [*columns, *(["recursion_depth"] if depth is not None else [])]
     low.sources[alias] = {n: Typed(F.col(prefix + n), k) for n, k in zip(names, [*kinds, "integer"])}
     _attach(low, alias, frame.select(*[F.col(n).alias(prefix + n) for n in names]), spec, prefix)
 
@@ -219,6 +219,6 @@ def _step(low: Lowering, compile_query: Any, domain: Any, step: Query, level: Da
     if predicate is not None:
         frame = frame.where(one.values.column(predicate))
     require(len(step.selections) == len(columns), "invalid_query", "recursive columns must match the step")
-    return frame.select(*[one.values.column(s).alias(c) for s, c in zip(step.selections, columns)], F.lit(k).cast("long").alias("selecto_depth"))
+    return frame.select(*[one.values.column(s).alias(c) for s, c in zip(step.selections, columns)], F.lit(k).cast("long").alias("recursion_depth"))
 
 

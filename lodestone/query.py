@@ -182,7 +182,7 @@ class Query:
         max_depth: int | None = None, owner: str | None = None, related: str | None = None, join_type: str = "left",
     ) -> Query:
         """step_on: (column of the level before, field of the step's domain). A
-        max_depth adds the column ``selecto_depth``, 1 at the anchor."""
+        max_depth adds the column ``recursion_depth``, 1 at the anchor."""
         require(max_depth is None or isinstance(max_depth, int) and 1 <= max_depth <= 10_000, "invalid_query", "max_depth must be between 1 and 10000")
         return self._source("recursive_cte", name, base=base, step=step, step_on=step_on, domain=domain, step_domain=step_domain, columns=columns, max_depth=max_depth, owner=owner, related=related, join_type=join_type)
 
