@@ -354,6 +354,12 @@ def _nested_twice(s: Site) -> DataFrame:
     return made.select("c_custkey", F.size("items").cast("long").alias("orders"), F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.size(x["lines"])).alias("lines"))
 
 
+def _nested_detail(s: Site) -> DataFrame:
+    made = _decoded(s.orders.dataframe(Api(s.orders).nested_detail("lines", ["o_orderkey"], ["l_linenumber"], children=2)).withColumnRenamed("lines", "items"), "l_linenumber: int")
+    return made.select("o_orderkey", F.array_join(F.transform("items", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
+
+
+_add("nested_detail", _nested_detail, "SELECT o_orderkey, coalesce(string_agg(l_linenumber, ',' ORDER BY k), '') AS lines FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 25) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) ON o_orderkey = l_orderkey AND k <= 2 GROUP BY 1")
 _add("related_nested", _nested_twice, "SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _add("text_search_plain", lambda s: s.texts.dataframe(Query().select("doc_id").where(E.text_search(["text"], "The apache license"))), f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'apache', 'license'])")
@@ -373,12 +379,12 @@ def _series(s: Site) -> DataFrame:
     return flat.select("month", F.when(F.col("n") % 4 != 0, F.col("n").cast("double")).alias("v"))
 
 
-def _analytic(name: str, steps: list, sql: str | None, unit: str = "count", behavior: str | None = "flow") -> None:
+def _analytic(name: str, steps: list, sql: str, unit: str = "count", behavior: str | None = "flow") -> None:
     def run(s: Site) -> DataFrame:
         made, _ = transform(_series(s), "v", steps, order_by=["month"], unit=unit, behavior=behavior, out="y")
         return _rounded(made.select("month", "y"), "y", digits=6)
 
-    _add(f"analytics_{name}", run, None if sql is None else f"SELECT month, round({sql}, 6) AS y FROM {_SERIES_SQL}")
+    _add(f"analytics_{name}", run, sql if sql.startswith("SELECT") else f"SELECT month, round({sql}, 6) AS y FROM {_SERIES_SQL}")
 
 
 _analytic("percent_of_total", ["percent_of_total"], "v / nullif(sum(v) OVER (), 0) * 100")
@@ -390,7 +396,7 @@ _analytic("moving_average", [{"id": "moving_average", "window": 3}], "CASE WHEN
 _analytic("min_max", ["min_max"], "(v - min(v) OVER ()) / nullif(max(v) OVER () - min(v) OVER (), 0) * 100")
 _analytic("z_score", ["z_score"], "(v - avg(v) OVER ()) / nullif(stddev_pop(v) OVER (), 0)")
 _analytic("exponential_moving_average", [{"id": "exponential_moving_average", "alpha": 0.4}], "CASE WHEN v IS NOT NULL THEN list_reduce(list(v) FILTER (WHERE v IS NOT NULL) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING), lambda s, x: x * 0.4::DOUBLE + s * 0.6::DOUBLE) END")
-_analytic("chained", ["cumulative", {"id": "moving_average", "window": 2}], None)
+_analytic("chained", ["cumulative", {"id": "moving_average", "window": 2}], f"SELECT month, round(CASE WHEN c IS NOT NULL THEN avg(c) OVER (ORDER BY month ROWS 1 PRECEDING) END, 6) AS y FROM (SELECT month, CASE WHEN v IS NOT NULL THEN sum(v) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) END AS c FROM {_SERIES_SQL})")
 
 # -- surfaces ----------------------------------------------------------------------------------
 
@@ -401,6 +407,7 @@ _add("api_rollup", lambda s: _whole(Api(s.orders), {"select": ["o_orderpriority"
 _EXPLORER = Options(explorer=True)
 _add("explorer_groups", lambda s: _whole(Api(s.orders, _EXPLORER), {"select": [{"group": "year"}, {"group": "band"}, {"aggregate": "count_where", "field": "o_totalprice", "where": [["gt", 100000]], "alias": "dear"}], "group_by": [{"field": "o_orderdate", "alias": "year", "format": "year"}, {"field": "o_totalprice", "alias": "band", "ranges": [{"where": [["lt", 50000]], "label": "low"}, {"where": [["gte", 50000], ["lt", 200000]], "label": "mid"}]}]}), "SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice >= 50000 AND o_totalprice < 200000 THEN 'mid' ELSE 'Other' END AS band, count(*) FILTER (WHERE o_totalprice > 100000) AS dear FROM orders GROUP BY 1, 2")
 _add("explorer_grid", lambda s: Api(s.orders, _EXPLORER).grid({"select": ["o_orderpriority", "o_orderstatus", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderpriority", "o_orderstatus"]}, "n"), "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+_add("explorer_levels", lambda s: Api(s.orders, _EXPLORER).levels({"select": ["o_orderstatus", "o_orderpriority", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderstatus", "o_orderpriority"]}), "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(2 - bit_count(GROUPING(o_orderstatus, o_orderpriority)) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _add("explorer_drilldown", lambda s: _whole(Api(s.orders, _EXPLORER), {"select": ["o_orderkey"], "filters": [{"field": "o_orderdate", "format": "month", "op": "eq", "value": "1996-03"}], "order_by": [{"field": "o_orderkey"}]}), "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-03' ORDER BY 1")
 _add("explorer_summary", lambda s: Api(s.orders).summary("o_custkey"), "SELECT count(*) AS rows, count(o_custkey) AS filled, count(DISTINCT o_custkey) AS distinct, min(o_custkey) AS minimum, max(o_custkey) AS maximum FROM orders")
 _add("explorer_choices", lambda s: Api(s.customers).choices("c_mktsegment", "b"), "SELECT c_mktsegment AS value, count(*) AS count FROM customer WHERE starts_with(lower(c_mktsegment), 'b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
