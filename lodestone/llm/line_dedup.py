@@ -5,9 +5,10 @@ lower-cased. Keys of ``min_chars`` code points or more that ``min_docs`` distinc
 documents hold lose all their lines, except in the largest id that holds them.
 
 Steps: explode the distinct keys of each document as 128-bit hashes; count distinct
-documents a hash (a partial aggregate, so a hot line costs one row a task); join the
-hashes over the threshold back to the (document, hash) pairs, an equi-join that AQE
-can split; gather each document's hashes to drop; filter its lines in place, which
+documents a hash (a partial aggregate, so a hot line costs one row a task); write the
+hashes over the threshold and join them back to the (document, hash) pairs, by
+broadcast up to BROADCAST_ROWS of them (counted), else by a shuffle join whose hot keys
+AQE can split; gather each document's hashes to drop; filter its lines in place, which
 keeps their order. Texts are shuffled once at most, keys never.
 
 Defined results: a null or empty text is one empty line and stays as it is; a row
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialize
+from .common import BROADCAST_ROWS, SPACES, ascii_lower, materialize
 
 
 def _lines(text: Column) -> Column:
@@ -51,6 +52,9 @@ def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
         .where(F.col("_n") >= min_docs)
         .select("_h", "_last")
     )
+    shared = materialize(shared, "shared-lines")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
     return (
         pairs.join(shared, "_h")
         .where(F.col("_ld_id") != F.col("_last"))
