@@ -62,6 +62,8 @@ BAD_NAME = re.compile(
     r"|pagination|pager|tags|skip|search\w*|rating|byline-links)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Says what stands beside an element, not what it is.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:with|has|no|without)[_-]\S+", re.IGNORECASE)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|main|body|text|hentry|blog)(?:$|[\s_-])", re.IGNORECASE)
 SENTENCE = re.compile(r"[.!?…:;][\"'”’)]?(?:\s|$)")
 SPACE = re.compile(r"\s+")
@@ -89,7 +91,7 @@ class Node:
             for m in ATTR.finditer(attrs):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    if BAD_NAME.search(value):
+                    if BAD_NAME.search(BESIDE.sub("", value)):
                         self.bad = True
                     elif GOOD_NAME.search(value):
                         self.good = True

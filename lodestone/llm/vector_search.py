@@ -13,7 +13,7 @@ checked; larger ones take Python's integers.
 Defined results: vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as padded by zeros; an empty vector scores 0; rows that
 repeat an id are candidates each, but never for a query of the same id, and
-such a query is asked once, with one of its vectors; a query with no
+such a query is asked once, with the least of its vectors; a query with no
 other vector has no rows; null ids take no part.
 """
 
@@ -121,7 +121,7 @@ def top_k(
         in_block.alias("_b"), F.explode(_numbers(query_blocks)).alias("_qb"), "_id", "_v", F.lit(False).alias("_as_query")
     )
     # a query that repeats is asked once
-    asked = rows.where("_q").dropDuplicates(["_id"]).select(
+    asked = rows.where("_q").groupBy("_id").agg(F.min("_v").alias("_v")).select(
         F.explode(_numbers(blocks)).alias("_b"), in_query_block.alias("_qb"), "_id", "_v", F.lit(True).alias("_as_query")
     )
 

@@ -76,6 +76,7 @@ def clashing(df):
         ("<body><div id=comments><p>I liked this article very much, thank you. It helped.</p></div><main><p>Body text of the page.</p></main>", "Body text of the page."),
         ("<article><p>&lt;tag&gt; &#233; &eacute;</p><ul><li>one<li>two</ul></article>", "<tag> é é\n\none\n\ntwo"),
         ("<article><p>a < b and c</p></article>", "a < b and c"),
+        ("<div class='page has-sidebar'><article><p>Inside.</p></article></div><div class='sidebar'><p>Other pages that you may like. Really.</p></div>", "Inside."),
     ],
 )
 def test_html(html, text):
