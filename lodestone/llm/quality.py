@@ -109,17 +109,6 @@ def _vector() -> list[Column]:
     ]
 
 
-def _distance(mean: list[Column], chol: list[list[Column]]) -> Column:
-    """Squared Mahalanobis distance by forward substitution in L y = x - mean."""
-    y: list[Column] = []
-    for i in range(P):
-        rest = F.col(FEATURES[i]) - mean[i]
-        for j in range(i):
-            rest = rest - chol[i][j] * y[j]
-        y.append(rest / chol[i][i])
-    return reduce(lambda a, b: a + b, [v * v for v in y])
-
-
 def _with_distance(vectors: DataFrame, model: DataFrame) -> DataFrame:
     """``vectors`` with d2, null where the group has no model. y is built column by
     column, so that no expression is repeated inside another."""
