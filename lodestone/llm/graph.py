@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` with the least neighbour ``m`` of their ``a``. It is written first: then
+    both sides of the join are plain shuffles, and AQE can split a hub's rows."""
+    return rows.join(least, "a")
+
+
+def _large_star(edges: DataFrame) -> list[DataFrame]:
     """Link every larger neighbour of a node to the least of node and neighbours."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    star = _joined(both, least).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return [materialize(star.distinct(), "edges"), least]
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b"))
+def _small_star(edges: DataFrame) -> list[DataFrame]:
+    """Link a node and its smaller neighbours to the least of these. edges: a > b."""
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = _joined(edges, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    star = moved.unionAll(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b"))
+    return [materialize(star.distinct(), "edges"), least]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,6 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("label"))
             ).distinct()
         seen = state
-        new = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
-        discard(now)
+        large, least = _large_star(now)
+        new, other = _small_star(large)
+        for old in (now, large, least, other):
+            discard(old)
         now = new
