@@ -344,7 +344,11 @@ def test_library(site):
     assert code(lambda: apply(["gone"])) == bad
     looping = orders_document()
     looping["query_library"]["segments"]["open"]["segments"] = ["open_and_dear"]
-    assert code(lambda: library.apply_segments(Domain.parse(looping), Query(), ["open"])) == bad
+    assert code(lambda: library.apply_segments(Domain.parse(looping), Query(), ["open"])) == "query_library_cycle"
+    for group in ({"operator": "xor", "segments": ["open"]}, {"operator": "not", "segments": ["open", "finished"]}, {"operator": "nand", "segments": ["open"]}):
+        odd = orders_document()
+        odd["query_library"]["segments"]["odd"] = {"segment_groups": [group]}
+        assert code(lambda d=odd: library.apply_segments(Domain.parse(d), Query(), ["odd"])) == bad
     picking = orders_document()
     picking["query_library"]["segment_picker_groups"] = {"g": {"label": "State", "choices": [{"segment": "open", "label": "o"}, {"segment": "finished", "label": "f"}]}}
     assert code(lambda: library.apply_segments(Domain.parse(picking), Query(), ["open", "finished"])) == bad
