@@ -239,7 +239,12 @@ class Lowering:
         used = [*q.selections, *q.groups, *[o for o, _ in q.orders], *([predicate] if predicate is not None else [])]
         for node in used:
             E.check_size(node, self.engine.limits)
+        outputs = [*q.selections, *q.groups, *[o for o, _ in q.orders]]
+        predicate, existence = self._existence(predicate, outputs)
+        used = [*outputs, *([predicate] if predicate is not None else [])]
         self.frame = self.base(used)
+        for name, wanted in existence:
+            self._semi(name, wanted)
         if predicate is not None:
             require(not E.is_aggregate(predicate), "invalid_query", "aggregates are not available in filters")
             self.frame = self.frame.where(self.values.column(predicate))
@@ -315,6 +320,34 @@ class Lowering:
             require(clash is None or s.alias is None and clash.alias is None, "invalid_query", "duplicate result column", column=name)
             seen[name] = s
 
+    def _existence(self, predicate: E.Node | None, outputs: list[E.Node]) -> tuple[E.Node | None, list[tuple[str, bool]]]:
+        """Takes the tests of association_exists columns out of a conjunction, where the
+        column is used for nothing else: they become semi- and anti-joins."""
+        if predicate is None:
+            return None, []
+        parts = _conjuncts(predicate)
+        tests = [(p, *_existence_test(p)) for p in parts]
+        found: list[tuple[str, bool]] = []
+        kept = []
+        for node, path, wanted in tests:
+            good = path is not None and "." not in path and path in self.domain.root.columns
+            computed = self.domain.root.columns[path].computed if good else None
+            elsewhere = [n for n in (*outputs, *[p for p in parts if p is not node]) if path in E.fields_of(n)] if good else []
+            if computed is not None and computed[0] == "association_exists" and not elsewhere:
+                found.append((computed[1], wanted))
+            else:
+                kept.append(node)
+        return (None if not kept else kept[0] if len(kept) == 1 else E.all_(kept)), found
+
+    def _semi(self, name: str, wanted: bool) -> None:
+        associations, relation = self.domain.association(name)
+        a, prefix = associations[-1], f"s{len(self.frame.columns)}_"
+        target, key = self.target(a, relation, prefix)
+        condition = self._owner_key((), a) == key
+        for mine, theirs in a.scope:
+            condition = condition & (F.col(self.prefixes[()] + mine) == F.col(prefix + theirs))
+        self.frame = self.frame.join(target, condition, "left_semi" if wanted else "left_anti")
+
     def _related(self, nodes: list[E.Node]) -> None:
         from .nested import add_related
 
@@ -323,6 +356,21 @@ class Lowering:
             add_related(self, node)
 
 
+def _conjuncts(node: E.Node) -> list[E.Node]:
+    return [p for n in node.args for p in _conjuncts(n)] if node.kind == "all" else [node]
+
+
+def _existence_test(node: E.Node) -> tuple[str | None, bool]:
+    """(path, wanted) of ``path = TRUE``, ``path = FALSE`` and their negations. An
+    existence column is never NULL, so these are complements."""
+    if node.kind == "not":
+        path, wanted = _existence_test(node.args[0])
+        return path, not wanted
+    if node.kind in ("eq", "ne") and node.args[0].kind == "field" and node.args[1].kind == "literal" and isinstance(node.args[1].args[0], bool):
+        return node.args[0].args[0], node.args[1].args[0] == (node.kind == "eq")
+    return None, False
+
+
 def _typed_cell(value: Any, kind: T.DataType) -> Any:
     import datetime as dt
     from decimal import Decimal

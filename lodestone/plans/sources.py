@@ -118,8 +118,11 @@ def _lateral(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> No
     frame = _named(low, alias, compiled, prefix)
     if page != (None, None) and not (aggregated and not q.groups):
         limit, offset = page
-        place = F.col(prefix + "place_") - (offset or 0)
-        frame = frame.where((place >= 1) & (place <= limit if limit is not None else F.lit(True)))
+        place = F.col(prefix + "place_")
+        if limit is not None:  # a plain bound, for which Spark limits each group before the shuffle
+            frame = frame.where(place <= limit + (offset or 0))
+        if offset:
+            frame = frame.where(place > offset)
     condition = F.lit(True)
     for i, (mine, _) in enumerate(spec["on"]):
         condition = condition & (low.field(mine).col == F.col(f"{prefix}k{i}_"))

@@ -142,6 +142,21 @@ def test_top_k_is_not_a_full_sort(site):
     assert "TakeOrderedAndProject" in plan(site.orders, Query().select("o_orderkey").order_by("o_totalprice", "desc").limit(5))
 
 
+def test_existence_tests_are_semi_joins(site):
+    q = Query().select("o_orderkey")
+    assert "LeftSemi" in plan(site.orders, q.where(["eq", "has_lines", True]))
+    assert "LeftAnti" in plan(site.orders, q.where(["and", [["not", ["eq", "has_lines", True]], ["gt", "o_totalprice", 5]]]))
+    n = site.orders.count(q)
+    both = site.orders.count(q.where(["eq", "has_lines", True])) + site.orders.count(q.where(["ne", "has_lines", True]))
+    assert both == n == site.orders.count(q.where(["or", [["eq", "has_lines", True], ["eq", "has_lines", False]]]))
+
+
+def test_limited_laterals_are_limited_before_the_shuffle(site):
+    top = Query().select("o_orderkey").order_by("o_totalprice", "desc").limit(2)
+    text = plan(site.customers, Query().select("c_custkey", "t.o_orderkey").lateral_join("t", top, [("c_custkey", "o_custkey")], domain=site.orders.domain))
+    assert text.count("WindowGroupLimit") == 2
+
+
 def test_left_join_keeps_the_grain(site):
     n = site.orders.catalog.table("orders").count()
     assert site.orders.count(Query().select("o_orderkey", "customer.nation.region.r_name")) == n
