@@ -214,6 +214,7 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("_rep", "_h").alias("o"), F.col("_rep").alias("id"), F.col("_n").alias("n"))).alias("_hub"))
         .where("_m > 1")
     )
+    hubs = materialize(hubs, "hubs")  # both sides of the join are then shuffles that AQE can split
     members = materialize(dealt.join(hubs, "_h").select("_h", "_m", "_rep", "_n", F.col("_hub.id").alias("_hub"), F.col("_hub.n").alias("_hub_n")), "members")
 
     first = members.where((F.pmod("_h", F.lit(4)) == 0) & (F.col("_rep") != F.col("_hub")) & _near_sizes("_n", "_hub_n", percent))
@@ -221,9 +222,10 @@ def near_duplicates(
     links = _confirm(tried, given, percent, width)
     labels = components(links)
 
-    labelled = members.join(labels, members["_rep"] == labels["node"], "left").select("_h", "_m", "_rep", "_n", F.coalesce("label", "_rep").alias("_l"))
+    labelled = members.join(labels, members["_rep"] == labels["node"], "left").select("_h", "_m", "_rep", "_n", "_hub", F.coalesce("label", "_rep").alias("_l"))
     labelled = materialize(labelled, "labelled")
     mixed_buckets = labelled.groupBy("_h").agg(F.min("_l").alias("_l0"), F.max("_l").alias("_l1")).where("_l0 != _l1").select("_h")
+    mixed_buckets = materialize(mixed_buckets, "mixed-buckets")
     open_ = materialize(labelled.join(mixed_buckets, "_h", "left_semi"), "open")
     families = materialize(_families(open_.where(F.col("_m") > small), labelled), "families")
     kin = families.select(F.col("_rep").alias("_kin"), "_g")
@@ -256,9 +258,7 @@ def near_duplicates(
 
 def _families(open_: DataFrame, labelled: DataFrame) -> DataFrame:
     """(_g, _rep, _l): members of large open buckets by family, with their component."""
-    first = open_.groupBy("_h").agg(F.min("_rep").alias("b"))
-    edges = open_.join(first, "_h").select(F.col("_rep").alias("a"), "b")
-    family = components(edges).select(F.col("node").alias("_rep"), F.col("label").alias("_g"))
+    family = components(open_.select(F.col("_rep").alias("a"), F.col("_hub").alias("b"))).select(F.col("node").alias("_rep"), F.col("label").alias("_g"))
     # a member has one component, on each of its rows
     own = labelled.groupBy("_rep").agg(F.min("_l").alias("_l"))
     return family.join(own, "_rep")
