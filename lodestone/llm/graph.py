@@ -30,22 +30,27 @@ def _small_star(edges: DataFrame) -> list[DataFrame]:
     return [materialize(star.distinct(), "edges"), least]
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a leaf with one edge or a centre. Edges lead to the
+    smaller node, so a centre is then the least of its component."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    sums = ends.groupBy("n").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return sums.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge: the least node that it reaches. edges:
     (a, b), two columns of one orderable type. Each round is written to the shared
     folder; the number of rounds grows with the logarithm of the longest chain."""
     kept = edges.where(F.col("a") != F.col("b"))
     now = materialize(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(pmod(xxhash64(b, a), 1000003))")).first())
-        if state == seen or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(
-                now.select(F.col("b").alias("node"), F.col("b").alias("label"))
-            ).distinct()
-        seen = state
+    while not _are_stars(now):
         large, least = _large_star(now)
         new, other = _small_star(large)
         for old in (now, large, least, other):
             discard(old)
         now = new
+    centres = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(centres)

@@ -67,10 +67,10 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """Hashes of words seen by this worker; emptied when there are 250,000."""
+    """Hashes of words seen by this worker; emptied when there are 120,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= 120_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
