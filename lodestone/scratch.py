@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
+    for folder in _own:  # a session's own folder is local
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
     for spark, path in _written:
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
