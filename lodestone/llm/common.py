@@ -4,6 +4,7 @@ that split hot groups, joins with small tables whose size is checked."""
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -44,6 +45,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for folder in _own_dir:  # a session's own folder is local
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
     for spark, path in _written:
         try:
             _remove(spark, path)
