@@ -47,6 +47,12 @@ def format_datetime(value: Column, style: str, kind: str, timezone: str | None =
     zone = timezone or "UTC"
     utc = F.convert_timezone(F.lit("UTC"), F.lit("UTC"), value.cast("timestamp").cast("timestamp_ntz")) if instant else value.cast("timestamp_ntz")
     wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc) if instant else utc
+    if style in ("day", "month", "year", "quarter"):  # parts of a plain date, cheaper than patterns
+        day = wall.cast("date").cast("string")
+        year = F.substring_index(day, "-", 1)
+        if style == "quarter":
+            return F.concat(year, F.lit("-Q"), F.quarter(wall).cast("string"))
+        return {"day": day, "month": F.left(day, F.length(day) - 3), "year": year}[style]
     if style in PATTERNS:
         return F.date_format(wall, PATTERNS[style])
     part = lambda name: F.date_part(F.lit(name), wall)
