@@ -176,7 +176,8 @@ def _function(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> N
     require(spec["function"] in functions, "unsupported_feature", "table function is not available", function=spec["function"])
     arguments = [low.field(a[1]).col if isinstance(a, (list, tuple)) and a[0] == "field" else F.lit(a) for a in spec["arguments"]]
     low.frame = low.frame.select("*", functions[spec["function"]](*arguments).alias(prefix + spec["column"]))
-    low.sources[alias] = {spec["column"]: Typed(F.col(prefix + spec["column"]), spec["type"])}
+    column = F.col(prefix + spec["column"]).cast(spark_type(spec["type"]).simpleString())
+    low.sources[alias] = {spec["column"]: Typed(column, spec["type"])}
 
 
 def _recursive(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> None:
