@@ -6,14 +6,18 @@ the search runs on a histogram of at most ``capacity`` lengths, whatever the num
 documents, and its answer is a list of fillings with multiplicities.
 
 The incumbent is best-fit decreasing, done on the histogram: all pieces of a length at
-once, into the fullest open fillings that take them. Branch and bound then tries bin
-completion around the largest piece left: fillings of the rest of its sequence are
-enumerated, fullest first, those that another one dominates (same or larger pieces in the
-places of its pieces, within the capacity) are skipped, and a branch is cut when the
-waste so far exceeds what the incumbent allows (capacity * (incumbent - 1) - total). A
-branch applies its filling as often as the histogram has it, which keeps the depth within
-the number of distinct lengths. The search ends at a proven optimum (the waste bound) or
-after ``max_nodes`` nodes, with the best packing so far.
+once, into the fullest open fillings that take them; a narrow search of at most
+``max_nodes`` nodes (six fillings each, used as often as they can be) may better it.
+Branch and bound then tries bin completion around the largest piece left: all fillings
+of the rest of its sequence are enumerated lazily, fullest first, by the sums that the
+stock can reach. Those that another one dominates (a piece more, or a larger piece in
+the place of one, within the capacity) are skipped, and a branch is cut when the waste
+so far exceeds what the incumbent allows (capacity * (incumbent - 1) - total). A filling
+is used as often as the stock has it; when all fillings were tried so, they are tried
+again with each lower multiplicity. Sequences around pieces of one length are filled in
+the order of the enumeration, so no packing is tried twice. The search ends at the waste
+bound, at its own end (then the packing is optimal), or after ``max_nodes`` nodes (a
+filling tried, or a partial one given up), with the best packing so far.
 
 Pieces are then numbered within their length (in parts, so that a hot length isn't in
 one task) and number r of a length goes to the r-th place for that length.
@@ -184,9 +188,72 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Filling]:
     return [(n, f) for rest in rests for f, n in open_[rest].items()]
 
 
-def completions(counts: dict[int, int], lengths: list[int], first: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Up to ``most`` undominated fillings around a piece of length ``first``, fullest
-    first. ``lengths``: those in stock, ascending."""
+def completions(counts: dict[int, int], lengths: list[int], first: int, room: int, waste: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of ``room`` around a piece of length ``first`` that leave
+    at most ``waste``, fullest first and then by their pieces, the largest first; only
+    those later in this order than ``after``. None for each partial one given up.
+    ``lengths``: those in stock, ascending."""
+    room -= first
+    lengths = lengths[: bisect_right(lengths, room)]
+    stock = [counts[x] - (x == first) for x in lengths]
+    # bit r of reach[i]: the first i lengths have pieces that sum to r
+    reach, mask = [1], (1 << (room + 1)) - 1
+    for x, n in zip(lengths, stock):
+        sums, n, step = reach[-1], min(n, room // x), 1
+        while n > 0:
+            step = min(step, n)
+            sums |= (sums << (x * step)) & mask
+            n, step = n - step, 2 * step
+        reach.append(sums)
+    used: dict[int, int] = {}
+
+    def swapped(x: int, rest: int) -> bool:
+        """Whether a larger piece left in stock can stand for one of length ``x``."""
+        for d in lengths[bisect_right(lengths, x) : bisect_right(lengths, x + rest)]:
+            if counts[d] - (d == first) > used.get(d, 0):
+                return True
+        return False
+
+    def fill(i: int, left: int, rest: int, chosen: tuple[int, ...], bound: tuple[int, ...] | None) -> Iterator[tuple[int, ...] | None]:
+        # fillings of exactly ``left`` from the first i lengths, below the pieces ``bound``
+        while i > 0 and (left or lengths[0] <= rest):
+            i -= 1
+            x = lengths[i]
+            at_bound = bool(bound) and bound[0] == x
+            most = 0 if bound and x > bound[0] else min(stock[i], left // x)
+            if at_bound:
+                most = min(most, bound.count(x))
+            least = stock[i] if x <= rest else 1  # what fits the rest as well has to be in
+            for k in range(most, max(least, 1) - 1, -1):
+                if not reach[i] >> (left - k * x) & 1:
+                    continue
+                used[x] = k
+                if rest and swapped(x, rest):
+                    yield None
+                else:
+                    below = bound[k:] if at_bound and bound.count(x) == k else None
+                    yield from fill(i, left - k * x, rest, (*chosen, *(x,) * k), below)
+                del used[x]
+            if x <= rest and stock[i]:
+                yield None
+                return
+            if not reach[i] >> left & 1:
+                return
+            if bound and x <= bound[0]:
+                bound = None
+        if not left and bound is None:
+            yield (first, *chosen)
+
+    top = room if after is None else sum(after) - first
+    for left in range(top, max(room - waste, 0) - 1, -1):
+        if reach[-1] >> left & 1:
+            yield from fill(len(lengths), left, room - left, (), after[1:] if after is not None and left == top else None)
+
+
+def first_completions(counts: dict[int, int], lengths: list[int], first: int, capacity: int, most: int) -> list[tuple[int, ...]]:
+    """The first ``most`` fillings around a piece of length ``first`` that a descent by
+    the largest pieces meets, without those dominated among them, the fullest first.
+    ``lengths``: those in stock, ascending."""
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [most * 40]
 
@@ -217,13 +284,11 @@ def completions(counts: dict[int, int], lengths: list[int], first: int, capacity
     return [f for _, f in kept]
 
 
-def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, branches: int = 6) -> list[Filling]:
-    """Fillings that hold all pieces of a histogram, as few as the search finds."""
-    histogram = {k: v for k, v in histogram.items() if v}
+def narrow_search(histogram: dict[int, int], capacity: int, best: list[Filling], bound: int, max_nodes: int, branches: int) -> list[Filling]:
+    """A better incumbent than ``best``, if there is one among ``branches`` fillings a
+    node, each used as often as the stock has it. It proves nothing."""
     total = sum(k * v for k, v in histogram.items())
-    best = best_fit(histogram, capacity)
     n_best = sum(n for n, _ in best)
-    bound = max(-(-total // capacity), sum(v for k, v in histogram.items() if 2 * k > capacity))
     nodes = 0
     # (stock, fillings, sequences, waste) still to be completed, the latest first
     stack: list[tuple[dict[int, int], list[Filling], int, int]] = [(histogram, [], 0, 0)]
@@ -237,7 +302,7 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
         if waste > capacity * (n_best - 1) - total:
             continue  # no completion beats the incumbent
         lengths = sorted(counts)
-        options = completions(counts, lengths, lengths[-1], capacity, branches)
+        options = first_completions(counts, lengths, lengths[-1], capacity, branches)
         for filling in reversed(options):
             need = Counter(filling)
             times = min(counts[x] // n for x, n in need.items())
@@ -246,6 +311,89 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
     return best
 
 
+def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, branches: int = 6) -> list[Filling]:
+    """Fillings that hold all pieces of a histogram, as few as the search finds.
+    ``branches``: fillings a node of the narrow search for an incumbent; the search
+    itself tries all."""
+    counts = {k: v for k, v in histogram.items() if v}
+    total = sum(k * v for k, v in counts.items())
+    best = best_fit(counts, capacity)
+    bound = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    best = narrow_search(counts, capacity, best, bound, max_nodes, branches)
+    n_best = sum(n for n, _ in best)
+    lengths = sorted(counts)
+    waste, used, nodes = 0, 0, 0
+
+    def use(filling: tuple[int, ...], times: int) -> None:
+        """Take the filling from the stock, or put it back where ``times`` is negative."""
+        nonlocal waste, used
+        used += times
+        waste += times * (capacity - sum(filling))
+        for x, n in Counter(filling).items():
+            had = counts.get(x, 0)
+            counts[x] = had - n * times
+            if not counts[x]:
+                del counts[x], lengths[bisect_left(lengths, x)]
+            elif not had:
+                insort(lengths, x)
+
+    # the path of open nodes: [first, latest filling, its times in use, fillings tried,
+    # whether they are used less often than they could be, the last filling of a
+    # parent with the same first]
+    path: list[list] = []
+
+    def enter(after: tuple[int, ...] | None) -> None:
+        path.append([lengths[-1], after, 0, 0, False, after])
+
+    if n_best > bound:
+        enter(None)
+    while path and n_best > bound and nodes < max_nodes:
+        node = path[-1]
+        first, filling, times, tried, fewer, start = node
+        if times:
+            use(filling, -times)
+            node[2] = 0
+        allowed = capacity * (n_best - 1) - total - waste
+        if allowed < 0:  # no completion beats the incumbent
+            path.pop()
+            continue
+        if fewer and times > 1:
+            times -= 1
+        else:
+            found = None
+            for found in completions(counts, lengths, first, capacity, allowed, filling):
+                nodes += found is None
+                if found is not None or nodes >= max_nodes:
+                    break
+            if found is None:
+                if nodes >= max_nodes:
+                    break
+                if fewer or not tried:
+                    path.pop()
+                else:
+                    node[1], node[4] = start, True
+                continue
+            node[1], node[3] = found, tried + 1
+            filling = found
+            times = min(counts[x] // n for x, n in Counter(filling).items()) - fewer
+            if not times:
+                continue
+        nodes += 1
+        if times * (capacity - sum(filling)) > allowed:
+            if not fewer:
+                continue
+            times = allowed // (capacity - sum(filling))
+            if not times:
+                continue
+        use(filling, times)
+        node[2] = times
+        if counts:
+            enter(filling if lengths[-1] == first else None)
+        elif used < n_best:
+            best, n_best = [(x[2], x[1]) for x in path], used
+    return best
+
+
 def places(fillings: list[Filling]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first ranks, first sequences and offsets of its runs of places.
     A run of a filling's place covers as many ranks as the filling is used."""

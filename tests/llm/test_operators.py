@@ -432,6 +432,46 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert packing.pack({}, 100) == []
 
 
+def test_bin_completion_with_production_defaults():
+    # six fillings a node all share the largest second piece: 4 sequences
+    assert sum(n for n, _ in packing.pack(Counter([20, 20, 21, 22, 23, 25, 28, 32, 34, 36, 39]), 100)) == 3
+    # six fillings a node, each as often as the stock has it: 17 sequences
+    rng = random.Random(60)
+    mid = Counter(rng.randrange(400, 700) for _ in range(60))
+    assert sum(n for n, _ in packing.pack(mid, 2048)) == -(-sum(k * n for k, n in mid.items()) // 2048)
+    rng = random.Random(12)
+    for _ in range(200):
+        lengths = [rng.randrange(15, 60) for _ in range(rng.randrange(1, 6))]
+        items = [rng.choice(lengths) for _ in range(rng.randrange(1, 13))]
+        made = packing.pack(Counter(items), 100)
+        assert Counter(x for n, f in made for x in f for _ in range(n)) == Counter(items)
+        assert all(sum(f) <= 100 for _, f in made)
+        assert sum(n for n, _ in made) == fewest(items, 100)
+
+
+def undominated(stock, first, capacity):
+    found = {()}
+    for x in sorted((stock - Counter([first])).elements(), reverse=True):
+        found |= {(*f, x) for f in found if first + sum(f) + x <= capacity}
+    out = []
+    for f in found:
+        left, rest = stock - Counter([first]) - Counter(f), capacity - first - sum(f)
+        if not any(d <= rest or any(x < d <= x + rest for x in f) for d in left):
+            out.append((first, *f))
+    return sorted(out, key=lambda f: (sum(f), f), reverse=True)
+
+
+def test_completions_are_all_undominated_fillings():
+    rng = random.Random(5)
+    for _ in range(300):
+        stock = Counter(rng.choice(range(5, 60, rng.choice([1, 7]))) for _ in range(rng.randrange(1, 11)))
+        lengths, expected = sorted(stock), undominated(stock, max(stock), 100)
+        made = [f for f in packing.completions(stock, lengths, lengths[-1], 100, 100) if f]
+        assert made == expected
+        for k, f in enumerate(expected):
+            assert [g for g in packing.completions(stock, lengths, lengths[-1], 100, 100, f) if g] == expected[k + 1 :]
+
+
 # -- sharding --------------------------------------------------------------------------
 
 
