@@ -48,9 +48,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest id. Of rows that
-    repeat an id one stays; rows without an id all stay."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group (similarity of 0.8 or more) stays: the one of the
+    smallest id. Of rows that repeat an id one stays; rows without an id all stay."""
+    kept = near_dup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     rows = docs.select(*COLUMNS)
     rows = rows.join(kept, _same(rows, kept, ("doc_id",)), "left_semi")
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

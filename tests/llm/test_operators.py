@@ -598,6 +598,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert n <= 1.03 * sum(p["length"] for p in got) / 2048 + 1
 
 
+def test_pipeline_links_from_a_similarity_of_80(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(80)
+    rows = []
+    for k in range(12):
+        w = words(rng, 204, 9000).split()  # 200 shingles; a new tail of k words: (200 - k) / (200 + k)
+        for j, cut in enumerate((0, 10 + 2 * k)):
+            rows.append((2 * k + j, " ".join(w[: len(w) - cut] + [f"x{k}y{i}" for i in range(cut)]), "en", "a", 0))
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    texts = [(r[0], r[1]) for r in rows]
+    label, strict = brute.near_components(texts, percent=80), brute.near_components(texts)
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i in label if label[i] == i)
+    assert len(set(label.values())) < len(set(strict.values())) < len(rows)
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
