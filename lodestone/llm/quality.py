@@ -13,14 +13,17 @@ All of it is DataFrame code. A concentration step is one aggregation: moments pe
 (group, bucket of log distance) with map-side partial sums, then cumulative sums over
 at most 240 buckets a group, so a group that holds a third of all rows is never in one
 task. The nearest share is thereby cut at a bucket border (an eighth in log distance).
-Nothing is collected but one row count.
+Nothing is collected but row counts.
 
 A floor is added to every variance (``FLOORS``): a statistic that is constant in the
 support (no symbols at all, say) would make the covariance singular and reject any
 document that differs by a trifle.
 
-Groups of fewer than ``min_rows`` documents with a base verdict of true are pooled per
-language; where that is not enough either, only the base rules decide.
+Groups of fewer than ``min_rows`` documents that pass the base rules are pooled per
+language. Where that is not enough, with ``wider`` they are judged by an estimate over
+all documents of their language, and then by one over all documents; only in a table of
+fewer than ``min_rows`` such documents the base rules decide alone. Without ``wider``
+they decide alone wherever the pool is too small.
 
 Defined results: a null text has no words and fails the base rule; null language or
 source are groups of their own; rows that repeat count each; an empty table gives an
@@ -43,6 +46,8 @@ P = len(FEATURES)
 FLOORS = (0.06, 0.03, 0.15, 0.02)
 #: Quantile of chi-square with P = 4 degrees at the default support of 0.75.
 CHI2_SUPPORT = 5.385
+#: Names the group of all documents; before a language's key, that of all its documents.
+WHOLE = "*"
 LOW, HIGH, PER_UNIT = -10, 20, 8  # buckets of the natural log of the squared distance
 
 
@@ -205,10 +210,11 @@ def judge(
     steps: int = 3,
     min_rows: int = 50,
     cutoff: float = 60.0,
+    wider: bool = False,
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(id, the counts, base_failed, d2, kept) per row; d2 is null where no group was
-    large enough. ``keep``: further columns by name."""
+    """(id, the counts, base_failed, d2, kept) per row; d2 is null where no
+    estimate applies, or no row of its language and source passes the base rules. ``keep``: further columns by name."""
     more = keep or {}
     stats = text_statistics(
         docs,
@@ -216,20 +222,32 @@ def judge(
         [F.col(id_col).alias("_id"), F.to_json(F.struct(keyed(F.col(lang_col)).alias("l"), keyed(F.col(source_col)).alias("s"))).alias("_ls"), F.to_json(F.struct(keyed(F.col(lang_col)).alias("l"))).alias("_l0"), *[v.alias(f"_keep_{k}") for k, v in more.items()]],
     )
     rows = materialize(stats.withColumn("base_failed", base_failed()).withColumns(dict(zip(FEATURES, _vector()))), "quality-rows")
-    sizes = rows.where(~F.col("base_failed")).groupBy("_ls", "_l0").agg(F.count(F.lit(1)).alias("_n"))
-    groups = materialize(
-        sizes.withColumn("_pool", F.sum(F.when(F.col("_n") < min_rows, F.col("_n"))).over(Window.partitionBy("_l0"))).select(
-            "_ls", F.when(F.col("_n") >= min_rows, F.col("_ls")).when(F.col("_pool") >= min_rows, F.col("_l0")).alias("_g")
-        ),
-        "quality-groups",
+    sizes = materialize(rows.where(~F.col("base_failed")).groupBy("_ls", "_l0").agg(F.count(F.lit(1)).alias("_n")), "quality-sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    of_lang = Window.partitionBy("_l0")
+    groups = (
+        sizes.withColumn("_pool", F.sum(F.when(F.col("_n") < min_rows, F.col("_n"))).over(of_lang))
+        .withColumn("_lang", F.sum("_n").over(of_lang))
+        .withColumn(
+            "_g",
+            F.when(F.col("_n") >= min_rows, F.col("_ls"))
+            .when(F.col("_pool") >= min_rows, F.col("_l0"))
+            .when(F.lit(wider) & (F.col("_lang") >= min_rows), F.concat(F.lit(WHOLE), "_l0"))
+            .when(F.lit(wider and total >= min_rows), F.lit(WHOLE)),
+        )
+        .withColumn("_whole", F.max(F.when(F.col("_g") == F.concat(F.lit(WHOLE), "_l0"), F.col("_g"))).over(of_lang))
     )
-    vectors = attach(rows.where(~F.col("base_failed")), groups, ["_ls"]).where(F.col("_g").isNotNull()).select("_g", *FEATURES)
+    groups = materialize(groups.select("_ls", "_g", "_whole"), "quality-groups")
+    # the estimates that a row takes part in: its group's, and the wider ones that any group needs
+    wide = F.lit(None if groups.where(F.col("_g") == WHOLE).isEmpty() else WHOLE).cast("string")
+    estimates = F.array_distinct(F.array_compact(F.array("_g", "_whole", wide)))
+    vectors = attach(rows.where(~F.col("base_failed")), groups, ["_ls"]).select(F.explode(estimates).alias("_g"), *FEATURES)
     vectors = materialize(vectors, "quality-vectors")
     model = materialize(_start(vectors), "mcd-model")
     for _ in range(steps):
         model = _concentrate(vectors, model, support)
     scale = materialize(_consistent(vectors, model, support), "mcd-scale")
-    keyed_rows = attach(rows, groups, ["_ls"]).withColumn("_g", F.coalesce("_g", F.lit("")))
+    keyed_rows = attach(rows, groups.select("_ls", "_g"), ["_ls"]).withColumn("_g", F.coalesce("_g", F.lit("")))
     judged = attach(_with_distance(keyed_rows, model), scale, ["_g"]).withColumn("d2", F.col("d2") / F.col("_scale"))
     return judged.select(
         F.col("_id").alias(id_col),

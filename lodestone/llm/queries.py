@@ -26,7 +26,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    return quality.judge(_table(spark, sf_dir, "documents"), wider=True)
 
 
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,23 @@ def test_quality(docs, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_quality_judges_small_groups_by_wider_estimates(spark):
+    rng = random.Random(22)
+    junk = lambda: " ".join("w***" for _ in range(90))
+    rows = [(i, words(rng, 90), "en", "large", 0) for i in range(70)]
+    rows += [(100 + i, words(rng, 90), "en", "small", 0) for i in range(4)] + [(110, junk(), "en", "small", 0)]
+    rows += [(120, words(rng, 90), "fr", "a", 0), (121, junk(), "fr", "a", 0), (122, words(rng, 90), None, None, 0), (123, junk(), None, None, 0)]
+    rows += [(130, "short", "xx", "y", 0)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS), wider=True).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, r in got.items() if not r["kept"]} == {110, 121, 123, 130}
+    assert all(r["d2"] is not None for r in got.values() if not r["base_failed"])
+    # the estimate of the language is one over all of its documents
+    x = np.array([brute.vector(brute.base_counts(r[1])) for r in rows if r[2] == "en"])
+    at = [r[0] for r in rows if r[2] == "en"].index(110)
+    assert got[110]["d2"] == pytest.approx(brute.mahalanobis(x)[at])
+
+
 def test_quality_repeated_rows_and_null_ids(spark):
     rows = [(None, "word " * 60, "en", None, 1), (1, "x", None, None, 1), (1, "x", None, None, 1)]
     got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
