@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is scanned for assignments, access keys and long hex runs. Then its encoded
-layers are unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 tokens, and what
-is compressed (zlib, gzip) inside base64. Every layer goes on a worklist, is scanned,
+layers are unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 tokens (also over
+several lines), and what is compressed (zlib, all members of gzip, in each other as
+well) inside any of them. Every layer goes on a worklist, is scanned,
 and unwrapped in turn until nothing new appears. A layer is recognised by its text and
 place; one that was seen before is not queued again, which ends cycles. Each layer
 carries the places of its characters in the original text, so spans are always code
@@ -22,7 +23,9 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +46,15 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\
 ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines: all but the last of 16 or more.
+WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Heads of zlib and gzip streams as escapes, and the bytes that follow.
+PERCENT_PACKED = re.compile(r"%1[Ff]%8[Bb]|(?:%78|x)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa])")
+PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})()|[!-~]")
+ESCAPE_PACKED = re.compile(r"\\(?:x|u00)1[Ff]\\(?:x|u00)8[Bb]|(?:\\(?:x|u00)78|x)(?:\\(?:x|u00)(?:01|5[Ee]|9[Cc]|[Dd][Aa])|\^)")
+ESCAPE_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\([abfnrtv0'\"\\])|[ -\[\]-~]")
+NAMED = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0, "'": 39, '"': 34, "\\": 92}
 
 Spans = list[tuple[int, int, int]]  # (start, kind, end)
 
@@ -149,51 +161,139 @@ def _escapes(run: str) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _inflated(data: bytes, most: int) -> tuple[bytes | None, bool]:
-    """What a zlib or gzip stream holds; whether it holds more than ``most`` bytes."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0):
+def _packed(data: bytes) -> bool:
+    return data[:3] == b"\x1f\x8b\x08" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _faulty(head: bytes) -> bool:
+    try:
+        zlib.decompressobj(47).decompress(head, 1 << 16)
+    except zlib.error:
+        return True
+    return not _packed(head)
+
+
+def _inflated(data: bytes, most: int) -> tuple[bytes | None, bool, int]:
+    """What a zlib stream or all members of a gzip file hold, as far as it can be read;
+    whether it is more than ``most`` bytes; how many bytes of ``data`` were used."""
+    if not _packed(data):
+        return None, False, 0
+    out, rest = [], data
+    while _packed(rest):
         stream = zlib.decompressobj(47)
-        try:
-            out = stream.decompress(data, most + 1)
-        except zlib.error:
-            return None, False
-        return (None, True) if len(out) > most else (out, False)
-    return None, False
+        for at in range(0, len(rest), 4096):
+            safe = stream.copy()
+            try:
+                out.append(stream.decompress(rest[at : at + 4096], most + 1))
+            except zlib.error:  # what comes before the fault is kept
+                for i in range(at, at + 4096):
+                    try:
+                        out.append(safe.decompress(rest[i : i + 1], most + 1))
+                    except zlib.error:
+                        break
+                return b"".join(out) or None, False, len(data)
+            most -= len(out[-1])
+            if most < 0:
+                return None, True, len(data)
+            if stream.eof:
+                break
+        rest = stream.unused_data + rest[at + 4096 :] if stream.eof else b""
+    return b"".join(out), False, len(data) - len(rest)
+
+
+def _byte_layers(layer: Layer, data: bytes, places: Callable[[int, int], tuple[int, int]], most: int, bare: bool = True) -> Iterator[Layer | None]:
+    """The layer of bytes that are text (if ``bare``), or of what they unfold to, layer
+    by layer; ``places`` gives the span of a range of bytes. None for too large ones."""
+    work, depth = data, 0
+    while True:
+        inner, large, used = _inflated(work, most)
+        if large:
+            yield None
+            return
+        if inner is None:
+            break
+        if not depth:
+            s, e = layer.span(*places(0, used))
+        work, depth = inner, depth + 1
+    text = _readable(work) if depth or bare else None
+    if text is None:
+        return
+    if depth:
+        yield Layer(text, [s] * len(text), [e] * len(text))
+        return
+    starts, ends, at = [], [], 0
+    for c in text:
+        n = len(c.encode("utf-8"))
+        s, e = layer.span(*places(at, at + n))
+        starts.append(s)
+        ends.append(e)
+        at += n
+    yield Layer(text, starts, ends)
+
+
+def _escaped_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
+    """The layers of compressed bytes that stand as percent or backslash escapes."""
+    for head, unit in ((PERCENT_PACKED, PERCENT_BYTE), (ESCAPE_PACKED, ESCAPE_BYTE)):
+        for m in head.finditer(layer.text):
+            data, ends, at = bytearray(), [], m.start()
+            while u := unit.match(layer.text, at):
+                if len(data) == 64 and _faulty(bytes(data)):  # many heads, each with a long text behind it
+                    break
+                data.append(int(u[1], 16) if u[1] else NAMED[u[2]] if u[2] else ord(u[0]))
+                ends.append(at := u.end())
+            yield from _byte_layers(layer, bytes(data), lambda a, b: (m.start(), ends[b - 1]), most, False)
+
+
+def _wrapped(lines: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Ranges of lines that may be one token: all, all but the first or the last, and
+    lines of one width with the line that ends them."""
+    n = len(lines)
+    ranges = {(a, b) for a in (0, 1) for b in (n - 1, n)}
+    a = 0
+    for k in range(1, n + 1):
+        if k == n or lines[k][1] - lines[k][0] != lines[a][1] - lines[a][0]:
+            ranges |= {(a, k), (a, min(k + 1, n))}
+            a = k
+    return {(a, b) for a, b in ranges if b - a > 1}
 
 
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
     """A layer for each base64 token that holds text, bare or compressed; None for one
-    that unfolds to too much."""
+    that unfolds to too much. A token may span line breaks."""
+
+    def decoded(pieces: list[tuple[int, int]]) -> Iterator[Layer | None]:
+        token = "".join([layer.text[a:b] for a, b in pieces]).replace("-", "+").replace("_", "/")
+        if len(token) % 4 == 1:
+            token = token[:-1]
+        firsts = list(accumulate([b - a for a, b in pieces], initial=0))
+
+        def place(i: int) -> int:
+            k = bisect_right(firsts, i, 0, len(pieces)) - 1
+            return pieces[k][0] + i - firsts[k]
+
+        def places(a: int, b: int) -> tuple[int, int]:
+            return place(a * 8 // 6), place(min(-(-b * 8 // 6), len(token)) - 1) + 1
+
+        data = binascii.a2b_base64(token + "=" * (-len(token) % 4))
+        if _packed(data):  # the span is the whole token
+            yield from _byte_layers(layer, data, lambda a, b: (pieces[0][0], place(len(token) - 1) + 1), most)
+        else:
+            yield from _byte_layers(layer, data, places, most)
+
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        body = m[0].rstrip("=")
+        yield from decoded([(m.start(), m.start() + len(body))])
         # a path or a list may stand around the token: its parts are tried too
-        parts = [(m.start(), body)]
-        if "/" in body or "+" in body:
-            parts += [(m.start() + x.start(), x[0]) for x in PART.finditer(body) if len(x[0]) < len(body)]
-        for at0, token in parts:
-            if len(token) % 4 == 1:
-                token = token[:-1]
-            data = binascii.a2b_base64(token + "=" * (-len(token) % 4))
-            packed, large = _inflated(data, most)
-            if large:
-                yield None
-            if packed is not None:
-                data = packed
-            text = _readable(data)
-            if text is None:
-                continue
-            if packed is not None:
-                s, e = layer.span(at0, at0 + len(token))
-                yield Layer(text, [s] * len(text), [e] * len(text))
-                continue
-            starts, ends, at = [], [], 0
-            for c in text:
-                n = len(c.encode("utf-8"))
-                s, e = layer.span(at0 + at * 8 // 6, at0 + min(-(-(at + n) * 8 // 6), len(token)))
-                starts.append(s)
-                ends.append(e)
-                at += n
-            yield Layer(text, starts, ends)
+        plain = body.replace("-", "+").replace("_", "/")
+        if "/" in plain or "+" in plain:
+            for x in PART.finditer(plain):
+                if len(x[0]) < len(plain):
+                    yield from decoded([(m.start() + x.start(), m.start() + x.end())])
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+            for a, b in sorted(_wrapped(lines)):
+                yield from decoded(lines[a:b])
 
 
 def find_secrets(text: str, max_inflated: int = 1 << 24) -> tuple[Spans, Spans, int, int]:
@@ -215,7 +315,7 @@ def find_secrets(text: str, max_inflated: int = 1 << 24) -> tuple[Spans, Spans,
             found.append(_replaced(layer, PERCENT, _percent) or layer)
         if "\\" in layer.text:
             found.append(_replaced(layer, ESCAPE, _escapes) or layer)
-        for new in (*found, *_base64_layers(layer, max_inflated)):
+        for new in chain(found, _escaped_layers(layer, max_inflated), _base64_layers(layer, max_inflated)):
             if new is None:
                 left += 1
             elif new is not layer and new.text and (key := new.key()) not in seen:
