@@ -1,37 +1,49 @@
 """Quality rules: counting rules, then robust multivariate outliers.
 
-Every text gives a vector of transformed statistics: log of the mean word length,
-log(1 + symbols a word), square root of the share of repeated lines, and the share of
-capitals among the characters of words. Per language and source, the minimum
-covariance determinant is sought by concentration steps: start at the coordinate-wise
-median and interquartile range; then repeat: rank the rows by Mahalanobis distance,
-keep the ``support`` share that lies nearest, estimate mean and covariance on it. The
-final covariance is scaled to be consistent at the normal distribution; a document is
-rejected if its squared distance exceeds ``cutoff``.
-
-All of it is DataFrame code. A concentration step is one aggregation: moments per
-(group, bucket of log distance) with map-side partial sums, then cumulative sums over
-at most 240 buckets a group, so a group that holds a third of all rows is never in one
-task. The nearest share is thereby cut at a bucket border (an eighth in log distance).
-Nothing is collected but row counts.
-
-A floor is added to every variance (``FLOORS``): a statistic that is constant in the
-support (no symbols at all, say) would make the covariance singular and reject any
-document that differs by a trifle.
+Every text gives a vector of transformed statistics: log of the mean word length, square
+root of the share of capitals among the characters of words, symbols a word, share of
+repeated lines, share of repeated words. Each is smoothed as if ``PSEUDO`` words (or 10
+lines) of the language's average stood before the text, so that short texts don't spread
+more than long ones. Per language and source, the minimum covariance determinant (MCD)
+of these vectors is sought as FAST-MCD does (Rousseeuw and Van Driessen, 1999):
+
+1. Starts: coordinate-wise median and interquartile range; mean and covariance of all;
+   ``random_starts`` elemental sets of P + 2 vectors, drawn by a hash.
+2. A concentration step ranks the vectors by Mahalanobis distance and estimates mean and
+   covariance on the ``support`` share that lies nearest; it never raises the
+   determinant. After two steps the two starts of least determinant go on, until the
+   determinant stops falling; the least one is kept.
+3. The distances are scaled so that their ``support`` quantile is that of chi-square
+   (consistency and small samples at once), mean and covariance are estimated anew on all
+   vectors within the 0.975 quantile of chi-square, and scaled again.
+
+A document is rejected if its squared distance exceeds the 1 - ``tail`` quantile of
+chi-square with P degrees. The estimate breaks down at 1 - ``support`` of junk in a group.
+
+A direction in which the support doesn't vary (no symbols at all, say) makes the covariance
+singular. Only there, where a pivot of the Cholesky factor falls below ``FLOORS``, the
+floor takes its place: the least deviation that counts as one.
+
+All of it is DataFrame code. A concentration step is one aggregation for all groups and
+starts: moments per (group, start, bucket of log distance) with map-side partial sums,
+then cumulative sums over at most 240 buckets; the bucket on the border counts by the
+share of it that the support needs. So a group that holds a third of all rows is never in
+one task, and nothing is collected but row counts. Equal vectors count once, so copies
+of one text can't pass for the norm.
 
 Groups of fewer than ``min_rows`` documents that pass the base rules are pooled per
-language. Where that is not enough, with ``wider`` they are judged by an estimate over
-all documents of their language, and then by one over all documents; only in a table of
-fewer than ``min_rows`` such documents the base rules decide alone. Without ``wider``
-they decide alone wherever the pool is too small.
+language; where that is not enough, they are judged by an estimate over all documents of
+their language, and then by one over all documents; only in a table of fewer than
+``min_rows`` such documents the base rules decide alone.
 
 Defined results: a null text has no words and fails the base rule; null language or
-source are groups of their own; rows that repeat count each; an empty table gives an
+source are groups of their own; rows that repeat are judged each; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,15 +52,35 @@ from pyspark.sql.window import Window
 
 from .common import SPACES, attach, keyed, let, materialize, words
 
-FEATURES = ("x0", "x1", "x2", "x3")
+FEATURES = ("x0", "x1", "x2", "x3", "x4")
 P = len(FEATURES)
-#: Standard deviations that are added, squared, to the variances.
-FLOORS = (0.06, 0.03, 0.15, 0.02)
-#: Quantile of chi-square with P = 4 degrees at the default support of 0.75.
-CHI2_SUPPORT = 5.385
+#: Least standard deviations, for directions in which the support doesn't vary.
+FLOORS = (0.002, 0.002, 0.02, 0.05, 0.08)
+#: Words of the language's average that smooth each statistic.
+PSEUDO = 100
 #: Names the group of all documents; before a language's key, that of all its documents.
 WHOLE = "*"
 LOW, HIGH, PER_UNIT = -10, 20, 8  # buckets of the natural log of the squared distance
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def chi2_quantile(share: float, degrees: int) -> float:
+    """Quantile of chi-square, by bisection of the series of its distribution."""
+
+    def below(x: float) -> float:
+        term = total = 2 / degrees
+        k = degrees / 2
+        while term > total * 1e-16:
+            k += 1
+            term *= x / 2 / k
+            total += term
+        return total * math.exp(-x / 2 + degrees / 2 * math.log(x / 2) - math.lgamma(degrees / 2))
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < share else (low, middle)
+    return high
 
 
 def _repeated_words(w: Column) -> Column:
@@ -78,24 +110,27 @@ def _repeated_words(w: Column) -> Column:
 def text_statistics(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     """``keep`` and the counts of each text, over all of it."""
     text = F.col("_text")
-    stripped = F.translate(text, SPACES, "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    found = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     return (
         docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
         .withColumn(
             "_w",
-            let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).alias("r"))),
+            let(
+                words(text),
+                lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated_words(w).alias("r")),
+            ),
         )
         .withColumn("_l", let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))))
         .select(
             *[c for c in docs.select(*keep).columns],
             F.col("_w.n").alias("n_words"),
-            F.length(stripped).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.col("_w.c").alias("word_chars"),
+            found("[#*$%&|<>]").alias("n_symbols"),
             F.col("_l.d").alias("n_dup_lines"),
             F.col("_w.r").alias("n_repeat_words"),
             F.col("_l.n").alias("n_lines"),
-            (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+            found("[A-Z]").alias("n_capitals"),
         )
     )
 
@@ -105,98 +140,146 @@ def base_failed() -> Column:
 
 
 def _vector() -> list[Column]:
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
+    """The features, from the counts and the language's word length and capitals."""
+    words_, chars = F.col("n_words") + PSEUDO, F.col("word_chars") + PSEUDO * F.col("_word_length")
     return [
-        F.log(F.greatest(per_word("word_chars"), F.lit(0.1))),
-        F.log1p(per_word("n_symbols")),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
+        F.log(chars / words_),
+        F.sqrt((F.col("n_capitals") + PSEUDO * F.col("_word_length") * F.col("_capitals")) / chars),
+        F.col("n_symbols") / words_,
+        F.col("n_dup_lines") / (F.col("n_lines") + 10),
+        F.col("n_repeat_words") / words_,
     ]
 
 
 def _with_distance(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """``vectors`` with d2, null where the group has no model. y is built column by
-    column, so that no expression is repeated inside another."""
-    df = attach(vectors, model, ["_g"])
-    for i in range(P):
-        rest = F.col(FEATURES[i]) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"_y{j}")
-        df = df.withColumn(f"_y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, b: a + b, [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(P)])
-    names = [c for c in model.columns if c != "_g"]
-    return df.withColumn("d2", d2).drop(*[f"_y{i}" for i in range(P)], *[c for c in names if c[0] == "l"])
-
-
-def _cholesky(cov: DataFrame) -> DataFrame:
-    """Columns c{i}{j} (j <= i) become l{i}{j}."""
-    for i in range(P):
-        for j in range(i + 1):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            cov = cov.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
-    return cov.drop(*[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
+    """``vectors`` with the model of their group (a row for each of its starts) and
+    ``_d``, the squared distance in regular directions, and ``_e``, in singular ones;
+    null where the group has no model. y is built column by column, so that no
+    expression is repeated inside another."""
+    y = [f"(x{i} - m{i}" + "".join(f" - l{i}{j} * _y{j}" for j in range(i)) + f") / l{i}{i} AS _y{i}" for i in range(P)]
+    total = lambda test: " + ".join(f"IF({test}r{i}, _y{i} * _y{i}, 0D)" for i in range(P))
+    both = [f"IF(m0 IS NOT NULL, {total(test)}, NULL) AS {name}" for test, name in (("", "_d"), ("NOT ", "_e"))]
+    return attach(vectors, model, ["_g"]).selectExpr("*", *y, *both).drop(*[f"_y{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+
+
+def _factored(cov: DataFrame) -> DataFrame:
+    """Columns c{i}{j} (j <= i) become the Cholesky factor l{i}{j}, whether direction i
+    is regular, r{i}, and the log of the determinant's root, ld."""
+    steps = []
+    for i, j in PAIRS:
+        rest = f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + ")"
+        if i == j:
+            steps += [f"{rest} > {FLOORS[i] ** 2}D AS r{i}", f"IF(r{i}, SQRT(GREATEST({rest}, 0D)), {FLOORS[i]}D) AS l{i}{i}"]
+        else:
+            steps.append(f"{rest} / l{j}{j} AS l{i}{j}")
+    root = " + ".join(f"LN(l{i}{i})" for i in range(P)) + " AS ld"
+    return cov.selectExpr("*", *steps, root).drop(*[f"c{i}{j}" for i, j in PAIRS])
+
+
+def _moments(centred: bool = True) -> list[Column]:
+    """Sums of rows, features and their products, about m{i} if ``centred``."""
+    z = [f"(x{i} - m{i})" if centred else f"x{i}" for i in range(P)]
+    return [F.expr(x) for x in ("COUNT(1) AS n", *[f"SUM({z[i]}) AS s{i}" for i in range(P)], *[f"SUM({z[i]} * {z[j]}) AS s{i}{j}" for i, j in PAIRS])]
+
+
+def _estimate(sums: DataFrame, keys: list[str], centred: bool = True) -> DataFrame:
+    """The model (means and factored covariance) of ``_moments``."""
+    means = [f"{f'm{i} + ' if centred else ''}s{i} / n AS m{i}" for i in range(P)]
+    return _factored(sums.selectExpr(*keys, *means, *[f"s{i}{j} / n - s{i} * s{j} / n / n AS c{i}{j}" for i, j in PAIRS]))
 
 
 def _bucket(d2: Column) -> Column:
     return F.least(F.greatest(F.floor(F.log(d2 + 1e-9) * PER_UNIT), F.lit(LOW * PER_UNIT)), F.lit(HIGH * PER_UNIT - 1)).cast("int")
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges from histograms of 1/256 a bin."""
+def _median_start(vectors: DataFrame) -> DataFrame:
+    """Medians and interquartile ranges from histograms of 1/4096 a bin."""
     bins = (
-        vectors.select("_g", F.posexplode(F.array(*[F.floor(F.least(F.col(c), F.lit(30.0)) * 256).cast("int") for c in FEATURES])).alias("f", "b"))
+        vectors.select("_g", F.posexplode(F.array(*[F.floor(F.least(F.col(c), F.lit(30.0)) * 4096).cast("int") for c in FEATURES])).alias("f", "b"))
         .groupBy("_g", "f", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy("_g", "f")
     at = bins.withColumn("up", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-    q = lambda share: F.min(F.when(F.col("up") >= F.col("all") * share, (F.col("b") + 0.5) / 256))
+    q = lambda share: F.min(F.when(F.col("up") >= F.col("all") * share, (F.col("b") + 0.5) / 4096))
     cells = at.groupBy("_g", "f").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
     pick = lambda f, c: F.max(F.when(F.col("f") == f, c))
-    return cells.groupBy("_g").agg(
-        *[pick(i, F.col("q2")).alias(f"m{i}") for i in range(P)],
-        *[
-            (pick(i, F.sqrt(F.pow((F.col("q3") - F.col("q1")) / 1.349, 2) + FLOORS[i] ** 2)) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-            for i in range(P)
-            for j in range(i + 1)
-        ],
+    spread = F.pow((F.col("q3") - F.col("q1")) / 1.349, 2)
+    return _factored(
+        cells.groupBy("_g").agg(
+            *[pick(i, F.col("q2")).alias(f"m{i}") for i in range(P)],
+            *[(pick(i, spread) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
+        )
     )
 
 
+def _starts(vectors: DataFrame, random_starts: int) -> DataFrame:
+    """The models that concentration starts from, numbered by _s."""
+    first = _median_start(vectors).withColumn("_s", F.lit(0))
+    whole = _estimate(vectors.groupBy("_g").agg(*_moments(centred=False)), ["_g"], centred=False).withColumn("_s", F.lit(1))
+    slots = P + 2
+    drawn = vectors.withColumn("_s", F.explode(F.array(*[F.lit(2 + k) for k in range(random_starts)]))).withColumn("_o", F.xxhash64("_s", *FEATURES))
+    drawn = drawn.groupBy("_g", "_s", F.pmod("_o", F.lit(slots)).alias("_slot")).agg(*[F.min_by(c, "_o").alias(c) for c in FEATURES])
+    few = _estimate(drawn.groupBy("_g", "_s").agg(*_moments(centred=False)), ["_g", "_s"], centred=False)
+    out = first.unionByName(whole)
+    return out.unionByName(few) if random_starts else out
+
+
 def _concentrate(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
-    """The model estimated on the ``support`` share nearest to ``model``, with the
-    border of that share (in log distance to ``model``)."""
-    df = _with_distance(vectors, model).where(F.col("d2").isNotNull())
-    df = df.select("_g", *[f"m{i}" for i in range(P)], _bucket(F.col("d2")).alias("b"), *[(F.col(FEATURES[i]) - F.col(f"m{i}")).alias(f"z{i}") for i in range(P)])
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)]]
-    sums += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    cells = df.groupBy("_g", "b").agg(*sums, *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)])
-    w = Window.partitionBy("_g")
+    """The models estimated on the ``support`` share nearest to each model of a group,
+    with ``fell``: by how much the determinant's log did."""
+    df = _with_distance(vectors, model).where(F.col("_d").isNotNull()).withColumn("b", _bucket(F.col("_d") + F.col("_e")))
+    own = [f"m{i}" for i in range(P)]
+    cells = df.groupBy("_g", "_s", "b").agg(*_moments(), F.first("ld").alias("_before"), *[F.first(c).alias(c) for c in own])
+    w = Window.partitionBy("_g", "_s")
     below = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = cells.withColumn("_below", below).withColumn("_all", F.sum("n").over(w)).where(F.col("_below") < F.col("_all") * support)
-    whole = near.groupBy("_g").agg(F.sum("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.sum(str(c)).alias(str(c)) for c in [*[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]]])
-    cov = whole.select(
-        "_g",
-        *[(F.col(f"m{i}") + F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)],
-        *[
-            (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-            for i in range(P)
-            for j in range(i + 1)
-        ],
-    )
-    return materialize(_cholesky(cov), "mcd-model")
+    need = F.col("_all") * support - F.col("_below")
+    near = cells.withColumn("_below", below).withColumn("_all", F.sum("n").over(w)).where(need > 0).withColumn("_part", F.least(need / F.col("n"), F.lit(1.0)))
+    sums = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
+    whole = near.groupBy("_g", "_s").agg(*[F.sum(F.col(c) * F.col("_part")).alias(c) for c in sums], F.first("_before").alias("_before"), *[F.first(c).alias(c) for c in own])
+    new = _estimate(whole, ["_g", "_s", "_before"])
+    return materialize(new.withColumn("fell", F.col("_before") - F.col("ld")).drop("_before"), "mcd-model")
+
+
+def _least(models: DataFrame, n: int) -> DataFrame:
+    """The ``n`` models of least determinant of each group."""
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("ld", "_s"))
+    return models.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def _consistent(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
-    """(_g, _scale): what d2 is divided by, so that its ``support`` quantile is that of
-    chi-square; never below 1, so that the floors are not scaled away."""
-    cells = _with_distance(vectors, model).where(F.col("d2").isNotNull()).groupBy("_g", _bucket(F.col("d2")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def _scaled(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
+    """``model`` with _scale: what _d is divided by, so that its ``support`` quantile is
+    that of chi-square with as many degrees as there are regular directions."""
+    cells = _with_distance(vectors, model).where(F.col("_d").isNotNull()).groupBy("_g", _bucket(F.col("_d")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("_g")
     at = cells.withColumn("up", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-    border = F.min(F.when(F.col("up") >= F.col("all") * support, F.exp((F.col("b") + 0.5) / PER_UNIT)))
-    return at.groupBy("_g").agg(F.greatest(border / CHI2_SUPPORT, F.lit(1.0)).alias("_scale"))
+    over = F.col("up") - F.col("all") * support
+    at = at.where((over >= 0) & (over < F.col("n")))  # the bucket that holds the quantile
+    border = at.select("_g", F.exp((F.col("b") + 1 - over / F.col("n")) / PER_UNIT).alias("_border"))
+    degrees = reduce(lambda a, b: a + b, [F.col(f"r{i}").cast("int") for i in range(P)])
+    quantiles = F.array(F.lit(1.0), *[F.lit(chi2_quantile(support, k)) for k in range(1, P + 1)])
+    out = model.drop("_scale").join(border, "_g").withColumn("_scale", F.greatest(F.col("_border") / F.get(quantiles, degrees), F.lit(1e-9)))
+    return materialize(out.drop("_border"), "mcd-scaled")
+
+
+def robust_model(vectors: DataFrame, *, support: float = 0.75, random_starts: int = 4) -> DataFrame:
+    """(_g, m, l, r, _scale): the reweighted MCD estimate of each group of vectors
+    (_g, x0, ...)."""
+    model = materialize(_starts(vectors, random_starts), "mcd-model")
+    for _ in range(2):
+        model = _concentrate(vectors, model, support)
+    model = materialize(_least(model, 2), "mcd-model")
+    done = model.limit(0)
+    while True:
+        moving = model.where("fell > 1e-5")
+        done = done.unionByName(model.where("NOT fell > 1e-5"))
+        if moving.isEmpty():
+            break
+        model = _concentrate(vectors, moving, support)
+    model = _scaled(vectors, _least(done, 1).drop("_s", "fell"), support)
+    near = _with_distance(vectors, model).where(F.col("_d") / F.col("_scale") + F.col("_e") <= chi2_quantile(0.975, P))
+    sums = near.groupBy("_g").agg(*_moments(), *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)])
+    return _scaled(vectors, _estimate(sums, ["_g"]), support).drop("ld")
 
 
 def judge(
@@ -207,48 +290,47 @@ def judge(
     lang_col: str = "lang",
     source_col: str = "source",
     support: float = 0.75,
-    steps: int = 3,
+    random_starts: int = 4,
     min_rows: int = 50,
-    cutoff: float = 60.0,
-    wider: bool = False,
+    tail: float = 0.001,
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(id, the counts, base_failed, d2, kept) per row; d2 is null where no
-    estimate applies, or no row of its language and source passes the base rules. ``keep``: further columns by name."""
+    """(id, the counts, base_failed, d2, kept) per row; d2 is null where no estimate
+    applies, or no row of its language and source passes the base rules. ``tail``: share
+    of normal vectors that the cutoff rejects. ``keep``: further columns by name."""
     more = keep or {}
-    stats = text_statistics(
-        docs,
-        text_col,
-        [F.col(id_col).alias("_id"), F.to_json(F.struct(keyed(F.col(lang_col)).alias("l"), keyed(F.col(source_col)).alias("s"))).alias("_ls"), F.to_json(F.struct(keyed(F.col(lang_col)).alias("l"))).alias("_l0"), *[v.alias(f"_keep_{k}") for k, v in more.items()]],
-    )
-    rows = materialize(stats.withColumn("base_failed", base_failed()).withColumns(dict(zip(FEATURES, _vector()))), "quality-rows")
-    sizes = materialize(rows.where(~F.col("base_failed")).groupBy("_ls", "_l0").agg(F.count(F.lit(1)).alias("_n")), "quality-sizes")
+    lang = F.to_json(F.struct(keyed(F.col(lang_col)).alias("l")))
+    both = F.to_json(F.struct(keyed(F.col(lang_col)).alias("l"), keyed(F.col(source_col)).alias("s")))
+    stats = text_statistics(docs, text_col, [F.col(id_col).alias("_id"), both.alias("_ls"), lang.alias("_l0"), *[v.alias(f"_keep_{k}") for k, v in more.items()]])
+    rows = materialize(stats.withColumn("base_failed", base_failed()), "quality-rows")
+    counted = [F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in ("n_words", "word_chars", "n_capitals")]]
+    sizes = materialize(rows.where(~F.col("base_failed")).groupBy("_ls", "_l0").agg(*counted), "quality-sizes")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     of_lang = Window.partitionBy("_l0")
+    sum_of = lambda c: F.sum(c).over(of_lang)
     groups = (
         sizes.withColumn("_pool", F.sum(F.when(F.col("_n") < min_rows, F.col("_n"))).over(of_lang))
-        .withColumn("_lang", F.sum("_n").over(of_lang))
+        .withColumn("_lang", sum_of("_n"))
+        .withColumn("_word_length", sum_of("_word_chars") / sum_of("_n_words"))
+        .withColumn("_capitals", sum_of("_n_capitals") / sum_of("_word_chars"))
         .withColumn(
             "_g",
             F.when(F.col("_n") >= min_rows, F.col("_ls"))
             .when(F.col("_pool") >= min_rows, F.col("_l0"))
-            .when(F.lit(wider) & (F.col("_lang") >= min_rows), F.concat(F.lit(WHOLE), "_l0"))
-            .when(F.lit(wider and total >= min_rows), F.lit(WHOLE)),
+            .when(F.col("_lang") >= min_rows, F.concat(F.lit(WHOLE), "_l0"))
+            .when(F.lit(total >= min_rows), F.lit(WHOLE)),
         )
         .withColumn("_whole", F.max(F.when(F.col("_g") == F.concat(F.lit(WHOLE), "_l0"), F.col("_g"))).over(of_lang))
     )
-    groups = materialize(groups.select("_ls", "_g", "_whole"), "quality-groups")
+    groups = materialize(groups.select("_ls", "_g", "_whole", "_word_length", "_capitals"), "quality-groups")
     # the estimates that a row takes part in: its group's, and the wider ones that any group needs
     wide = F.lit(None if groups.where(F.col("_g") == WHOLE).isEmpty() else WHOLE).cast("string")
     estimates = F.array_distinct(F.array_compact(F.array("_g", "_whole", wide)))
-    vectors = attach(rows.where(~F.col("base_failed")), groups, ["_ls"]).select(F.explode(estimates).alias("_g"), *FEATURES)
-    vectors = materialize(vectors, "quality-vectors")
-    model = materialize(_start(vectors), "mcd-model")
-    for _ in range(steps):
-        model = _concentrate(vectors, model, support)
-    scale = materialize(_consistent(vectors, model, support), "mcd-scale")
-    keyed_rows = attach(rows, groups.select("_ls", "_g"), ["_ls"]).withColumn("_g", F.coalesce("_g", F.lit("")))
-    judged = attach(_with_distance(keyed_rows, model), scale, ["_g"]).withColumn("d2", F.col("d2") / F.col("_scale"))
+    judged = materialize(attach(rows, groups, ["_ls"]).withColumns(dict(zip(FEATURES, _vector()))), "quality-features")
+    vectors = judged.where(~F.col("base_failed")).select(F.explode(estimates).alias("_g"), *FEATURES).distinct()
+    model = robust_model(materialize(vectors, "quality-vectors"), support=support, random_starts=random_starts)
+    judged = _with_distance(judged.withColumn("_g", F.coalesce("_g", F.lit(""))), model)
+    judged = judged.withColumn("d2", F.col("_d") / F.col("_scale") + F.col("_e"))
     return judged.select(
         F.col("_id").alias(id_col),
         "n_words",
@@ -258,6 +340,6 @@ def judge(
         "n_repeat_words",
         "base_failed",
         "d2",
-        (~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce(F.col("d2") > chi2_quantile(1 - tail, P), F.lit(False))).alias("kept"),
         *[F.col(f"_keep_{k}").alias(k) for k in more],
     )

@@ -37,71 +37,103 @@ def base_failed(c):
     return c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
 
 
-def mahalanobis(rows, support=0.75, steps=3, cutoff=60.0):
-    """Squared distances of an (n, 4) array, by the same concentration steps."""
-    floors = np.array(quality.FLOORS)
-    bins = np.floor(np.minimum(rows, 30) * 256).astype(int)
-    n = len(rows)
-
-    def quantile(column, share):
-        values, counts = np.unique(column, return_counts=True)
-        return (values[np.searchsorted(np.cumsum(counts), n * share)] + 0.5) / 256
-
-    mean = np.array([quantile(c, 0.5) for c in bins.T])
-    spread = np.array([quantile(c, 0.75) - quantile(c, 0.25) for c in bins.T])
-    cov = np.diag((spread / 1.349) ** 2 + floors**2)
-
-    def distance():
-        d = rows - mean
-        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
-
-    def bucket(d2):
-        return np.clip(np.floor(np.log(d2 + 1e-9) * quality.PER_UNIT), quality.LOW * quality.PER_UNIT, quality.HIGH * quality.PER_UNIT - 1)
-
-    for _ in range(steps):
-        b = bucket(distance())
-        below = np.array([(b < x).sum() for x in b])
-        near = rows[below < n * support]
-        mean = near.mean(axis=0)
-        cov = np.cov(near.T, bias=True) + np.diag(floors**2)
-    d2 = distance()
-    b = np.sort(bucket(d2))
-    border = math.exp((b[int(np.ceil(n * support)) - 1] + 0.5) / quality.PER_UNIT)
-    return d2 / max(border / quality.CHI2_SUPPORT, 1.0)
-
-
-def judged(docs, min_rows=50, cutoff=60.0):
-    """[(kept, counts)] for dicts with text, lang, source."""
+CHI2 = {0.975: 12.832502, 0.999: 20.515006}  # 5 degrees
+CHI2_75 = {1: 1.323304, 2: 2.772589, 3: 4.108345, 4: 5.385269, 5: 6.625680}
+
+
+def factored(cov):
+    """Cholesky factor with the floors in singular directions, and which are regular."""
+    p = len(cov)
+    low, regular = np.zeros((p, p)), np.zeros(p, bool)
+    for i in range(p):
+        for j in range(i):
+            low[i, j] = (cov[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        rest = cov[i, i] - low[i, :i] @ low[i, :i]
+        regular[i] = rest > quality.FLOORS[i] ** 2
+        low[i, i] = math.sqrt(rest) if regular[i] else quality.FLOORS[i]
+    return low, regular
+
+
+def mahalanobis(rows, support=0.75, starts=60):
+    """Squared distances by the textbook FAST-MCD: many elemental starts, exact subsets
+    of the nearest, the least determinant, one reweighting."""
+    x = np.unique(rows, axis=0)
+    n, p = x.shape
+    rng, h = np.random.default_rng(5), max(math.ceil(n * support), 1)
+
+    def parts(at, mean, low, regular):
+        y = np.linalg.solve(low, (at - mean).T) ** 2
+        return y[regular].sum(axis=0), y[~regular].sum(axis=0)
+
+    def scale(at, mean, low, regular):
+        return np.quantile(parts(at, mean, low, regular)[0], support) / CHI2_75[regular.sum()] if regular.any() else 1.0
+
+    best = None
+    for _ in range(starts):
+        near = x[rng.choice(n, min(p + 2, n), replace=False)]
+        last = math.inf
+        while True:
+            mean = near.mean(axis=0)
+            low, regular = factored(np.cov(near.T, bias=True))
+            size = np.log(np.diag(low)).sum()
+            if len(near) == h and last - size < 1e-9:
+                break
+            last = size if len(near) == h else math.inf
+            near = x[np.argsort(sum(parts(x, mean, low, regular)), kind="stable")[:h]]
+        if best is None or size < best[0]:
+            best = (size, mean, low, regular)
+    _, *model = best
+    d, e = parts(x, *model)
+    near = x[d / scale(x, *model) + e <= CHI2[0.975]]
+    model = (near.mean(axis=0), *factored(np.cov(near.T, bias=True)))
+    d, e = parts(rows, *model)
+    return d / scale(x, *model) + e
+
+
+def distances(docs, min_rows=50):
+    """[(d2 or None, counts)] for dicts with text, lang, source."""
     counts = [base_counts(d["text"]) for d in docs]
-    good = [not base_failed(c) for c in counts]
-    size = Counter((d["lang"], d["source"]) for d, g in zip(docs, good) if g)
-    pool = Counter()
+    good = [i for i, c in enumerate(counts) if not base_failed(c)]
+    size = Counter((docs[i]["lang"], docs[i]["source"]) for i in good)
+    pool, langs = Counter(), Counter(docs[i]["lang"] for i in good)
     for (lang, _), n in size.items():
         if n < min_rows:
             pool[lang] += n
-    groups = defaultdict(list)
-    for i, (d, g) in enumerate(zip(docs, good)):
-        if g:
-            key = (d["lang"], d["source"])
-            if size[key] >= min_rows:
-                groups[key].append(i)
-            elif pool[d["lang"]] >= min_rows:
-                groups[(d["lang"],)].append(i)
-    kept = list(good)
-    for members in groups.values():
-        x = np.array([vector(counts[i]) for i in members])
-        for i, d2 in zip(members, mahalanobis(x)):
-            kept[i] = bool(d2 <= cutoff)
-    return list(zip(kept, counts))
-
-
-def vector(c):
-    n = max(c["n_words"], 1)
+    members = defaultdict(list)  # of an estimate
+    asked = defaultdict(list)  # by whom
+    for i in good:
+        lang = docs[i]["lang"]
+        key = (lang, docs[i]["source"])
+        group = (0, key) if size[key] >= min_rows else (1, lang) if pool[lang] >= min_rows else (2, lang) if langs[lang] >= min_rows else (3,)
+        asked[group].append(i)
+        small = size[key] < min_rows
+        for g in [(0, key)] * (not small) + [(1, lang)] * small + [(2, lang), (3,)]:
+            members[g].append(i)
+    total = {lang: [sum(counts[i][c] for i in good if docs[i]["lang"] == lang) for c in ("n_words", "word_chars", "n_capitals")] for lang in langs}
+    x = {i: vector(counts[i], *total[docs[i]["lang"]]) for i in good}
+    out = [None] * len(docs)
+    for group, who in asked.items():
+        if len(members[group]) >= min_rows:
+            found = dict(zip(members[group], mahalanobis(np.array([x[i] for i in members[group]]))))
+            for i in who:
+                out[i] = found[i]
+    return list(zip(out, counts))
+
+
+def judged(docs, min_rows=50):
+    """[(kept, counts)] for dicts with text, lang, source."""
+    return [(not base_failed(c) and not (d2 is not None and d2 > CHI2[0.999]), c) for d2, c in distances(docs, min_rows)]
+
+
+def vector(c, all_words, all_chars, all_capitals):
+    k = 100
+    chars = c["word_chars"] + k * all_chars / all_words
     return (
-        math.log(max(c["word_chars"] / n, 0.1)),
-        math.log1p(c["n_symbols"] / n),
-        math.sqrt(c["n_dup_lines"] / max(c["n_lines"], 1)),
-        c["n_capitals"] / max(c["word_chars"], 1),
+        math.log(chars / (c["n_words"] + k)),
+        math.sqrt((c["n_capitals"] + k * all_capitals / all_words) / chars),
+        c["n_symbols"] / (c["n_words"] + k),
+        c["n_dup_lines"] / (c["n_lines"] + 10),
+        c["n_repeat_words"] / (c["n_words"] + k),
     )
 
 

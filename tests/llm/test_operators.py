@@ -117,18 +117,56 @@ def test_html_table(spark):
 
 def test_quality(docs, nothing):
     rows = [r.asDict() for r in docs.collect()]
-    expected = {r["doc_id"]: e for r, e in zip(rows, brute.judged(rows, min_rows=20))}
+    expected = {r["doc_id"]: e for r, e in zip(rows, brute.distances(rows, min_rows=20))}
     got = quality.judge(clashing(docs), min_rows=20).collect()
     assert len(got) == len(rows)
+    rejected = 0
     for r in got:
-        kept, counts = expected[r["doc_id"]]
+        d2, counts = expected[r["doc_id"]]
         assert {k: r[k] for k in counts if k in r} == {k: v for k, v in counts.items() if k in r}
         assert r["base_failed"] == brute.base_failed(counts)
-        assert r["kept"] == kept
-    assert any(not k and not brute.base_failed(c) for k, c in expected.values())  # the method rejects some
+        if r["base_failed"]:
+            assert not r["kept"]
+        elif d2 < 18 or d2 > 24:  # another search may end a little off, at another local minimum
+            assert r["kept"] == (d2 < 18)
+            rejected += not r["kept"]
+    assert rejected  # the method rejects some
     assert quality.judge(nothing).count() == 0
 
 
+def test_quality_against_an_independent_estimate_on_sample_documents(spark, small):
+    rows = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want = dict(zip([r["doc_id"] for r in rows], brute.judged(rows)))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert sum(got[i] != want[i][0] for i in got) <= len(got) // 200
+
+
+def test_the_covariance_decides(spark):
+    # two statistics that move together: a vector off their line is an outlier, though
+    # each of its coordinates is usual; a third of the vectors are junk far off
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=600)
+    clean = np.c_[1.6 + 0.05 * t, 0.13 + 0.02 * t + 0.004 * rng.normal(size=600), np.zeros((600, 3))]
+    junk = np.c_[2.5 + 0.01 * rng.normal(size=(120, 1)), 0.5 + 0.01 * rng.normal(size=(120, 1)), np.full((120, 1), 0.4), np.zeros((120, 2))]
+    odd = np.array([[1.6 + 0.07, 0.13 - 0.028, 0, 0, 0]])
+    x = np.r_[clean, junk, odd]
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "_g string, " + ", ".join(f"{c} double" for c in quality.FEATURES))
+    model = quality.robust_model(df)
+    got = quality._with_distance(df, model).select((F.col("_d") / F.col("_scale") + F.col("_e")).alias("d2")).toPandas()["d2"].to_numpy()
+    cut = quality.chi2_quantile(0.999, 5)
+    assert got[-1] > cut and (got[600:720] > cut).all() and (got[:600] > cut).mean() < 0.01
+    # coordinate by coordinate, about the median and with the interquartile range, it passes
+    middle, spread = np.median(x, axis=0), np.subtract(*np.quantile(x, [0.75, 0.25], axis=0)) / 1.349
+    assert (((odd[0] - middle) / np.maximum(spread, quality.FLOORS)) ** 2).sum() < cut
+    reference = brute.mahalanobis(x)
+    assert ((reference > cut) == (got > cut)).mean() > 0.995
+
+
+def test_chi2_quantile():
+    for (p, k), x in {(0.975, 5): 12.8325, (0.999, 5): 20.5150, (0.75, 2): 2.7726, (0.5, 1): 0.4549}.items():
+        assert quality.chi2_quantile(p, k) == pytest.approx(x, abs=1e-3)
+
+
 def test_quality_judges_small_groups_by_wider_estimates(spark):
     rng = random.Random(22)
     junk = lambda: " ".join("w***" for _ in range(90))
@@ -136,14 +174,15 @@ def test_quality_judges_small_groups_by_wider_estimates(spark):
     rows += [(100 + i, words(rng, 90), "en", "small", 0) for i in range(4)] + [(110, junk(), "en", "small", 0)]
     rows += [(120, words(rng, 90), "fr", "a", 0), (121, junk(), "fr", "a", 0), (122, words(rng, 90), None, None, 0), (123, junk(), None, None, 0)]
     rows += [(130, "short", "xx", "y", 0)]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS), wider=True).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
     assert len(got) == len(rows)
     assert {i for i, r in got.items() if not r["kept"]} == {110, 121, 123, 130}
     assert all(r["d2"] is not None for r in got.values() if not r["base_failed"])
     # the estimate of the language is one over all of its documents
-    x = np.array([brute.vector(brute.base_counts(r[1])) for r in rows if r[2] == "en"])
-    at = [r[0] for r in rows if r[2] == "en"].index(110)
-    assert got[110]["d2"] == pytest.approx(brute.mahalanobis(x)[at])
+    want = brute.distances([dict(zip(("doc_id", "text", "lang", "source"), r)) for r in rows])
+    for r, (d2, _) in zip(rows, want):
+        if d2 is not None and d2 > 40:
+            assert got[r[0]]["d2"] == pytest.approx(d2, rel=0.3)
 
 
 def test_quality_repeated_rows_and_null_ids(spark):
@@ -628,7 +667,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs = [d for d, (kept, _) in zip(docs, brute.judged(docs)) if kept]
     for d, (_, _, text) in zip(docs, brute.deduped_lines([(d["doc_id"], d["text"]) for d in docs])):
         d["text"] = text
-    label = brute.near_components([(d["doc_id"], d["text"]) for d in docs])
+    label = brute.near_components([(d["doc_id"], d["text"]) for d in docs], percent=80)
     docs = [d for d in docs if label[d["doc_id"]] == d["doc_id"]]
     copies = brute.mixed([(d["doc_id"], d["source"], len(brute.WORD.findall(d["text"]))) for d in docs])
     tokenizer = packing.WordTokenizer(tokenizer_path())
