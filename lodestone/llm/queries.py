@@ -67,7 +67,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_left")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,16 +2,22 @@
 
 Each text is scanned for assignments, access keys and long hex runs. Then its encoded
 layers are unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 tokens (also over
-several lines), and what is compressed (zlib, all members of gzip, in each other as
-well) inside any of them. Every layer goes on a worklist, is scanned,
-and unwrapped in turn until nothing new appears. A layer is recognised by its text and
-place; one that was seen before is not queued again, which ends cycles. Each layer
-carries the places of its characters in the original text, so spans are always code
-point ranges of the original (end exclusive).
-
-Bounded memory: one text at a time; a compressed layer that unfolds to more than
-``max_inflated`` bytes is not a text that a scanner can hold and is left as it is
-(``n_left`` counts such layers).
+several lines, and at each of the four alignments, since a token may stand right behind
+other letters), and what is compressed (zlib, gzip, bz2, xz, bare deflate; all members) at
+any place of the bytes of any of these. Every layer goes on a worklist, is scanned, and
+unwrapped in turn until nothing new appears. A layer is recognised by its text and place;
+one that was seen before is not queued again, which ends cycles. Each layer carries the
+places of its characters in the original text, so spans are always code point ranges of
+the original (end exclusive).
+
+No layer is dropped for what it holds: bytes that are no UTF-8 are read as latin-1, and
+bytes with zeros also as both halves of UTF-16. Only layers in which no pattern can match
+and nothing can be encoded (``LIVE``) are not queued. Base64 tokens have 16 characters or
+more: the shortest span, an assignment of 12 bytes, needs as many.
+
+Bounded memory: one text at a time; streams are unfolded in pieces and scanned in windows
+of ``WINDOW`` bytes that overlap by ``OVERLAP``. Streams of one text that unfold to more
+than ``max_inflated`` bytes in all are scanned up to there (``n_left`` is 1 then, else 0).
 
 Defined results: a null text is empty and has no spans; rows that repeat are scanned
 each; an empty table gives an empty result.
@@ -20,7 +26,9 @@ each; an empty table gives an empty result.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
@@ -70,30 +78,38 @@ def scan(text: str) -> Spans:
     return found
 
 
+#: What a layer must have if it holds a span or a further layer.
+LIVE = re.compile(rb"(?i:pass|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\|[A-Za-z0-9+/_-]{16}")
+#: Heads of compressed streams.
+HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00", re.DOTALL)
+WINDOW, OVERLAP, PIECE = 1 << 24, 1 << 20, 256
+
+Place = Callable[[int, int], tuple[int, int]]
+
+
 class Layer:
-    """A text and, for each of its characters, where it stands in the original. No
-    lists: the text is the original from ``base`` on."""
+    """A text and, for ranges of its characters, where they stand in the original:
+    by lists, by a function, or the original itself."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, base: int = 0):
-        self.text, self.starts, self.ends, self.base = text, starts, ends, base
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, place: Place | None = None):
+        self.text, self.starts, self.ends, self.place = text, starts, ends, place
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.place is not None:
+            return self.place(start, end)
         if self.starts is None or self.ends is None:
-            return self.base + start, self.base + end
+            return start, end
         return self.starts[start], max(self.ends[start:end])
 
     def key(self) -> tuple[bytes, tuple[int, int]]:
         return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), self.span(0, len(self.text))
 
 
-def _readable(data: bytes) -> str | None:
-    """The text of bytes that are UTF-8 and nearly all printable."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if not c.isprintable() and c not in "\t\n\r\x0b\x0c")
-    return text if text and odd * 20 <= len(text) else None
+class Budget:
+    """Bytes that the streams of one text may still unfold to."""
+
+    def __init__(self, most: int):
+        self.rest, self.left = most, 0
 
 
 def _replaced(layer: Layer, pattern: re.Pattern[str], decode) -> Layer | None:
@@ -105,9 +121,14 @@ def _replaced(layer: Layer, pattern: re.Pattern[str], decode) -> Layer | None:
 
     def copy(a: int, b: int) -> None:
         text.append(layer.text[a:b])
-        if layer.starts is None or layer.ends is None:
-            starts.extend(range(layer.base + a, layer.base + b))
-            ends.extend(range(layer.base + a + 1, layer.base + b + 1))
+        if layer.place is not None:
+            for i in range(a, b):
+                s, e = layer.place(i, i + 1)
+                starts.append(s)
+                ends.append(e)
+        elif layer.starts is None or layer.ends is None:
+            starts.extend(range(a, b))
+            ends.extend(range(a + 1, b + 1))
         else:
             starts.extend(layer.starts[a:b])
             ends.extend(layer.ends[a:b])
@@ -162,7 +183,8 @@ def _escapes(run: str) -> list[tuple[str, int, int]] | None:
 
 
 def _packed(data: bytes) -> bool:
-    return data[:3] == b"\x1f\x8b\x08" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0)
+    """Whether bytes start like a stream."""
+    return bool(HEAD.match(data)) or len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0
 
 
 def _faulty(head: bytes) -> bool:
@@ -173,65 +195,105 @@ def _faulty(head: bytes) -> bool:
     return not _packed(head)
 
 
-def _inflated(data: bytes, most: int) -> tuple[bytes | None, bool, int]:
-    """What a zlib stream or all members of a gzip file hold, as far as it can be read;
-    whether it is more than ``most`` bytes; how many bytes of ``data`` were used."""
-    if not _packed(data):
-        return None, False, 0
-    out, rest = [], data
-    while _packed(rest):
-        stream = zlib.decompressobj(47)
-        for at in range(0, len(rest), 4096):
-            safe = stream.copy()
-            try:
-                out.append(stream.decompress(rest[at : at + 4096], most + 1))
-            except zlib.error:  # what comes before the fault is kept
-                for i in range(at, at + 4096):
-                    try:
-                        out.append(safe.decompress(rest[i : i + 1], most + 1))
-                    except zlib.error:
-                        break
-                return b"".join(out) or None, False, len(data)
-            most -= len(out[-1])
-            if most < 0:
-                return None, True, len(data)
-            if stream.eof:
-                break
-        rest = stream.unused_data + rest[at + 4096 :] if stream.eof else b""
-    return b"".join(out), False, len(data) - len(rest)
-
-
-def _byte_layers(layer: Layer, data: bytes, places: Callable[[int, int], tuple[int, int]], most: int, bare: bool = True) -> Iterator[Layer | None]:
-    """The layer of bytes that are text (if ``bare``), or of what they unfold to, layer
-    by layer; ``places`` gives the span of a range of bytes. None for too large ones."""
-    work, depth = data, 0
-    while True:
-        inner, large, used = _inflated(work, most)
-        if large:
-            yield None
-            return
-        if inner is None:
+class _Stream:
+    """The pieces of what a stream (all its members) unfolds to, as far as it can be
+    read; then ``used``, the bytes that it took."""
+
+    def __init__(self, data: bytes, bare: bool = False):
+        self.data, self.bare, self.used = data, bare, 0
+
+    def _reader(self, head: bytes):
+        if self.bare:
+            return zlib.decompressobj(-15)
+        if head.startswith(b"BZh"):
+            return bz2.BZ2Decompressor()
+        return lzma.LZMADecompressor() if head.startswith(b"\xfd7zXZ") else zlib.decompressobj(47)
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, at = self.data, 0
+        while at < len(data) and (self.bare and at == 0 or not self.bare and _packed(data[at : at + 16])):
+            reader, start = self._reader(data[at : at + 16]), at
+            while at < len(data) and not reader.eof:
+                piece = data[at : at + PIECE]
+                safe = reader.copy() if hasattr(reader, "copy") else None
+                try:
+                    yield reader.decompress(piece)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                    for i in range(len(piece) if safe else 0):  # what comes before the fault counts
+                        try:
+                            yield safe.decompress(piece[i : i + 1])
+                        except zlib.error:
+                            break
+                    self.used = at if at > start else self.used
+                    return
+                at += len(piece) - len(reader.unused_data)
+            self.used = at
+
+
+def _windows(stream: _Stream, budget: Budget) -> Iterator[bytes]:
+    """What a stream unfolds to, in overlapping windows."""
+    held = bytearray()
+    for piece in stream:
+        if budget.rest < 0:
             break
-        if not depth:
-            s, e = layer.span(*places(0, used))
-        work, depth = inner, depth + 1
-    text = _readable(work) if depth or bare else None
-    if text is None:
+        budget.rest -= len(piece)
+        if budget.rest < 0:
+            budget.left += 1
+            break
+        held += piece
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            del held[: len(held) - OVERLAP]
+    if held:
+        yield bytes(held)
+
+
+def _texts(layer: Layer, data: bytes, place: Place) -> Iterator[Layer]:
+    """Bytes as text; ``place``: range of bytes to range of the layer's characters."""
+    if not LIVE.search(data):
         return
-    if depth:
-        yield Layer(text, [s] * len(text), [e] * len(text))
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    if len(text) == len(data):
+        yield Layer(text, place=lambda a, b: layer.span(*place(a, b)))
         return
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        s, e = layer.span(*places(at, at + n))
-        starts.append(s)
-        ends.append(e)
-        at += n
-    yield Layer(text, starts, ends)
+    firsts = list(accumulate([1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")) for c in text], initial=0))
+    yield Layer(text, place=lambda a, b: layer.span(*place(firsts[a], firsts[b])))
 
 
-def _escaped_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
+def _byte_layers(layer: Layer, data: bytes, place: Place, budget: Budget, bare: bool = True) -> Iterator[Layer]:
+    """The layers of bytes: their text (if ``bare``), and that of what streams among them
+    unfold to, layer by layer. A stream's text stands where the stream does."""
+    work: list[tuple[bytes, Place, bool]] = [(data, place, bare)]
+    while work:
+        data, place, shown = work.pop()
+        if shown:
+            yield from _texts(layer, data, place)
+            if data.count(0) >= 12:  # UTF-16 has every other byte zero
+                for k in (0, 1):
+                    yield from _texts(layer, data[k::2], lambda a, b, k=k, place=place: place(2 * a, min(2 * b + k, len(data))))
+        found = []
+        at = 0
+        while at < len(data):
+            head = HEAD.search(data, at)
+            start = at if at == 0 and _packed(data) else head.start() if head else len(data)
+            if start == len(data):
+                break
+            stream = _Stream(data[start:])
+            found += [(start, stream, w) for w in _windows(stream, budget)]
+            at = start + max(stream.used, 1)
+        if not found and len(data) >= 12:
+            stream = _Stream(data, bare=True)
+            found = [(0, stream, w) for w in _windows(stream, budget)]
+        for start, stream, inner in found:
+            # the span is all of the stream, or of what is there of a faulty one
+            s, e = place(start, start + (stream.used or len(data) - start))
+            work.append((inner, lambda a, b, s=s, e=e: (s, e), True))
+
+
+def _escaped_layers(layer: Layer, budget: Budget) -> Iterator[Layer]:
     """The layers of compressed bytes that stand as percent or backslash escapes."""
     for head, unit in ((PERCENT_PACKED, PERCENT_BYTE), (ESCAPE_PACKED, ESCAPE_BYTE)):
         for m in head.finditer(layer.text):
@@ -241,7 +303,8 @@ def _escaped_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
                     break
                 data.append(int(u[1], 16) if u[1] else NAMED[u[2]] if u[2] else ord(u[0]))
                 ends.append(at := u.end())
-            yield from _byte_layers(layer, bytes(data), lambda a, b: (m.start(), ends[b - 1]), most, False)
+            if data:
+                yield from _byte_layers(layer, bytes(data), lambda a, b, m=m, ends=ends: (m.start(), ends[b - 1]), budget, False)
 
 
 def _wrapped(lines: list[tuple[int, int]]) -> set[tuple[int, int]]:
@@ -257,52 +320,53 @@ def _wrapped(lines: list[tuple[int, int]]) -> set[tuple[int, int]]:
     return {(a, b) for a, b in ranges if b - a > 1}
 
 
-def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
-    """A layer for each base64 token that holds text, bare or compressed; None for one
-    that unfolds to too much. A token may span line breaks."""
+def _base64_layers(layer: Layer, budget: Budget) -> Iterator[Layer]:
+    """The layers of each base64 token, at each alignment. A token may span line breaks."""
 
-    def decoded(pieces: list[tuple[int, int]]) -> Iterator[Layer | None]:
+    def decoded(pieces: list[tuple[int, int]], whole: bool) -> Iterator[Layer]:
         token = "".join([layer.text[a:b] for a, b in pieces]).replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            token = token[:-1]
         firsts = list(accumulate([b - a for a, b in pieces], initial=0))
 
-        def place(i: int) -> int:
+        def spot(i: int) -> int:
             k = bisect_right(firsts, i, 0, len(pieces)) - 1
             return pieces[k][0] + i - firsts[k]
 
-        def places(a: int, b: int) -> tuple[int, int]:
-            return place(a * 8 // 6), place(min(-(-b * 8 // 6), len(token)) - 1) + 1
+        for skip in range(4 if whole else 1):
+            part = token[skip:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            if len(part) < 16:
+                return
 
-        data = binascii.a2b_base64(token + "=" * (-len(token) % 4))
-        if _packed(data):  # the span is the whole token
-            yield from _byte_layers(layer, data, lambda a, b: (pieces[0][0], place(len(token) - 1) + 1), most)
-        else:
-            yield from _byte_layers(layer, data, places, most)
+            def place(a: int, b: int, skip: int = skip, size: int = len(part)) -> tuple[int, int]:
+                return spot(skip + a * 8 // 6), spot(skip + min(-(-b * 8 // 6), size) - 1) + 1
+
+            data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            yield from _byte_layers(layer, data, place, budget)
 
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=")
-        yield from decoded([(m.start(), m.start() + len(body))])
+        yield from decoded([(m.start(), m.start() + len(body))], True)
         # a path or a list may stand around the token: its parts are tried too
         plain = body.replace("-", "+").replace("_", "/")
         if "/" in plain or "+" in plain:
             for x in PART.finditer(plain):
                 if len(x[0]) < len(plain):
-                    yield from decoded([(m.start() + x.start(), m.start() + x.end())])
+                    yield from decoded([(m.start() + x.start(), m.start() + x.end())], True)
     if "\n" in layer.text:
         for m in WRAPPED.finditer(layer.text):
             lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
             for a, b in sorted(_wrapped(lines)):
-                yield from decoded(lines[a:b])
+                yield from decoded(lines[a:b], False)
 
 
-def find_secrets(text: str, max_inflated: int = 1 << 24) -> tuple[Spans, Spans, int, int]:
-    """Base spans, all spans (original code points, sorted), layers scanned, and
-    compressed layers left as too large."""
+def find_secrets(text: str, max_inflated: int = 1 << 30) -> tuple[Spans, Spans, int, int]:
+    """Base spans, all spans (original code points, sorted), layers scanned, and whether
+    streams were left that unfold to more than ``max_inflated`` bytes."""
     first = Layer(text)
     base = sorted(scan(text))
-    spans = set(base)
-    seen, work, n, left = {first.key()} if text else set(), [first], 0, 0
+    spans, budget = set(base), Budget(max_inflated)
+    seen, work, n = {first.key()} if text else set(), [first], 0
     while work:
         layer = work.pop()
         n += 1
@@ -310,18 +374,16 @@ def find_secrets(text: str, max_inflated: int = 1 << 24) -> tuple[Spans, Spans,
             for a, kind, b in scan(layer.text):
                 s, e = layer.span(a, b)
                 spans.add((s, kind, e))
-        found: list[Layer | None] = []
+        found: list[Layer] = []
         if "%" in layer.text:
             found.append(_replaced(layer, PERCENT, _percent) or layer)
         if "\\" in layer.text:
             found.append(_replaced(layer, ESCAPE, _escapes) or layer)
-        for new in chain(found, _escaped_layers(layer, max_inflated), _base64_layers(layer, max_inflated)):
-            if new is None:
-                left += 1
-            elif new is not layer and new.text and (key := new.key()) not in seen:
+        for new in chain(found, _escaped_layers(layer, budget), _base64_layers(layer, budget)):
+            if new is not layer and new.text and (key := new.key()) not in seen:
                 seen.add(key)
                 work.append(new)
-    return base, sorted(spans), n, left
+    return base, sorted(spans), n, budget.left
 
 
 def joined(spans: Spans) -> str:
@@ -329,7 +391,7 @@ def joined(spans: Spans) -> str:
 
 
 def scan_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_inflated: int = 1 << 24
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_inflated: int = 1 << 30
 ) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_spans, spans, n_layers, n_left) per row."""
 
