@@ -117,19 +117,19 @@ class Domain:
         at, found = self.root, []
         for step in path.split("."):
             a = at.associations.get(step)
-            require(a is not None, "unknown_association", "association is not available", association=path)
+            require(a is not None, "unknown_association", "no association has this name here", association=path)
             found.append(a)
             at = self.schemas[a.queryable]
         return tuple(found), at
 
     def resolve(self, path: str) -> Resolved:
-        require(isinstance(path, str) and E.PATH.fullmatch(path), "unknown_field", "field is not available", field=str(path))
+        require(isinstance(path, str) and E.PATH.fullmatch(path), "unknown_field", "no field has this path", field=str(path))
         *steps, name = path.split(".")
         try:
             associations, relation = self.association(".".join(steps)) if steps else ((), self.root)
         except SelectError as e:
-            raise SelectError("unknown_field", "field is not available", {"field": path}) from e
-        require(name in relation.columns, "unknown_field", "field is not available", field=path)
+            raise SelectError("unknown_field", "no field has this path", {"field": path}) from e
+        require(name in relation.columns, "unknown_field", "no field has this path", field=path)
         return Resolved(path, tuple(steps), associations, relation, relation.columns[name])
 
     def is_public(self, path: str) -> bool:
@@ -161,16 +161,16 @@ class Domain:
             if relation.table is not None and relation.table in tables:
                 names = set(tables[relation.table].fieldNames())
                 for c in relation.columns.values():
-                    require(c.computed is not None or c.name in names, "invalid_domain", "column is missing from its table", table=relation.table, field=c.name)
+                    require(c.computed is not None or c.name in names, "invalid_domain", "the table lacks a declared column", table=relation.table, field=c.name)
 
 
 def _object(value: Any, label: str) -> dict[str, Any]:
-    require(isinstance(value, dict), "invalid_domain", f"{label} must be an object")
+    require(isinstance(value, dict), "invalid_domain", f"{label}: expected an object")
     return value
 
 
 def _identifier(value: Any, label: str) -> str:
-    require(isinstance(value, str) and NAME.fullmatch(value), "invalid_domain", f"{label} must be an identifier", value=str(value))
+    require(isinstance(value, str) and NAME.fullmatch(value), "invalid_domain", f"{label}: expected a name of letters, digits and underscores", value=str(value))
     return value
 
 
@@ -180,7 +180,7 @@ def _parse(document: dict[str, Any]) -> Domain:
     raw_schemas = _object(document.get("schemas", {}), "schemas")
     joins = _object(document.get("joins", {}), "joins")
     source = _object(document.get("source"), "source")
-    require("source_table" in source, "invalid_domain", "source requires a table")
+    require("source_table" in source, "invalid_domain", "source: names no table")
     root = _relation(name, source, raw_schemas, joins)
     schemas = {k: _relation(k, _object(v, f"schema {k}"), raw_schemas, {}) for k, v in raw_schemas.items()}
     # joins below the first level are declared inside their parents' entries
@@ -219,20 +219,20 @@ def _parse(document: dict[str, Any]) -> Domain:
 
 def _relation(name: str, raw: dict[str, Any], schemas: dict[str, Any], joins: dict[str, Any]) -> Relation:
     table, values = raw.get("source_table"), raw.get("values")
-    require((table is None) != (values is None), "invalid_domain", f"schema {name} must declare exactly one of source_table or values")
+    require((table is None) != (values is None), "invalid_domain", f"schema {name}: rows come from source_table or from values")
     columns = {}
     raw_columns = _object(raw.get("columns"), f"columns of {name}")
     for f in raw.get("fields") or raw_columns:
         spec = _object(raw_columns.get(f), f"column {f}")
         kind = spec.get("type")
-        require(isinstance(kind, str) and kind, "invalid_domain", "column requires a type", field=f)
-        require(spec.get("storage") in (None, "naive_utc"), "invalid_domain", "column storage is not available", field=f)
-        require(spec.get("text_case") in (None, "upper", "lower"), "invalid_domain", "text_case must be upper or lower", field=f)
+        require(isinstance(kind, str) and kind, "invalid_domain", "column: its type is not given", field=f)
+        require(spec.get("storage") in (None, "naive_utc"), "invalid_domain", "column: storage is none that can be read", field=f)
+        require(spec.get("text_case") in (None, "upper", "lower"), "invalid_domain", "text_case: upper or lower", field=f)
         if "unit" in spec or "behavior" in spec:
-            require(is_numeric(kind), "invalid_domain", "unit is available only for numeric columns", field=f)
+            require(is_numeric(kind), "invalid_domain", "unit: only numbers have one", field=f)
             unit = spec.get("unit")
-            require(unit is None or (unit.get("kind") if isinstance(unit, dict) else unit) in UNIT_KINDS, "invalid_domain", "unit kind is not available", field=f)
-            require(spec.get("behavior") in (None, *BEHAVIORS), "invalid_domain", "behavior is not available", field=f)
+            require(unit is None or (unit.get("kind") if isinstance(unit, dict) else unit) in UNIT_KINDS, "invalid_domain", "unit: no such kind", field=f)
+            require(spec.get("behavior") in (None, *BEHAVIORS), "invalid_domain", "behavior: no such one", field=f)
         columns[_identifier(f, "field")] = Column(
             f, kind, spec.get("items"), spec.get("storage"), spec.get("text_case"), spec.get("unit"), spec.get("behavior"),
             bool(spec.get("internal")), spec.get("label"), _computed(f, spec["computed"], kind) if "computed" in spec else None,
@@ -244,20 +244,20 @@ def _relation(name: str, raw: dict[str, Any], schemas: dict[str, Any], joins: di
     fields = tuple(raw.get("fields") or raw_columns)
     if values is not None:
         rows = tuple(tuple(r[f] for f in fields) if isinstance(r, dict) else tuple(r) for r in values)
-        require(all(len(r) == len(fields) for r in rows), "invalid_domain", f"values of {name} must match its fields")
+        require(all(len(r) == len(fields) for r in rows), "invalid_domain", f"schema {name}: a row of values is longer or shorter than the fields")
     return Relation(name, table, raw.get("primary_key", "id"), columns, associations, rows, fields, raw.get("tenant_field"))
 
 
 def _association(name: str, spec: dict[str, Any], schemas: dict[str, Any], join: dict[str, Any], owner: dict[str, Any]) -> Association:
     queryable = spec.get("queryable")
-    require(queryable in schemas, "invalid_domain", f"missing schema {queryable}")
+    require(queryable in schemas, "invalid_domain", f"no schema is called {queryable}")
     for key in ("owner_key", "related_key"):
         _identifier(spec.get(key), f"association {name} {key}")
     target = schemas[queryable]
     mode = str(join.get("type", "left")).lower()
-    require(mode in ("left", "inner", "star_dimension"), "invalid_domain", f"unsupported join type {mode}")
+    require(mode in ("left", "inner", "star_dimension"), "invalid_domain", f"join: {mode} is no kind of join")
     fallback = join.get("display_fallback")
-    require(fallback is None or mode == "star_dimension" and fallback == "dimension_key", "invalid_domain", "display fallback is available only for star dimensions")
+    require(fallback is None or mode == "star_dimension" and fallback == "dimension_key", "invalid_domain", "display_fallback: belongs to star dimensions")
     scope = []
     if spec.get("source_scope_key") or spec.get("target_scope_key"):
         scope.append((_identifier(spec.get("source_scope_key"), "scope key"), _identifier(spec.get("target_scope_key"), "scope key")))
@@ -268,9 +268,9 @@ def _association(name: str, spec: dict[str, Any], schemas: dict[str, Any], join:
     through = spec.get("through")
     if through is not None:
         for key in ("table", "owner_key", "related_key"):
-            require(isinstance(_object(through, "through").get(key), str), "invalid_domain", f"through requires {key}")
+            require(isinstance(_object(through, "through").get(key), str), "invalid_domain", f"through: {key} is not given")
     cardinality = spec.get("cardinality") or ("one" if spec["related_key"] == target.get("primary_key", "id") else "many")
-    require(cardinality in ("one", "many"), "invalid_domain", "cardinality must be one or many")
+    require(cardinality in ("one", "many"), "invalid_domain", "cardinality: one or many")
     return Association(
         name, queryable, spec["owner_key"], spec["related_key"], cardinality, "left" if mode == "star_dimension" else mode, mode,
         E._frozen(through), E._frozen(spec.get("where")), tuple(scope), join.get("display_field", "name") if mode == "star_dimension" else None,
@@ -283,7 +283,7 @@ def _required(filters: Any) -> E.Node | None:
     operators = {*E.COMPARE, *E.TEXT, *E.ARRAYS, "and", "or", "not", "in", "between", "is_null", "not_null", "json_contains"}
     nodes = []
     for f in filters:
-        require(isinstance(f, (list, tuple)) and f, "invalid_domain", "required filter must be an array")
+        require(isinstance(f, (list, tuple)) and f, "invalid_domain", "required filter: expected [operator, ...] or [field, value]")
         if len(f) == 2 and f[0] not in operators:
             name, value = f
             ast = ["is_null", name] if value is None else [value[0], name, *value[1:]] if isinstance(value, (list, tuple)) else ["eq", name, value]
@@ -299,29 +299,29 @@ def _computed(name: str, spec: Any, kind: str) -> tuple[str, Any]:
     if style == "association_exists":
         return style, _identifier(spec.get("association"), "computed association")
     if style == "predicate":
-        require(kind == "boolean", "invalid_domain", "predicate computed columns must be boolean", field=name)
+        require(kind == "boolean", "invalid_domain", "computed predicate: its column holds truth values", field=name)
         return style, E.parse_filter(spec.get("expression"))
     if style == "coalesce_fields":
         fields = spec.get("fields")
-        require(isinstance(fields, list) and len(fields) == 2 and "." in fields[0] and "." not in fields[1], "invalid_domain", "coalesced computed columns require one direct association field and one root fallback field", field=name)
+        require(isinstance(fields, list) and len(fields) == 2 and "." in fields[0] and "." not in fields[1], "invalid_domain", "computed coalesce: an association's field, then a field of the root", field=name)
         return style, tuple(fields)
     if style == "temporal_delta":
         return "expression", E.parse_value(["days_between", ["field", spec.get("start")], ["field", spec.get("end")]])
     if style == "bucket":
         return "expression", E.parse_value(_bucket_ast(name, spec))
-    require(style == "expression", "invalid_domain", f"unsupported computed column kind {style}", field=name)
+    require(style == "expression", "invalid_domain", f"computed column: {style} is no kind of it", field=name)
     try:
         return "expression", E.parse_value(spec.get("expression"))
     except SelectError as e:
-        raise SelectError("invalid_domain", "computed value expression is invalid", {"field": name, "reason": e.message}) from e
+        raise SelectError("invalid_domain", "computed value: the expression doesn't hold", {"field": name, "reason": e.message}) from e
 
 
 def _bucket_ast(name: str, spec: dict[str, Any]) -> list[Any]:
     """Inclusive ranges that don't overlap, as a case expression."""
     ranges = spec.get("ranges")
-    require(isinstance(ranges, list) and 0 < len(ranges) <= MAX_BUCKETS, "invalid_domain", "bucket requires 1 to 50 ranges", field=name)
+    require(isinstance(ranges, list) and 0 < len(ranges) <= MAX_BUCKETS, "invalid_domain", "computed bucket: 1 to 50 ranges", field=name)
     spans = sorted((float("-inf") if r.get("min") is None else r["min"], float("inf") if r.get("max") is None else r["max"]) for r in ranges)
-    require(all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:])), "invalid_domain", "bucket ranges must not overlap", field=name)
+    require(all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:])), "invalid_domain", "computed bucket: two ranges hold one value", field=name)
     branches: list[Any] = []
     for r in ranges:
         parts = [[op, spec["field"], r[k]] for k, op in (("min", "gte"), ("max", "lte")) if r.get(k) is not None]
@@ -341,28 +341,28 @@ def _check_computed(domain: Domain) -> None:
         kind, payload = c.computed
         if kind == "association_exists":
             found, _ = domain.association(payload)
-            require(found[-1].through is None, "invalid_domain", "association-exists computed columns require a direct association", field=c.name)
+            require(found[-1].through is None, "invalid_domain", "computed existence: the association is one step away", field=c.name)
             continue
         if kind == "coalesce_fields":
             paths = list(payload)
-            require({domain.resolve(p).column.type for p in paths} == {c.type}, "invalid_domain", "coalesced computed column fields must exist and have the declared type", field=c.name)
+            require({domain.resolve(p).column.type for p in paths} == {c.type}, "invalid_domain", "computed coalesce: both fields have the column's type", field=c.name)
         else:
             paths = E.fields_of(payload)
             if kind == "predicate":
-                require(not any("." in p for p in paths), "invalid_domain", "computed predicates may reference only root domain fields", field=c.name)
+                require(not any("." in p for p in paths), "invalid_domain", "computed predicate: reads fields of the root alone", field=c.name)
             for p in paths:
                 domain.resolve(p)
             if kind == "expression":
                 try:
                     E.value_category(payload.args[0], lambda p: domain.resolve(p).column.type)
                 except SelectError as e:
-                    raise SelectError("invalid_domain", "computed value expression is invalid", {"field": c.name, "reason": e.message}) from e
+                    raise SelectError("invalid_domain", "computed value: the expression doesn't hold", {"field": c.name, "reason": e.message}) from e
         below[c.name] = [p for p in paths if "." not in p]
     state: dict[str, int] = {}
 
     def visit(name: str) -> None:
         if state.get(name) == 1:
-            raise SelectError("invalid_domain", "computed columns depend on each other", {"field": name})
+            raise SelectError("invalid_domain", "computed columns: each waits for the other", {"field": name})
         if name in below and state.get(name) is None:
             state[name] = 1
             for p in below[name]:
@@ -389,11 +389,11 @@ class Registry:
         self._domains: dict[str, Domain] = {}
 
     def add(self, domain: Domain) -> None:
-        require(domain.name not in self._domains, "invalid_domain", "domain is registered already", domain=domain.name)
+        require(domain.name not in self._domains, "invalid_domain", "another domain has this name", domain=domain.name)
         self._domains[domain.name] = domain
 
     def get(self, name: str) -> Domain:
-        require(name in self._domains, "unknown_domain", "domain is not registered", domain=name)
+        require(name in self._domains, "unknown_domain", "no domain has this name", domain=name)
         return self._domains[name]
 
     def names(self) -> list[str]:

@@ -50,7 +50,7 @@ class Engine:
         field = domain.root.tenant_field
         if field is None:
             return None
-        require(self.tenant is not None, "missing_tenant_scope", "trusted tenant scope is required", tenant_field=field)
+        require(self.tenant is not None, "missing_tenant_scope", "this domain is read for one tenant, and none was given", tenant_field=field)
         return E.eq(field, self.tenant)
 
     def required_predicates(self, domain: Domain) -> list[E.Node]:
@@ -70,7 +70,7 @@ class Engine:
         width = len(compiled.names)
         most = self.limits.get("max_total_cells") // max(width, 1)
         rows = compiled.frame.limit(most + 1).collect()
-        require(len(rows) <= most, "result_limit_exceeded", "result has too many cells", limit="max_total_cells")
+        require(len(rows) <= most, "result_limit_exceeded", "rows times columns go beyond the ceiling", limit="max_total_cells")
         return {"columns": list(compiled.names), "rows": [list(r) for r in rows]}
 
     def one(self, query: Query) -> dict[str, Any] | None:
@@ -93,7 +93,7 @@ class Engine:
     def projection_sum(self, query: Query, column: str) -> DataFrame:
         """COALESCE(SUM(column), 0) over a whole query, as one row ``total``."""
         compiled = self.compile(query)
-        require(column in compiled.names, "unknown_field", "column is not selected", column=column)
+        require(column in compiled.names, "unknown_field", "the query shows no such column", column=column)
         return compiled.frame.agg(F.coalesce(F.sum(f"c{compiled.names.index(column)}"), F.lit(0)).alias("total"))
 
     def explain(self, query: Query, mode: str = "formatted") -> str:

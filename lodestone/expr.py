@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 from typing import Any
 
 from .errors import SelectError, require
@@ -42,7 +43,7 @@ class Node:
     alias: str | None = None
 
     def as_(self, alias: str) -> Node:
-        require(isinstance(alias, str) and IDENTIFIER.fullmatch(alias), "invalid_query", "alias must be an identifier", alias=alias)
+        require(isinstance(alias, str) and IDENTIFIER.fullmatch(alias), "invalid_query", "alias: expected a name of letters, digits and underscores", alias=alias)
         return replace(self, alias=alias)
 
     @property
@@ -54,17 +55,17 @@ def operand(value: Any) -> Node:
     """A node as it is; a string names a field."""
     if isinstance(value, Node):
         return value
-    require(not isinstance(value, dict) or "raw_sql" not in value, "raw_sql_forbidden", "raw SQL is not accepted")
+    require(not isinstance(value, dict) or "raw_sql" not in value, "raw_sql_forbidden", "SQL text has no place in a query")
     return field(value)
 
 
 def field(path: Any) -> Node:
-    require(isinstance(path, str) and PATH.fullmatch(path), "invalid_query", "field must be a governed path", field=str(path))
+    require(isinstance(path, str) and PATH.fullmatch(path), "invalid_query", "expected a field path: names joined by dots", field=str(path))
     return Node("field", (path,))
 
 
 def literal(value: Any) -> Node:
-    require(not isinstance(value, (dict, set)), "invalid_query", "literal must be a plain value")
+    require(not isinstance(value, (dict, set)), "invalid_query", "a constant is one value or a list of values")
     return Node("literal", (value,))
 
 
@@ -73,7 +74,7 @@ def _right(value: Any) -> Node:
 
 
 def compare(op: str, left: Any, right: Any) -> Node:
-    require(op in COMPARE, "invalid_query", f"unsupported comparator {op}")
+    require(op in COMPARE, "invalid_query", f"{op} compares nothing")
     return Node(op, (operand(left), _right(right)))
 
 
@@ -88,8 +89,8 @@ def not_null(a: Any) -> Node: return Node("not_null", (operand(a),))
 
 
 def text_match(op: str, a: Any, text: Any) -> Node:
-    require(op in TEXT, "invalid_query", f"unsupported text filter {op}")
-    require(isinstance(text, str), "invalid_query", f"{op} requires a string value")
+    require(op in TEXT, "invalid_query", f"{op} is no test of text")
+    require(isinstance(text, str), "invalid_query", f"{op} looks for a text")
     return Node(op, (operand(a), text))
 
 
@@ -98,7 +99,7 @@ def between(a: Any, low: Any, high: Any) -> Node:
 
 
 def in_(a: Any, values: Sequence[Any]) -> Node:
-    require(isinstance(values, (list, tuple)) and values, "invalid_query", "in requires a non-empty list")
+    require(isinstance(values, (list, tuple)) and values, "invalid_query", "in chooses from a list of one value or more")
     return Node("in", (operand(a), tuple(values)))
 
 
@@ -107,12 +108,12 @@ def not_in(a: Any, values: Sequence[Any]) -> Node:
 
 
 def all_(nodes: Sequence[Node]) -> Node:
-    require(nodes, "invalid_query", "all requires expressions")
+    require(nodes, "invalid_query", "all of nothing is no condition")
     return Node("all", tuple(nodes))
 
 
 def any_(nodes: Sequence[Node]) -> Node:
-    require(nodes, "invalid_query", "any requires expressions")
+    require(nodes, "invalid_query", "any of nothing is no condition")
     return Node("any", tuple(nodes))
 
 
@@ -121,8 +122,8 @@ def not_(node: Node) -> Node:
 
 
 def array_match(op: str, a: Any, values: Sequence[Any]) -> Node:
-    require(op in ARRAYS, "invalid_query", f"unsupported array filter {op}")
-    require(isinstance(values, (list, tuple)), "invalid_query", f"{op} requires a value list")
+    require(op in ARRAYS, "invalid_query", f"{op} is no test of arrays")
+    require(isinstance(values, (list, tuple)), "invalid_query", f"{op} compares with a list of values")
     return Node(op, (operand(a), tuple(values)))
 
 
@@ -131,8 +132,8 @@ def json_contains(a: Any, document: Any) -> Node:
 
 
 def structured_compare(a: Any, op: str, value: Any) -> Node:
-    require(op in ("eq", "neq", "in", "not_in"), "invalid_query", "unsupported structured comparator")
-    require(op in ("eq", "neq") or isinstance(value, (list, tuple)) and value, "invalid_query", "structured list must not be empty")
+    require(op in ("eq", "neq", "in", "not_in"), "invalid_query", "structured values compare by eq, neq, in or not_in")
+    require(op in ("eq", "neq") or isinstance(value, (list, tuple)) and value, "invalid_query", "there is nothing in the list to compare with")
     return Node("structured_compare", (operand(a), op, _frozen(value)))
 
 
@@ -160,7 +161,7 @@ def epoch_datetime(a: Any) -> Node: return Node("epoch_datetime", (operand(a),))
 
 def grouping(*fields: Any) -> Node:
     given = fields[0] if len(fields) == 1 and isinstance(fields[0], (list, tuple)) else fields
-    require(1 <= len(given) <= 31, "invalid_query", "grouping takes 1 to 31 fields")
+    require(1 <= len(given) <= 31, "invalid_query", "grouping marks 1 to 31 fields")
     return Node("grouping", tuple(operand(x) for x in given))
 
 
@@ -169,28 +170,28 @@ def dimension_display(display: Any, key: Any) -> Node:
 
 
 def count_bucket(a: Any, minimum: int | None = None, maximum: int | None = None, mode: str = "numeric", today: str | None = None) -> Node:
-    require(mode in ("numeric", "elapsed_days"), "invalid_query", "bucket count mode is not available")
-    require(minimum is not None or maximum is not None, "invalid_query", "bucket count requires at least one boundary")
+    require(mode in ("numeric", "elapsed_days"), "invalid_query", "mode: numeric or elapsed_days")
+    require(minimum is not None or maximum is not None, "invalid_query", "a counted bucket has a lower or an upper bound")
     for bound in (minimum, maximum):
-        require(bound is None or isinstance(bound, int) and bound >= 0, "invalid_query", "bucket count boundaries must be integers")
+        require(bound is None or isinstance(bound, int) and bound >= 0, "invalid_query", "bounds of a counted bucket are whole numbers from 0")
     return Node("count_bucket", (operand(a), minimum, maximum, mode, today))
 
 
 def bucket(a: Any, specification: dict[str, Any], today: str | None = None) -> Node:
-    require(isinstance(specification, dict), "invalid_query", "bucket specification must be an object")
+    require(isinstance(specification, dict), "invalid_query", "a bucket is described by an object")
     return Node("bucket", (operand(a), _frozen(specification), today))
 
 
 def datetime_format(a: Any, style: str, timezone: str | None = None) -> Node:
     from .functions.dates import FORMATS
 
-    require(style in FORMATS, "invalid_query", "date format is not available", format=style)
+    require(style in FORMATS, "invalid_query", "no date format has this name", format=style)
     return Node("datetime_format", (operand(a), style, timezone))
 
 
 def text_search(fields: Sequence[Any], query: str, configuration: str = "simple", mode: str = "plain") -> Node:
-    require(fields and isinstance(query, str), "invalid_query", "text search requires fields and a query")
-    require(mode in ("plain", "phrase", "websearch", "prefix", "boolean"), "invalid_query", "text search mode is not available", mode=mode)
+    require(fields and isinstance(query, str), "invalid_query", "a search needs fields to look into and a text to look for")
+    require(mode in ("plain", "phrase", "websearch", "prefix", "boolean"), "invalid_query", "no search mode has this name", mode=mode)
     require(configuration == "simple", "unsupported_feature", "only the simple configuration is available", configuration=configuration)
     return Node("text_search", (tuple(operand(f) for f in fields), query, mode))
 
@@ -212,10 +213,10 @@ def window(
     unbounded_preceding, current_row, unbounded_following, {preceding: n},
     {following: n}."""
     name = (function or "").lower()
-    require(name in WINDOW_ARITY, "invalid_query", "window function is not available", function=function)
+    require(name in WINDOW_ARITY, "invalid_query", "no window function has this name", function=function)
     given = list(arguments) if isinstance(arguments, (list, tuple)) else [arguments]
     low, high = WINDOW_ARITY[name]
-    require(low <= len(given) <= high, "invalid_query", f"{name} takes {low} to {high} arguments")
+    require(low <= len(given) <= high, "invalid_query", f"{name}: between {low} and {high} arguments")
     nodes = [a if isinstance(a, Node) else field(a) if i == 0 and name in WINDOW_FIELD_FIRST else literal(a) for i, a in enumerate(given)]
     partition = partition_by if isinstance(partition_by, (list, tuple)) else (partition_by,)
     ordering = order_by if isinstance(order_by, list) or isinstance(order_by, tuple) and not _is_order(order_by) else (order_by,)
@@ -229,7 +230,7 @@ def _is_order(value: Any) -> bool:
 
 def _order(value: Any) -> tuple[Node, str]:
     f, direction = value if isinstance(value, (list, tuple)) else (value, "asc")
-    require(direction in ("asc", "desc"), "invalid_query", "direction must be asc or desc")
+    require(direction in ("asc", "desc"), "invalid_query", "direction: asc or desc")
     return operand(f), direction
 
 
@@ -245,12 +246,12 @@ def related_collection(
     """A JSON array of child objects per row. fields: names, (key, field) pairs or
     nested related_collection nodes; after: {parent: key value, values: [...]}, a keyset
     cursor that applies to one parent only."""
-    require(limit is None or order_by, "invalid_query", "a limited collection requires an order")
-    require(limit is None or isinstance(limit, int) and limit > 0, "invalid_query", "collection limit must be a positive integer")
-    require(after is None or order_by, "invalid_query", "a collection cursor requires an order")
+    require(limit is None or order_by, "invalid_query", "the first rows of a collection are told by an order")
+    require(limit is None or isinstance(limit, int) and limit > 0, "invalid_query", "limit of a collection: a whole number from 1")
+    require(after is None or order_by, "invalid_query", "a cursor goes on in an order")
     items = tuple((f[0], operand(f[1])) if isinstance(f, (list, tuple)) else (f.alias or f.args[0], f) if isinstance(f, Node) else (f, field(f)) for f in fields)
-    require(items, "invalid_query", "a collection requires fields")
-    require(len({k for k, _ in items}) == len(items), "invalid_query", "collection keys must be distinct")
+    require(items, "invalid_query", "a collection shows no fields")
+    require(len({k for k, _ in items}) == len(items), "invalid_query", "two fields of a collection share a key")
     return Node("related_collection", (association, items, _frozen(filters or {}), tuple(_order(o) for o in order_by), limit, _frozen(after)))
 
 
@@ -324,64 +325,96 @@ def check_size(node: Node, limits: Limits) -> None:
     while stack:
         n, depth = stack.pop()
         total += 1
-        require(depth <= limits.get("max_expression_depth"), "invalid_query", "expression is nested too deeply")
+        require(depth <= limits.get("max_expression_depth"), "invalid_query", "the expression tree is too high")
         below = list(children(n))
-        limits.check("max_expression_arity", len(below), "invalid_query", "expression fan-out")
+        limits.check("max_expression_arity", len(below), "invalid_query", "branches of one expression")
         stack += [(c, depth + 1) for c in below]
-        require(total <= limits.get("max_expression_nodes"), "invalid_query", "expression has too many nodes")
+        require(total <= limits.get("max_expression_nodes"), "invalid_query", "the expression tree has too many nodes")
 
 
 # -- the filter language ---------------------------------------------------------
+#
+# A filter is a tree. Inner nodes (JOINTS) combine filters; a leaf names a field and what
+# it is tested against. LEAVES is the grammar of the leaves: the readers of the operands
+# that follow the field, and what makes a node of them.
+
+Reader = Callable[[Any, Limits], Any]
+
+
+def _plain(value: Any, limits: Limits) -> Any:
+    require(not isinstance(value, (list, dict)), "invalid_query", "expected one plain value as operand")
+    return value
+
+
+def _sized(value: Any, limits: Limits) -> Any:
+    limits.check_bytes("max_value_bytes", _plain(value, limits), "invalid_query", "operand")
+    return value
+
+
+def _side(value: Any, limits: Limits) -> Any:
+    """A plain value, or ``['field', path]``."""
+    if isinstance(value, (list, tuple)) and len(value) == 2 and value[0] == "field":
+        return field(value[1])
+    return _sized(value, limits)
+
+
+def _several(value: Any, limits: Limits) -> Any:
+    require(isinstance(value, (list, tuple)), "invalid_query", "expected a list as operand")
+    limits.check("max_filter_values", len(value), "invalid_query", "operands of a list")
+    return value
+
+
+def _choices(value: Any, limits: Limits) -> Any:
+    require(_several(value, limits), "invalid_query", "expected a list of one value or more")
+    return [_plain(v, limits) for v in value]
+
+
+def _as_is(value: Any, limits: Limits) -> Any:
+    return value
+
+
+@dataclass(frozen=True)
+class Leaf:
+    make: Callable[..., Node]
+    readers: tuple[Reader, ...] = ()
+
+
+LEAVES: dict[str, Leaf] = {
+    "is_null": Leaf(is_null),
+    "not_null": Leaf(not_null),
+    "between": Leaf(between, (_plain, _plain)),
+    "in": Leaf(in_, (_choices,)),
+    "json_contains": Leaf(json_contains, (_as_is,)),
+    **{op: Leaf(partial(array_match, op), (_several,)) for op in ARRAYS},
+    **{op: Leaf(partial(text_match, op), (_as_is,)) for op in TEXT},
+    **{op: Leaf(partial(compare, op), (_side,)) for op in COMPARE},
+}
+JOINTS: dict[str, Callable[[list[Node]], Node]] = {"and": all_, "or": any_, "not": lambda made: not_(made[0])}
+
+
+def joined_filters(ast: Sequence[Any]) -> list[Any]:
+    """The filters below a joint: ``['and', f, g]`` and ``['and', [f, g]]`` mean the same."""
+    rest = list(ast[1:])
+    if len(rest) == 1 and isinstance(rest[0], (list, tuple)) and not (rest[0] and isinstance(rest[0][0], str)):
+        rest = list(rest[0])
+    return rest
 
 
 def parse_filter(ast: Any, limits: Limits | None = None, depth: int = 0) -> Node:
-    """``['and'|'or', [...]]``, ``['not', f]``, comparisons (the right side may be
-    ``['field', path]``), between, in, null tests, text, array and JSON tests."""
+    """The node of a filter tree. Comparisons take ``['field', path]`` as right side."""
     limits = limits or Limits()
-    require(depth <= limits.get("max_expression_depth"), "invalid_query", "filter expression is nested too deeply")
-    require(isinstance(ast, (list, tuple)) and ast, "invalid_query", "filter expression must be a non-empty array")
-    op, args = ast[0], list(ast[1:])
-    require(isinstance(op, str), "invalid_query", "filter operator must be a scalar")
-    op = op.lower()
-    if op in ("and", "or"):
-        # ['and', [f, g]] and ['and', f, g]; a single filter starts with its operator
-        items = args[0] if len(args) == 1 and isinstance(args[0], (list, tuple)) else args
-        require(items, "invalid_query", f"{op} filter requires expressions")
-        limits.check("max_expression_arity", len(items), "invalid_query", "filter fan-out")
-        parsed = [parse_filter(x, limits, depth + 1) for x in items]
-        return all_(parsed) if op == "and" else any_(parsed)
-    if op == "not":
-        require(len(args) == 1, "invalid_query", "not filter requires one expression")
-        return not_(parse_filter(args[0], limits, depth + 1))
-    path = args[0] if args else None
-    require(isinstance(path, str) and PATH.fullmatch(path), "invalid_query", "filter field must be a governed field name")
-    if op in ARRAYS:
-        require(len(args) == 2 and isinstance(args[1], (list, tuple)), "invalid_query", f"{op} filter requires a field and a value list")
-        limits.check("max_filter_values", len(args[1]), "invalid_query", "array members")
-        return array_match(op, path, args[1])
-    if op == "json_contains":
-        require(len(args) == 2, "invalid_query", "json_contains filter requires a field and a document")
-        return json_contains(path, args[1])
-    if op in ("is_null", "not_null"):
-        require(len(args) == 1, "invalid_query", f"{op} filter accepts only a field")
-        return is_null(path) if op == "is_null" else not_null(path)
-    if op == "in":
-        require(len(args) == 2 and isinstance(args[1], (list, tuple)) and args[1] and not any(isinstance(v, (list, dict)) for v in args[1]), "invalid_query", "in filter requires a non-empty literal list")
-        limits.check("max_filter_values", len(args[1]), "invalid_query", "in members")
-        return in_(path, args[1])
-    if op == "between":
-        require(len(args) == 3 and not any(isinstance(v, (list, dict)) for v in args[1:]), "invalid_query", "between filter requires two literal bounds")
-        return between(path, args[1], args[2])
-    require(op in COMPARE or op in TEXT, "invalid_query", f"unsupported filter operator {op}")
-    require(len(args) == 2, "invalid_query", f"{op} filter requires a value")
-    value = args[1]
-    if op in TEXT:
-        return text_match(op, path, value)
-    if isinstance(value, (list, tuple)) and len(value) == 2 and value[0] == "field":
-        return compare(op, path, field(value[1]))
-    require(not isinstance(value, (list, dict)), "invalid_query", f"{op} filter value must be a literal or field reference")
-    limits.check_bytes("max_value_bytes", value, "invalid_query", "filter value")
-    return compare(op, path, value)
+    require(depth <= limits.get("max_expression_depth"), "invalid_query", "filter tree is too high", depth=depth)
+    require(isinstance(ast, (list, tuple)) and ast and isinstance(ast[0], str), "invalid_query", "expected [operator, ...] as filter")
+    op = ast[0].lower()
+    if op in JOINTS:
+        below = joined_filters(ast)
+        require(len(below) == 1 if op == "not" else below, "invalid_query", f"wrong number of filters below {op}", found=len(below))
+        limits.check("max_expression_arity", len(below), "invalid_query", f"filters below {op}")
+        return JOINTS[op]([parse_filter(f, limits, depth + 1) for f in below])
+    require(op in LEAVES, "invalid_query", f"no filter operator is called {op}")
+    leaf = LEAVES[op]
+    require(len(ast) == 2 + len(leaf.readers), "invalid_query", f"{op} needs a field and {len(leaf.readers)} operands", found=len(ast) - 2)
+    return leaf.make(field(ast[1]), *[read(value, limits) for read, value in zip(leaf.readers, ast[2:])])
 
 
 # -- the value language ----------------------------------------------------------
@@ -399,71 +432,71 @@ def parse_value(ast: Any, limits: Limits | None = None, previous: bool = False,
 
 def _value(ast: Any, limits: Limits, previous: bool, depth: int) -> tuple[Any, ...]:
     if depth > limits.get("max_expression_depth"):
-        raise _value_error("value expression is nested too deeply")
+        raise _value_error("the value tree is too high")
     if not isinstance(ast, (list, tuple)) or not ast or not isinstance(ast[0], str):
-        raise _value_error("value expression must be an array that starts with an operator")
+        raise _value_error("expected [operator, ...] as value")
     op, args = ast[0], list(ast[1:])
     down = lambda x: _value(x, limits, previous, depth + 1)
     if op == "field":
         if len(args) != 1 or not isinstance(args[0], str) or not PATH.fullmatch(args[0]):
-            raise _value_error("field requires a path")
+            raise _value_error("field: one path")
         return ("field", args[0])
     if op == "literal":
         return _literal(args)
     if op == "previous":
         if not previous or len(args) != 1:
-            raise _value_error("previous is available in recursive steps only")
+            raise _value_error("previous: a column of the recursion's last level, and only there")
         return ("previous", args[0])
     if op in ("coalesce", "concat"):
         if len(args) < 2:
-            raise _value_error(f"{op} requires two values or more")
+            raise _value_error(f"{op}: two values at least")
         return (op, *map(down, args))
     if op in (*ARITHMETIC, "days_between"):
         if len(args) != 2:
-            raise _value_error(f"{op} requires two values")
+            raise _value_error(f"{op}: exactly two values")
         return (op, *map(down, args))
     if op in ("lower", "upper"):
         if len(args) != 1:
-            raise _value_error(f"{op} requires one value")
+            raise _value_error(f"{op}: exactly one value")
         return (op, down(args[0]))
     if op == "cast":
         if len(args) != 2 or args[1] not in CASTS:
-            raise _value_error("cast requires a value and a known type")
+            raise _value_error("cast: a value and the name of a type")
         return ("cast", down(args[0]), args[1])
     if op == "json_text":
         if len(args) != 2 or not isinstance(args[0], str) or not isinstance(args[1], (list, tuple)) or not args[1]:
-            raise _value_error("json_text requires a field and path segments")
+            raise _value_error("json_text: a field and the way into it")
         limits.check("max_json_path_segments", len(args[1]), "invalid_value_expression", "json path")
         for s in args[1]:
             if not SEGMENT.fullmatch(str(s)):
-                raise _value_error("json path segment is not available")
+                raise _value_error("json_text: a step holds letters, digits and underscores")
         return ("json_text", args[0], tuple(str(s) for s in args[1]))
     if op == "case":
         if not args:
-            raise _value_error("case requires branches")
+            raise _value_error("case: no branches")
         branches: list[Any] = []
         for i, branch in enumerate(args):
             if not isinstance(branch, (list, tuple)) or len(branch) != 2:
-                raise _value_error("case branch must be [filter, value] or ['else', value]")
+                raise _value_error("case: a branch pairs a filter, or else, with a value")
             if branch[0] == "else":
                 if i != len(args) - 1 or i == 0:
-                    raise _value_error("else must be the last of several branches")
+                    raise _value_error("case: else closes other branches")
                 branches.append(("else", down(branch[1])))
             else:
                 branches.append((parse_filter(branch[0], limits), down(branch[1])))
         return ("case", *branches)
-    raise _value_error(f"unsupported value expression operator {op}")
+    raise _value_error(f"no value operator is called {op}")
 
 
 def _literal(args: list[Any]) -> tuple[Any, ...]:
     if not 1 <= len(args) <= 2 or args[0] is None or isinstance(args[0], (list, dict)):
-        raise _value_error("literal requires a plain value that is not null")
+        raise _value_error("literal: one value, not null, and perhaps its type")
     value, kind = args[0], args[1] if len(args) == 2 else None
     if kind is None:
         text = str(value)
         kind = "boolean" if isinstance(value, bool) else "integer" if INTEGER.fullmatch(text) else "decimal" if DECIMAL.fullmatch(text) else "string"
     if kind not in CASTS:
-        raise _value_error("literal type is not available")
+        raise _value_error("literal: no such type")
     return ("literal", value, kind)
 
 
@@ -483,11 +516,11 @@ def value_category(ast: tuple[Any, ...], resolve: Callable[[Any], str | None]) -
         kinds = below()
         for k in kinds:
             if k not in ("integer", "decimal"):
-                raise _value_error(f"{op} requires numeric operands, found {k}")
+                raise _value_error(f"{op} calculates with numbers, not with {k}")
         return "decimal" if op == "divide" or "decimal" in kinds else "integer"
     if op in ("lower", "upper"):
         if below() != ["string"]:
-            raise _value_error(f"{op} requires a string")
+            raise _value_error(f"{op} changes text only")
         return "string"
     if op == "concat":
         below()
@@ -495,14 +528,14 @@ def value_category(ast: tuple[Any, ...], resolve: Callable[[Any], str | None]) -
     if op == "days_between":
         for k in below():
             if k not in ("date", "datetime"):
-                raise _value_error(f"days_between requires date or datetime operands, found {k}")
+                raise _value_error(f"days_between counts from date to date, not from {k}")
         return "integer"
     if op == "cast":
         value_category(args[0], resolve)
         return category(args[1])
     if op == "json_text":
         if category(resolve(args[0])) != "json":
-            raise _value_error("json_text requires a JSON field")
+            raise _value_error("json_text reads JSON")
         return "string"
     kinds = []
     for condition, value in args:
@@ -519,7 +552,7 @@ def _common(kinds: list[str], label: str) -> str:
         return kinds[0]
     if found == {"integer", "decimal"}:
         return "decimal"
-    raise _value_error(f"{label} values must share one type, found {', '.join(sorted(found))}")
+    raise _value_error(f"{label}: its values are of several types ({', '.join(sorted(found))})")
 
 
 def value_fields(ast: Any) -> list[str]:

@@ -29,26 +29,26 @@ def bucket(value: Column, kind: str, spec: dict[str, Any], today: str | None, mo
     style = spec.get("kind", "")
     if style in ("numeric_increment", "year_increment"):
         step = _whole(spec.get("increment"), "bucket increment must be a positive integer", 1)
-        require(style != "numeric_increment" or is_numeric(kind), "invalid_query", "numeric buckets require a numeric field")
-        require(style != "year_increment" or is_temporal(kind), "invalid_query", "year buckets require a date or time field")
+        require(style != "numeric_increment" or is_numeric(kind), "invalid_query", "these buckets cut numbers")
+        require(style != "year_increment" or is_temporal(kind), "invalid_query", "year buckets cut dates and times")
         number = F.year(value) if style == "year_increment" else value
         start = F.floor(number / F.lit(step)).cast("long") * step
         label = F.concat(start.cast("string"), F.lit("-"), (start + (step - 1)).cast("string"))
         return F.when(value.isNull(), OTHER).otherwise(label)
     if style == "text_prefix":
-        require(category(kind) == "string", "invalid_query", "text prefix bucket requires a text field")
-        length = _whole(spec.get("prefix_length", 2), "text prefix length must be between 1 and 10", 1)
-        require(length <= 10, "invalid_query", "text prefix length must be between 1 and 10")
+        require(category(kind) == "string", "invalid_query", "prefix buckets cut text")
+        length = _whole(spec.get("prefix_length", 2), "prefix: 1 to 10 characters", 1)
+        require(length <= 10, "invalid_query", "prefix: 1 to 10 characters")
         text = F.btrim(F.coalesce(value.cast("string"), F.lit("")))
         if spec.get("exclude_articles"):
             text = F.regexp_replace(text, r"(?i)^(a|an|the)(\s+|$)", "")
         return F.when(text == "", OTHER).otherwise(F.upper(F.left(text, F.lit(length))))
-    require(style in RANGE_KINDS, "invalid_query", "bucket kind is not available", kind=style)
-    require(style != "numeric_ranges" or is_numeric(kind), "invalid_query", "numeric buckets require a numeric field")
-    require(style == "numeric_ranges" or is_temporal(kind), "invalid_query", "temporal buckets require a date or time field")
+    require(style in RANGE_KINDS, "invalid_query", "no kind of bucket has this name", kind=style)
+    require(style != "numeric_ranges" or is_numeric(kind), "invalid_query", "these buckets cut numbers")
+    require(style == "numeric_ranges" or is_temporal(kind), "invalid_query", "these buckets cut dates and times")
     ranges = spec.get("ranges")
-    require(isinstance(ranges, list) and ranges, "invalid_query", "bucket ranges must be a non-empty array")
-    require(len(ranges) <= most_ranges, "invalid_query", "too many bucket ranges")
+    require(isinstance(ranges, list) and ranges, "invalid_query", "ranges: expected a list of one or more")
+    require(len(ranges) <= most_ranges, "invalid_query", "ranges: more than are allowed")
     now = today_column(today)
     months = lambda c: F.year(c) * 12 + F.month(c)
     measure = {
@@ -61,10 +61,10 @@ def bucket(value: Column, kind: str, spec: dict[str, Any], today: str | None, mo
     chosen: Column | None = None
     for r in ranges:
         low, high, label = r.get("minimum"), r.get("maximum"), r.get("label")
-        require(isinstance(label, str) and len(label) <= 80, "invalid_query", "bucket range label is required")
+        require(isinstance(label, str) and len(label) <= 80, "invalid_query", "range: has no label")
         days = {"today": 0, "yesterday": 1, "tomorrow": -1}
         if style == "date_relative_ranges" and low in days:
-            require(high == low, "invalid_query", "date keyword bucket boundaries must match")
+            require(high == low, "invalid_query", "range: both ends name the same date keyword")
             inside = measure == days[low]
         else:
             inside = within(measure, low, high, "bucket range")
@@ -73,7 +73,7 @@ def bucket(value: Column, kind: str, spec: dict[str, Any], today: str | None, mo
 
 
 def within(measure: Column, low: Any, high: Any, label: str) -> Column:
-    require(low is not None or high is not None, "invalid_query", f"{label} requires at least one boundary")
+    require(low is not None or high is not None, "invalid_query", f"{label}: open at both ends")
     parts = []
     if low is not None:
         parts.append(measure >= _whole(low, f"{label} boundaries must be integers"))

@@ -42,7 +42,7 @@ def format_datetime(value: Column, style: str, kind: str, timezone: str | None =
     """``value`` in a format. kind: the declared type; instants (utc_datetime,
     timestamptz, epoch_datetime) are shown in ``timezone`` (UTC if none), wall times
     and dates as they are."""
-    require(style in FORMATS, "invalid_query", "date format is not available", format=style)
+    require(style in FORMATS, "invalid_query", "no date format has this name", format=style)
     instant = kind in ("utc_datetime", "timestamptz", "epoch_datetime")
     zone = timezone or "UTC"
     utc = F.convert_timezone(F.lit("UTC"), F.lit("UTC"), value.cast("timestamp").cast("timestamp_ntz")) if instant else value.cast("timestamp_ntz")

@@ -48,7 +48,7 @@ SHORTCUTS = (*RANGES, *RECURRING)
 
 
 def terms(shortcut: str) -> tuple[tuple[str, int, int], tuple[str, int, int]]:
-    require(shortcut in SHORTCUTS, "invalid_query", "date shortcut is not available", value=shortcut)
+    require(shortcut in SHORTCUTS, "invalid_query", "no date shortcut has this name", value=shortcut)
     return RANGES.get(shortcut) or ((RECURRING[shortcut], 0, 0), ("today", 0, 0))
 
 
@@ -56,7 +56,7 @@ def parse_day(text: str) -> dt.date:
     try:
         return dt.date.fromisoformat(text)
     except (TypeError, ValueError):
-        require(False, "invalid_query", "today must be an ISO date", value=str(text))
+        require(False, "invalid_query", "today: expected yyyy-mm-dd", value=str(text))
         raise
 
 

@@ -43,16 +43,16 @@ class Limits:
 
     def __init__(self, **overrides: int):
         for name, value in overrides.items():
-            require(name in DEFAULTS, "invalid_limits", "unknown limit", limit=name)
-            require(isinstance(value, int) and value > 0, "invalid_limits", "limit must be a positive integer", limit=name)
+            require(name in DEFAULTS, "invalid_limits", "no ceiling has this name", limit=name)
+            require(isinstance(value, int) and value > 0, "invalid_limits", "a ceiling is a whole number from 1", limit=name)
         self._values = DEFAULTS | overrides
 
     def get(self, name: str) -> int:
-        require(name in self._values, "invalid_limits", "unknown limit", limit=name)
+        require(name in self._values, "invalid_limits", "no ceiling has this name", limit=name)
         return self._values[name]
 
     def check(self, name: str, amount: int, code: str, label: str) -> int:
-        require(amount <= self.get(name), code, f"{label} exceeds {name}", limit=name, maximum=self.get(name))
+        require(amount <= self.get(name), code, f"{label}: more than {name}", limit=name, maximum=self.get(name))
         return amount
 
     def check_bytes(self, name: str, value: object, code: str, label: str) -> int:

@@ -16,18 +16,20 @@ from ..domain import BEHAVIORS, UNIT_KINDS
 from ..errors import require
 
 MAX_CHAINED = 8
-#: Per transform its label, result unit, and what it asks of its input.
+#: Per transform its result unit, and what it asks of its input.
 TRANSFORMS: dict[str, dict[str, Any]] = {
-    "percent_of_total": {"label": "Percent of total", "result": "percentage"},
-    "percent_change": {"label": "Percent change", "result": "percentage", "ordered": True},
-    "percentage_point_change": {"label": "Percentage-point change", "result": "input_scale", "ordered": True, "kinds": ("percentage",)},
-    "index_to_first": {"label": "Index to first value", "result": "ratio", "ordered": True},
-    "cumulative": {"label": "Cumulative total", "result": "preserve", "ordered": True, "behaviors": ("flow",)},
-    "moving_average": {"label": "Moving average", "result": "preserve", "ordered": True, "parameters": ("window",)},
-    "exponential_moving_average": {"label": "Exponential moving average", "result": "preserve", "ordered": True, "parameters": ("alpha",)},
-    "min_max": {"label": "Normalize to 0–100", "result": "ratio", "ordered": True},
-    "z_score": {"label": "Standard score", "result": "scalar", "ordered": True},
+    "percent_of_total": {"result": "percentage"},
+    "percent_change": {"result": "percentage", "ordered": True},
+    "percentage_point_change": {"result": "input_scale", "ordered": True, "kinds": ("percentage",)},
+    "index_to_first": {"result": "ratio", "ordered": True},
+    "cumulative": {"result": "preserve", "ordered": True, "behaviors": ("flow",)},
+    "moving_average": {"result": "preserve", "ordered": True, "parameters": ("window",)},
+    "exponential_moving_average": {"result": "preserve", "ordered": True, "parameters": ("alpha",)},
+    "min_max": {"result": "ratio", "ordered": True},
+    "z_score": {"result": "scalar", "ordered": True},
 }
+#: Transforms that fold a series instead of looking through a window.
+FOLDED = ("exponential_moving_average",)
 COUNTING = ("count", "count_distinct", "true_count", "false_count", "buckets", "age_buckets")
 PRESERVING = ("sum", "avg", "min", "max")
 
@@ -35,7 +37,7 @@ PRESERVING = ("sum", "avg", "min", "max")
 def normalize_unit(unit: Any) -> dict[str, Any]:
     """A unit as {kind, ...}: a kind, or an object with one."""
     made = {"kind": unit} if isinstance(unit, str) else dict(unit) if isinstance(unit, dict) else {}
-    require(made.get("kind") in UNIT_KINDS, "invalid_analytics", "unit kind is not available", unit=str(unit))
+    require(made.get("kind") in UNIT_KINDS, "invalid_analytics", "no kind of unit has this name", unit=str(unit))
     if made["kind"] == "percentage":
         made.setdefault("scale", "whole")
     return made
@@ -47,14 +49,14 @@ def aggregate_unit(function: str, unit: Any) -> dict[str, Any]:
         return {"kind": "count"}
     if function == "true_percentage":
         return {"kind": "percentage", "scale": "whole"}
-    require(function in PRESERVING, "invalid_analytics", "aggregate has no unit", aggregate=function)
+    require(function in PRESERVING, "invalid_analytics", "what this aggregate gives has no unit", aggregate=function)
     return normalize_unit(unit)
 
 
 def allows(transform: str, unit: Any, behavior: str | None = None) -> bool:
     if transform not in TRANSFORMS:
         return False
-    require(behavior is None or behavior in BEHAVIORS, "invalid_analytics", "behavior is not available", behavior=behavior)
+    require(behavior is None or behavior in BEHAVIORS, "invalid_analytics", "no behavior has this name", behavior=behavior)
     rule = TRANSFORMS[transform]
     kind = normalize_unit(unit)["kind"]
     return kind in rule.get("kinds", (kind,)) and (behavior is None or behavior in rule.get("behaviors", (behavior,)))
@@ -66,7 +68,7 @@ def catalog(unit: Any, behavior: str | None = None) -> list[str]:
 
 
 def result_unit(transform: str, unit: Any, behavior: str | None = None) -> dict[str, Any]:
-    require(allows(transform, unit, behavior), "invalid_analytics", "analytical transform is not available", transform=transform)
+    require(allows(transform, unit, behavior), "invalid_analytics", "no transform of this name fits the unit and behavior", transform=transform)
     given = normalize_unit(unit)
     result = TRANSFORMS[transform]["result"]
     if result == "preserve":
@@ -90,19 +92,35 @@ def _column(value: Column, transform: str, parameters: dict[str, Any], rows: Any
         return F.when(value.isNotNull(), F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
     if transform == "moving_average":
         n = parameters.get("window")
-        require(isinstance(n, int) and 2 <= n <= 365, "invalid_analytics", "moving average window must be between 2 and 365")
+        require(isinstance(n, int) and 2 <= n <= 365, "invalid_analytics", "window: 2 to 365 points")
         return F.when(value.isNotNull(), F.avg(value).over(rows.rowsBetween(-(n - 1), 0)))
     if transform == "min_max":
         low, high = F.min(value).over(whole), F.max(value).over(whole)
         return (value - low) / F.nullif(high - low, F.lit(0.0)) * 100
     if transform == "z_score":
         return (value - F.avg(value).over(whole)) / F.nullif(F.stddev_pop(value).over(whole), F.lit(0.0))
+    raise AssertionError(transform)
+
+
+def _exponential(frame: DataFrame, out: str, parameters: dict[str, Any], order_by: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
+    """The exponential average: each value depends on the one before, so a series is
+    folded in one pass over its ordered values, as an Arrow table. Nulls are passed over."""
     alpha = parameters.get("alpha")
-    require(isinstance(alpha, (int, float)) and 0 < alpha <= 1, "invalid_analytics", "alpha must be above 0 and at most 1")
-    # the running list of the series so far, folded; series are short (chart axes)
-    so_far = F.collect_list(value).over(rows.rowsBetween(Window.unboundedPreceding, 0))
-    folded = F.aggregate(so_far, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(x * alpha + s * (1 - alpha)))
-    return F.when(value.isNotNull(), folded)
+    require(isinstance(alpha, (int, float)) and 0 < alpha <= 1, "invalid_analytics", "alpha weighs the new value: above 0, 1 at most")
+
+    def fold(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order_by], null_placement="at_end"))
+        folded, last = [], None
+        for x in table.column(out).to_pylist():
+            if x is not None:
+                last = x if last is None else x * alpha + last * (1 - alpha)
+            folded.append(None if x is None else last)
+        return table.set_column(table.schema.get_field_index(out), out, pa.array(folded, pa.float64()))
+
+    return frame.groupBy(*partition_by).applyInArrow(fold, frame.schema)
 
 
 def transform(
@@ -118,7 +136,7 @@ def transform(
 ) -> tuple[DataFrame, dict[str, Any]]:
     """The series with ``out``, the value after all steps (names or {id, ...}), and the
     unit of the result."""
-    require(len(steps) <= MAX_CHAINED, "invalid_analytics", "too many chained transforms", maximum=MAX_CHAINED)
+    require(len(steps) <= MAX_CHAINED, "invalid_analytics", "the chain of transforms is too long", maximum=MAX_CHAINED)
     whole = Window.partitionBy(*partition_by)
     rows = whole.orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
     now = normalize_unit(unit)
@@ -126,10 +144,13 @@ def transform(
     for step in steps:
         spec = {"id": step} if isinstance(step, str) else dict(step)
         name = spec.pop("id", None)
-        require(name in TRANSFORMS, "invalid_analytics", "analytical transform is not available", transform=str(name))
+        require(name in TRANSFORMS, "invalid_analytics", "no transform of this name fits the unit and behavior", transform=str(name))
         rule = TRANSFORMS[name]
-        require(set(spec) <= set(rule.get("parameters", ())), "invalid_analytics", "transform parameter is not available", transform=name)
-        require(not rule.get("ordered") or order_by, "invalid_analytics", "transform requires an ordered axis", transform=name)
+        require(set(spec) <= set(rule.get("parameters", ())), "invalid_analytics", "the transform reads no such parameter", transform=name)
+        require(not rule.get("ordered") or order_by, "invalid_analytics", "the transform goes along an order, and none is given", transform=name)
         now = result_unit(name, now, behavior)
-        frame = frame.withColumn(out, _column(F.col(out), name, spec, rows, whole))
+        if name in FOLDED:
+            frame = _exponential(frame, out, spec, order_by, partition_by)
+        else:
+            frame = frame.withColumn(out, _column(F.col(out), name, spec, rows, whole))
     return frame, now

@@ -4,7 +4,8 @@ or NULL where the row passes."""
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
@@ -13,22 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import require
+from ..errors import SelectError, require
 
 CODE = "invalid_data_rules_contract"
 MAX_DEPTH, MAX_CHILDREN = 16, 1000
 TYPES = ("boolean", "integer", "decimal", "text", "string", "collection", "object")
-KEYS: dict[str, tuple[str, ...]] = {
-    "presence.required": (), "presence.non_null": (), "presence.absent": (), "type.is": ("type",), "text.nonblank": (),
-    "text.length": ("exact", "min", "max", "unit"), "text.pattern": ("profile", "pattern", "match", "flags"), "text.prefix": ("text",),
-    "text.suffix": ("text",), "text.contains": ("text",), "number.integer": (), "number.gt": ("bound",), "number.gte": ("bound",),
-    "number.lt": ("bound",), "number.lte": ("bound",), "number.range": ("min", "max", "include_min", "include_max"),
-    "number.multiple_of": ("factor",), "membership.in": ("values",), "membership.not_in": ("values",), "value.eq": ("value",),
-    "value.neq": ("value",), "value.compare_path": ("comparison", "path"), "collection.count": ("exact", "min", "max"),
-    "collection.sum": ("exact", "min", "max", "path"), "collection.unique_by": ("paths",), "all": ("rules",), "any": ("rules",), "not": ("rule",),
-}
-
-
 @dataclass(frozen=True)
 class Subject:
     """What a rule tests: its column, Spark type, and whether the row has the field."""
@@ -60,62 +50,116 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str, dict[str, Any]]], pre
     out = df.withColumns(made)
     return out.withColumn(f"{prefix}failures", reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in made], F.lit(0)))
 
+# -- the schema of rules -----------------------------------------------------------
+
+
+def _numeric(value: Any) -> bool:
+    try:
+        return number(value) is not None
+    except SelectError:
+        return False
+
+
+def _one_of(*names: Any) -> Callable[[Any], bool]:
+    return lambda value: isinstance(value, str) and value in names
+
+
+def _is_text(value: Any) -> bool:
+    return isinstance(value, str)
+
+
+def _is_flag(value: Any) -> bool:
+    return isinstance(value, bool)
+
+
+def _bounded_list(value: Any) -> bool:
+    return isinstance(value, list) and 0 < len(value) <= MAX_CHILDREN
+
+
+def _anything(value: Any) -> bool:
+    return True
+
+
+@dataclass(frozen=True)
+class Schema:
+    """The keys of an operator and what each may hold; which of them must be there; what
+    must hold between them; the code of a breach."""
+
+    keys: dict[str, Callable[[Any], bool]] = field(default_factory=dict)
+    needs: tuple[str, ...] = ()
+    between: Callable[[dict[str, Any]], bool] = _anything
+    code: str = CODE
+
+
+_BOUNDS: dict[str, Callable[[Any], bool]] = {"exact": _numeric, "min": _numeric, "max": _numeric}
+_ORDERS = ("gt", "gte", "lt", "lte", "eq", "neq")
+
+
+def _has_bounds(rule: dict[str, Any]) -> bool:
+    """At least one bound, and the lower one not above the upper one."""
+    given = [k for k in _BOUNDS if k in rule]
+    return bool(given) and ("min" not in given or "max" not in given or number(rule["min"]) <= number(rule["max"]))
+
+
+_BOUND = Schema({"bound": _numeric}, ("bound",))
+_TEXT = Schema({"text": _is_text}, ("text",))
+_VALUES = Schema({"values": _bounded_list}, ("values",))
+_VALUE = Schema({"value": _anything}, ("value",))
+_RULES = Schema({"rules": _bounded_list}, ("rules",))
+SCHEMAS: dict[str, Schema] = {
+    "presence.required": Schema(),
+    "presence.non_null": Schema(),
+    "presence.absent": Schema(),
+    "type.is": Schema({"type": _one_of(*TYPES)}, ("type",)),
+    "text.nonblank": Schema(),
+    "text.length": Schema(_BOUNDS | {"unit": _one_of("unicode_scalar")}, between=_has_bounds),
+    "text.pattern": Schema(
+        {"profile": _one_of("ascii_v1"), "match": _one_of("full", "search"), "flags": lambda value: value == [], "pattern": lambda value: bool(ascii_pattern(value)) or value == ""},
+        ("profile", "match", "pattern"),
+        code="invalid_text_pattern",
+    ),
+    **dict.fromkeys(("text.prefix", "text.suffix", "text.contains"), _TEXT),
+    "number.integer": Schema(),
+    **dict.fromkeys(("number.gt", "number.gte", "number.lt", "number.lte"), _BOUND),
+    "number.range": Schema({"min": _numeric, "max": _numeric, "include_min": _is_flag, "include_max": _is_flag}, ("min", "max"), _has_bounds),
+    "number.multiple_of": Schema({"factor": lambda value: _numeric(value) and number(value) != 0}, ("factor",)),
+    **dict.fromkeys(("membership.in", "membership.not_in"), _VALUES),
+    **dict.fromkeys(("value.eq", "value.neq"), _VALUE),
+    "value.compare_path": Schema({"comparison": _one_of(*_ORDERS), "path": _is_text}, ("comparison", "path"), code="invalid_related_value_rule"),
+    "collection.count": Schema(_BOUNDS, between=_has_bounds),
+    "collection.sum": Schema(_BOUNDS | {"path": _is_text}, ("path",), _has_bounds),
+    "collection.unique_by": Schema({"paths": lambda value: _bounded_list(value) and len(set(value)) == len(value)}, ("paths",)),
+    **dict.fromkeys(("all", "any"), _RULES),
+    "not": Schema({"rule": _anything}, ("rule",)),
+}
+
 
 def check_rule(rule: Any, depth: int = 0) -> None:
-    require(depth <= MAX_DEPTH, CODE, "logical rule depth exceeds 16")
-    require(isinstance(rule, dict), CODE, "rule test must be an object")
+    """Hold a rule and those inside it against their schemas."""
+    require(depth <= MAX_DEPTH, CODE, f"rules stand more than {MAX_DEPTH} deep in each other")
+    require(isinstance(rule, dict), CODE, "expected a rule as an object with op")
     op = rule.get("op")
-    require(op in KEYS, "unsupported_rule_operator", "unsupported portable rule operator", op=str(op))
-    require(set(rule) <= {"op", *KEYS[op]}, CODE, "rule has unknown keys", op=op)
-    if op == "type.is":
-        require(rule.get("type") in TYPES, CODE, "invalid portable type")
-    elif op in ("text.length", "collection.count", "collection.sum"):
-        require(rule.get("unit", "unicode_scalar") == "unicode_scalar", CODE, "invalid text length unit")
-        bounds = {k: number(rule[k]) for k in ("exact", "min", "max") if k in rule}
-        require(bounds, CODE, "rule requires a bound", op=op)
-        require("min" not in bounds or "max" not in bounds or bounds["min"] <= bounds["max"], CODE, "reversed range")
-        require(op != "collection.sum" or isinstance(rule.get("path"), str), CODE, "collection.sum requires a path")
-    elif op == "text.pattern":
-        good = rule.get("profile") == "ascii_v1" and rule.get("match") in ("full", "search") and rule.get("flags", []) == []
-        require(good, "invalid_text_pattern", "invalid ascii_v1 pattern options")
-        ascii_pattern(rule.get("pattern"))
-    elif op in ("text.prefix", "text.suffix", "text.contains"):
-        require(isinstance(rule.get("text"), str), CODE, "rule requires a text", op=op)
-    elif op in ("number.gt", "number.gte", "number.lt", "number.lte"):
-        number(rule.get("bound"))
-    elif op == "number.range":
-        require(number(rule.get("min")) <= number(rule.get("max")), CODE, "reversed range")
-        for k in ("include_min", "include_max"):
-            require(isinstance(rule.get(k, True), bool), CODE, "range inclusion must be Boolean")
-    elif op == "number.multiple_of":
-        require(number(rule.get("factor")) != 0, CODE, "zero multiple factor")
-    elif op in ("membership.in", "membership.not_in"):
-        require(isinstance(rule.get("values"), list) and 0 < len(rule["values"]) <= MAX_CHILDREN, CODE, "membership requires bounded values")
-    elif op in ("value.eq", "value.neq"):
-        require("value" in rule, CODE, "equality requires a literal")
-    elif op == "value.compare_path":
-        good = rule.get("comparison") in ("gt", "gte", "lt", "lte", "eq", "neq") and isinstance(rule.get("path"), str)
-        require(good, "invalid_related_value_rule", "related comparison requires gt/gte/lt/lte/eq/neq and a semantic path")
-    elif op == "collection.unique_by":
-        paths = rule.get("paths")
-        require(isinstance(paths, list) and paths and len(set(paths)) == len(paths) <= MAX_CHILDREN, CODE, "unique_by requires bounded distinct paths")
-    elif op in ("all", "any"):
-        require(isinstance(rule.get("rules"), list) and 0 < len(rule["rules"]) <= MAX_CHILDREN, CODE, "logical rule requires bounded children")
-        for r in rule["rules"]:
-            check_rule(r, depth + 1)
-    elif op == "not":
-        check_rule(rule.get("rule"), depth + 1)
+    require(isinstance(op, str) and op in SCHEMAS, "unsupported_rule_operator", "no rule operator has this name", op=str(op))
+    schema = SCHEMAS[op]
+    foreign = sorted(rule.keys() - schema.keys.keys() - {"op"})
+    require(not foreign, CODE, f"{op} has no such keys", keys=foreign)
+    for key, holds in schema.keys.items():
+        if key in rule or key in schema.needs:
+            require(key in rule and holds(rule[key]), schema.code, f"{op}: {key} is missing or of another kind")
+    require(schema.between(rule), schema.code, f"{op}: its bounds are missing or the wrong way round")
+    for child in [*rule.get("rules", ()), *([rule["rule"]] if op == "not" else [])]:
+        check_rule(child, depth + 1)
 
 
 def number(value: Any) -> Decimal:
     """A finite number given as number or text."""
     try:
-        require(value is not None and not isinstance(value, bool), CODE, "rule requires a number")
+        require(value is not None and not isinstance(value, bool), CODE, "expected a number")
         made = Decimal(str(value))
-        require(made.is_finite(), CODE, "rule requires a finite number")
+        require(made.is_finite(), CODE, "expected a finite number")
         return made
     except InvalidOperation:
-        require(False, CODE, "rule requires a number", value=str(value))
+        require(False, CODE, "expected a number", value=str(value))
         raise
 
 
@@ -123,12 +167,12 @@ def ascii_pattern(pattern: Any) -> str:
     """A regular expression of the ascii_v1 subset: literals, classes, groups,
     alternation and bounded or unbounded repeats; no anchors, look-around,
     back-references or modifiers."""
-    require(isinstance(pattern, str) and pattern.isascii(), "invalid_text_pattern", "pattern must be ASCII text")
-    require(not re.search(r"\(\?(?!:)|\\[1-9bBAzZGk]|(?<!\\)(?:\\\\)*[\^$](?![^\[]*\])", re.sub(r"\[\^", "[", pattern)), "invalid_text_pattern", "pattern construct is not available")
+    require(isinstance(pattern, str) and pattern.isascii(), "invalid_text_pattern", "pattern: expected ASCII text")
+    require(not re.search(r"\(\?(?!:)|\\[1-9bBAzZGk]|(?<!\\)(?:\\\\)*[\^$](?![^\[]*\])", re.sub(r"\[\^", "[", pattern)), "invalid_text_pattern", "pattern: holds a construct that ascii_v1 leaves out")
     try:
         re.compile(pattern)
     except re.error:
-        require(False, "invalid_text_pattern", "pattern is not well formed")
+        require(False, "invalid_text_pattern", "pattern: no regular expression")
     return pattern
 
 
@@ -298,7 +342,7 @@ NORMALIZERS = ("trim", "uppercase", "lowercase", "nfc", "line_endings", "empty_t
 def normalize(x: Column, steps: list[str]) -> Column:
     """Normalizers in order. nfc is the one that needs Python (an Arrow batch at a time)."""
     for step in steps:
-        require(step in NORMALIZERS, "invalid_data_rules_contract", "normalizer is not available", normalizer=step)
+        require(step in NORMALIZERS, "invalid_data_rules_contract", "no normalizer has this name", normalizer=step)
         if step == "trim":
             x = F.regexp_replace(x, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
         elif step == "uppercase":

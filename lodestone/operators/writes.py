@@ -41,29 +41,29 @@ class Writer:
         self.table = engine.catalog.table(self.domain.root.table)
 
     def _allowed(self, operation: str, fields: list[str]) -> None:
-        require(operation in self.contract.get("operations", ()), "write_not_allowed", "operation is not declared", operation=operation)
+        require(operation in self.contract.get("operations", ()), "write_not_allowed", "the domain declares no such write", operation=operation)
         writable = set(self.contract.get("fields", ()))
         for f in fields:
             c = self.domain.resolve(f).column
-            require("." not in f and c.computed is None and f in writable, "field_not_writable", "field is not writable", field=f)
+            require("." not in f and c.computed is None and f in writable, "field_not_writable", "this field is not for writing", field=f)
 
     def _tenant(self, row: dict[str, Any]) -> dict[str, Any]:
         field = self.domain.root.tenant_field
         if field is None:
             return row
-        require(self.engine.tenant is not None, "missing_tenant_scope", "trusted tenant scope is required", tenant_field=field)
-        require(row.get(field, self.engine.tenant) == self.engine.tenant, "tenant_mismatch", "row belongs to another tenant", tenant_field=field)
+        require(self.engine.tenant is not None, "missing_tenant_scope", "rows are written for one tenant, and none was given", tenant_field=field)
+        require(row.get(field, self.engine.tenant) == self.engine.tenant, "tenant_mismatch", "the row names another tenant", tenant_field=field)
         return row | {field: self.engine.tenant}
 
     def _lookup(self, node: Any) -> Typed | None:
         if isinstance(node, E.Node) and node.kind == "field":
             c = self.domain.resolve(node.args[0]).column
-            require("." not in node.args[0], "invalid_write", "write predicates use root fields", field=node.args[0])
+            require("." not in node.args[0], "invalid_write", "rows to write are told by fields of the root", field=node.args[0])
             return Typed(F.col(c.name), c.type, c.items, c.storage)
         return None
 
     def _matching(self, predicate: Any) -> Column:
-        require(predicate is not None, "invalid_write", "a write requires a predicate")
+        require(predicate is not None, "invalid_write", "which rows to write is not said")
         node = predicate if isinstance(predicate, E.Node) else E.parse_filter(predicate)
         parts = [p for p in (self.domain.required, self.engine.tenant_predicate(self.domain), *self.engine.required_predicates(self.domain), node) if p is not None]
         return F.coalesce(Values(self._lookup, self.engine.limits, None, self.engine.today).column(E.all_(parts)), F.lit(False))
@@ -77,7 +77,7 @@ class Writer:
         op, *args = value
         one = lambda v: F.col(v[1]) if isinstance(v, (list, tuple)) and v[0] == "field" else self._assignment(field, v)
         if op == "field":
-            require(args[0] in self.domain.root.columns, "unknown_field", "field is not available", field=str(args[0]))
+            require(args[0] in self.domain.root.columns, "unknown_field", "no field has this path", field=str(args[0]))
             made = F.col(args[0])
         elif op == "literal":
             made = lit_for(args[0], c.type)
@@ -106,8 +106,19 @@ class Writer:
         fields = sorted({f for r in rows for f in r})
         self._allowed("insert", [f for f in fields if f != self.domain.root.tenant_field])
         new = self._rows(rows)
+        self._fresh(new, len(rows))
         return Written(self.table.unionByName(new), len(rows), new)
 
+    def _fresh(self, new: DataFrame, n: int) -> None:
+        """Refuse rows whose primary key another row has, in the table or among them."""
+        key = self.domain.primary_key
+        if key not in new.columns:
+            return
+        given = new.where(F.col(key).isNotNull()).select(F.col(key).alias("_new_key"))
+        require(given.distinct().count() == given.count(), "duplicate_key", "two of the rows to insert have one primary key", field=key)
+        found = self.table.join(F.broadcast(given), F.col(key) == F.col("_new_key"), "left_semi").limit(1).count()
+        require(not found, "duplicate_key", "a row of the table has this primary key already", field=key)
+
     def update(self, assignments: dict[str, Any], predicate: Any, expected_count: int | None = None) -> Written:
         self._allowed("update", sorted(assignments))
         hit = self._matching(predicate)
@@ -128,15 +139,21 @@ class Writer:
         inserted."""
         fields = sorted({f for r in rows for f in r})
         self._allowed("upsert", [f for f in fields if f != self.domain.root.tenant_field])
-        require(keys and all(k in fields for k in keys), "invalid_write", "upsert requires its keys in every row")
+        require(keys and all(k in fields for k in keys), "invalid_write", "keys: given, and part of the rows")
         seen = [tuple(r.get(k) for k in keys) for r in rows]
-        require(len(set(seen)) == len(seen), "invalid_write", "upsert rows must have distinct keys")
+        require(len(set(seen)) == len(seen), "invalid_write", "two of the rows have the same keys")
         new = self._rows(rows).select(*[F.col(c).alias(f"_new_{c}") for c in self.table.columns])
         tenant = self.domain.root.tenant_field
-        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_new_{k}") for k in [*keys, *([tenant] if tenant and tenant not in keys else [])]])
-        joined = self.table.withColumn("_old", F.lit(True)).join(F.broadcast(new.withColumn("_given", F.lit(True))), on, "full")
-        value = lambda c: F.when(F.col("_given") & (F.lit(c in fields) | F.col("_old").isNull()), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        after = joined.select(*[value(c) for c in self.table.columns], F.coalesce("_given", F.lit(False)).alias("_given"))
+        ids = [*keys, *([tenant] if tenant and tenant not in keys else [])]
+        # the rows that the caller spelled out are broadcast; the table stays where it is
+        met = self.table.join(F.broadcast(new.withColumn("_given", F.lit(True))), [F.col(k) == F.col(f"_new_{k}") for k in ids], "left")
+        given = F.col("_given").isNotNull()
+        value = lambda c: (F.when(given, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in fields else F.col(c)).alias(c)
+        updated = met.select(*[value(c) for c in self.table.columns], given.alias("_given"))
+        known = updated.where("_given").select(*[F.col(k).alias(f"_known_{k}") for k in ids]).distinct()  # no more than the rows given
+        fresh = new.join(F.broadcast(known), [F.col(f"_new_{k}") == F.col(f"_known_{k}") for k in ids], "left_anti")
+        inserted = fresh.select(*[F.col(f"_new_{c}").alias(c) for c in self.table.columns], F.lit(True).alias("_given"))
+        after = updated.unionByName(inserted)
         return Written(after.drop("_given"), len(rows), after.where("_given").drop("_given"))
 
     def batch(self, steps: list[tuple[str, tuple[Any, ...]]]) -> list[Written]:
@@ -145,7 +162,7 @@ class Writer:
         kept, done = self.table, []
         try:
             for method, arguments in steps:
-                require(method in ("insert", "update", "delete", "upsert"), "invalid_write", "unknown write", operation=method)
+                require(method in ("insert", "update", "delete", "upsert"), "invalid_write", "insert, update, delete or upsert", operation=method)
                 made: Written = getattr(self, method)(*arguments)
                 done.append(made)
                 self.table = made.table
@@ -168,7 +185,7 @@ class Writer:
 
 def _guard(rows: DataFrame, expected: int | None) -> int:
     n = rows.count()
-    require(expected is None or n == expected, "cardinality_mismatch", "the write affects another number of rows", expected=expected, found=n)
+    require(expected is None or n == expected, "cardinality_mismatch", "as many rows as expected were not met", expected=expected, found=n)
     return n
 
 

@@ -18,7 +18,7 @@ MAX_CONTROLS, MAX_FACET_VALUES, MAX_TEXT, MAX_PAGE, MAX_LIMIT, OPTIONS = 20, 100
 
 
 def _typed(kind: str, value: Any, label: str) -> Any:
-    require(value is not None and not isinstance(value, (list, dict)), CODE, f"{label} must be a scalar")
+    require(value is not None and not isinstance(value, (list, dict)), CODE, f"{label}: expected one plain value")
     group = category(kind)
     try:
         if group == "integer":
@@ -26,10 +26,10 @@ def _typed(kind: str, value: Any, label: str) -> Any:
         if group == "decimal":
             return float(value)
     except (TypeError, ValueError):
-        require(False, CODE, f"{label} must be a number")
+        require(False, CODE, f"{label}: expected a number")
     if group == "boolean":
         return value in (True, 1, "1", "true")
-    require(len(str(value)) <= MAX_TEXT, CODE, f"{label} is too long")
+    require(len(str(value)) <= MAX_TEXT, CODE, f"{label}: too many characters")
     return str(value)
 
 
@@ -52,13 +52,13 @@ class Page:
     def __init__(self, engine: Engine, views: list[dict[str, Any]], controls: list[dict[str, Any]] = (), predicate: Any = None, initial_state: dict[str, Any] | None = None):
         self.engine, self.domain = engine, engine.domain
         self.key = self.domain.primary_key
-        require(views, CODE, "page requires views")
-        require(len(controls) <= MAX_CONTROLS, CODE, "page has too many controls")
+        require(views, CODE, "page: declares no views")
+        require(len(controls) <= MAX_CONTROLS, CODE, "page: more controls than are allowed")
         self.views = {v["id"]: v for v in views}
         self.controls = {c["id"]: c for c in controls}
-        require(len(self.controls) == len(controls) and len(self.views) == len(views), CODE, "page ids must be distinct")
+        require(len(self.controls) == len(controls) and len(self.views) == len(views), CODE, "page: an id stands there twice")
         for c in controls:
-            require(c.get("kind") in ("facet", "range", "text"), CODE, "control kind is not available", control=c["id"])
+            require(c.get("kind") in ("facet", "range", "text"), CODE, "control: no such kind", control=c["id"])
             self.domain.resolve(c["field"])
         for v in views:
             self._check_view(v)
@@ -67,59 +67,59 @@ class Page:
 
     def _check_view(self, view: dict[str, Any]) -> None:
         q: Query = view["query"]
-        require(view.get("kind") in ("detail", "aggregate"), CODE, "view kind must be detail or aggregate")
+        require(view.get("kind") in ("detail", "aggregate"), CODE, "view: detail or aggregate")
         if view["kind"] == "aggregate":
             groups = {g.bare for g in q.groups}
             for s in q.selections:  # joined filters can multiply rows; only distinct entities count right
                 good = s.bare in groups or s.kind == "count_distinct" and s.args[0] == E.field(self.key)
-                require(good, CODE, "aggregate views select group fields and distinct entity counts", column=_name(s))
+                require(good, CODE, "view: an aggregate one shows its groups and counts of entities", column=_name(s))
 
     # -- state -------------------------------------------------------------------
 
     def normalize(self, state: dict[str, Any]) -> dict[str, Any]:
-        require(isinstance(state, dict), CODE, "page state must be an object")
+        require(isinstance(state, dict), CODE, "state: expected an object")
         known = {"view", "filters", "facet_search", "drilldown", "page", "limit", "version"}
-        require(set(state) <= known, CODE, "page state contains unknown keys")
-        require(state.get("version", 1) == 1, CODE, "page version is unsupported")
+        require(set(state) <= known, CODE, "state: keys that nothing reads")
+        require(state.get("version", 1) == 1, CODE, "state: of another version")
         view = state.get("view", self.initial["view"])
-        require(view in self.views, CODE, "page view is unknown")
+        require(view in self.views, CODE, "state: no view has this id")
         out: dict[str, Any] = {"version": 1, "view": view, "filters": {}, "facet_search": {}}
         filters = state.get("filters", self.initial["filters"])
-        require(isinstance(filters, dict) and set(filters) <= set(self.controls), CODE, "unknown page filter")
+        require(isinstance(filters, dict) and set(filters) <= set(self.controls), CODE, "state: no control has this id")
         for name, value in filters.items():
             out["filters"][name] = self._filter_value(self.controls[name], value)
         for name, text in state.get("facet_search", {}).items():
             c = self.controls.get(name)
-            require(c and c["kind"] == "facet" and c.get("values", {}).get("searchable"), CODE, "facet search is not enabled")
+            require(c and c["kind"] == "facet" and c.get("values", {}).get("searchable"), CODE, "state: this facet isn't searched")
             out["facet_search"][name] = _typed("string", text, "facet search")
         if "drilldown" in state:
             out["drilldown"] = self._drilldown(state["drilldown"])
         page, limit = state.get("page", 1), state.get("limit", 25)
-        require(isinstance(page, int) and 1 <= page <= MAX_PAGE, CODE, "page must be between 1 and 100000")
-        require(isinstance(limit, int) and 1 <= limit <= MAX_LIMIT, CODE, "limit must be between 1 and 100")
+        require(isinstance(page, int) and 1 <= page <= MAX_PAGE, CODE, "state: pages go from 1 to 100000")
+        require(isinstance(limit, int) and 1 <= limit <= MAX_LIMIT, CODE, "state: 1 to 100 rows a page")
         return out | {"page": page, "limit": limit}
 
     def _filter_value(self, control: dict[str, Any], value: Any) -> Any:
         kind = self.domain.resolve(control["field"]).column.type
         if control["kind"] == "facet":
-            require(isinstance(value, list), CODE, "facet selection must be an array")
-            require(len(value) <= MAX_FACET_VALUES, CODE, "facet selection has too many values")
+            require(isinstance(value, list), CODE, "facet: expected a list of choices")
+            require(len(value) <= MAX_FACET_VALUES, CODE, "facet: more choices than are allowed")
             made = list(dict.fromkeys(_typed(kind, v, "facet value") for v in value))
             if control.get("values", {}).get("source") == "fixed":
                 allowed = {o["value"] for o in control["values"]["options"]}
-                require(set(made) <= allowed, CODE, "facet selection is not a fixed option")
+                require(set(made) <= allowed, CODE, "facet: not among the declared options")
             return made
         if control["kind"] == "range":
-            require(isinstance(value, dict) and set(value) <= {"min", "max"}, CODE, "range contains unknown keys")
+            require(isinstance(value, dict) and set(value) <= {"min", "max"}, CODE, "range: keys that nothing reads")
             return {k: _typed(kind, v, "range bound") for k, v in value.items() if v not in (None, "")}
         return _typed("string", value, "text filter")
 
     def _drilldown(self, raw: Any) -> dict[str, Any]:
-        require(isinstance(raw, dict) and set(raw) == {"view", "values"}, CODE, "drilldown must be an object with view and values")
+        require(isinstance(raw, dict) and set(raw) == {"view", "values"}, CODE, "drilldown: expected view and values")
         source = self.views.get(raw["view"])
-        require(source and source["kind"] == "aggregate", CODE, "drilldown source is unknown")
+        require(source and source["kind"] == "aggregate", CODE, "drilldown: no aggregate view has this id")
         groups = source["query"].groups
-        require(isinstance(raw["values"], list) and len(raw["values"]) == len(groups), CODE, "drilldown value count does not match its groups")
+        require(isinstance(raw["values"], list) and len(raw["values"]) == len(groups), CODE, "drilldown: one value for each group of the view")
         values = [None if v is None else _typed(self.domain.resolve(g.args[0]).column.type if g.kind == "field" else "string", v, "drilldown value") for g, v in zip(groups, raw["values"])]
         return {"view": raw["view"], "values": values}
 

@@ -68,7 +68,7 @@ def group(low: Lowering, outputs: list[E.Node]) -> None:
         column = F.col(f"a{j}")
         if node.kind == "dimension_display" and q.mode != "plain":
             key = node.args[1].bare
-            require(key in keys, "invalid_query", "the dimension key must be grouped")
+            require(key in keys, "invalid_query", "group_by: lacks the key of a dimension that is shown")
             column = F.when(F.col(f"g{keys.index(key)}_up") == 0, column)
         low.bound[node] = Typed(column, _kind(node, argument))
     for o in outputs:
@@ -88,7 +88,7 @@ def _mask(node: E.Node, keys: list[E.Node], mode: str) -> Column:
     """GROUPING(f1, ..., fn): bit n - 1 for f1, ..., bit 0 for fn."""
     total = F.lit(0).cast("long")
     for i, f in enumerate(node.args):
-        require(f.bare in keys, "invalid_query", "grouping requires grouped fields")
+        require(f.bare in keys, "invalid_query", "grouping marks fields that rows are grouped by")
         if mode != "plain":
             total = total + F.shiftleft(F.col(f"g{keys.index(f.bare)}_up").cast("long"), len(node.args) - 1 - i)
     return total

@@ -58,7 +58,7 @@ class Lowering:
         if node in self.bound:
             return self.bound[node]
         if isinstance(node, tuple):  # ('previous', column)
-            require(node[1] in self.previous, "unknown_field", "previous column is not available", field=str(node[1]))
+            require(node[1] in self.previous, "unknown_field", "the last level has no such column", field=str(node[1]))
             return self.previous[node[1]]
         if node.kind != "field" or self.grouped:
             return None
@@ -67,7 +67,7 @@ class Lowering:
     def field(self, path: str) -> Typed:
         head, _, tail = path.partition(".")
         if head in self.sources and tail:
-            require(tail in self.sources[head], "unknown_field", "field is not available", field=path)
+            require(tail in self.sources[head], "unknown_field", "no field has this path", field=path)
             return self.sources[head][tail]
         r = self.domain.resolve(path)
         c = r.column
@@ -105,7 +105,7 @@ class Lowering:
         table = self.engine.catalog.table(relation.table)
         names = [c.name for c in relation.columns.values() if c.computed is None]
         missing = [n for n in names if n not in table.columns]
-        require(not missing, "invalid_domain", "column is missing from its table", table=relation.table, fields=missing)
+        require(not missing, "invalid_domain", "the table lacks a declared column", table=relation.table, fields=missing)
         return table.select(*[F.col(f"`{n}`").alias(prefix + n) for n in names])
 
     def association_where(self, frame: DataFrame, prefix: str, where: Any, columns: dict[str, Any]) -> DataFrame:
@@ -116,7 +116,7 @@ class Lowering:
             if value is None:
                 frame = frame.where(col.isNull())
             elif isinstance(value, list):
-                require(len(value) == 2 and value[0] == "ne" and value[1][0] == "field", "invalid_domain", "association inequality requires physical local fields")
+                require(len(value) == 2 and value[0] == "ne" and value[1][0] == "field", "invalid_domain", "unequal keys compare stored fields")
                 frame = frame.where(col != F.col(prefix + value[1][1]))
             else:
                 frame = frame.where(col == lit_for(value, kind))
@@ -143,7 +143,7 @@ class Lowering:
 
     def _owner_key(self, steps: tuple[str, ...], a: Association) -> Column:
         relation = self.domain.association(".".join(steps))[1] if steps else self.domain.root
-        require(a.owner_key in relation.columns, "invalid_domain", "association key is not a field", field=a.owner_key)
+        require(a.owner_key in relation.columns, "invalid_domain", "the key of the association is no field", field=a.owner_key)
         key = F.col(self.prefixes[steps] + a.owner_key)
         case = relation.columns[a.owner_key].text_case
         return key if case is None else F.upper(key) if case == "upper" else F.lower(key)
@@ -231,9 +231,9 @@ class Lowering:
 
     def compile(self) -> Compiled:
         q = self.query
-        require(q.lock_mode is None, "unsupported_feature", "row locks are not available")
+        require(q.lock_mode is None, "unsupported_feature", "files have no row locks")
         q = self.query = self._with_policy(q)
-        require(q.selections, "invalid_query", "a query requires selections")
+        require(q.selections, "invalid_query", "the query shows nothing")
         self._check_names(q.selections)
         predicate = self._whole_predicate(q)
         used = [*q.selections, *q.groups, *[o for o, _ in q.orders], *([predicate] if predicate is not None else [])]
@@ -246,7 +246,7 @@ class Lowering:
         for name, wanted in existence:
             self._semi(name, wanted)
         if predicate is not None:
-            require(not E.is_aggregate(predicate), "invalid_query", "aggregates are not available in filters")
+            require(not E.is_aggregate(predicate), "invalid_query", "rows are filtered before they are aggregated")
             self.frame = self.frame.where(self.values.column(predicate))
         self._related([n for s in q.selections for n in E.walk(s) if n.kind.startswith("related_")])
         outputs = [*q.selections, *[o for o, _ in q.orders]]
@@ -317,7 +317,7 @@ class Lowering:
         for s in selections:
             name = _name(s)
             clash = seen.get(name)
-            require(clash is None or s.alias is None and clash.alias is None, "invalid_query", "duplicate result column", column=name)
+            require(clash is None or s.alias is None and clash.alias is None, "invalid_query", "two columns of the result share a name", column=name)
             seen[name] = s
 
     def _existence(self, predicate: E.Node | None, outputs: list[E.Node]) -> tuple[E.Node | None, list[tuple[str, bool]]]:
@@ -352,7 +352,7 @@ class Lowering:
         from .nested import add_related
 
         for node in dict.fromkeys(n.bare for n in nodes):
-            require(not self.query.groups, "unsupported_feature", "related collections keep the root grain")
+            require(not self.query.groups, "unsupported_feature", "a collection goes with single rows, not with groups")
             add_related(self, node)
 
 
@@ -436,7 +436,7 @@ def _set_operations(engine: Engine, domain: Domain, query: Query) -> Compiled:
     frame = first.frame
     for op, other in query.set_operations:
         right = compile_query(engine, domain, other)
-        require(len(right.names) == len(first.names), "invalid_query", "set operands must select the same number of columns")
+        require(len(right.names) == len(first.names), "invalid_query", "both sides of a set operation show as many columns")
         frame = {
             "union": lambda a, b: a.union(b).distinct(),
             "union_all": lambda a, b: a.unionAll(b),
@@ -447,7 +447,7 @@ def _set_operations(engine: Engine, domain: Domain, query: Query) -> Compiled:
     keys = []
     for node, direction in query.orders:
         name = _name(node)
-        require(name in first.names, "invalid_query", "set results are ordered by selected outputs", column=name)
+        require(name in first.names, "invalid_query", "a set result is ordered by columns that it shows", column=name)
         keys.append(ordered(F.col(f"c{first.names.index(name)}"), direction))
     return Compiled(_paged(frame, keys, query), first.names, first.types)
 

@@ -21,7 +21,7 @@ def expand_members(engine: Engine, domain: Domain, query: Query) -> Query:
     names, query = query.members, replace(query, members=())
     for name in names:
         found = [(g, domain.query_members[g][name]) for g in GROUPS if name in domain.query_members.get(g, {})]
-        require(len(found) == 1, "invalid_query", "query member is not available", member=name)
+        require(len(found) == 1, "invalid_query", "the domain declares no such member", member=name)
         query = _activate(engine, domain, query, name, *found[0])
     return query
 
@@ -51,9 +51,9 @@ def aggregate(name: str, field: str | None) -> E.Node:
         "count": E.count_field, "count_distinct": E.count_distinct, "sum": E.sum_, "avg": E.avg, "min": E.min_, "max": E.max_,
         "sum_zero": E.sum_zero, "true_count": E.true_count, "false_count": E.false_count, "true_percentage": E.true_percentage,
     }
-    require(name in made, "invalid_query", "aggregate is not available", aggregate=name)
+    require(name in made, "invalid_query", "no aggregate has this name", aggregate=name)
     if field is None:
-        require(name == "count", "invalid_query", f"{name} requires a field")
+        require(name == "count", "invalid_query", f"{name}: of which field?")
         return E.count()
     return made[name](field)
 
@@ -63,7 +63,7 @@ def _activate(engine: Engine, domain: Domain, query: Query, name: str, group: st
     join = spec.get("join") or {}
     if group == "ctes" and "base" in spec:
         depth = spec.get("max_depth", DEFAULT_DEPTH)
-        require(1 <= depth <= MAX_DEPTH, "invalid_query", "max_depth must be between 1 and 10000")
+        require(1 <= depth <= MAX_DEPTH, "invalid_query", "max_depth: 1 to 10000")
         return query.with_recursive_cte(
             name, member_query(spec["base"]), member_query(spec["step"], previous=True), step_on=tuple(spec["step_join"]), domain=other, step_domain=other,
             columns=spec["columns"], max_depth=depth, owner=join.get("owner"), related=join.get("related"), join_type=join.get("type", "left"),

@@ -42,7 +42,7 @@ def _child(low: Lowering, association: str, nodes: list[E.Node], filters: dict[s
     association's predicates and equality filters hold; and its key columns."""
     from .lower import Lowering
 
-    require("." not in association, "invalid_query", "related collections must start at a direct association")
+    require("." not in association, "invalid_query", "the association isn't one to-many step away")
     associations, relation = low.domain.association(association)
     a = associations[-1]
     child = Lowering(low.engine, low.domain.reroot(association), Query())
@@ -79,7 +79,7 @@ def _attach(low: Lowering, node: E.Node, name: str) -> Column:
     relation = low.domain.association(association)[1]
     plain = [n for _, n in items if n.kind != "related_collection"]
     for n in plain:
-        require(len(E.fields_of(n)) == 1, "invalid_query", "related collection expressions must reference one child field")
+        require(len(E.fields_of(n)) == 1, "invalid_query", "an entry of a collection reads one field of the child")
     tiebreak = (E.field(relation.primary_key), "asc")
     ordering = list(orders) + ([tiebreak] if tiebreak[0] not in [o.bare for o, _ in orders] and relation.primary_key in relation.columns else [])
     child, key, scope = _child(low, association, [*plain, *[o for o, _ in ordering]], filters.value if filters else {})
@@ -93,16 +93,34 @@ def _attach(low: Lowering, node: E.Node, name: str) -> Column:
             fields.append(F.coalesce(array, F.array().cast(_array_type(child, array))).alias(k))
         else:
             fields.append(_portable(child.values.typed(n)).alias(k))
-    place = F.row_number().over(Window.partitionBy(key, *scope).orderBy(*[ordered(child.values.column(o), d) for o, d in ordering] or [F.lit(1)]))
-    rows = child.frame.select(*[c.alias(f"{name}_k{i}") for i, c in enumerate((key, *scope))], place.alias("p"), F.struct(*fields).alias("f"))
-    if limit is not None:
-        rows = rows.where(F.col("p") <= limit)
-    gathered = F.transform(F.sort_array(F.collect_list(F.struct("p", "f"))), lambda x: x["f"])
+    held = [c.alias(f"{name}_k{i}") for i, c in enumerate((key, *scope))]
+    keys = [(child.values.column(o), d) for o, d in ordering] or [(F.to_json(F.struct(*fields)), "asc")]
+    shown = F.struct(*fields).alias("f")
+    if limit is None:
+        rows = child.frame.select(*held, F.struct(*[k.alias(f"o{i}") for i, (k, _) in enumerate(keys)], shown).alias("x"))
+        gathered = F.array_sort(F.collect_list("x"), lambda a, b: _compared(a, b, [d for _, d in keys]))
+        gathered = F.transform(gathered, lambda x: x["f"])
+    else:
+        place = F.row_number().over(Window.partitionBy(key, *scope).orderBy(*[ordered(k, d) for k, d in keys]))
+        rows = child.frame.select(*held, place.alias("p"), shown).where(F.col("p") <= limit)
+        gathered = F.transform(F.sort_array(F.collect_list(F.struct("p", "f"))), lambda x: x["f"])
     arrays = rows.groupBy(*[f"{name}_k{i}" for i in range(1 + len(scope))]).agg(gathered.alias(name))
     _join_to_parent(low, association, arrays, name)
     return F.col(name)
 
 
+def _compared(a: Column, b: Column, directions: list[str]) -> Column:
+    """-1, 0 or 1 by the keys o0, o1, ... of two structs; NULLs are the largest values."""
+    out = F.lit(0)
+    for i in reversed(range(len(directions))):
+        x, y = a[f"o{i}"], b[f"o{i}"]
+        less, more = (1, -1) if directions[i] == "desc" else (-1, 1)
+        before = y.isNull() & x.isNotNull() | F.coalesce(x < y, F.lit(False))
+        after = x.isNull() & y.isNotNull() | F.coalesce(x > y, F.lit(False))
+        out = F.when(before, less).when(after, more).otherwise(out)
+    return out
+
+
 def _array_type(low: Lowering, array: Column) -> str:
     return low.frame.select(array.alias("x")).schema["x"].dataType.simpleString()
 
@@ -117,7 +135,7 @@ def _portable(t: Typed) -> Column:
 def _cursor(child: Lowering, key: Column, orders: list[tuple[E.Node, str]], after: dict[str, Any]) -> Column:
     """Rows past the cursor for its parent, all rows for the others; NULLs are the
     largest values."""
-    require(set(after) == {"parent", "values"} and len(after["values"]) == len(orders), "invalid_query", "per-parent collection cursor is invalid")
+    require(set(after) == {"parent", "values"} and len(after["values"]) == len(orders), "invalid_query", "a cursor names its parent and one value for each order")
     past: Column | None = None
     same = F.lit(True)
     for (node, direction), value in zip(orders, after["values"]):

@@ -44,13 +44,13 @@ def _compile(low: Lowering, spec: dict[str, Any], key: str = "query", domain_key
 
     domain = spec.get(domain_key) or low.domain
     query = spec[key](low.engine, domain) if callable(spec[key]) else spec[key]
-    require(isinstance(query, Query), "invalid_query", "a sub-plan must be a query")
+    require(isinstance(query, Query), "invalid_query", "expected a query as source")
     return compile_query(low.engine, domain, query)
 
 
 def _named(low: Lowering, alias: str, compiled: Compiled, prefix: str, columns: Any = None) -> DataFrame:
     names = list(columns or compiled.names)
-    require(len(names) == len(compiled.names) and len(set(names)) == len(names), "invalid_query", "source columns must be distinct and complete", source=alias)
+    require(len(names) == len(compiled.names) and len(set(names)) == len(names), "invalid_query", "columns of a source: one name each, and all named", source=alias)
     low.sources[alias] = {n: Typed(F.col(prefix + n), k) for n, k in zip(names, compiled.types)}
     return compiled.frame.toDF(*[prefix + n for n in names])
 
@@ -60,7 +60,7 @@ def _attach(low: Lowering, alias: str, frame: DataFrame, spec: dict[str, Any], p
     if spec["owner"] is None:
         low.frame = low.frame.crossJoin(frame)
         return
-    require(spec["related"] in low.sources[alias], "unknown_field", "field is not available", field=str(spec["related"]))
+    require(spec["related"] in low.sources[alias], "unknown_field", "no field has this path", field=str(spec["related"]))
     owner = low.field(spec["owner"]).col
     low.frame = low.frame.join(frame, owner == F.col(prefix + spec["related"]), spec["join_type"])
 
@@ -74,7 +74,7 @@ def _subquery(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> N
     frame = _named(low, alias, _compile(low, spec), prefix)
     condition = F.lit(True)
     for mine, theirs in spec["on"]:
-        require(theirs in low.sources[alias], "unknown_field", "field is not available", field=theirs)
+        require(theirs in low.sources[alias], "unknown_field", "no field has this path", field=theirs)
         condition = condition & (low.field(mine).col == F.col(prefix + theirs))
     low.frame = low.frame.join(frame, condition, spec["join_type"])
 
@@ -89,7 +89,7 @@ def _values(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> Non
         cells = [r[i] for r in spec["rows"] if r[i] is not None]
         guess = "boolean" if cells and all(isinstance(v, bool) for v in cells) else "integer" if cells and all(isinstance(v, int) for v in cells) else "double" if cells and all(isinstance(v, (int, float)) for v in cells) else "string"
         kinds.append(guess if isinstance(c, str) else c[1])
-    require(all(len(r) == len(names) for r in spec["rows"]), "invalid_query", "values rows must match their columns", source=alias)
+    require(all(len(r) == len(names) for r in spec["rows"]), "invalid_query", "a row is longer or shorter than the columns", source=alias)
     schema = T.StructType([T.StructField(prefix + n, spark_type(k)) for n, k in zip(names, kinds)])
     rows = [tuple(_typed_cell(v, f.dataType) for v, f in zip(r, schema)) for r in spec["rows"]]
     frame = F.broadcast(low.engine.spark.createDataFrame(rows, schema))  # rows written in the query
@@ -140,7 +140,7 @@ def _lateral(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> No
 
 def _array_rowset(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> None:
     x = low.field(spec["path"])
-    require(x.kind == "array", "invalid_query", "a rowset requires an array field", field=spec["path"])
+    require(x.kind == "array", "invalid_query", "only an array has elements", field=spec["path"])
     make = F.posexplode_outer if spec["join_type"] == "left" else F.posexplode
     low.frame = low.frame.select("*", make(x.col).alias(prefix + "position", prefix + "value"))
     low.sources[alias] = {"value": Typed(F.col(prefix + "value"), x.items or "string")}
@@ -150,7 +150,7 @@ def _array_rowset(low: Lowering, alias: str, spec: dict[str, Any], prefix: str)
 
 def _json_rowset(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> None:
     x = low.field(spec["path"])
-    require(category(x.kind) == "json", "invalid_query", "a JSON rowset requires a JSON field", field=spec["path"])
+    require(category(x.kind) == "json", "invalid_query", "only JSON has objects", field=spec["path"])
     text = F.get_json_object(x.col, json_path(spec["json_path"])) if spec["json_path"] else x.col
     shape = T.StructType([T.StructField(n, spark_type(k)) for n, k in spec["columns"].items()])
     parsed = F.from_json(text, T.ArrayType(shape))
@@ -173,7 +173,7 @@ TABLE_FUNCTIONS = {
 
 def _function(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) -> None:
     functions = TABLE_FUNCTIONS | low.engine.table_functions
-    require(spec["function"] in functions, "unsupported_feature", "table function is not available", function=spec["function"])
+    require(spec["function"] in functions, "unsupported_feature", "no table function has this name", function=spec["function"])
     arguments = [low.field(a[1]).col if isinstance(a, (list, tuple)) and a[0] == "field" else F.lit(a) for a in spec["arguments"]]
     low.frame = low.frame.select("*", functions[spec["function"]](*arguments).alias(prefix + spec["column"]))
     column = F.col(prefix + spec["column"]).cast(spark_type(spec["type"]).simpleString())
@@ -188,19 +188,19 @@ def _recursive(low: Lowering, alias: str, spec: dict[str, Any], prefix: str) ->
 
     columns = list(spec["columns"])
     base = _compile(low, spec, "base")
-    require(len(base.names) == len(columns), "invalid_query", "recursive columns must match the anchor")
+    require(len(base.names) == len(columns), "invalid_query", "the anchor shows other columns than are declared")
     kinds = base.types
     depth = spec["max_depth"]
     level = written(base.frame.toDF(*columns).withColumn("recursion_depth", F.lit(1).cast("long")), "recursion")
     levels = [level]
     before, step_field = spec["step_on"]
-    require(before in columns, "invalid_query", "the step joins on an unknown column", column=before)
+    require(before in columns, "invalid_query", "the step joins on a column that the recursion lacks", column=before)
     domain = spec.get("step_domain") or spec.get("domain") or low.domain
     step = spec["step"](low.engine, domain) if callable(spec["step"]) else spec["step"]
     for k in range(2, (depth or ROOT_LEVELS + 1) + 1):
         if level.isEmpty():
             break
-        require(depth is not None or k <= ROOT_LEVELS, "invalid_query", "recursion is too deep; give it a max_depth")
+        require(depth is not None or k <= ROOT_LEVELS, "invalid_query", "the recursion doesn't end; bound it by max_depth")
         known = {c: Typed(F.col(f"p_{c}"), t) for c, t in zip(columns, kinds)}
         level = written(_step(low, compile_query, domain, step, level, known, before, step_field, columns, k), "recursion")
         levels.append(level)
@@ -222,7 +222,7 @@ def _step(low: Lowering, compile_query: Any, domain: Any, step: Query, level: Da
     frame = frame.join(level.select(*[F.col(c).alias(f"p_{c}") for c in columns]), one.field(step_field).col == F.col(f"p_{before}"), "inner")
     if predicate is not None:
         frame = frame.where(one.values.column(predicate))
-    require(len(step.selections) == len(columns), "invalid_query", "recursive columns must match the step")
+    require(len(step.selections) == len(columns), "invalid_query", "the step shows other columns than the anchor")
     return frame.select(*[one.values.column(s).alias(c) for s, c in zip(step.selections, columns)], F.lit(k).cast("long").alias("recursion_depth"))
 
 

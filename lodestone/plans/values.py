@@ -40,7 +40,7 @@ def lit_for(value: Any, kind: str) -> Column:
         return F.lit(None)
     group = category(kind)
     if group == "boolean" and not isinstance(value, bool):
-        require(value in (0, 1, "0", "1", "true", "false"), "invalid_query", "boolean literal expected", value=str(value))
+        require(value in (0, 1, "0", "1", "true", "false"), "invalid_query", "expected a truth value", value=str(value))
         return F.lit(value in (1, "1", "true"))
     if kind == "date" and isinstance(value, str) and len(value) <= 10:
         return F.lit(value).cast("date")
@@ -64,10 +64,10 @@ def exact(value: Any) -> Column:
     except ArithmeticError:
         return F.lit(value)
     sign, digits, exponent = number.as_tuple()
-    require(isinstance(exponent, int), "invalid_query", "number must be finite")
+    require(isinstance(exponent, int), "invalid_query", "expected a finite number")
     scale = max(0, -exponent)
     precision = max(len(digits) + max(0, exponent), scale, 1)
-    require(precision <= 38, "unsupported_precision", "number has more than 38 digits")
+    require(precision <= 38, "unsupported_precision", "a number of more than 38 digits")
     return F.lit(format(number, "f")).cast(f"decimal({precision},{scale})")
 
 
@@ -91,13 +91,13 @@ class Values:
             return self._text(node)
         if node.kind in E.ARRAYS:
             return self._array(node)
-        require(method is not None, "invalid_query", f"unsupported expression {node.kind}")
+        require(method is not None, "invalid_query", f"{node.kind} has no value here")
         return method(*node.args)
 
     # -- leaves ----------------------------------------------------------------
 
     def _field(self, path: str) -> Typed:
-        raise SelectError("invalid_query", "selected fields must be grouped", {"field": path})
+        raise SelectError("invalid_query", "group_by: lacks a field that is shown", {"field": path})
 
     def _literal(self, value: Any) -> Typed:
         kind = "boolean" if isinstance(value, bool) else "integer" if isinstance(value, int) else "double" if isinstance(value, float) else "decimal" if isinstance(value, Decimal) else "string"
@@ -148,12 +148,12 @@ class Values:
 
     def _array(self, node: E.Node) -> Typed:
         x = self.typed(node.args[0])
-        require(x.kind == "array", "invalid_query", f"{node.kind} requires an array field")
+        require(x.kind == "array", "invalid_query", f"{node.kind} looks into arrays")
         return Typed(text.array_predicate(node.kind, x.col, node.args[1], spark_type(x.items or "string").simpleString()), "boolean")
 
     def _json_contains(self, a: E.Node, document: E.Frozen | None) -> Typed:
         x = self.typed(a)
-        require(category(x.kind) == "json", "invalid_query", "json_contains requires a JSON field")
+        require(category(x.kind) == "json", "invalid_query", "json_contains looks into JSON")
         return Typed(text.json_contains(x.col, document.value if document else None), "boolean")
 
     def _structured_compare(self, a: E.Node, op: str, value: E.Frozen) -> Typed:
@@ -163,14 +163,14 @@ class Values:
             kind = spark_type(x.items or "string").simpleString()
             same = lambda v: x.col == text.array_literal(tuple(v), kind)
         else:
-            require(category(x.kind) == "json", "invalid_query", "structured comparison requires a JSON or array field")
+            require(category(x.kind) == "json", "invalid_query", "structured values are JSON or arrays")
             same = lambda v: text.json_equal(x.col, v)
         hit = reduce(lambda p, q: p | q, map(same, wanted)) if op in ("in", "not_in") else same(wanted)
         return Typed(~hit if op in ("neq", "not_in") else hit, "boolean")
 
     def _date_shortcut(self, a: E.Node, shortcut: str, today: str | None) -> Typed:
         x = self.typed(a)
-        require(x.kind in ("date", "epoch_datetime") or category(x.kind) == "datetime", "invalid_query", "date shortcut requires a date or time field")
+        require(x.kind in ("date", "epoch_datetime") or category(x.kind) == "datetime", "invalid_query", "date shortcuts apply to dates and times")
         value = dates.read_instant(x.col, x.kind, x.storage) if x.kind == "epoch_datetime" else x.col
         if self.timezone and x.kind in (*INSTANTS, "epoch_datetime"):
             value = dates.shown_in_zone(x.col, x.kind, x.storage, self.timezone)
@@ -193,7 +193,7 @@ class Values:
 
     def _datetime_format(self, a: E.Node, style: str, timezone: str | None) -> Typed:
         x = self.typed(a)
-        require(x.kind in ("date", "epoch_datetime") or category(x.kind) == "datetime", "invalid_query", "date format requires a date or time field")
+        require(x.kind in ("date", "epoch_datetime") or category(x.kind) == "datetime", "invalid_query", "date formats apply to dates and times")
         value = dates.read_instant(x.col, x.kind, x.storage) if x.kind in (*INSTANTS, "epoch_datetime") else x.col
         kind = "integer" if style.startswith("epoch_") else "string"
         return Typed(dates.format_datetime(value, style, x.kind, timezone or self.timezone), kind)

@@ -22,14 +22,14 @@ def _bound(bound: Any, start: bool) -> int:
     if bound == "current_row":
         return 0
     if bound == "unbounded_preceding":
-        require(start, "invalid_query", "a frame cannot end at unbounded_preceding")
+        require(start, "invalid_query", "frame: no row stands before the first")
         return Window.unboundedPreceding
     if bound == "unbounded_following":
-        require(not start, "invalid_query", "a frame cannot start at unbounded_following")
+        require(not start, "invalid_query", "frame: no row stands after the last")
         return Window.unboundedFollowing
-    require(isinstance(bound, dict) and len(bound) == 1, "invalid_query", "frame bound is not available")
+    require(isinstance(bound, dict) and len(bound) == 1, "invalid_query", "frame: no such bound")
     (side, n), = bound.items()
-    require(side in ("preceding", "following") and isinstance(n, int) and not isinstance(n, bool) and n >= 0, "invalid_query", "frame offsets must be non-negative integers")
+    require(side in ("preceding", "following") and isinstance(n, int) and not isinstance(n, bool) and n >= 0, "invalid_query", "frame: an offset is a whole number from 0")
     return -n if side == "preceding" else n
 
 
@@ -38,9 +38,9 @@ def frame_of(frame: E.Frozen | None) -> tuple[str, int, int] | None:
         return None
     spec = frame.value
     unit = spec.get("unit", spec.get("type", "rows"))
-    require(unit in ("rows", "range", "groups"), "invalid_query", "frame unit must be rows, range or groups")
+    require(unit in ("rows", "range", "groups"), "invalid_query", "frame: rows, range or groups")
     start, end = _bound(spec.get("start"), True), _bound(spec.get("end", "current_row"), False)
-    require(start <= end, "invalid_query", "a frame must not end before it starts")
+    require(start <= end, "invalid_query", "frame: its end stands before its start")
     return unit, start, end
 
 
@@ -60,10 +60,10 @@ def add_windows(df: DataFrame, nodes: list[E.Node], values: Values) -> tuple[Dat
                 spec = (spec if keys else spec.orderBy(F.lit(1))).rowsBetween(start, end)
             elif unit == "range":
                 offsets = any(b not in (0, Window.unboundedPreceding, Window.unboundedFollowing) for b in (start, end))
-                require(not offsets or len(orders) == 1, "invalid_query", "range offsets require one order key")
+                require(not offsets or len(orders) == 1, "invalid_query", "frame: a range counts along one order key")
                 spec = spec.rangeBetween(start, end)
             else:  # peer groups are numbered first, then framed as a range of numbers
-                require(keys, "invalid_query", "a groups frame requires an order")
+                require(keys, "invalid_query", "frame: groups are told by an order")
                 df = df.withColumn(f"{column}_peer", F.dense_rank().over(spec))
                 spec = Window.partitionBy(*[values.column(p) for p in partition]).orderBy(f"{column}_peer").rangeBetween(start, end)
         typed = _function(name, arguments, values, spec, bool(keys))
@@ -73,7 +73,7 @@ def add_windows(df: DataFrame, nodes: list[E.Node], values: Values) -> tuple[Dat
 
 
 def _number(node: E.Node, label: str) -> int:
-    require(node.kind == "literal" and isinstance(node.args[0], int) and not isinstance(node.args[0], bool), "invalid_query", f"{label} must be an integer")
+    require(node.kind == "literal" and isinstance(node.args[0], int) and not isinstance(node.args[0], bool), "invalid_query", f"{label}: a whole number")
     return node.args[0]
 
 
@@ -85,7 +85,7 @@ def _function(name: str, arguments: tuple[E.Node, ...], values: Values, spec: Wi
         return Typed(column if kind == "double" else column.cast("long"), kind)
     if name == "ntile":
         n = _number(arguments[0], "ntile")
-        require(n > 0, "invalid_query", "ntile must be positive")
+        require(n > 0, "invalid_query", "ntile: 1 part at least")
         return Typed(F.ntile(n).over(spec if sorted_ else spec.orderBy(F.lit(1))).cast("long"), "integer")
     if name == "count" and not arguments:
         return Typed(F.count(F.lit(1)).over(spec), "integer")
@@ -96,7 +96,7 @@ def _function(name: str, arguments: tuple[E.Node, ...], values: Values, spec: Wi
         return Typed(getattr(F, name)(x.col, offset, default).over(spec if sorted_ else spec.orderBy(F.lit(1))), x.kind)
     if name == "nth_value":
         n = _number(arguments[1], "nth_value")
-        require(n > 0, "invalid_query", "nth_value must be positive")
+        require(n > 0, "invalid_query", "nth_value: counts from 1")
         return Typed(F.nth_value(x.col, n).over(spec), x.kind)
     column = getattr(F, name)(x.col).over(spec)
     return Typed(column, "integer" if name == "count" else "decimal" if name == "avg" else x.kind)

@@ -68,7 +68,7 @@ class Query:
 
     def _grouped(self, mode: str, given: tuple[Any, ...], sets: tuple[tuple[int, ...], ...] = ()) -> Query:
         nodes = tuple(map(E.operand, _flat(given)))
-        require(nodes, "invalid_query", "group_by requires fields")
+        require(nodes, "invalid_query", "there is nothing to group by")
         return replace(self, groups=nodes, mode=mode, sets=sets)
 
     def group_by(self, *given: Any) -> Query:
@@ -78,19 +78,19 @@ class Query:
         return self._grouped("rollup", given)
 
     def group_by_cube(self, *given: Any) -> Query:
-        require(len(_flat(given)) <= 8, "invalid_query", "cube takes at most 8 dimensions")
+        require(len(_flat(given)) <= 8, "invalid_query", "a cube has 8 dimensions at most")
         return self._grouped("cube", given)
 
     def group_by_grouping_sets(self, dimensions: Any, sets: Any) -> Query:
         """dimensions: fields; sets: lists of positions, [] is the grand total."""
         given = _flat((dimensions,))
-        require(isinstance(sets, (list, tuple)) and 0 < len(sets) <= 64, "invalid_query", "grouping sets take 1 to 64 sets")
+        require(isinstance(sets, (list, tuple)) and 0 < len(sets) <= 64, "invalid_query", "1 to 64 grouping sets")
         chosen = []
         for s in sets:
-            require(all(isinstance(i, int) and 0 <= i < len(given) for i in s) and len(set(s)) == len(s), "invalid_query", "grouping set positions are invalid")
+            require(all(isinstance(i, int) and 0 <= i < len(given) for i in s) and len(set(s)) == len(s), "invalid_query", "a grouping set counts dimensions by place, each once")
             chosen.append(tuple(sorted(s)))
-        require(len(set(chosen)) == len(chosen), "invalid_query", "grouping sets must be distinct")
-        require({i for s in chosen for i in s} == set(range(len(given))), "invalid_query", "every dimension must be used by a grouping set")
+        require(len(set(chosen)) == len(chosen), "invalid_query", "two grouping sets are the same")
+        require({i for s in chosen for i in s} == set(range(len(given))), "invalid_query", "a dimension is in no grouping set")
         return self._grouped("grouping_sets", (given,), tuple(chosen))
 
     def grouping_positions(self) -> list[tuple[int, ...]]:
@@ -106,18 +106,18 @@ class Query:
     # -- order and page --------------------------------------------------------
 
     def order_by(self, what: Any, direction: str = "asc") -> Query:
-        require(direction in ("asc", "desc"), "invalid_query", "direction must be asc or desc")
+        require(direction in ("asc", "desc"), "invalid_query", "direction: asc or desc")
         return replace(self, orders=self.orders + ((E.operand(what), direction),))
 
     def replace_orders(self, orders: Any) -> Query:
         return replace(self, orders=tuple(E._order(o) for o in orders))
 
     def limit(self, n: int | None) -> Query:
-        require(n is None or isinstance(n, int) and n >= 0, "invalid_query", "limit must be a non-negative integer")
+        require(n is None or isinstance(n, int) and n >= 0, "invalid_query", "limit: a whole number from 0")
         return replace(self, limit_value=n)
 
     def offset(self, n: int | None) -> Query:
-        require(n is None or isinstance(n, int) and n >= 0, "invalid_query", "offset must be a non-negative integer")
+        require(n is None or isinstance(n, int) and n >= 0, "invalid_query", "offset: a whole number from 0")
         return replace(self, offset_value=n)
 
     def count_query(self) -> Query:
@@ -130,11 +130,11 @@ class Query:
         try:
             ZoneInfo(zone)
         except Exception:  # noqa: BLE001  any bad name
-            require(False, "invalid_query", "timezone must be a valid IANA timezone name", timezone=str(zone))
+            require(False, "invalid_query", "no time zone has this name", timezone=str(zone))
         return replace(self, timezone=zone)
 
     def lock(self, mode: str) -> Query:
-        require(mode in ("share", "update"), "invalid_query", "lock mode must be share or update")
+        require(mode in ("share", "update"), "invalid_query", "lock: share or update")
         return replace(self, lock_mode=mode)
 
     # -- relations -------------------------------------------------------------
@@ -146,13 +146,13 @@ class Query:
     def retarget(self, association: str, strategy: str = "in") -> Query:
         """Switch the row grain to an association's target: its rows reachable from the
         rows that this query selects so far."""
-        require(strategy in ("in", "exists"), "invalid_query", "retarget strategy must be in or exists")
+        require(strategy in ("in", "exists"), "invalid_query", "strategy: in or exists")
         context = replace(self, selections=(), orders=(), limit_value=None, offset_value=None)
         return Query(retargeted=(association, strategy, context), timezone=self.timezone)
 
     def _set(self, op: str, other: Query) -> Query:
         for q in (self, other):
-            require(not q.orders and q.limit_value is None and q.offset_value is None, "invalid_query", "set operands carry no order or limit")
+            require(not q.orders and q.limit_value is None and q.offset_value is None, "invalid_query", "order and limit belong to the whole set operation")
         return replace(self, set_operations=self.set_operations + ((op, other),))
 
     def union(self, other: Query) -> Query:
@@ -168,13 +168,13 @@ class Query:
         return self._set("except", other)
 
     def _source(self, kind: str, alias: str, **spec: Any) -> Query:
-        require(isinstance(alias, str) and E.IDENTIFIER.fullmatch(alias), "invalid_query", "source alias must be an identifier", alias=str(alias))
-        require(alias not in [s.alias for s in self.sources], "invalid_query", "source aliases must be distinct", alias=alias)
+        require(isinstance(alias, str) and E.IDENTIFIER.fullmatch(alias), "invalid_query", "alias: expected a name of letters, digits and underscores", alias=str(alias))
+        require(alias not in [s.alias for s in self.sources], "invalid_query", "alias: another source has it", alias=alias)
         return replace(self, sources=self.sources + (Source(kind, alias, spec),))
 
     def with_cte(self, name: str, query: Query, *, domain: Any = None, columns: Any = None, owner: str | None = None, related: str | None = None, join_type: str = "left") -> Query:
         """A named sub-query, joined on owner = related if these are given."""
-        require(join_type in ("left", "inner"), "invalid_query", "join type must be left or inner")
+        require(join_type in ("left", "inner"), "invalid_query", "join: left or inner")
         return self._source("cte", name, query=query, domain=domain, columns=columns, owner=owner, related=related, join_type=join_type)
 
     def with_recursive_cte(
@@ -183,7 +183,7 @@ class Query:
     ) -> Query:
         """step_on: (column of the level before, field of the step's domain). A
         max_depth adds the column ``recursion_depth``, 1 at the anchor."""
-        require(max_depth is None or isinstance(max_depth, int) and 1 <= max_depth <= 10_000, "invalid_query", "max_depth must be between 1 and 10000")
+        require(max_depth is None or isinstance(max_depth, int) and 1 <= max_depth <= 10_000, "invalid_query", "max_depth: 1 to 10000")
         return self._source("recursive_cte", name, base=base, step=step, step_on=step_on, domain=domain, step_domain=step_domain, columns=columns, max_depth=max_depth, owner=owner, related=related, join_type=join_type)
 
     def with_values(self, rows: Any, columns: Any, alias: str, *, owner: str | None = None, related: str | None = None, join_type: str = "left") -> Query:
@@ -192,24 +192,24 @@ class Query:
 
     def subquery_join(self, alias: str, query: Query, on: Any, *, domain: Any = None, join_type: str = "left") -> Query:
         """on: one or more (field, column of the sub-query)."""
-        require(on, "invalid_query", "a subquery join requires equality pairs")
+        require(on, "invalid_query", "a sub-query is joined on pairs of field and column")
         return self._source("subquery", alias, query=query, domain=domain, on=tuple(map(tuple, on)), join_type=join_type)
 
     def lateral_join(self, alias: str, query: Query, correlations: Any, *, domain: Any = None, join_type: str = "left") -> Query:
         """A sub-query per row. correlations: (field of this query, field of the
         sub-query's domain), equalities."""
-        require(correlations, "invalid_query", "a lateral join requires correlations")
-        require(join_type in ("left", "inner", "cross"), "invalid_query", "join type must be left, inner or cross")
+        require(correlations, "invalid_query", "nothing ties the lateral query to its row")
+        require(join_type in ("left", "inner", "cross"), "invalid_query", "join: left, inner or cross")
         return self._source("lateral", alias, query=query, domain=domain, on=tuple(map(tuple, correlations)), join_type=join_type)
 
     def array_rowset(self, path: str, alias: str, *, ordinality: str | None = None, join_type: str = "cross") -> Query:
         """A row per array element, as alias.value."""
-        require(join_type in ("left", "inner", "cross"), "invalid_query", "join type must be left, inner or cross")
+        require(join_type in ("left", "inner", "cross"), "invalid_query", "join: left, inner or cross")
         return self._source("array_rowset", alias, path=path, ordinality=ordinality, join_type=join_type)
 
     def json_rowset(self, path: str, alias: str, columns: dict[str, str], *, json_path: Any = (), join_type: str = "left") -> Query:
         """A row per object of a JSON array, with typed columns."""
-        require(columns, "invalid_query", "a JSON rowset requires columns")
+        require(columns, "invalid_query", "columns to read from the objects are not given")
         return self._source("json_rowset", alias, path=path, columns=columns, json_path=tuple(json_path), join_type=join_type)
 
     def function_lateral(self, function: str, arguments: Any, alias: str, *, column: str = "value", kind: str = "integer", join_type: str = "cross") -> Query:

@@ -36,7 +36,7 @@ def _cell(column: Column, kind: T.DataType, separator: str) -> Column:
 
 def delimited_lines(df: DataFrame, style: str = "csv") -> DataFrame:
     """One column ``line``; NULL is empty, quotes only where needed."""
-    require(style in SEPARATORS, "unsupported_format", "format must be csv or tsv", format=style)
+    require(style in SEPARATORS, "unsupported_format", "format: csv or tsv", format=style)
     separator = SEPARATORS[style]
     cells = [_cell(F.col(f"`{f.name}`"), f.dataType, separator) for f in df.schema.fields]
     return df.select(F.concat_ws(separator, *cells).alias("line"))
@@ -49,21 +49,14 @@ def header_line(names: list[str], style: str = "csv") -> str:
 
 
 def write_delimited(df: DataFrame, path: str, style: str = "csv") -> None:
-    """Part files with CRLF line ends; the header goes into each."""
-    lines = delimited_lines(df, style)
-    head = header_line(df.columns, style)
-
-    def with_header(batches):
-        import pandas as pd
-
-        first = True
-        for batch in batches:
-            if first:
-                batch = pd.concat([pd.DataFrame({"line": [head]}), batch])
-                first = False
-            yield batch
-
-    lines.mapInPandas(with_header, "line string").write.option("lineSep", "\r\n").text(path)
+    """Part files with CRLF line ends; the header goes into each: before the line that is
+    the first of its partition. A result without rows is one file of the header."""
+    lines, head = delimited_lines(df, style), header_line(df.columns, style)
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    headed = lines.select(F.when(in_partition == 0, F.concat(F.lit(head + "\r\n"), "line")).otherwise(F.col("line")).alias("line"))
+    if lines.isEmpty():
+        headed = df.sparkSession.createDataFrame([(head,)], "line string")
+    headed.write.option("lineSep", "\r\n").text(path)
 
 
 def plain(value: Any) -> Any:
@@ -103,7 +96,7 @@ def encode(result: dict[str, Any], style: str = "json", limits: Limits | None =
         shaped = [dict(zip(columns, r)) for r in rows] if objects else rows
         made = canonical_json({"columns": columns, "rows": shaped})
     else:
-        require(style in SEPARATORS, "unsupported_format", "format must be json, csv or tsv", format=style)
+        require(style in SEPARATORS, "unsupported_format", "format: json, csv or tsv", format=style)
         separator = SEPARATORS[style]
 
         def cell(v: Any) -> str:

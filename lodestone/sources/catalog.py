@@ -20,12 +20,12 @@ class Catalog:
         self._tables: dict[str, DataFrame | Provider] = dict(tables or {})
 
     def add(self, name: str, table: DataFrame | Provider) -> Catalog:
-        require(name not in self._tables, "invalid_catalog", "table is registered already", table=name)
+        require(name not in self._tables, "invalid_catalog", "another table has this name", table=name)
         self._tables[name] = table
         return self
 
     def table(self, name: str | None) -> DataFrame:
-        require(name in self._tables, "unknown_table", "table is not registered", table=str(name))
+        require(name in self._tables, "unknown_table", "no table has this name", table=str(name))
         found = self._tables[name]
         if not isinstance(found, DataFrame):
             found = self._tables[name] = found()

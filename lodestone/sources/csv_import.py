@@ -29,18 +29,18 @@ def inspect_csv(content: bytes, delimiter: str = ",", header: bool = True, limit
     try:
         text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
-        require(False, "import_encoding", "import must be UTF-8")
+        require(False, "import_encoding", "the file is no UTF-8")
         raise
-    require(len(delimiter) == 1, "invalid_import", "delimiter must be one character")
+    require(len(delimiter) == 1, "invalid_import", "delimiter: one character")
     rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
     rows = [r for r in rows if r]
-    require(rows, "import_empty", "import has no rows")
+    require(rows, "import_empty", "the file is empty")
     names = headers(rows[0]) if header else [f"column_{i + 1}" for i in range(len(rows[0]))]
     body = rows[1:] if header else rows
-    require(len(names) <= MAX_COLUMNS, "import_too_wide", "import has too many columns", maximum=MAX_COLUMNS)
-    require(len(body) <= MAX_ROWS, "import_too_long", "import has too many rows", maximum=MAX_ROWS)
+    require(len(names) <= MAX_COLUMNS, "import_too_wide", "more columns than are read", maximum=MAX_COLUMNS)
+    require(len(body) <= MAX_ROWS, "import_too_long", "more rows than are read", maximum=MAX_ROWS)
     for i, r in enumerate(body):
-        require(len(r) <= len(names), "import_row_width", "row has more cells than columns", row=i + 1)
+        require(len(r) <= len(names), "import_row_width", "a row is longer than the header", row=i + 1)
         for cell in r:
             limits.check_bytes("max_result_cell_bytes", cell, "import_cell_too_large", "import cell")
     body = [r + [""] * (len(names) - len(r)) for r in body]
@@ -76,7 +76,7 @@ def frame_of(spark: SparkSession, inspected: dict[str, Any]) -> DataFrame:
 
 def transformed(x: Column, steps: list[str]) -> Column:
     for s in steps:
-        require(s in TRANSFORMS, "invalid_import", "import transform is not available", transform=s)
+        require(s in TRANSFORMS, "invalid_import", "no transform has this name", transform=s)
         x = {
             "trim": lambda v: F.regexp_replace(v, r"\A\s+|\s+\z", ""),
             "uppercase": F.upper,
@@ -89,14 +89,14 @@ def transformed(x: Column, steps: list[str]) -> Column:
 
 def _source(spec: dict[str, Any], columns: list[str], parameters: dict[str, Any], trusted: dict[str, Any]) -> Column:
     kind = spec.get("source", "column")
-    require(kind in SOURCES, "invalid_import", "import source is not available", source=str(kind))
+    require(kind in SOURCES, "invalid_import", "no kind of source has this name", source=str(kind))
     if kind == "column":
-        require(spec.get("column") in columns, "invalid_import", "import column is not available", column=str(spec.get("column")))
+        require(spec.get("column") in columns, "invalid_import", "the file has no such column", column=str(spec.get("column")))
         return F.col(f"`{spec['column']}`")
     if kind == "static":
         return F.lit(spec.get("value")).cast("string")
     held = parameters if kind == "parameter" else trusted
-    require(spec.get("name") in held, "invalid_import", f"import {kind} is not given", name=str(spec.get("name")))
+    require(spec.get("name") in held, "invalid_import", f"{kind}: not given", name=str(spec.get("name")))
     return F.lit(held[spec["name"]]).cast("string")
 
 
@@ -117,12 +117,12 @@ def preview(
     null | error, required}}. Keys are matched with ``target``: none, one or several
     rows; several are ambiguous. The target is pre-counted by key, so a key that many
     target rows share is one row in the join."""
-    require(on_missing in ("insert", "skip", "error") and on_match in ("update", "skip", "error"), "invalid_import", "import policy is not available")
-    require(keys and set(keys) <= set(mapping), "invalid_import", "import keys must be mapped")
+    require(on_missing in ("insert", "skip", "error") and on_match in ("update", "skip", "error"), "invalid_import", "policy: no such one")
+    require(keys and set(keys) <= set(mapping), "invalid_import", "a key has no source")
     made, errors = [], []
     for field, spec in mapping.items():
         blank = spec.get("blank", "empty")
-        require(blank in BLANKS, "invalid_import", "blank policy is not available", blank=str(blank))
+        require(blank in BLANKS, "invalid_import", "blank: no such policy", blank=str(blank))
         x = transformed(_source(spec, rows.columns, parameters or {}, trusted or {}), spec.get("transforms", []))
         empty = x.isNull() | (x == "")
         made.append((F.when(empty, None).otherwise(x) if blank in ("null", "omit", "error") else x).alias(field))

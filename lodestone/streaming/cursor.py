@@ -31,13 +31,13 @@ class Stream:
         return self
 
     def __next__(self) -> list[Any]:
-        require(self._rows is not None, "stream_closed", "the stream is closed")
+        require(self._rows is not None, "stream_closed", "nothing can be read after close")
         row = next(self._rows)
         self.delivered += 1
         return row
 
     def fetch(self, n: int) -> list[list[Any]]:
-        require(isinstance(n, int) and n > 0, "invalid_query", "fetch size must be a positive integer")
+        require(isinstance(n, int) and n > 0, "invalid_query", "fetch size: a whole number from 1")
         out = []
         for row in self:
             out.append(row)
@@ -80,14 +80,14 @@ class Bounded:
             rows = [list(r) for r in compiled.frame.limit(self.max_rows + 1).collect()]
         except Exception as e:
             if self.seconds and time.monotonic() - began >= self.seconds:
-                raise SelectError("deadline_exceeded", "the query took too long", {"seconds": self.seconds}) from e
+                raise SelectError("deadline_exceeded", "the time allowed is over", {"seconds": self.seconds}) from e
             raise
         finally:
             if timer:
                 timer.cancel()
             sc.removeJobTag(tag)
-        require(len(rows) <= self.max_rows, "result_limit_exceeded", "result has too many rows", maximum=self.max_rows)
-        require(len(rows) * len(compiled.names) <= self.max_cells, "result_limit_exceeded", "result has too many cells", maximum=self.max_cells)
+        require(len(rows) <= self.max_rows, "result_limit_exceeded", "more rows than are allowed", maximum=self.max_rows)
+        require(len(rows) * len(compiled.names) <= self.max_cells, "result_limit_exceeded", "more cells than are allowed", maximum=self.max_cells)
         size = sum(len(str(v)) for r in rows for v in r)
-        require(size <= self.max_bytes, "result_limit_exceeded", "result has too many bytes", maximum=self.max_bytes)
+        require(size <= self.max_bytes, "result_limit_exceeded", "more bytes than are allowed", maximum=self.max_bytes)
         return {"columns": list(compiled.names), "rows": rows}

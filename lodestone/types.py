@@ -43,7 +43,7 @@ def spark_type(name: str, items: str | None = None) -> T.DataType:
     """The Spark type that a declared type is stored as."""
     key = name.lower()
     if key == "array":
-        require(items in ARRAY_ITEMS, "invalid_domain", "array items are not available", items=items)
+        require(items in ARRAY_ITEMS, "invalid_domain", "no such type of array items", items=items)
         return T.ArrayType(spark_type(items))
     if key in FLOATS:
         return T.DoubleType()

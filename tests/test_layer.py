@@ -494,7 +494,7 @@ def test_rules_on_numbers_and_collections(spark):
     assert run("items", {"op": "collection.unique_by", "paths": ["n", "s"]}) == [None, "duplicate_collection_value", None]
     assert run("gone", {"op": "presence.required"}) == ["required"] * 3
     assert run("x", {"op": "presence.absent"}) == ["forbidden"] * 3
-    assert len(rules.KEYS) == 28
+    assert len(rules.SCHEMAS) == 28
     assert code(lambda: rules.check_rule({"op": "text.magic"})) == "unsupported_rule_operator"
     assert code(lambda: rules.check_rule({"op": "number.range", "min": 2, "max": 1})) == "invalid_data_rules_contract"
     assert code(lambda: rules.ascii_pattern("(?=x)")) == "invalid_text_pattern"
