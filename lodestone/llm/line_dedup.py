@@ -4,12 +4,14 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-
 lower-cased. Keys of ``min_chars`` code points or more that ``min_docs`` distinct
 documents hold lose all their lines, except in the largest id that holds them.
 
-Steps: explode the distinct keys of each document as 128-bit hashes; count distinct
-documents a hash (a partial aggregate, so a hot line costs one row a task); write the
-hashes over the threshold and join them back to the (document, hash) pairs, by
-broadcast up to BROADCAST_ROWS of them (counted), else by a shuffle join whose hot keys
-AQE can split; gather each document's hashes to drop; filter its lines in place, which
-keeps their order. Texts are shuffled once at most, keys never.
+Steps: explode the long lines of each document as (position, hash of the key); count
+distinct documents a hash (partial aggregates, so a hot line costs one row a task); write
+the hashes over the threshold and join them back to the positions, by broadcast up to
+BROADCAST_ROWS of them (counted), else by a shuffle join whose hot keys AQE can split;
+gather each row's positions to drop, and put its text together from the lines at the
+others, in order. This is linear in lines and drops. Texts are shuffled once at
+most, keys never. A hash is an MD5, as a string: array functions and joins hash strings,
+but compare binaries one by one.
 
 Defined results: a null or empty text is one empty line and stays as it is; a row
 whose id is null is no document: its lines are not counted and stay; rows that repeat
@@ -21,33 +23,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACES, ascii_lower, materialize
+from .common import BROADCAST_ROWS, SPACES, ascii_lower, let, materialize
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _keys(lines: Column) -> Column:
-    return F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES))), ascii_lower)
+def _key(line: Column) -> Column:
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def _digest(key: Column) -> Column:
-    return F.unhex(F.md5(key))
+def _row(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart by which lines they hold: rows that repeat an id may
+    have other texts. Equal rows lose equal lines."""
+    return [F.col(id_col).alias("_ld_id"), F.xxhash64(F.col(text_col)).alias("_ld_text")]
 
 
 def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(_ld_id, _ld_drop): for each document that loses lines, the hashes of their keys."""
-    long_keys = F.filter(_keys(_lines(F.col(text_col))), lambda k: F.length(k) >= min_chars)
-    pairs = materialize(
-        docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars)).select(
-            F.col(id_col).alias("_ld_id"),
-            F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("_h"),
-        ),
-        "line-pairs",
+    """(_ld_id, _ld_text, _ld_drop): for each row that loses lines, their positions in
+    ascending order, from 1."""
+    long_lines = F.filter(
+        F.transform(_lines(F.col(text_col)), lambda x, i: F.struct((i + 1).alias("at"), _key(x).alias("key"))), lambda x: F.length(x["key"]) >= min_chars
     )
+    hashed = F.transform(long_lines, lambda x: F.struct(x["at"].alias("at"), F.md5(x["key"]).alias("h")))
+    held = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars)).select(*_row(id_col, text_col), hashed.alias("_all"))
+    # a row's hash is made before its lines are dealt out, not once a line
+    held = held.select("_ld_id", "_ld_text", F.explode("_all").alias("_x"))
+    places = materialize(held.select("_ld_id", "_ld_text", F.col("_x.at").alias("_at"), F.col("_x.h").alias("_h")), "line-places")
     shared = (
-        pairs.groupBy("_h")
+        places.groupBy("_h")
         .agg(F.count_distinct("_ld_id").alias("_n"), F.max("_ld_id").alias("_last"))
         .where(F.col("_n") >= min_docs)
         .select("_h", "_last")
@@ -55,12 +60,16 @@ def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
     shared = materialize(shared, "shared-lines")
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
-    return (
-        pairs.join(shared, "_h")
-        .where(F.col("_ld_id") != F.col("_last"))
-        .groupBy("_ld_id")
-        .agg(F.collect_set("_h").alias("_ld_drop"))
-    )
+    dropped = places.join(shared, "_h").where(F.col("_ld_id") != F.col("_last"))
+    return dropped.groupBy("_ld_id", "_ld_text").agg(F.sort_array(F.collect_set("_at")).alias("_ld_drop"))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """``lines`` without the positions ``drop``, by a mask of the positions that stay:
+    slices would each copy the whole array, a search would look through all drops."""
+    gaps = F.zip_with(F.concat(F.array(F.lit(0)), drop), drop, lambda a, b: b - a - 1)
+    runs = F.transform(F.filter(gaps, lambda g: g.isNotNull()), lambda g: F.concat(F.array_repeat(F.lit(True), g), F.array(F.lit(False))))
+    return let(F.flatten(runs), lambda mask: F.filter(lines, lambda x, i: F.coalesce(F.get(mask, i), F.lit(True))))
 
 
 def dedup_lines(
@@ -70,24 +79,15 @@ def dedup_lines(
     ``lines_dropped`` (long); columns of these names in ``docs`` are replaced."""
     drops = lines_to_drop(docs, id_col, text_col, min_docs, min_chars)
     kept = docs.drop("line_count", "lines_dropped")
-    joined = kept.join(drops, kept[id_col] == drops["_ld_id"], "left").drop("_ld_id")
-    lines = _lines(F.col(text_col))
-    stays = F.transform(
-        F.filter(
-            F.arrays_zip(lines.alias("line"), _keys(lines).alias("key")),
-            lambda x: ~((F.length(x["key"]) >= min_chars) & F.array_contains(F.col("_ld_drop"), _digest(x["key"]))),
-        ),
-        lambda x: x["line"],
+    given, text = _row(id_col, text_col)
+    joined = kept.withColumn("_ld_row", F.struct(given, text)).join(
+        drops.select(F.struct("_ld_id", "_ld_text").alias("_ld_row"), "_ld_drop"), "_ld_row", "left"
+    )
+    with_stays = joined.withColumn("_ld_n", F.size(_lines(F.col(text_col))).cast("long")).withColumn(
+        "_ld_stays", F.when(F.col("_ld_drop").isNotNull(), let(_lines(F.col(text_col)), lambda x: F.array_join(_without(x, F.col("_ld_drop")), "\n")))
     )
-    with_stays = joined.withColumn("_ld_stays", F.when(F.col("_ld_drop").isNotNull(), stays))
-    n = F.size(lines).cast("long")
     return with_stays.select(
-        *[
-            F.when(F.col("_ld_stays").isNull(), F.col(text_col)).otherwise(F.array_join("_ld_stays", "\n")).alias(c)
-            if c == text_col
-            else F.col(f"`{c}`")
-            for c in kept.columns
-        ],
-        n.alias("line_count"),
-        F.when(F.col("_ld_stays").isNull(), F.lit(0)).otherwise(n - F.size("_ld_stays")).cast("long").alias("lines_dropped"),
+        *[F.coalesce("_ld_stays", text_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns],
+        F.col("_ld_n").alias("line_count"),
+        F.when(F.col("_ld_drop").isNotNull(), F.size("_ld_drop")).otherwise(0).cast("long").alias("lines_dropped"),
     )

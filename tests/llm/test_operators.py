@@ -282,17 +282,39 @@ def test_top_k(spark, bits):
     assert vector_search.top_k(df.where("vec_id = 20"), is_query=F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_bounds_save_reads():
+def scanned(x, q, ids, query_ids, least, k, bits):
+    low, high = x.min(axis=0), x.max(axis=0)
+    width = vector_search.cell_widths(low, high, bits)
+    out = defaultdict(dict)
+    for query, found, bound in vector_search.scan(q, query_ids, least, vector_search.cells_of(x, low, width), ids, low, width, k):
+        for i, j, b in zip(query, found, bound):
+            out[int(i)][int(j)] = b
+    return out
+
+
+@pytest.mark.parametrize("size", [64, 2**20, 2**28])
+def test_scan_holds_the_best_and_saves_reads(size):
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(size=(2000, 16)) * 64).astype(np.int64)
-    reads = [n for *_, n in vector_search.block_top_k(x[:20], np.arange(20), x, np.arange(2000), 10, 6)]
-    assert max(reads) < 1000  # far from all of them
-
-
-def test_bounds_hold_for_large_numbers():
-    x = np.array([[2**40, -(2**40)], [2**40, 2**40], [-(2**41), 5]], np.int64)
-    found = list(vector_search.block_top_k(x[:1], np.array([9]), x, np.array([1, 2, 3]), 2, 3))
-    assert found[0][2].tolist() == [2**81, 0]
+    x = np.floor(rng.normal(size=(2000, 16)) * size).astype(np.int64)
+    ids, queries = np.arange(2000), np.arange(300)
+    least = vector_search.kth_scores(x[:300], queries, x[500:900], ids[500:900], 10)
+    got = scanned(x, x[:300], ids, queries, least, 10, 6)
+    for i in queries:
+        scores = x @ x[i]
+        order = [j for j in np.lexsort((ids, -scores)) if j != i][:10]
+        assert set(order) <= set(got[i]) and i not in got[i]
+        assert all(b >= scores[j] for j, b in got[i].items())
+        assert least[i] <= scores[order[-1]]
+    assert max(map(len, got.values())) < 400  # far from all of them
+    coarse = scanned(x, x[:300], ids, queries, least, 10, 1)
+    assert all(set(got[i]) <= set(coarse[i]) for i in queries)  # wider cells keep more
+
+
+def test_thresholds_of_few_vectors():
+    x = np.array([[2**20, -(2**20)], [2**20, 2**20], [-(2**21), 5]], np.int64)
+    assert vector_search.kth_scores(x[:1], np.array([9]), x, np.array([1, 2, 3]), 2).tolist() == [0]
+    assert vector_search.kth_scores(x[:1], np.array([1]), x, np.array([1, 2, 3]), 3).tolist() == [np.iinfo(np.int64).min]
+    assert len(scanned(x, x[:1], np.array([1, 2, 3]), np.array([1]), np.array([np.iinfo(np.int64).min]), 3, 3)[0]) == 2
 
 
 # -- chat ------------------------------------------------------------------------------
@@ -340,6 +362,25 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_many_shared_lines(spark):
+    import time
+
+    lines = [f"line number {k} of very many lines that documents share" for k in range(60_000)]
+    df = spark.createDataFrame([(i, "\n".join([f"own line of document {i}", *lines])) for i in range(3)], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: (r["lines_dropped"], len(r["text"])) for r in line_dedup.dedup_lines(df).collect()}
+    own = len("own line of document 0")
+    assert got == {0: (60_000, own), 1: (60_000, own), 2: (0, len("\n".join(lines)) + own + 1)}
+    assert time.time() - start < 60
+
+
+def test_line_dedup_repeated_ids_with_other_texts(spark):
+    line = "a line that is long enough to be counted"
+    rows = [(1, f"{line}\na"), (1, f"b\n{line}\nc"), (2, line), (3, line)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["lines_dropped"], r["text"]) for r in got) == [(1, 1, "a"), (1, 1, "b\nc"), (2, 1, ""), (3, 0, line)]
+
+
 def test_line_dedup_repeated_and_null_ids(spark):
     line = "a line that is long enough to be counted"
     rows = [(1, line), (1, line), (2, line.upper()), (None, line), (None, line)]
@@ -506,8 +547,7 @@ def test_packing_round_trip(spark, docs, nothing):
 
     capacity = 64
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    df = docs.unionAll(docs.where("doc_id in (3, 5)")).unionAll(spark.createDataFrame([(None, "É <|endoftext|> x's\x1cy ﬁ", None, None, 1)], DOCS))
+    df = docs.unionAll(docs.where("doc_id in (3, 5)")).unionAll(spark.createDataFrame([(None, "É <|endoftext|> x's\x1cy ﬁ a<|startoftext|><|ENDOFTEXT|>b<|endoftext|><|endoftext|>", None, None, 1)], DOCS))
     got = packing.pack_documents(clashing(df), tokenizer_path=tokenizer_path(), capacity=capacity).collect()
     expected = Counter()
     for r in df.collect():
