@@ -81,7 +81,8 @@ class WordTokenizer:
     """Ids of a tokenizer whose normalizer lower-cases and drops white space and whose
     words never span it: words between ASCII spaces are tokenized once and remembered,
     as the bytes of little-endian unsigned 32-bit ids. Words of plain letters and marks
-    are put together from their parts, which recur more often."""
+    are put together from their parts, which recur more often. Strings of special tokens
+    in a text are these tokens, as is the tokenizer's default: the text is cut there."""
 
     def __init__(self, path: str, words: int = 300_000, parts: int = 500_000):
         import os
@@ -90,13 +91,23 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words are lower-cased first; specials are cut out before
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("the tokenizer has added tokens that take in what stands around them")
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.at_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if added else None
         self.words, self.parts = _Recent(words), _Recent(parts)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
+        if self.at_special and self.at_special.search(text):
+            return b"".join([self.special.get(x) or self._plain(x) for x in self.at_special.split(text)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         # bytes.split() splits at [\x20\x09-\x0D] only, bytes.lower() changes A-Z only
         given = text.encode("utf-8", "replace").lower().split()
         out = list(map(self.words.young.get, given))
