@@ -1,11 +1,16 @@
 """Sharding by a minimax contiguous partition.
 
-Law ``bytes``: documents of equal text are atomic. Texts are ordered by a hash of the
-text; the leading ``cell_bits`` bits of it make at most 2**cell_bits ordered cells, each
-a whole number of equal-text groups, so that the driver gathers a table whose size
-does not depend on the input. The smallest capacity that lets ``shards`` contiguous
-runs of cells cover the order is found by binary search with a greedy check, and the
-cuts are the ones nearest to equal shares that this capacity allows.
+Law ``bytes``: documents of equal text are atomic. Groups of equal texts are ordered by
+the MD5 of the text. The smallest capacity that lets ``shards`` contiguous runs of groups
+cover the order is found by binary search with a greedy check.
+
+The driver never sees all groups: it starts from the sums of the 65,536 cells of the
+hash's first 16 bits and solves the partition for them. Then it asks where a greedy check
+at one byte less cuts; the cells in which these cuts fall (one a shard at most) are
+replaced by their 256 parts, and so on, until all of them are single groups: then the
+partition of all groups does no better, and its capacity is the minimum for groups, not
+cells. The cuts are the ones nearest to equal shares that this capacity allows (the greedy
+ones would leave the last shard what is left over).
 
 Defined results: a null text counts as an empty one (size 8, CRC 0) and shares its
 group; rows that repeat an id are placed each on their own; an empty table gives an
@@ -70,37 +75,51 @@ def next_start(sums: list[int], end: int, capacity: int) -> int:
     return low
 
 
-def shard_documents(
-    docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = 16
-) -> DataFrame:
+def tight_cells(sizes: list[int], shards: int, capacity: int) -> list[int]:
+    """The cells that didn't fit where a greedy check at ``capacity`` cuts."""
+    sums = [0, *accumulate(sizes)]
+    at, found = 0, []
+    for _ in range(shards if sizes else 0):
+        at = _reach(sums, at, capacity)
+        if at == len(sizes):
+            break
+        found.append(at)
+    return found
+
+
+def minimax_of_groups(rows: DataFrame, shards: int, digits: int = 4, more: int = 2) -> tuple[int, list[str]]:
+    """The smallest capacity over the groups of ``rows`` (_key: hex digits, size), and the
+    first keys of the shards but the first."""
+    prefix = lambda n: F.substring("_key", 1, n)
+    sums = [F.sum("size").alias("s"), (F.min("_key") == F.max("_key")).alias("single")]
+    cells = {r["c"]: (r["s"], r["single"]) for r in rows.groupBy(prefix(digits).alias("c")).agg(*sums).collect()}  # 16**digits at most
+    while True:
+        names = sorted(cells)
+        sizes = [cells[c][0] for c in names]
+        capacity, cuts = minimax_cuts(sizes, shards)
+        tight = [c for c in dict.fromkeys(names[i] for i in tight_cells(sizes, shards, capacity - 1)) if not cells[c][1]]
+        if not tight or capacity == -(-sum(sizes) // shards):  # no capacity is less than an equal share
+            return capacity, [names[i] if i < len(names) else "g" for i in cuts]  # g stands behind all digits
+        part = F.coalesce(*[F.when(prefix(n).isin([c for c in tight if len(c) == n]), prefix(n + more)) for n in {len(c) for c in tight}])
+        parts = rows.withColumn("c", part).where(F.col("c").isNotNull()).groupBy("c").agg(*sums).collect()  # 16**more a shard at most
+        for c in tight:
+            del cells[c]
+        cells |= {r["c"]: (r["s"], r["single"]) for r in parts}
+
+
+def shard_documents(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot): each row's shard and its place there."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digits = -(-cell_bits // 4)
-    cell = F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("int")
     rows = materialize(
         docs.select(
             F.col(id_col).alias("_id"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.shiftright(cell, 4 * digits - cell_bits).alias("_cell"),
+            F.md5(text).alias("_key"),
         ),
         "shard-rows",
     )
-    cells = rows.groupBy("_cell").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    table = sorted((r["_cell"], r["s"], r["n"]) for r in cells.collect())  # at most 2**cell_bits rows
-    _, cuts = minimax_cuts([s for _, s, _ in table], shards)
-    placed, at = [], 0
-    for k, end in enumerate([*cuts, len(table)]):
-        slot = 0
-        for c, _, n in table[at:end]:
-            placed.append((c, k, slot))
-            slot += n
-        at = max(at, end)
-    where = docs.sparkSession.createDataFrame(placed, "_cell int, shard int, _first long")
-    return (
-        ranked(rows, ["_cell"], ["_id", "text_crc32", "size"], "_rank")
-        .join(F.broadcast(where), "_cell")  # at most 2**cell_bits rows
-        .select(
-            F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_first") + F.col("_rank")).alias("slot")
-        )
-    )
+    _, firsts = minimax_of_groups(rows, shards)
+    shard = sum([(F.col("_key") >= k).cast("int") for k in firsts], F.lit(0))
+    placed = materialize(rows.select("_id", "size", "text_crc32", shard.cast("int").alias("shard")), "shard-places")
+    return ranked(placed, ["shard"], ["_id", "text_crc32", "size"], "slot").select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")

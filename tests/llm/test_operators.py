@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import brute
-from lodestone.llm import chat, graph, html_text, html_training, line_dedup, mixing, near_dup, packing, quality, secrets, sharding, vector_search
+from lodestone.llm import chat, common, graph, html_text, html_training, line_dedup, mixing, near_dup, packing, quality, secrets, sharding, vector_search
 from lodestone.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -345,7 +345,10 @@ def test_chat(spark):
 def test_chat_without_ids_and_with_tied_turns(spark):
     df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "z"), (2, 0, "user", "z")], "conv_id long, turn long, role string, text string")
     got = sorted((str(r["conv_id"]), r["n_turns"]) for r in chat.format_chats(df).collect())
-    assert got == [("2", 2), ("None", 2)]
+    assert got == [("1", 1), ("2", 2), ("None", 1)]  # a row without an id is a conversation of its own
+    alone = spark.createDataFrame([(None, 5, "user", "a"), (None, 1, "user", "a"), (None, 1, None, "b")], df.schema)
+    shown = sorted((r["n_turns"], r["n_copies"], r["text"]) for r in chat.format_chats(alone).collect())
+    assert shown == [(1, 1, "<|im_start|>\nb<|im_end|>\n"), (1, 2, "<|im_start|>user\na<|im_end|>\n")]
 
 
 # -- lines -----------------------------------------------------------------------------
@@ -416,6 +419,26 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(100)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, x long").repartition(4)
+    got = common.running(df, [F.col("x"), F.col("k")], {"n": F.lit(1), "s": F.col("x")}, per_task=60).collect()
+    want, total = {}, 0
+    for n, (k, x) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
+        total += x
+        want[k] = (n, total)
+    assert {r["k"]: (r["n"], r["s"]) for r in got} == want
+
+
+def test_ranges_of_a_small_inclusion_hold_alike_many_rows(spark):
+    # one source that the mix hardly takes from: ranks spread over the ranges all the same
+    rows = [(i, "w " * 20, "en", "a" if i < 2000 else "b", 0) for i in range(2300)]
+    drawn = mixing.mix(spark.createDataFrame(rows, DOCS), weights=(1, 400), max_repeats=3)
+    got = drawn.groupBy((F.col("source_size") == 40_000).alias("large")).agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 40 for r in got)
+
+
 def test_pareto_inclusion_is_near_its_probability():
     """Over many seeds, sources get their targets and documents their expected copies."""
     drawn = Counter()
@@ -653,6 +676,20 @@ def test_minimax_against_dynamic_programming():
         assert max(sum(sizes[a:b]) for a, b in zip(ends, ends[1:])) == capacity == best[shards][len(sizes)]
 
 
+def test_minimax_of_groups_is_that_of_all_groups(spark):
+    rng = random.Random(17)
+    for n, shards in ((40, 3), (300, 5), (300, 24), (7, 9)):
+        groups = {hashlib.md5(str(rng.random()).encode()).hexdigest(): rng.choice([1, 5, 30, 200]) for _ in range(n)}
+        rows = [(k, s) for k, s in groups.items() for _ in range(2)]
+        df = spark.createDataFrame(rows, "_key string, size long")
+        capacity, firsts = sharding.minimax_of_groups(df, shards, digits=1, more=1)
+        assert capacity == sharding.minimax_cuts([2 * groups[k] for k in sorted(groups)], shards)[0]
+        held = Counter()
+        for k, s in rows:
+            held[sum(k >= f for f in firsts)] += s
+        assert max(held.values()) == capacity
+
+
 def test_sharding(spark, docs, nothing):
     df = docs.unionAll(docs.where("doc_id < 9")).unionAll(spark.createDataFrame([(None, "a", None, None, 1)], DOCS))
     got = sharding.shard_documents(clashing(df), shards=5).collect()
