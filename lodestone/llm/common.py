@@ -127,3 +127,17 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str,
         .withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_part", "_start")
     )
+
+
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], per_task: int = 200_000) -> DataFrame:
+    """``df`` with running sums over one order of all rows, without one task for them:
+    rows are dealt into ranges of the order, summed, and summed up inside their range on
+    from the ranges before. ``df`` is read twice: materialize it first."""
+    parts = max(1, -(-df.count() // per_task))
+    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over ``parts`` rows
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_t_{k}") for k in sums])
+    placed = dealt.join(F.broadcast(starts), "_part")
+    return placed.select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"_t_{k}")).alias(k) for k, c in sums.items()])

@@ -16,7 +16,9 @@ the border if more than half of it fits): a sample of fixed size in words.
 
 u comes from an MD5 of seed and id, so reruns agree on any cluster. Ranks are summed up
 in two levels, (source, 4096 ranges of the rank), so that a hot source is not in one
-task. Sums are of integers.
+task; the ranges are cut where u of a document of the source's mean inclusion would be,
+so they hold alike many rows however small the inclusion is. Sums are of integers. Sources
+are ordered and summed up in ranges too, so there may be any number of them.
 
 Defined results: a null text has size 0 and is never worth taking (0 words); a null
 source is a source of its own and comes last; rows that repeat an id are sampled each
@@ -29,30 +31,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, keyed, materialize, n_words
+from .common import attach, keyed, materialize, n_words, running
 
 RANGES = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
     """(_s, source_size, _docs, weight, target) from rows (_s, _source, size)."""
-    per = sizes.groupBy("_s", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    by_name = Window.orderBy(F.col("_source").isNull(), "_source")
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).cast("double"))
-    per = per.withColumn("_cap", (F.col("source_size") * max_repeats).cast("double")).withColumn("_fill", F.col("_cap") / F.col("weight"))
-    by_fill = Window.orderBy("_fill", F.col("_source").isNull(), "_source")
-    level = (F.sum("source_size").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("_cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("_level", level)
+    per = materialize(sizes.groupBy("_s", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), "mix-sources")
+    by_name = [F.col("_source").isNull(), F.col("_source")]
+    per = running(per, by_name, {"_place": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_place") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
+    per = per.withColumn("weight", weight).withColumn("_cap", (F.col("source_size") * max_repeats).cast("double")).withColumn("_fill", F.col("_cap") / F.col("weight"))
+    per = materialize(running(materialize(per, "mix-sources"), [F.col("_fill"), *by_name], {"_caps": F.col("_cap"), "_weights": F.col("weight")}), "mix-fills")
+    total, all_weights = per.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    # the level of water if this source and those after it share what those before leave
+    level = (F.lit(total) - (F.col("_caps") - F.col("_cap"))) / (F.lit(all_weights) - (F.col("_weights") - F.col("weight")))
     # the first source that the level doesn't fill fixes the level of all after it
-    final = F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_level"))).over(Window.partitionBy(F.lit(0)))
-    return per.withColumn("_final", final).select(
-        "_s",
-        "source_size",
-        "_docs",
-        "weight",
-        F.when(F.col("_fill") < F.col("_final._fill"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("weight") * F.col("_final._level"))).alias("target"),
-    )
+    final = per.withColumn("_level", level).agg(F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_level")))).first()[0]
+    target = F.col("_cap")
+    if final is not None:
+        target = F.when(F.col("_fill") < final["_fill"], F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("weight") * F.lit(final["_level"])))
+    return per.select("_s", "source_size", "_docs", "weight", target.alias("target"))
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -99,15 +99,21 @@ def mix(
     rows = rows.withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole")).withColumn("_u", uniform(seed, F.col("_id")))
     rank = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     rows = rows.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("size") > 0), rank))
-    rows = rows.withColumn("_range", F.when(F.col("_q").isNull(), F.pmod(F.xxhash64("_id"), F.lit(RANGES)) - RANGES).otherwise(F.floor(F.col("_q") / (1 + F.col("_q")) * RANGES)).cast("int"))
     names = [f"_keep_{k}" for k in more]
-    rows = materialize(rows.select("_id", "_s", "size", "source_size", "target", "_whole", "_q", "_range", *names), "mix-rows")
-    certain = materialize(rows.groupBy("_s").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain")), "mix-certain")
+    rows = materialize(rows.select("_id", "_s", "size", "source_size", "target", "_whole", "_p", "_q", *names), "mix-draws")
+    per = rows.groupBy("_s").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"), F.avg(F.when(F.col("_q").isNotNull(), F.col("_p"))).alias("_mean_p"))
+    per = materialize(per, "mix-certain")
+    # q times the odds of a usual document is u's odds for it: ranges that hold like many rows
+    odds = F.col("_mean_p") / (1 - F.col("_mean_p"))
+    spread = F.floor(F.col("_q") * odds / (1 + F.col("_q") * odds) * RANGES)
+    aside = F.pmod(F.xxhash64("_id", "size"), F.lit(RANGES)) - RANGES  # of rows that aren't drawn
+    rows = attach(rows, per, ["_s"]).withColumn("_range", F.when(F.col("_q").isNull(), aside).otherwise(F.least(spread, F.lit(RANGES - 1))).cast("int"))
+    rows = materialize(rows.drop("_p", "_mean_p"), "mix-rows")
     parts = rows.where(F.col("_q").isNotNull()).groupBy("_s", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("_s", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_s", "_range").orderBy("_q", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = attach(rows.join(starts, ["_s", "_range"], "left").withColumn("_up", F.col("_start") + F.sum("size").over(inside)), certain, ["_s"])
+    placed = rows.join(starts, ["_s", "_range"], "left").withColumn("_up", F.col("_start") + F.sum("size").over(inside))
     left = F.col("target") - F.col("_certain")
     drawn = F.col("_q").isNotNull() & (2 * F.col("_up") - F.col("size") <= 2 * left)
     copies = (F.col("_whole") + F.when(drawn, 1).otherwise(0)).cast("long")
