@@ -18,9 +18,11 @@ No bucket emits all its pairs:
    link. In buckets of at most ``small`` members, members of different components are
    paired by an equi-join and confirmed. Larger buckets are families of many variants,
    most of them below the threshold to each other; their members are gathered into
-   families (components of bucket sharing), cut into blocks of ``block`` members, and
-   every pair of blocks is one group, in which the full sets are intersected as matrix
-   products. What it emits are confirmed links only, one a member and component.
+   families (components of bucket sharing), dealt into classes of like set sizes, and each
+   class into blocks of ``block`` members and ``BLOCK_VALUES`` shingles at most. Linked
+   sets stand in one class or in neighbouring ones; every such pair of blocks is one
+   group, in which the full sets are intersected as matrix products. What it emits are
+   confirmed links only, one a member and component.
 4. Components of all confirmed links.
 
 Sizes prune before any comparison: similar sets have similar sizes.
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,8 @@ from .graph import components
 MASK = (1 << 64) - 1
 #: Ids (8 bytes each) that are broadcast rather than shuffling all texts to meet them.
 BROADCAST_IDS = 2_000_000
+#: Shingles (8 bytes each) of a block of a family.
+BLOCK_VALUES = 2_000_000
 
 
 def mixed(n: int, seed: int) -> np.ndarray:
@@ -257,10 +262,11 @@ def near_duplicates(
 
 
 def _families(open_: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(_g, _rep, _l): members of large open buckets by family, with their component."""
+    """(_g, _rep, _l, _n): members of large open buckets by family, with their component
+    and set size."""
     family = components(open_.select(F.col("_rep").alias("a"), F.col("_hub").alias("b"))).select(F.col("node").alias("_rep"), F.col("label").alias("_g"))
     # a member has one component, on each of its rows
-    own = labelled.groupBy("_rep").agg(F.min("_l").alias("_l"))
+    own = labelled.groupBy("_rep").agg(F.min("_l").alias("_l"), F.min("_n").alias("_n"))
     return family.join(own, "_rep")
 
 
@@ -290,28 +296,44 @@ def _family_links(families: DataFrame, texts: DataFrame, percent: int, width: in
     """Links (a, b) between components of a family: for every member, one to each other
     component that it is linked to."""
     id_type = texts.schema["_id"].dataType.simpleString()
-    sizes = families.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    cut = families.join(sizes, "_g").withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
+    # a hair more than the greatest ratio of linked sizes: these are at most one class apart
+    step = log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    sized = families.withColumn("_c", F.floor(F.log("_n") / step))
+    fit = F.least(F.greatest(F.floor(F.lit(BLOCK_VALUES) / F.max("_n")), F.lit(1)), F.lit(block))
+    classes = sized.groupBy("_g", "_c").agg(F.ceil(F.count(F.lit(1)) / fit).cast("int").alias("_blocks"))
+    classes = materialize(classes, "family-classes")
+    beside = lambda d, name: classes.select("_g", (F.col("_c") + d).alias("_c"), F.col("_blocks").alias(name))
+    classes = classes.join(beside(1, "_below"), ["_g", "_c"], "left").join(beside(-1, "_above"), ["_g", "_c"], "left")
+    cut = sized.join(classes, ["_g", "_c"]).withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
     sets = _full_sets(families.select(F.col("_rep").alias("_id")), texts, width)
+    others = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda c1, i, c2, j: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"))
+    c, own = F.col("_c"), F.col("_block")
+    met = F.concat(
+        F.transform(others(F.col("_blocks")), lambda j: pair(c, F.least(own, j), c, F.greatest(own, j))),
+        F.transform(others(F.col("_below")), lambda j: pair(c - 1, j, c, own)),
+        F.transform(others(F.col("_above")), lambda j: pair(c, own, c + 1, j)),
+    )
     dealt = (
-        cut.join(sets, cut["_rep"] == sets["_id"])
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("_g", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_l", "_set")
+        cut.withColumn("_pair", F.explode(met))
+        .join(sets, F.col("_rep") == sets["_id"])
+        .select("_g", "_pair.c1", "_pair.i", "_pair.c2", "_pair.j", "_c", "_block", "_rep", "_l", "_set")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        first = group[group["_block"] == group["_i"].iloc[0]]
-        second = group[group["_block"] == group["_j"].iloc[0]]
+        c1, i, c2, j = (group[k].iloc[0] for k in ("c1", "i", "c2", "j"))
+        first = group[(group["_c"] == c1) & (group["_block"] == i)]
+        second = group[(group["_c"] == c2) & (group["_block"] == j)]
         a, b = [], []
-        if len(first) and len(second):
+        if len(first) and len(second) and group["_l"].nunique() > 1:
             hit = linked(*[[np.frombuffer(v, np.uint64) for v in side["_set"]] for side in (first, second)], percent)
             labels, ids = second["_l"].to_numpy(), second["_rep"].to_numpy()
             hit &= first["_l"].to_numpy()[:, None] != labels[None, :]
-            for i in np.flatnonzero(hit.any(axis=1)):
-                at = np.flatnonzero(hit[i])
+            for k in np.flatnonzero(hit.any(axis=1)):
+                at = np.flatnonzero(hit[k])
                 _, one = np.unique(labels[at], return_index=True)
                 b += ids[at[one]].tolist()
-                a += [first["_rep"].iloc[i]] * len(one)
+                a += [first["_rep"].iloc[k]] * len(one)
         return pd.DataFrame({"a": a, "b": b})
 
-    return materialize(dealt.groupBy("_g", "_i", "_j").applyInPandas(compare, f"a {id_type}, b {id_type}"), "links")
+    return materialize(dealt.groupBy("_g", "c1", "i", "c2", "j").applyInPandas(compare, f"a {id_type}, b {id_type}"), "links")
