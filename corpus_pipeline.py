@@ -50,14 +50,16 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (similarity of 0.8 or more) stays: the one of the
     smallest id. Of rows that repeat an id one stays; rows without an id all stay."""
-    kept = near_dup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     rows = docs.select(*COLUMNS)
-    rows = rows.join(kept, _same(rows, kept, ("doc_id",)), "left_semi")
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    lost = rows.where(F.col("doc_id").isNull())  # never joined or gathered: null would be one hot key
+    found = rows.where(F.col("doc_id").isNotNull())
+    kept = near_dup.near_duplicates(found, percent=80).where("kept").select("doc_id").distinct()
+    stay = found.join(kept, "doc_id", "left_semi")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if not ids.where("n > 1").isEmpty():
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-        rows = rows.withColumn("_n", place).where((F.col("_n") == 1) | F.col("doc_id").isNull())
-    return rows.select(*COLUMNS)
+        stay = stay.withColumn("_n", place).where(F.col("_n") == 1)
+    return stay.select(*COLUMNS).unionAll(lost)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
