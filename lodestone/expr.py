@@ -192,8 +192,8 @@ def datetime_format(a: Any, style: str, timezone: str | None = None) -> Node:
 def text_search(fields: Sequence[Any], query: str, configuration: str = "simple", mode: str = "plain") -> Node:
     require(fields and isinstance(query, str), "invalid_query", "a search needs fields to look into and a text to look for")
     require(mode in ("plain", "phrase", "websearch", "prefix", "boolean"), "invalid_query", "no search mode has this name", mode=mode)
-    require(configuration == "simple", "unsupported_feature", "only the simple configuration is available", configuration=configuration)
-    return Node("text_search", (tuple(operand(f) for f in fields), query, mode))
+    require(configuration in ("simple", "english"), "unsupported_feature", "search configurations are simple and english", configuration=configuration)
+    return Node("text_search", (tuple(operand(f) for f in fields), query, mode, configuration))
 
 
 def text_rank(fields: Sequence[Any], query: str, configuration: str = "simple", mode: str = "plain") -> Node:

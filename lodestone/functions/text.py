@@ -3,21 +3,49 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+#: Words that a search in English passes over.
+STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+CONFIGURATIONS = ("simple", "english")
 
 
-def _query_tokens(text: str) -> list[str]:
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+def tokens(text: Column, configuration: str = "simple") -> Column:
+    """Lower-cased runs of letters and digits; in English without stop words and plural
+    endings (Harman's s-stemmer, 1991)."""
+    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    if configuration == "simple":
+        return found
+    return F.transform(F.filter(found, lambda t: ~t.isin(STOP_WORDS)), _stem)
+
+
+def _stem(t: Column) -> Column:
+    cut = lambda n: F.substring(t, F.lit(1), F.length(t) - n)
+    return (
+        F.when(t.rlike("[^ae]ies$"), F.concat(cut(3), F.lit("y")))
+        .when(t.rlike("[^aeo]es$"), cut(1))
+        .when(t.rlike("[^us]s$"), cut(1))
+        .otherwise(t)
+    )
+
+
+def stemmed(word: str) -> str:
+    """The s-stem of one word, as ``tokens`` has it."""
+    if re.search("[^ae]ies$", word):
+        return word[:-3] + "y"
+    return word[:-1] if re.search("[^aeo]es$", word) or re.search("[^us]s$", word) else word
+
+
+def _query_tokens(text: str, configuration: str = "simple") -> list[str]:
+    found = [t for t in re.split(r"[\W_]+", text.lower()) if t]
+    return found if configuration == "simple" else [stemmed(t) for t in found if t not in STOP_WORDS]
 
 
 def document(columns: list[Column]) -> Column:
@@ -35,22 +63,25 @@ def _phrase(found: Column, terms: list[str]) -> Column:
     return line.contains(" " + " ".join(terms) + " ")
 
 
-def _websearch(query: str) -> list[list[tuple[str, bool, list[str]]]]:
-    """OR of AND of (mode, negated, terms), from quotes, ``or`` and a leading minus."""
-    groups: list[list[tuple[str, bool, list[str]]]] = [[]]
+Term = tuple[str, bool, list[str]]  # how it is looked for, whether it must be missing, its tokens
+
+
+def _websearch(query: str, configuration: str) -> list[list[Term]]:
+    """OR of AND of terms, from quotes, ``or`` and a leading minus."""
+    groups: list[list[Term]] = [[]]
     for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if not quoted and plain.lower() == "or":
             groups.append([])
             continue
-        terms = _query_tokens(quoted or plain)
+        terms = _query_tokens(quoted or plain, configuration)
         if terms:
             groups[-1].append(("phrase", bool(minus), terms))
     return [g for g in groups if g]
 
 
-def _boolean(query: str) -> list[list[tuple[str, bool, list[str]]]]:
+def _boolean(query: str, configuration: str) -> list[list[Term]]:
     """AND, OR, NOT between words and quoted phrases; a trailing * is a prefix."""
-    groups: list[list[tuple[str, bool, list[str]]]] = [[]]
+    groups: list[list[Term]] = [[]]
     negated = False
     for quoted, plain in re.findall(r'"([^"]*)"|([^\s()]+)', query):
         if not quoted and plain in ("AND", "OR", "NOT"):
@@ -58,47 +89,65 @@ def _boolean(query: str) -> list[list[tuple[str, bool, list[str]]]]:
                 groups.append([])
             negated = plain == "NOT"
             continue
-        terms = _query_tokens(quoted or plain)
+        terms = _query_tokens(quoted or plain, configuration)
         if terms:
             groups[-1].append(("prefix" if plain.endswith("*") else "phrase", negated, terms))
         negated = False
     return [g for g in groups if g]
 
 
-def matches(columns: list[Column], query: str, mode: str) -> Column:
-    """plain: every term; phrase: in sequence; prefix: each term starts a token;
-    websearch and boolean: their operators. No term matches nothing."""
-    found = tokens(document(columns))
-    terms = _query_tokens(query)
+def _holds(found: Column, kind: str, terms: list[str]) -> Column:
+    if kind == "prefix":
+        return reduce(lambda a, b: a & b, [_any_starts(found, p) for p in terms])
+    return _phrase(found, terms)
 
-    def one(kind: str, negated: bool, given: list[str]) -> Column:
-        if kind == "prefix":
-            hit = reduce(lambda a, b: a & b, [_any_starts(found, p) for p in given])
-        else:
-            hit = _phrase(found, given)
-        return ~hit if negated else hit
 
+def matches(columns: list[Column], query: str, mode: str, configuration: str = "simple") -> Column:
+    """plain: every term; phrase: in sequence; prefix: each term starts a token;
+    websearch and boolean: their operators. No term matches nothing. The document is cut
+    into tokens once, however many terms look into them."""
+    terms = _query_tokens(query, configuration)
     if mode in ("websearch", "boolean"):
-        groups = _websearch(query) if mode == "websearch" else _boolean(query)
-        if not groups:
-            return F.lit(False)
-        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [one(*x) for x in g]) for g in groups])
-    if not terms:
+        groups = (_websearch if mode == "websearch" else _boolean)(query, configuration)
+        test = lambda found: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [(~_holds(found, k, t) if no else _holds(found, k, t)) for k, no, t in g]) for g in groups])
+    else:
+        groups = [terms] if terms else []
+        test = lambda found: F.size(F.array_except(F.array(*map(F.lit, terms)), found)) == 0 if mode == "plain" else _holds(found, mode, terms)
+    if not groups:
         return F.lit(False)
-    if mode == "plain":
-        return reduce(lambda a, b: a & b, [F.array_contains(found, t) for t in terms])
-    return one(mode, False, terms)
+    return F.exists(F.array(tokens(document(columns), configuration)), test)
 
 
-def rank(columns: list[Column], query: str) -> Column:
-    """Occurrences of the terms per token, times 1000: a term-frequency score. It orders
-    like neither TS_RANK nor BM25 in every case."""
-    found = tokens(document(columns))
-    terms = _query_tokens(query)
+def rank(columns: list[Column], query: str, configuration: str = "simple") -> Column:
+    """Occurrences of the terms per token, times 1000: a term-frequency score of one row.
+    ``bm25`` weighs the terms by how rare they are among all rows."""
+    terms = _query_tokens(query, configuration)
     if not terms:
         return F.lit(0.0)
-    hits = F.size(F.filter(found, lambda t: t.isin(terms)))
-    return hits * 1000.0 / F.greatest(F.size(found), F.lit(1))
+    score = lambda found: F.size(F.filter(found, lambda t: t.isin(terms))) * 1000.0 / F.greatest(F.size(found), F.lit(1))
+    return F.transform(F.array(tokens(document(columns), configuration)), score)[0]
+
+
+def bm25(df: DataFrame, columns: list[str], query: str, out: str = "score", *, configuration: str = "simple", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``df`` with the Okapi BM25 score of each row for a query of plain terms: sum over
+    terms of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * length / mean length)), with
+    idf = ln(1 + (rows - rows that hold it + 0.5) / (rows that hold it + 0.5)). One
+    aggregation over all rows gives the counts, read first as one row."""
+    terms = list(dict.fromkeys(_query_tokens(query, configuration)))
+    if not terms:
+        return df.withColumn(out, F.lit(0.0))
+    found = tokens(document([F.col(f"`{c}`") for c in columns]), configuration)
+    count = lambda words, w: F.size(F.filter(words, lambda t: t == F.lit(w)))
+    times = lambda words: F.struct(F.size(words).alias("n"), *[count(words, w).alias(f"f{i}") for i, w in enumerate(terms)])
+    counted = df.withColumn("_bm", F.transform(F.array(found), times)[0])
+    rows, mean, *held = counted.agg(F.count(F.lit(1)), F.avg("_bm.n"), *[F.count_if(F.col(f"_bm.f{i}") > 0) for i in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for i, holding in enumerate(held):
+        f = F.col(f"_bm.f{i}")
+        weight = math.log(1 + (rows - holding + 0.5) / (holding + 0.5)) * (k1 + 1)
+        score = score + weight * f / (f + k1 * (1 - b + b * F.col("_bm.n") / max(mean or 0.0, 1e-9)))
+    scored = counted
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns if c != out], score.alias(out))
 
 
 def array_literal(values: tuple[Any, ...], kind: str) -> Column:

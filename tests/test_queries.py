@@ -11,7 +11,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone import catalog_queries as C
+from lodestone import catalog_queries, surface_queries
+
+QUERIES = catalog_queries.QUERIES | surface_queries.QUERIES
+ORACLES = catalog_queries.ORACLES | surface_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -35,17 +38,17 @@ def table(columns, rows):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(C.ORACLES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, small, duck, name):
-    df = C.QUERIES[name](spark, small)
-    found = duck.execute(C.ORACLES[name])
+    df = QUERIES[name](spark, small)
+    found = duck.execute(ORACLES[name])
     expected = table([d[0] for d in found.description], found.fetchall())
     assert table(df.columns, df.collect()) == expected
 
 
 def test_queries_without_sql_run(spark, small):
-    for name in set(C.QUERIES) - set(C.ORACLES):
-        assert C.QUERIES[name](spark, small).count() > 0
+    for name in set(QUERIES) - set(ORACLES):
+        assert QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark):
