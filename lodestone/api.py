@@ -44,6 +44,8 @@ class Options:
     max_orders: int = 10
     max_segments: int = 20
     max_limit: int = 1000
+    max_count_rows: int = 1_000_000
+    max_export_rows: int = 100_000
     max_offset: int = 1_000_000
     default_limit: int = 50
     filter_groups: bool = True
@@ -354,9 +356,12 @@ class Api:
         orders = body.get("order_by", [])
         require(isinstance(orders, list) and len(orders) <= self.options.max_orders, CODE, "order_by: expected a list, not too long")
         for o in orders:
-            self._object(o, {"field", "direction"}, "order_by entry")
+            self._object(o, {"field", "column", "direction"}, "order_by entry")
             direction = str(o.get("direction", "asc")).lower()
             require(direction in ("asc", "desc"), CODE, "direction: asc or desc")
+            if "column" in o:
+                q = q.order_by(self._aggregate_called(q, o), direction)
+                continue
             self._public(o.get("field"), "sort")
             if self.options.explorer and o["field"] != self.domain.primary_key:
                 # explorers show NULL first ascending and last descending
@@ -365,6 +370,13 @@ class Api:
             q = q.order_by(o["field"], direction)
         return q
 
+    def _aggregate_called(self, q: Query, o: dict[str, Any]) -> E.Node:
+        """The selected aggregate that an explorer's order names by its alias."""
+        require(self.options.explorer and "field" not in o, CODE, "order_by: only explorers order by a column of the result")
+        found = [s for s in q.selections if s.alias == o["column"] and E.is_aggregate(s)]
+        require(found, CODE, "order_by: no selected aggregate has this alias", column=str(o["column"]))
+        return found[0].bare
+
     def _grouped(self, q: Query, body: dict[str, Any], groups: list[E.Node], aliases: dict[str, E.Node]) -> Query:
         modes = [k for k in ("rollup", "cube", "grouping_sets") if k in body]
         require(len(modes) <= 1, CODE, "body: rollup, cube and grouping_sets exclude each other")
@@ -377,7 +389,7 @@ class Api:
         keys = {g.args[0] for g in groups if g.kind == "field"}
         made = set(aliases.values())
         loose = [p for s in plain if s.bare not in made for p in E.fields_of(s) if p not in keys]
-        loose += [p for o, _ in q.orders for p in E.fields_of(o) if p not in keys]
+        loose += [p for o, _ in q.orders if not E.is_aggregate(o) for p in E.fields_of(o) if p not in keys]
         require(not loose, CODE, "group_by: lacks a field that is shown or ordered by", field=loose[0] if loose else None)
         if not modes:
             return q.group_by(*groups)
@@ -457,6 +469,42 @@ class Api:
         require(made.limit(most + 1).count() <= most, "result_limit_exceeded", "there are more groups than a response may hold", maximum=most)
         return made.orderBy(*order)
 
+    def whole(self, body: dict[str, Any]) -> DataFrame:
+        """The rows of a request without its page."""
+        return self.engine.dataframe(self.query({k: v for k, v in body.items() if k not in ("limit", "offset")}).limit(None).offset(None))
+
+    def exact_count(self, body: dict[str, Any]) -> int:
+        """How many rows or groups a request has; refused beyond ``max_count_rows``, where
+        no more than that is counted."""
+        most = self.options.max_count_rows
+        n = self.whole({k: v for k, v in body.items() if k not in ("order_by", "ordering")}).limit(most + 1).count()
+        require(n <= most, "count_unavailable", "there are more rows than are counted", maximum=most)
+        return n
+
+    def export(self, body: dict[str, Any], measure: str | None = None) -> DataFrame:
+        """All rows of a request, or with ``measure`` its grid, for a sink."""
+        if measure is not None:
+            return self.grid(body, measure)
+        made, most = self.whole(body), self.options.max_export_rows
+        require(made.limit(most + 1).count() <= most, "export_limit_exceeded", "there are more rows than are exported", maximum=most)
+        return made
+
+    def row_meta(self, body: dict[str, Any]) -> DataFrame:
+        """The rows of a grouped request with ``meta``: a JSON array of the filters that
+        lead from a row to what it is about."""
+        q = self.query({k: v for k, v in body.items() if k not in ("limit", "offset")})
+        require(q.groups, CODE, "only grouped rows are about others")
+        made = self.engine.dataframe(q.limit(None).offset(None))
+        entries = []
+        for g, given in zip(q.groups, body["group_by"]):
+            names = [_name(s) for s in q.selections if s.bare == g.bare]
+            require(names, CODE, "select: lacks a group, so its rows can't be told apart")
+            key = F.col(f"`{names[0]}`")
+            path, style = (given, None) if isinstance(given, str) else (given["field"], given.get("format"))
+            named = [F.lit(path).alias("field"), F.when(key.isNull(), "is_null").otherwise("eq").alias("op"), key.cast("string").alias("value")]
+            entries.append(F.to_json(F.struct(*named, *([F.lit(style).alias("format")] if style else []))))
+        return made.withColumn("meta", F.concat(F.lit("["), F.concat_ws(",", *entries), F.lit("]")))
+
     def summary(self, path: str) -> DataFrame:
         """Count, distinct count, minimum and maximum of a field."""
         self._public(path, "select")

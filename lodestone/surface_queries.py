@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import expr as E
 from . import library, sinks
 from .api import Api, Options
+from .choices import Choices, ChoiceSource
 from .domain import Domain, Registry, overlay
 from .engine import Engine
 from .errors import SelectError
@@ -180,6 +181,44 @@ def _set_order(s: Site) -> DataFrame:
 _add("grouping_order", _set_order, "SELECT * FROM (VALUES ('rollup', 0, '0,1'), ('rollup', 1, '0'), ('rollup', 2, ''), ('cube', 0, '0,1'), ('cube', 1, '0'), ('cube', 2, '1'), ('cube', 3, ''), ('sets', 0, '1'), ('sets', 1, '0,1'), ('sets', 2, '')) v(kind, place, positions)")
 
 
+# -- explorers and choices -------------------------------------------------------------------
+
+_BY_PRIORITY: dict[str, Any] = {"select": ["o_orderpriority", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderpriority"]}
+_LARGE: dict[str, Any] = {"select": ["o_orderkey", "o_totalprice"], "filters": [{"field": "o_totalprice", "op": "gt", "value": 150000}]}
+
+
+def _explorer(s: Site) -> Api:
+    return Api(s.orders, Options(explorer=True))
+
+
+def _choices(s: Site) -> Choices:
+    registry = Registry()
+    registry.add(Domain.parse(customers_document()))
+    engine = Engine(s.spark, Domain.parse(orders_document()), s.catalog, registry=registry)
+    source = ChoiceSource("c_custkey", "c_name", "customers", (["eq", "c_mktsegment", "BUILDING"],), "solvent")
+    return Choices(engine, {"buyers": source}, {"solvent": (["gte", "c_acctbal", 0],)}, {"o_custkey": "buyers"})
+
+
+_BUYERS = "FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0"
+_add("explorer_order_by_aggregate", lambda s: s.orders.dataframe(_explorer(s).query(_BY_PRIORITY | {"order_by": [{"column": "n", "direction": "desc"}], "limit": 3})), "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC LIMIT 3")
+_add("explorer_exact_count", lambda s: _shown(s, [("rows", _explorer(s).exact_count(_LARGE)), ("groups", _explorer(s).exact_count(_BY_PRIORITY))], "what string, n long"), "SELECT 'rows' AS what, count(*) AS n FROM orders WHERE o_totalprice > 150000 UNION ALL SELECT 'groups', count(DISTINCT o_orderpriority) FROM orders")
+_add("explorer_export", lambda s: Api(s.orders, Options(explorer=True, max_export_rows=10_000_000)).export(_LARGE), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+_add("explorer_row_meta", lambda s: _explorer(s).row_meta({"select": [{"group": "year"}, "o_orderstatus", {"aggregate": "count", "alias": "n"}], "group_by": [{"field": "o_orderdate", "alias": "year", "format": "year"}, "o_orderstatus"]}), """SELECT strftime(o_orderdate, '%Y') AS year, o_orderstatus, count(*) AS n, '[{"field":"o_orderdate","op":"eq","value":"' || strftime(o_orderdate, '%Y') || '","format":"year"},{"field":"o_orderstatus","op":"eq","value":"' || o_orderstatus || '"}]' AS meta FROM orders GROUP BY 1, 2""")
+_add("choice_options", lambda s: _choices(s).options("o_custkey", search="customer#", limit=30, offset=5), f"SELECT c_custkey AS value, c_name AS label {_BUYERS} AND contains(lower(c_name), 'customer#') ORDER BY c_name, c_custkey LIMIT 30 OFFSET 5")
+_add("choice_validity", lambda s: _shown(s, [(k, _choices(s).valid("o_custkey", k)) for k in range(1, 6)], "value int, valid boolean"), f"SELECT CAST(k AS INTEGER) AS value, k IN (SELECT c_custkey {_BUYERS}) AS valid FROM range(1, 6) t(k)")
+_refusals(
+    "explorer_refusals",
+    lambda s: {
+        "count": lambda: Api(s.orders, Options(explorer=True, max_count_rows=10)).exact_count(_LARGE),
+        "export": lambda: Api(s.orders, Options(explorer=True, max_export_rows=10)).export(_LARGE),
+        "column": lambda: _explorer(s).query(_BY_PRIORITY | {"order_by": [{"column": "m"}]}),
+        "source": lambda: _choices(s).options(source="gone"),
+        "field": lambda: _choices(s).options("o_orderkey"),
+    },
+    {"count": "count_unavailable", "export": "export_limit_exceeded", "column": "invalid_api_query", "source": "choice_source_not_found", "field": "invalid_choice_request"},
+)
+
+
 def _hidden(s: Site) -> dict[str, Callable[[], Any]]:
     api = Api(s.engine(overlay(orders_document(), {"redact_fields": ["o_totalprice"]})))
     bodies: dict[str, dict[str, Any]] = {
