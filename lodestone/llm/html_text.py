@@ -125,7 +125,7 @@ class Node:
                     self.article |= role in ("main", "article")
                 elif hides(key, value):
                     self.hidden = True
-                elif key == LABEL:
+                elif key == LABEL and value in ("0", "1"):
                     self.y = int(value)
 
     def _named(self, value: str) -> None:

@@ -3,7 +3,7 @@
 A page is made of parts in the orders and mark-up that sites use: articles in ``article``,
 ``main``, plain ``div`` or table cells; menus, notices, adverts, sidebars, forms, related
 links, reader comments and footers with telling, neutral or no names. Every element with
-text carries its label in the attribute ``data-y``. Words are random, so that only the
+text carries its label in the attribute ``LABEL``. Words are random, so that only the
 form of a block can be learnt.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 
-LABEL = "data-y"
+LABEL = "data-lodestone-label"
 _SYLLABLES = "an ber cor da el for gi hen il jo ka len mor na os per qui ra sen tor und vi wen ys za".split()
 
 

@@ -407,7 +407,10 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
 
 def places(fillings: list[Filling]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first ranks, first sequences and offsets of its runs of places.
-    A run of a filling's place covers as many ranks as the filling is used."""
+    A run of a filling's place covers as many ranks as the filling is used, so there are
+    as many runs as the fillings have places, however many documents there are: best fit
+    turns one entry into another or adds up to three for each length, so it has 3 * capacity
+    entries at most, and the search takes a filling up for one entry or less."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
     next_rank: Counter[int] = Counter()
     sequence = 0

@@ -119,7 +119,7 @@ def test_the_cut_decides_labels_on_held_out_pages():
 def test_the_cut_decides_labels_on_sample_pages(spark, small):
     # with the telling elements and names taken away, the article's short blocks are doubtful
     pages = [r["html"] for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet").collect() if r["html"]]
-    plain = [re.sub(r"<(/?)(?:nav|footer|article)>|<div class=\"ad\">", lambda m: "<div data-y='1'>" if m[0] == "<article>" else f"<{m[1] or ''}div>", p) for p in pages]
+    plain = [re.sub(r"<(/?)(?:nav|footer|article)>|<div class=\"ad\">", lambda m: f"<div {html_training.LABEL}='1'>" if m[0] == "<article>" else f"<{m[1] or ''}div>", p) for p in pages]
     parsed = [html_text.blocks_of(p) for p in plain]
     for b in [b for blocks in parsed for b in blocks]:
         b.node.y = b.node.y or 0
