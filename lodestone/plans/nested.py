@@ -96,7 +96,12 @@ def _attach(low: Lowering, node: E.Node, name: str) -> Column:
     held = [c.alias(f"{name}_k{i}") for i, c in enumerate((key, *scope))]
     keys = [(child.values.column(o), d) for o, d in ordering] or [(F.to_json(F.struct(*fields)), "asc")]
     shown = F.struct(*fields).alias("f")
-    if limit is None:
+    if limit is None and all(d == "asc" for _, d in keys):
+        # a flag before each key puts NULLs last
+        sorted_by = [c for i, (k, _) in enumerate(keys) for c in (k.isNull().alias(f"n{i}"), k.alias(f"o{i}"))]
+        rows = child.frame.select(*held, F.struct(*sorted_by, shown).alias("x"))
+        gathered = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["f"])
+    elif limit is None:
         rows = child.frame.select(*held, F.struct(*[k.alias(f"o{i}") for i, (k, _) in enumerate(keys)], shown).alias("x"))
         gathered = F.array_sort(F.collect_list("x"), lambda a, b: _compared(a, b, [d for _, d in keys]))
         gathered = F.transform(gathered, lambda x: x["f"])

@@ -15,7 +15,7 @@ from lodestone.api import Api, Options
 from lodestone.domain import Domain, Registry, overlay
 from lodestone.engine import Engine
 from lodestone.errors import SelectError
-from lodestone.functions import shortcuts
+from lodestone.functions import shortcuts, text
 from lodestone.limits import DEFAULTS, Limits
 from lodestone.operators import analytics, rules
 from lodestone.operators.writes import Writer, write_graph
@@ -526,6 +526,49 @@ def test_writes(site):
     assert code(lambda: Writer(site.orders).delete(["eq", "o_orderkey", 1])) == "write_not_allowed"
 
 
+def test_upsert_leaves_the_table_in_place(site):
+    document = orders_document() | {"writes": {"operations": ["upsert", "insert"], "fields": ["o_orderkey", "o_orderstatus"]}}
+    made = Writer(site.engine(document)).upsert([{"o_orderkey": 1, "o_orderstatus": "Z"}, {"o_orderkey": -3, "o_orderstatus": "Y"}], ["o_orderkey"])
+    plan = made.table._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "SortMergeJoin" not in plan
+    assert sorted(r[0] for r in made.returning.select("o_orderkey").collect()) == [-3, 1]
+    assert made.table.count() == site.catalog.table("orders").count() + 1
+
+
+def test_exponential_average_of_a_long_series(spark):
+    values = [None if k % 7 == 3 else float((k * 37) % 101) for k in range(30_000)]
+    df = spark.createDataFrame([(g, k, v, Decimal(k)) for g in "ab" for k, v in enumerate(values)], "g string, k long, v double, d decimal(20,3)")
+    made, _ = analytics.transform(df, "v", [{"id": "exponential_moving_average", "alpha": 0.3}], order_by=["k"], partition_by=["g"], behavior="flow", unit="count", out="y")
+    last, want = None, []
+    for v in values:
+        last = last if v is None else v if last is None else v * 0.3 + last * 0.7
+        want.append(None if v is None else last)
+    got = made.where("g = 'b'").orderBy("k").collect()
+    assert [r["y"] for r in got] == pytest.approx(want)
+    assert got[5]["d"] == Decimal("5.000")
+
+
+def test_levels_refuse_a_part_of_them(site):
+    body = {"select": ["o_orderstatus", "o_orderpriority", {"aggregate": "count", "alias": "n"}], "group_by": ["o_orderstatus", "o_orderpriority"]}
+    few = Options(explorer=True, max_limit=5, default_limit=5)
+    assert code(lambda: Api(site.orders, few).levels(body)) == "result_limit_exceeded"
+    assert Api(site.orders, Options(explorer=True)).levels(body).count() > 5
+
+
+def test_delimited_parts_have_headers(spark, tmp_path):
+    df = spark.range(10).repartition(3)
+    sinks.write_delimited(df, str(tmp_path / "parts"))
+    parts = [p.read_bytes() for p in (tmp_path / "parts").glob("part-*")]
+    assert len(parts) == 3 and all(p.startswith(b"id\r\n") for p in parts)
+    assert sum(p.count(b"\r\n") for p in parts) == 13
+    sinks.write_delimited(df.where("id < 0"), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "none").glob("part-*")) == b"id\r\n"
+
+
+def test_stems():
+    assert [text.stemmed(w) for w in ("licenses", "ponies", "gas", "bus", "class", "shoes", "trees", "cats", "is")] == ["license", "pony", "ga", "bus", "class", "shoe", "tree", "cat", "is"]
+
+
 def test_imports(spark):
     content = "id,name,name,\n1, Ann ,x,\n2,,y,\n,Bob,z,\n4,Cy,w,\n".encode()
     found = csv_import.inspect_csv(content)
