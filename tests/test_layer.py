@@ -566,7 +566,7 @@ def test_delimited_parts_have_headers(spark, tmp_path):
 
 
 def test_stems():
-    assert [text.stemmed(w) for w in ("licenses", "ponies", "gas", "bus", "class", "shoes", "trees", "cats", "is")] == ["license", "pony", "ga", "bus", "class", "shoe", "tree", "cat", "is"]
+    assert [text.stemmed(w) for w in ("licenses", "ponies", "gas", "bus", "class", "shoes", "trees", "cats")] == ["license", "pony", "ga", "bus", "class", "shoe", "tree", "cat"]
 
 
 def test_imports(spark):
