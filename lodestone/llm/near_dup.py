@@ -48,8 +48,9 @@ from .common import materialize
 from .graph import components
 
 MASK = (1 << 64) - 1
-#: Ids (8 bytes each) that are broadcast rather than shuffling all texts to meet them.
-BROADCAST_IDS = 2_000_000
+#: Bytes of ids that are broadcast rather than shuffling all texts to meet them; an id
+#: counts as its text and 16 bytes.
+BROADCAST_BYTES = 48_000_000
 #: Shingles (8 bytes each) of a block of a family.
 BLOCK_VALUES = 2_000_000
 
@@ -159,7 +160,8 @@ def _full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield batch[["_id"]].assign(_set=[shingles(t, width).tobytes() for t in batch["_text"]])
 
     needed = materialize(ids.distinct(), "ids")
-    if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    size = needed.agg(F.sum(F.octet_length(F.col("_id").cast("string")) + 16)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         needed = F.broadcast(needed)  # else the texts are shuffled
     wanted = texts.join(needed, "_id", "left_semi")
     return materialize(wanted.mapInPandas(to_sets, f"_id {id_type}, _set binary"), "sets")
