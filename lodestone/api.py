@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -128,32 +129,35 @@ class Api:
         require(op == "eq" and isinstance(f.get("value"), str), CODE, "op: a formatted field is compared by eq with a text, or by is_null")
         return E.eq(node, f["value"])
 
+    def _plain(self, value: Any, what: str) -> Any:
+        require(value is not None and not isinstance(value, (list, dict)), CODE, f"{what}: expected one plain value")
+        return value
+
+    def _several(self, value: Any) -> list[Any]:
+        require(isinstance(value, list) and value, CODE, "value: expected a list of one value or more")
+        self.engine.limits.check("max_filter_values", len(value), CODE, "values to choose from")
+        return [self._plain(v, "value in the list") for v in value]
+
+    def _shortcut(self, operand: E.Node, f: dict[str, Any]) -> E.Node:
+        require(f.get("value") in SHORTCUTS, CODE, "value: no date shortcut has this name", value=str(f.get("value")))
+        return E.date_shortcut(operand, f["value"], self.engine.today)
+
     def _condition(self, f: dict[str, Any], op: str, kind: str, operand: E.Node) -> E.Node:
-        value = f.get("value")
-        scalar = lambda v, label: require(v is not None and not isinstance(v, (list, dict)), CODE, f"{label}: expected one plain value")
-        if op in E.TEXT:
-            require(kind in ("string", "text"), CODE, f"op: {op} looks into text only")
-            scalar(value, "text filter value")
-            return E.text_match(op, operand, str(value))
-        if op in ("is_null", "not_null"):
-            return E.is_null(operand) if op == "is_null" else E.not_null(operand)
-        if op in ("in", "not_in"):
-            require(isinstance(value, list) and value, CODE, f"value: {op} chooses from a list of one value or more")
-            self.engine.limits.check("max_filter_values", len(value), CODE, "values to choose from")
-            for v in value:
-                scalar(v, "in filter value")
-            return E.in_(operand, value) if op == "in" else E.not_in(operand, value)
-        if op == "between":
-            scalar(value, "between start")
-            scalar(f.get("end"), "between end")
-            return E.between(operand, value, f["end"])
-        if op == "date_shortcut":
-            require(kind in ("date", "datetime", "naive_datetime", "utc_datetime", "epoch_datetime"), CODE, "op: date shortcuts apply to dates and times")
-            require(value in SHORTCUTS, CODE, "value: no date shortcut has this name", value=str(value))
-            return E.date_shortcut(operand, value, self.engine.today)
-        require(op in E.COMPARE, CODE, f"op: {op} doesn't apply to this field")
-        scalar(value, "filter value")
-        return E.compare(op, operand, value)
+        """The test that a filter asks for, made by the operator's entry."""
+        tests: dict[str, Callable[[], E.Node]] = {
+            "is_null": lambda: E.is_null(operand),
+            "not_null": lambda: E.not_null(operand),
+            "in": lambda: E.in_(operand, self._several(f.get("value"))),
+            "not_in": lambda: E.not_in(operand, self._several(f.get("value"))),
+            "between": lambda: E.between(operand, self._plain(f.get("value"), "value"), self._plain(f.get("end"), "end")),
+            **{c: lambda: E.compare(op, operand, self._plain(f.get("value"), "value")) for c in E.COMPARE},
+        }
+        if kind in ("string", "text"):
+            tests |= {t: lambda: E.text_match(op, operand, str(self._plain(f.get("value"), "value"))) for t in E.TEXT}
+        if kind == "epoch_datetime" or is_temporal(kind):
+            tests["date_shortcut"] = lambda: self._shortcut(operand, f)
+        require(op in tests, CODE, f"op: {op} doesn't apply to this field")
+        return tests[op]()
 
     # -- selections and groups -----------------------------------------------------
 

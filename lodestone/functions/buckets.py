@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -12,76 +14,96 @@ from ..types import category, is_numeric, is_temporal
 from .shortcuts import parse_day
 
 OTHER = "Other"
-RANGE_KINDS = ("numeric_ranges", "elapsed_days_ranges", "date_relative_ranges", "year_ranges", "month_ranges")
+DAYS = {"today": 0, "yesterday": 1, "tomorrow": -1}
 
 
 def today_column(today: str | None) -> Column:
     return F.current_date() if today is None else F.lit(parse_day(today))
 
 
-def _whole(value: Any, label: str, least: int = 0) -> int:
-    require(isinstance(value, int) and not isinstance(value, bool) and value >= least, "invalid_query", label)
+def _days_ago(value: Column, now: Column) -> Column:
+    return F.datediff(now, value.cast("date"))
+
+
+def _months_ago(value: Column, now: Column) -> Column:
+    months = lambda c: F.year(c) * 12 + F.month(c)
+    return months(now) - months(value)
+
+
+Fits = Callable[[str], bool]
+#: Buckets of one width: which types they cut, and the number that is cut.
+STEPS: dict[str, tuple[Fits, Callable[[Column], Column]]] = {
+    "numeric_increment": (is_numeric, lambda value: value),
+    "year_increment": (is_temporal, F.year),
+}
+#: Declared ranges: which types they cut, and what is measured on today's date.
+MEASURES: dict[str, tuple[Fits, Callable[[Column, Column], Column]]] = {
+    "numeric_ranges": (is_numeric, lambda value, now: value),
+    "elapsed_days_ranges": (is_temporal, _days_ago),
+    "date_relative_ranges": (is_temporal, _days_ago),
+    "year_ranges": (is_temporal, lambda value, now: F.year(value)),
+    "month_ranges": (is_temporal, _months_ago),
+}
+
+
+def _whole(value: Any, least: int, what: str) -> int:
+    require(isinstance(value, int) and not isinstance(value, bool) and value >= least, "invalid_query", f"{what}: a whole number from {least}")
     return value
 
 
 def bucket(value: Column, kind: str, spec: dict[str, Any], today: str | None, most_ranges: int) -> Column:
     """The label of ``value``, a field of declared type ``kind``."""
     style = spec.get("kind", "")
-    if style in ("numeric_increment", "year_increment"):
-        step = _whole(spec.get("increment"), "bucket increment must be a positive integer", 1)
-        require(style != "numeric_increment" or is_numeric(kind), "invalid_query", "these buckets cut numbers")
-        require(style != "year_increment" or is_temporal(kind), "invalid_query", "year buckets cut dates and times")
-        number = F.year(value) if style == "year_increment" else value
-        start = F.floor(number / F.lit(step)).cast("long") * step
-        label = F.concat(start.cast("string"), F.lit("-"), (start + (step - 1)).cast("string"))
-        return F.when(value.isNull(), OTHER).otherwise(label)
     if style == "text_prefix":
-        require(category(kind) == "string", "invalid_query", "prefix buckets cut text")
-        length = _whole(spec.get("prefix_length", 2), "prefix: 1 to 10 characters", 1)
-        require(length <= 10, "invalid_query", "prefix: 1 to 10 characters")
-        text = F.btrim(F.coalesce(value.cast("string"), F.lit("")))
-        if spec.get("exclude_articles"):
-            text = F.regexp_replace(text, r"(?i)^(a|an|the)(\s+|$)", "")
-        return F.when(text == "", OTHER).otherwise(F.upper(F.left(text, F.lit(length))))
-    require(style in RANGE_KINDS, "invalid_query", "no kind of bucket has this name", kind=style)
-    require(style != "numeric_ranges" or is_numeric(kind), "invalid_query", "these buckets cut numbers")
-    require(style == "numeric_ranges" or is_temporal(kind), "invalid_query", "these buckets cut dates and times")
+        require(category(kind) == "string", "invalid_query", "prefix buckets cut text", type=kind)
+        return _by_prefix(value, spec)
+    require(style in STEPS or style in MEASURES, "invalid_query", "no kind of bucket has this name", kind=style)
+    fits, measure = STEPS.get(style) or MEASURES[style]
+    require(fits(kind), "invalid_query", f"{style}: cuts fields of another type", type=kind)
+    if style in STEPS:
+        return _by_step(measure(value), value, _whole(spec.get("increment"), 1, "increment"))
     ranges = spec.get("ranges")
-    require(isinstance(ranges, list) and ranges, "invalid_query", "ranges: expected a list of one or more")
-    require(len(ranges) <= most_ranges, "invalid_query", "ranges: more than are allowed")
-    now = today_column(today)
-    months = lambda c: F.year(c) * 12 + F.month(c)
-    measure = {
-        "numeric_ranges": value,
-        "elapsed_days_ranges": F.datediff(now, value.cast("date")),
-        "date_relative_ranges": F.datediff(now, value.cast("date")),
-        "year_ranges": F.year(value),
-        "month_ranges": months(now) - months(value),
-    }[style]
-    chosen: Column | None = None
+    require(isinstance(ranges, list) and 0 < len(ranges) <= most_ranges, "invalid_query", "ranges: none, or more than are allowed", most=most_ranges)
+    return _by_ranges(measure(value, today_column(today)), ranges, style == "date_relative_ranges")
+
+
+def _by_step(number: Column, value: Column, step: int) -> Column:
+    first = F.floor(number / F.lit(step)).cast("long") * step
+    return F.coalesce(F.when(value.isNotNull(), F.concat_ws("-", first.cast("string"), (first + (step - 1)).cast("string"))), F.lit(OTHER))
+
+
+def _by_prefix(value: Column, spec: dict[str, Any]) -> Column:
+    length = _whole(spec.get("prefix_length", 2), 1, "prefix_length")
+    require(length <= 10, "invalid_query", "prefix_length: 10 at most")
+    text = F.btrim(F.coalesce(value.cast("string"), F.lit("")))
+    if spec.get("exclude_articles"):
+        text = F.regexp_replace(text, r"(?i)^(a|an|the)(\s+|$)", "")
+    return F.when(text == "", OTHER).otherwise(F.upper(F.left(text, F.lit(length))))
+
+
+def _by_ranges(measure: Column, ranges: list[dict[str, Any]], named_days: bool) -> Column:
+    """The label of the first range that holds the measure."""
+    held = []
     for r in ranges:
-        low, high, label = r.get("minimum"), r.get("maximum"), r.get("label")
-        require(isinstance(label, str) and len(label) <= 80, "invalid_query", "range: has no label")
-        days = {"today": 0, "yesterday": 1, "tomorrow": -1}
-        if style == "date_relative_ranges" and low in days:
-            require(high == low, "invalid_query", "range: both ends name the same date keyword")
-            inside = measure == days[low]
+        low, high, label = (r.get(k) for k in ("minimum", "maximum", "label"))
+        require(isinstance(label, str) and len(label) <= 80, "invalid_query", "range: a label has 80 characters at most")
+        if named_days and low in DAYS:
+            require(high == low, "invalid_query", "range: a named day is one day, so it stands at both ends")
+            low = high = DAYS[low]
+            held.append(F.when(measure == low, label))
         else:
-            inside = within(measure, low, high, "bucket range")
-        chosen = F.when(inside, label) if chosen is None else chosen.when(inside, label)
-    return chosen.otherwise(OTHER)
+            held.append(F.when(within(measure, low, high, "range"), label))
+    return F.coalesce(*held, F.lit(OTHER))
 
 
-def within(measure: Column, low: Any, high: Any, label: str) -> Column:
-    require(low is not None or high is not None, "invalid_query", f"{label}: open at both ends")
-    parts = []
-    if low is not None:
-        parts.append(measure >= _whole(low, f"{label} boundaries must be integers"))
-    if high is not None:
-        parts.append(measure <= _whole(high, f"{label} boundaries must be integers"))
-    return parts[0] if len(parts) == 1 else parts[0] & parts[1]
+def within(measure: Column, low: Any, high: Any, what: str) -> Column:
+    """Whether a measure is inside whole bounds, one of which may be missing."""
+    bounds = [(measure.__ge__, low), (measure.__le__, high)]
+    tests = [test(_whole(bound, 0, f"{what}, bound")) for test, bound in bounds if bound is not None]
+    require(tests, "invalid_query", f"{what}: open at both ends")
+    return reduce(lambda a, b: a & b, tests)
 
 
 def count_bucket(value: Column, low: Any, high: Any, mode: str, today: str | None) -> Column:
-    measure = F.datediff(today_column(today), value.cast("date")) if mode == "elapsed_days" else value
-    return within(measure, low, high, "bucket count")
+    measure = _days_ago(value, today_column(today)) if mode == "elapsed_days" else value
+    return within(measure, low, high, "counted bucket")

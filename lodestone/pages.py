@@ -8,7 +8,7 @@ from typing import Any
 
 from . import expr as E
 from .engine import Engine
-from .errors import require
+from .errors import SelectError, require
 from .plans.lower import _name
 from .query import Query
 from .types import category
@@ -17,22 +17,94 @@ CODE = "invalid_page"
 MAX_CONTROLS, MAX_FACET_VALUES, MAX_TEXT, MAX_PAGE, MAX_LIMIT, OPTIONS = 20, 100, 4096, 100_000, 100, 30
 
 
-def _typed(kind: str, value: Any, label: str) -> Any:
-    require(value is not None and not isinstance(value, (list, dict)), CODE, f"{label}: expected one plain value")
-    group = category(kind)
+def _number(make: Any, value: Any, what: str) -> Any:
     try:
-        if group == "integer":
-            return int(value)
-        if group == "decimal":
-            return float(value)
+        return make(value)
     except (TypeError, ValueError):
-        require(False, CODE, f"{label}: expected a number")
-    if group == "boolean":
-        return value in (True, 1, "1", "true")
-    require(len(str(value)) <= MAX_TEXT, CODE, f"{label}: too many characters")
+        raise SelectError(CODE, f"{what}: expected a number") from None
+
+
+def _text(value: Any, what: str) -> str:
+    require(len(str(value)) <= MAX_TEXT, CODE, f"{what}: too many characters")
     return str(value)
 
 
+#: Readers of one state value, by the category of the field that it is compared with.
+READERS = {
+    "integer": lambda value, what: _number(int, value, what),
+    "decimal": lambda value, what: _number(float, value, what),
+    "boolean": lambda value, what: value in (True, 1, "1", "true"),
+}
+
+
+def _typed(kind: str, value: Any, what: str) -> Any:
+    require(value is not None and not isinstance(value, (list, dict)), CODE, f"{what}: expected one plain value")
+    return READERS.get(category(kind), _text)(value, what)
+
+
+class Control:
+    """What a page's visitor may set about one field: ``read`` checks a value of the
+    state, ``condition`` is what it asks of the rows."""
+
+    def __init__(self, spec: dict[str, Any], kind: str):
+        self.spec, self.field, self.type = spec, spec["field"], kind
+
+    def read(self, value: Any) -> Any:
+        raise NotImplementedError
+
+    def condition(self, value: Any) -> E.Node | None:
+        raise NotImplementedError
+
+
+class Facet(Control):
+    """Any of some values."""
+
+    def read(self, value: Any) -> list[Any]:
+        require(isinstance(value, list) and len(value) <= MAX_FACET_VALUES, CODE, "facet: expected a list of choices, not too long", most=MAX_FACET_VALUES)
+        chosen = list(dict.fromkeys(_typed(self.type, v, "choice") for v in value))
+        values = self.spec.get("values", {})
+        if values.get("source") == "fixed":
+            strangers = set(chosen) - {o["value"] for o in values["options"]}
+            require(not strangers, CODE, "facet: a choice is none of its options")
+        return chosen
+
+    def condition(self, value: list[Any]) -> E.Node | None:
+        return E.in_(self.field, value) if value else None
+
+
+class Range(Control):
+    """From min to max, either of which may be open."""
+
+    ENDS = {"min": E.gte, "max": E.lte}
+
+    def read(self, value: Any) -> dict[str, Any]:
+        require(isinstance(value, dict) and value.keys() <= self.ENDS.keys(), CODE, "range: expected an object of min and max")
+        return {end: _typed(self.type, v, end) for end, v in value.items() if v not in (None, "")}
+
+    def condition(self, value: dict[str, Any]) -> E.Node | None:
+        return _all([test(self.field, value[end]) for end, test in self.ENDS.items() if end in value])
+
+
+class Text(Control):
+    """Text that the field contains; with ``multiple``, any of several parted by commas."""
+
+    def read(self, value: Any) -> str:
+        return _typed("string", value, "text")
+
+    def condition(self, value: str) -> E.Node | None:
+        wanted = [t.strip() for t in value.split(",")] if self.spec.get("multiple") else [value]
+        op = "text_contains_ci" if self.spec.get("ignore_case") else "text_contains"
+        tests = [E.text_match(op, self.field, t) for t in wanted if t]
+        return E.any_(tests) if tests else None
+
+
+CONTROLS: dict[str, type[Control]] = {"facet": Facet, "range": Range, "text": Text}
+
+
+def _all(nodes: list[E.Node]) -> E.Node | None:
+    return None if not nodes else nodes[0] if len(nodes) == 1 else E.all_(nodes)
+
+
 @dataclass(frozen=True)
 class Plan:
     state: dict[str, Any]
@@ -57,9 +129,10 @@ class Page:
         self.views = {v["id"]: v for v in views}
         self.controls = {c["id"]: c for c in controls}
         require(len(self.controls) == len(controls) and len(self.views) == len(views), CODE, "page: an id stands there twice")
+        self.readers: dict[str, Control] = {}
         for c in controls:
-            require(c.get("kind") in ("facet", "range", "text"), CODE, "control: no such kind", control=c["id"])
-            self.domain.resolve(c["field"])
+            require(c.get("kind") in CONTROLS, CODE, "control: no such kind", control=c["id"])
+            self.readers[c["id"]] = CONTROLS[c["kind"]](c, self.domain.resolve(c["field"]).column.type)
         for v in views:
             self._check_view(v)
         self.predicate = None if predicate is None else predicate if isinstance(predicate, E.Node) else E.parse_filter(predicate)
@@ -77,76 +150,50 @@ class Page:
     # -- state -------------------------------------------------------------------
 
     def normalize(self, state: dict[str, Any]) -> dict[str, Any]:
+        """The state with every part checked and defaults filled in."""
         require(isinstance(state, dict), CODE, "state: expected an object")
-        known = {"view", "filters", "facet_search", "drilldown", "page", "limit", "version"}
-        require(set(state) <= known, CODE, "state: keys that nothing reads")
+        foreign = sorted(state.keys() - {"version", "view", "filters", "facet_search", "drilldown", "page", "limit"})
+        require(not foreign, CODE, "state: keys that nothing reads", keys=foreign)
         require(state.get("version", 1) == 1, CODE, "state: of another version")
         view = state.get("view", self.initial["view"])
         require(view in self.views, CODE, "state: no view has this id")
-        out: dict[str, Any] = {"version": 1, "view": view, "filters": {}, "facet_search": {}}
-        filters = state.get("filters", self.initial["filters"])
-        require(isinstance(filters, dict) and set(filters) <= set(self.controls), CODE, "state: no control has this id")
-        for name, value in filters.items():
-            out["filters"][name] = self._filter_value(self.controls[name], value)
-        for name, text in state.get("facet_search", {}).items():
-            c = self.controls.get(name)
-            require(c and c["kind"] == "facet" and c.get("values", {}).get("searchable"), CODE, "state: this facet isn't searched")
-            out["facet_search"][name] = _typed("string", text, "facet search")
+        out = {"version": 1, "view": view, "filters": self._read_filters(state), "facet_search": self._read_searches(state)}
         if "drilldown" in state:
             out["drilldown"] = self._drilldown(state["drilldown"])
-        page, limit = state.get("page", 1), state.get("limit", 25)
-        require(isinstance(page, int) and 1 <= page <= MAX_PAGE, CODE, "state: pages go from 1 to 100000")
-        require(isinstance(limit, int) and 1 <= limit <= MAX_LIMIT, CODE, "state: 1 to 100 rows a page")
-        return out | {"page": page, "limit": limit}
-
-    def _filter_value(self, control: dict[str, Any], value: Any) -> Any:
-        kind = self.domain.resolve(control["field"]).column.type
-        if control["kind"] == "facet":
-            require(isinstance(value, list), CODE, "facet: expected a list of choices")
-            require(len(value) <= MAX_FACET_VALUES, CODE, "facet: more choices than are allowed")
-            made = list(dict.fromkeys(_typed(kind, v, "facet value") for v in value))
-            if control.get("values", {}).get("source") == "fixed":
-                allowed = {o["value"] for o in control["values"]["options"]}
-                require(set(made) <= allowed, CODE, "facet: not among the declared options")
-            return made
-        if control["kind"] == "range":
-            require(isinstance(value, dict) and set(value) <= {"min", "max"}, CODE, "range: keys that nothing reads")
-            return {k: _typed(kind, v, "range bound") for k, v in value.items() if v not in (None, "")}
-        return _typed("string", value, "text filter")
+        for key, usual, most in (("page", 1, MAX_PAGE), ("limit", 25, MAX_LIMIT)):
+            out[key] = state.get(key, usual)
+            require(isinstance(out[key], int) and 1 <= out[key] <= most, CODE, f"{key}: a whole number from 1 to {most}")
+        return out
+
+    def _read_filters(self, state: dict[str, Any]) -> dict[str, Any]:
+        given = state.get("filters", self.initial["filters"])
+        require(isinstance(given, dict) and given.keys() <= self.readers.keys(), CODE, "filters: no control has this id")
+        return {name: self.readers[name].read(value) for name, value in given.items()}
+
+    def _read_searches(self, state: dict[str, Any]) -> dict[str, str]:
+        given = state.get("facet_search", {})
+        open_ = {name for name, c in self.controls.items() if c["kind"] == "facet" and c.get("values", {}).get("searchable")}
+        require(given.keys() <= open_, CODE, "facet_search: names a facet whose options aren't searched")
+        return {name: _typed("string", sought, "facet_search") for name, sought in given.items()}
 
     def _drilldown(self, raw: Any) -> dict[str, Any]:
-        require(isinstance(raw, dict) and set(raw) == {"view", "values"}, CODE, "drilldown: expected view and values")
-        source = self.views.get(raw["view"])
-        require(source and source["kind"] == "aggregate", CODE, "drilldown: no aggregate view has this id")
-        groups = source["query"].groups
-        require(isinstance(raw["values"], list) and len(raw["values"]) == len(groups), CODE, "drilldown: one value for each group of the view")
-        values = [None if v is None else _typed(self.domain.resolve(g.args[0]).column.type if g.kind == "field" else "string", v, "drilldown value") for g, v in zip(groups, raw["values"])]
-        return {"view": raw["view"], "values": values}
+        """A row of an aggregate view, by the value of each of its groups."""
+        require(isinstance(raw, dict) and raw.keys() == {"view", "values"}, CODE, "drilldown: expected view and values")
+        view = self.views.get(raw["view"], {})
+        require(view.get("kind") == "aggregate", CODE, "drilldown: no aggregate view has this id")
+        types = [self.domain.resolve(g.args[0]).column.type if g.kind == "field" else "string" for g in view["query"].groups]
+        require(isinstance(raw["values"], list) and len(raw["values"]) == len(types), CODE, "drilldown: one value for each group of the view")
+        return {"view": raw["view"], "values": [v if v is None else _typed(t, v, "drilldown") for t, v in zip(types, raw["values"])]}
 
     # -- queries -------------------------------------------------------------------
 
     def _predicate(self, state: dict[str, Any], without: str | None, scope: E.Node | None) -> E.Node | None:
-        parts = [p for p in (self.predicate, scope) if p is not None]
-        for name, value in state["filters"].items():
-            if name != without and (made := self._condition(self.controls[name], value)) is not None:
-                parts.append(made)
+        parts = [self.predicate, scope]
+        parts += [self.readers[name].condition(value) for name, value in state["filters"].items() if name != without]
         if "drilldown" in state:
             groups = self.views[state["drilldown"]["view"]]["query"].groups
-            for g, v in zip(groups, state["drilldown"]["values"]):
-                parts.append(E.is_null(g.bare) if v is None else E.eq(g.bare, v))
-        return None if not parts else parts[0] if len(parts) == 1 else E.all_(parts)
-
-    @staticmethod
-    def _condition(control: dict[str, Any], value: Any) -> E.Node | None:
-        field = control["field"]
-        if control["kind"] == "facet":
-            return E.in_(field, value) if value else None
-        if control["kind"] == "range":
-            bounds = [E.compare(op, field, value[k]) for k, op in (("min", "gte"), ("max", "lte")) if k in value]
-            return None if not bounds else bounds[0] if len(bounds) == 1 else E.all_(bounds)
-        op = "text_contains_ci" if control.get("ignore_case") else "text_contains"
-        texts = [t.strip() for t in value.split(",") if t.strip()] if control.get("multiple") else [value] if value else []
-        return None if not texts else E.any_([E.text_match(op, field, t) for t in texts])
+            parts += [E.is_null(g.bare) if v is None else E.eq(g.bare, v) for g, v in zip(groups, state["drilldown"]["values"])]
+        return _all([p for p in parts if p is not None])
 
     def plan(self, state: dict[str, Any], scope: E.Node | None = None) -> Plan:
         state = self.normalize(state)
