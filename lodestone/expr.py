@@ -418,141 +418,161 @@ def parse_filter(ast: Any, limits: Limits | None = None, depth: int = 0) -> Node
 
 
 # -- the value language ----------------------------------------------------------
+#
+# A value is a tree, too. Most operators take values only: OPERANDS says how many, and
+# RESULTS what type comes out. The others (FORMS) take names, types or branches as well
+# and are read by a function each.
 
 
 def _value_error(message: str) -> SelectError:
     return SelectError("invalid_value_expression", message)
 
 
+def _expect(condition: object, message: str) -> None:
+    if not condition:
+        raise _value_error(message)
+
+
+@dataclass(frozen=True)
+class Reading:
+    """Where a value tree is read: its limits, whether a recursion's last level can be
+    named, and how deep the reader stands."""
+
+    limits: Limits
+    previous: bool
+    depth: int = 0
+
+    def read(self, ast: Any) -> tuple[Any, ...]:
+        _expect(self.depth <= self.limits.get("max_expression_depth"), "the value tree is too high")
+        _expect(isinstance(ast, (list, tuple)) and ast and isinstance(ast[0], str), "expected [operator, ...] as value")
+        op, args = ast[0], list(ast[1:])
+        if op in FORMS:
+            return FORMS[op](args, replace(self, depth=self.depth + 1))
+        _expect(op in OPERANDS, f"no value operator is called {op}")
+        least, most = OPERANDS[op]
+        _expect(least <= len(args) and (most is None or len(args) <= most), f"{op}: {least} values{'' if most else ' at least'}")
+        below = replace(self, depth=self.depth + 1)
+        return (op, *map(below.read, args))
+
+
+def _field_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(len(args) == 1 and isinstance(args[0], str) and PATH.fullmatch(args[0]), "field: one path")
+    return ("field", args[0])
+
+
+def _previous_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(at.previous and len(args) == 1, "previous: a column of the recursion's last level, and only there")
+    return ("previous", args[0])
+
+
+def _guessed(value: Any) -> str:
+    """The type of a literal that doesn't say it."""
+    if isinstance(value, bool):
+        return "boolean"
+    return next((kind for kind, pattern in (("integer", INTEGER), ("decimal", DECIMAL)) if pattern.fullmatch(str(value))), "string")
+
+
+def _literal_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(len(args) in (1, 2) and args[0] is not None and not isinstance(args[0], (list, dict)), "literal: one value, not null, and perhaps its type")
+    kind = _guessed(args[0]) if len(args) == 1 or args[1] is None else args[1]
+    _expect(kind in CASTS, "literal: no such type")
+    return ("literal", args[0], kind)
+
+
+def _cast_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(len(args) == 2 and args[1] in CASTS, "cast: a value and the name of a type")
+    return ("cast", at.read(args[0]), args[1])
+
+
+def _json_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(len(args) == 2 and isinstance(args[0], str) and isinstance(args[1], (list, tuple)) and args[1], "json_text: a field and the way into it")
+    at.limits.check("max_json_path_segments", len(args[1]), "invalid_value_expression", "steps into JSON")
+    steps = tuple(map(str, args[1]))
+    _expect(all(map(SEGMENT.fullmatch, steps)), "json_text: a step holds letters, digits and underscores")
+    return ("json_text", args[0], steps)
+
+
+def _case_form(args: list[Any], at: Reading) -> tuple[Any, ...]:
+    _expect(args and all(isinstance(x, (list, tuple)) and len(x) == 2 for x in args), "case: expected branches of a filter, or else, and a value")
+    otherwise = [i for i, (test, _) in enumerate(args) if test == "else"]
+    _expect(otherwise in ([], [len(args) - 1]) and otherwise != [0], "case: else closes other branches")
+    return ("case", *[(test if test == "else" else parse_filter(test, at.limits), at.read(value)) for test, value in args])
+
+
+FORMS: dict[str, Callable[[list[Any], Reading], tuple[Any, ...]]] = {
+    "field": _field_form,
+    "previous": _previous_form,
+    "literal": _literal_form,
+    "cast": _cast_form,
+    "json_text": _json_form,
+    "case": _case_form,
+}
+#: How many values the other operators take: least and most.
+OPERANDS: dict[str, tuple[int, int | None]] = {
+    "coalesce": (2, None),
+    "concat": (2, None),
+    **dict.fromkeys((*ARITHMETIC, "days_between"), (2, 2)),
+    **dict.fromkeys(("lower", "upper"), (1, 1)),
+}
+
+
 def parse_value(ast: Any, limits: Limits | None = None, previous: bool = False, depth: int = 0) -> Node:
     """A validated value tree, ``Node('value', (ast,))`` with a nested-tuple ast whose
     literals carry their type and whose case filters are parsed nodes."""
-    return Node("value", (_value(ast, limits or Limits(), previous, depth),))
-
-
-def _value(ast: Any, limits: Limits, previous: bool, depth: int) -> tuple[Any, ...]:
-    if depth > limits.get("max_expression_depth"):
-        raise _value_error("the value tree is too high")
-    if not isinstance(ast, (list, tuple)) or not ast or not isinstance(ast[0], str):
-        raise _value_error("expected [operator, ...] as value")
-    op, args = ast[0], list(ast[1:])
-    down = lambda x: _value(x, limits, previous, depth + 1)
-    if op == "field":
-        if len(args) != 1 or not isinstance(args[0], str) or not PATH.fullmatch(args[0]):
-            raise _value_error("field: one path")
-        return ("field", args[0])
-    if op == "literal":
-        return _literal(args)
-    if op == "previous":
-        if not previous or len(args) != 1:
-            raise _value_error("previous: a column of the recursion's last level, and only there")
-        return ("previous", args[0])
-    if op in ("coalesce", "concat"):
-        if len(args) < 2:
-            raise _value_error(f"{op}: two values at least")
-        return (op, *map(down, args))
-    if op in (*ARITHMETIC, "days_between"):
-        if len(args) != 2:
-            raise _value_error(f"{op}: exactly two values")
-        return (op, *map(down, args))
-    if op in ("lower", "upper"):
-        if len(args) != 1:
-            raise _value_error(f"{op}: exactly one value")
-        return (op, down(args[0]))
-    if op == "cast":
-        if len(args) != 2 or args[1] not in CASTS:
-            raise _value_error("cast: a value and the name of a type")
-        return ("cast", down(args[0]), args[1])
-    if op == "json_text":
-        if len(args) != 2 or not isinstance(args[0], str) or not isinstance(args[1], (list, tuple)) or not args[1]:
-            raise _value_error("json_text: a field and the way into it")
-        limits.check("max_json_path_segments", len(args[1]), "invalid_value_expression", "json path")
-        for s in args[1]:
-            if not SEGMENT.fullmatch(str(s)):
-                raise _value_error("json_text: a step holds letters, digits and underscores")
-        return ("json_text", args[0], tuple(str(s) for s in args[1]))
-    if op == "case":
-        if not args:
-            raise _value_error("case: no branches")
-        branches: list[Any] = []
-        for i, branch in enumerate(args):
-            if not isinstance(branch, (list, tuple)) or len(branch) != 2:
-                raise _value_error("case: a branch pairs a filter, or else, with a value")
-            if branch[0] == "else":
-                if i != len(args) - 1 or i == 0:
-                    raise _value_error("case: else closes other branches")
-                branches.append(("else", down(branch[1])))
-            else:
-                branches.append((parse_filter(branch[0], limits), down(branch[1])))
-        return ("case", *branches)
-    raise _value_error(f"no value operator is called {op}")
+    return Node("value", (Reading(limits or Limits(), previous, depth).read(ast),))
+
+
+def _common(kinds: list[str], op: str) -> str:
+    """The type that several values share; whole numbers are decimals among decimals."""
+    found = set(kinds)
+    _expect(len(found) == 1 or found == {"integer", "decimal"}, f"{op}: its values are of several types ({', '.join(sorted(found))})")
+    return "decimal" if len(found) == 2 else kinds[0]
 
 
-def _literal(args: list[Any]) -> tuple[Any, ...]:
-    if not 1 <= len(args) <= 2 or args[0] is None or isinstance(args[0], (list, dict)):
-        raise _value_error("literal: one value, not null, and perhaps its type")
-    value, kind = args[0], args[1] if len(args) == 2 else None
-    if kind is None:
-        text = str(value)
-        kind = "boolean" if isinstance(value, bool) else "integer" if INTEGER.fullmatch(text) else "decimal" if DECIMAL.fullmatch(text) else "string"
-    if kind not in CASTS:
-        raise _value_error("literal: no such type")
-    return ("literal", value, kind)
+def _numbers(kinds: list[str], op: str) -> str:
+    strange = [k for k in kinds if k not in ("integer", "decimal")]
+    _expect(not strange, f"{op} calculates with numbers, not with {', '.join(strange)}")
+    return "decimal" if op == "divide" else _common(kinds, op)
+
+
+def _days(kinds: list[str], op: str) -> str:
+    _expect(set(kinds) <= {"date", "datetime"}, f"{op} counts from date to date, not from {', '.join(kinds)}")
+    return "integer"
+
+
+def _letters(kinds: list[str], op: str) -> str:
+    _expect(kinds == ["string"], f"{op} changes text only")
+    return "string"
+
+
+#: The type of what an operator makes of values of some types.
+RESULTS: dict[str, Callable[[list[str], str], str]] = {
+    "coalesce": _common,
+    "concat": lambda kinds, op: "string",
+    "days_between": _days,
+    "lower": _letters,
+    "upper": _letters,
+    **dict.fromkeys(ARITHMETIC, _numbers),
+}
 
 
 def value_category(ast: tuple[Any, ...], resolve: Callable[[Any], str | None]) -> str:
     """The category of a value tree; mismatches are invalid_value_expression."""
     op, *args = ast
-    below = lambda: [value_category(a, resolve) for a in args]
-    if op == "field":
-        return category(resolve(args[0]))
-    if op == "previous":
-        return category(resolve(("previous", args[0])))
-    if op == "literal":
-        return category(args[1])
-    if op == "coalesce":
-        return _common(below(), op)
-    if op in ARITHMETIC:
-        kinds = below()
-        for k in kinds:
-            if k not in ("integer", "decimal"):
-                raise _value_error(f"{op} calculates with numbers, not with {k}")
-        return "decimal" if op == "divide" or "decimal" in kinds else "integer"
-    if op in ("lower", "upper"):
-        if below() != ["string"]:
-            raise _value_error(f"{op} changes text only")
-        return "string"
-    if op == "concat":
-        below()
-        return "string"
-    if op == "days_between":
-        for k in below():
-            if k not in ("date", "datetime"):
-                raise _value_error(f"days_between counts from date to date, not from {k}")
-        return "integer"
+    if op in RESULTS:
+        return RESULTS[op]([value_category(a, resolve) for a in args], op)
+    if op == "case":
+        for test, _ in args:
+            for path in fields_of(test) if isinstance(test, Node) else ():
+                resolve(path)
+        return _common([value_category(value, resolve) for _, value in args], op)
     if op == "cast":
         value_category(args[0], resolve)
+    if op in ("cast", "literal"):
         return category(args[1])
-    if op == "json_text":
-        if category(resolve(args[0])) != "json":
-            raise _value_error("json_text reads JSON")
-        return "string"
-    kinds = []
-    for condition, value in args:
-        if isinstance(condition, Node):
-            for f in fields_of(condition):
-                resolve(f)
-        kinds.append(value_category(value, resolve))
-    return _common(kinds, "case")
-
-
-def _common(kinds: list[str], label: str) -> str:
-    found = set(kinds)
-    if len(found) == 1:
-        return kinds[0]
-    if found == {"integer", "decimal"}:
-        return "decimal"
-    raise _value_error(f"{label}: its values are of several types ({', '.join(sorted(found))})")
+    found = category(resolve(("previous", args[0]) if op == "previous" else args[0]))
+    _expect(op != "json_text" or found == "json", "json_text reads JSON")
+    return "string" if op == "json_text" else found
 
 
 def value_fields(ast: Any) -> list[str]:
