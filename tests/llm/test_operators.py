@@ -351,6 +351,14 @@ def test_chat_without_ids_and_with_tied_turns(spark):
     assert shown == [(1, 1, "<|im_start|>\nb<|im_end|>\n"), (1, 2, "<|im_start|>user\na<|im_end|>\n")]
 
 
+def test_chat_of_many_turns(spark):
+    turns = [(c, k, "user" if k % 2 else "assistant", f"turn {k} of a long talk") for c, n in ((1, 20_000), (2, 19_999), (3, 4)) for k in range(n)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    (only,) = chat.format_chats(df).collect()  # the others are prefixes of it
+    assert (only["conv_id"], only["n_turns"], only["n_copies"]) == (1, 20_000, 1)
+    assert only["text"].count("<|im_start|>") == 20_000 and only["text"].endswith("turn 19999 of a long talk<|im_end|>\n")
+
+
 # -- lines -----------------------------------------------------------------------------
 
 
