@@ -20,9 +20,11 @@ from .choices import Choices, ChoiceSource
 from .domain import Domain, Registry, overlay
 from .engine import Engine
 from .errors import SelectError
+from .forms import field_states
 from .functions import shortcuts, text
 from .limits import Limits
 from .operators import analytics
+from .operators.actions import Actions, Grant
 from .operators.rules import apply_rules
 from .operators.writes import Writer, write_graph
 from .query import Query
@@ -328,6 +330,50 @@ _refusals(
     {"cardinality": "cardinality_mismatch", "field": "field_not_writable", "operation": "write_not_allowed", "duplicate": "duplicate_key", "twice": "duplicate_key"},
 )
 
+# -- actions and forms -----------------------------------------------------------------------
+
+
+def _actions(s: Site) -> Actions:
+    declared = {
+        "close": {"set": {"o_orderstatus": "F"}, "when": ["eq", "o_orderstatus", "O"]},
+        "assign": {"set": {"o_custkey": ["param", "customer"]}, "parameters": {"customer": {"type": "integer"}}},
+        "void": {"set": {"o_orderstatus": "V"}, "grant": True},
+    }
+    document = orders_document() | {"writes": {"operations": ["update"], "fields": ["o_custkey", "o_orderstatus"]}, "actions": declared}
+    return Actions(Writer(s.engine(document)))
+
+
+def _acted(s: Site) -> DataFrame:
+    actions = _actions(s)
+    actions.run("assign", 7, {"customer": "12"})
+    actions.run("void", 7, grant=Grant("void", 7))
+    return actions.writer.table.select(*_SHOWN)
+
+
+def _action_cases(s: Site) -> dict[str, Callable[[], Any]]:
+    actions, grant = _actions(s), Grant("void", 7)
+    actions.run("void", 7, grant=grant)
+    return {
+        "unknown": lambda: actions.run("gone", 7),
+        "state": lambda: actions.run("close", 7),
+        "missing": lambda: actions.run("close", -99),
+        "no grant": lambda: actions.run("void", 7),
+        "other grant": lambda: actions.run("void", 7, grant=Grant("void", 8)),
+        "used grant": lambda: actions.run("void", 7, grant=grant),
+        "parameter": lambda: actions.run("assign", 7, {"customer": "nobody"}),
+    }
+
+
+def _form(s: Site) -> DataFrame:
+    domain = Domain.parse(overlay(orders_document(), {"redact_fields": ["o_totalprice"], "writes": {"operations": ["update"], "fields": ["o_custkey", "o_orderstatus"]}}))
+    states = field_states(domain, ["o_custkey", {"field": "o_orderstatus", "mode": "read_only"}, "o_totalprice", "customer.c_name", "size_band", "o_orderkey"])
+    return _shown(s, [(f["field"], f["state"], f["reason"], f["editor"]) for f in states], "field string, state string, reason string, editor string")
+
+
+_add("action_runs", _acted, "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 12 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey = 7 THEN 'V' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+_refusals("action_refusals", _action_cases, {"unknown": "unknown_action", "state": "action_precondition_failed", "missing": "action_target_missing", "no grant": "grant_required", "other grant": "grant_required", "used grant": "grant_used", "parameter": "invalid_action_intent"})
+_add("form_fields", _form, "SELECT * FROM (VALUES ('o_custkey', 'editable', NULL, 'number'), ('o_orderstatus', 'read_only', 'profile_read_only', 'text'), ('o_totalprice', 'hidden', 'field_not_public', NULL), ('customer.c_name', 'read_only', 'related_field', 'text'), ('size_band', 'read_only', 'computed_field', 'text'), ('o_orderkey', 'read_only', 'field_not_writable', 'number')) v(field, state, reason, editor)")
+
 # -- search ------------------------------------------------------------------------------------
 
 _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
