@@ -28,6 +28,7 @@ from .operators.actions import Actions, Grant
 from .operators.rules import apply_rules
 from .operators.writes import Writer, write_graph
 from .query import Query
+from .remote import RemoteReads, openapi
 from .sample_domains import Site, customers_document, events_document, orders_document
 from .sources import csv_import
 from .sources.catalog import Catalog
@@ -374,6 +375,44 @@ _add("action_runs", _acted, "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 12
 _refusals("action_refusals", _action_cases, {"unknown": "unknown_action", "state": "action_precondition_failed", "missing": "action_target_missing", "no grant": "grant_required", "other grant": "grant_required", "used grant": "grant_used", "parameter": "invalid_action_intent"})
 _add("form_fields", _form, "SELECT * FROM (VALUES ('o_custkey', 'editable', NULL, 'number'), ('o_orderstatus', 'read_only', 'profile_read_only', 'text'), ('o_totalprice', 'hidden', 'field_not_public', NULL), ('customer.c_name', 'read_only', 'related_field', 'text'), ('size_band', 'read_only', 'computed_field', 'text'), ('o_orderkey', 'read_only', 'field_not_writable', 'number')) v(field, state, reason, editor)")
 
+# -- manifests and remote reads ----------------------------------------------------------------
+
+
+def _row_schema(s: Site) -> DataFrame:
+    shown = openapi(Domain.parse(overlay(orders_document(), {"redact_fields": ["o_totalprice"]})), "/orders")
+    key = shown["paths"]["/orders/rows/{key}"]["get"]["parameters"][0]["schema"]["type"]
+    properties = shown["components"]["schemas"]["Row"]["properties"]
+    return _shown(s, [("key", key), *((name, schema["type"]) for name, schema in properties.items())], "name string, type string")
+
+
+def _request(reads: RemoteReads, **more: Any) -> dict[str, Any]:
+    query = {"select": ["o_orderkey", "customer.c_name"], "filters": [{"field": "o_totalprice", "op": "gt", "value": 300000}], "order_by": [{"field": "o_orderkey"}], "limit": 40}
+    return {"format": "lodestone.remote-read", "format_version": 1, "fingerprint": reads.fingerprint, "query": query} | more
+
+
+def _remote(s: Site) -> DataFrame:
+    reads = RemoteReads(Api(s.orders))
+    return _shown(s, [tuple(r) for r in reads.read(_request(reads, request_id="a"))["rows"]], "o_orderkey long, name string")
+
+
+def _remote_cases(s: Site) -> dict[str, Callable[[], Any]]:
+    reads = RemoteReads(Api(s.orders))
+    ask = lambda **more: lambda: reads.read(_request(reads, **more))
+    return {
+        "format": ask(format="other"),
+        "version": ask(format_version=2),
+        "fingerprint": ask(fingerprint="0"),
+        "aggregate": ask(query={"select": [{"aggregate": "count", "alias": "n"}]}),
+        "group": ask(query={"select": ["o_orderstatus"], "group_by": ["o_orderstatus"]}),
+        "filter": ask(query={"select": ["o_orderkey"], "filters": [{"any": []}]}),
+        "accepted": ask(),
+    }
+
+
+_add("openapi_row", _row_schema, "SELECT * FROM (VALUES ('key', 'integer'), ('o_orderkey', 'integer'), ('o_custkey', 'integer'), ('o_orderstatus', 'string'), ('o_orderdate', 'string'), ('o_orderpriority', 'string'), ('has_lines', 'boolean'), ('is_large', 'boolean'), ('size_band', 'string'), ('customer_label', 'string')) v(name, type)")
+_add("remote_read", _remote, "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 40")
+_refusals("remote_refusals", _remote_cases, {"format": "malformed_request", "version": "unsupported_protocol_version", "fingerprint": "stale_domain_fingerprint", "aggregate": "operation_unsupported", "group": "operation_unsupported", "filter": "operation_unsupported", "accepted": "accepted"})
+
 # -- search ------------------------------------------------------------------------------------
 
 _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
