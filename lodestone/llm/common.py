@@ -112,11 +112,11 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, per_task: int = 200_000) -> DataFrame:
     """Number the rows of each group from 0, gapless, without one task per group: rows
     are dealt into parts by a hash of ``order``, counted, and numbered inside their part
-    on from the parts before. There are as many parts as ``per_task`` goes into all rows,
-    so a part holds about that many, however large its group. ``df`` is read three times:
+    on from the parts before. There are as many parts as ``per_task`` goes into all rows, 32
+    at least, so a part holds no more than about that many, however large its group. ``df`` is read three times:
     materialize it first. Rows that tie on all of ``order`` may swap numbers; make them
     equal rows."""
-    salts = max(1, -(-df.count() // per_task))
+    salts = max(32, -(-df.count() // per_task))
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
