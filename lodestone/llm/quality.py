@@ -193,15 +193,15 @@ def _bucket(d2: Column) -> Column:
 
 
 def _median_start(vectors: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges from histograms of 1/4096 a bin."""
+    """Medians and interquartile ranges from histograms of 1/512 a bin."""
     bins = (
-        vectors.select("_g", F.posexplode(F.array(*[F.floor(F.least(F.col(c), F.lit(30.0)) * 4096).cast("int") for c in FEATURES])).alias("f", "b"))
+        vectors.select("_g", F.posexplode(F.array(*[F.floor(F.least(F.col(c), F.lit(30.0)) * 512).cast("int") for c in FEATURES])).alias("f", "b"))
         .groupBy("_g", "f", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy("_g", "f")
     at = bins.withColumn("up", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-    q = lambda share: F.min(F.when(F.col("up") >= F.col("all") * share, (F.col("b") + 0.5) / 4096))
+    q = lambda share: F.min(F.when(F.col("up") >= F.col("all") * share, (F.col("b") + 0.5) / 512))
     cells = at.groupBy("_g", "f").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
     pick = lambda f, c: F.max(F.when(F.col("f") == f, c))
     spread = F.pow((F.col("q3") - F.col("q1")) / 1.349, 2)
