@@ -45,7 +45,7 @@ class Options:
     max_orders: int = 10
     max_segments: int = 20
     max_limit: int = 1000
-    max_count_rows: int = 1_000_000
+    max_count_rows: int | None = None  # none: exact counts of any size
     max_export_rows: int = 100_000
     max_offset: int = 1_000_000
     default_limit: int = 50
@@ -478,10 +478,13 @@ class Api:
         return self.engine.dataframe(self.query({k: v for k, v in body.items() if k not in ("limit", "offset")}).limit(None).offset(None))
 
     def exact_count(self, body: dict[str, Any]) -> int:
-        """How many rows or groups a request has; refused beyond ``max_count_rows``, where
-        no more than that is counted."""
+        """How many rows or groups a request has: all of them, summed up in the tasks. With
+        ``max_count_rows`` refused beyond it, where no more than that is counted."""
         most = self.options.max_count_rows
-        n = self.whole({k: v for k, v in body.items() if k not in ("order_by", "ordering")}).limit(most + 1).count()
+        made = self.whole({k: v for k, v in body.items() if k not in ("order_by", "ordering")})
+        if most is None:
+            return made.count()
+        n = made.limit(most + 1).count()
         require(n <= most, "count_unavailable", "there are more rows than are counted", maximum=most)
         return n
 

@@ -555,6 +555,18 @@ def test_levels_refuse_a_part_of_them(site):
     assert Api(site.orders, Options(explorer=True)).levels(body).count() > 5
 
 
+def test_exact_counts_of_large_tables(spark):
+    """Rows and groups beyond a million are counted; a ceiling that a host sets holds."""
+    rows = spark.range(1_200_000).selectExpr("id", "CAST(id % 1100000 AS STRING) AS name")
+    e = Engine(spark, Domain.parse({"name": "t", "source": {"source_table": "t", "primary_key": "id", "columns": {k: PEOPLE[k] for k in ("id", "name")}}}), Catalog({"t": rows}))
+    detail = {"select": ["id"], "filters": [{"field": "id", "op": "gte", "value": 50_000}], "order_by": [{"field": "name"}], "limit": 5}
+    grouped = {"select": ["name", {"aggregate": "count", "alias": "n"}], "group_by": ["name"]}
+    count = lambda body, **options: Api(e, Options(explorer=True, **options)).exact_count(body)
+    assert count(detail) == 1_150_000 and count(grouped) == 1_100_000
+    assert count(detail, max_count_rows=1_150_000) == 1_150_000
+    assert code(lambda: count(detail, max_count_rows=1_149_999)) == "count_unavailable"
+
+
 def test_delimited_parts_have_headers(spark, tmp_path):
     df = spark.range(10).repartition(3)
     sinks.write_delimited(df, str(tmp_path / "parts"))
