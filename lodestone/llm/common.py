@@ -98,11 +98,12 @@ def keyed(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
 
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32, rows: int | None = None) -> DataFrame:
     """Left join with a table of a few rows a key. It is broadcast if it has at most
-    BROADCAST_ROWS rows (counted first); beyond that the keys are salted, so that a
-    hot key is met by ``salts`` tasks. Keys must not be null."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    BROADCAST_ROWS rows (counted first, unless the caller counted that it has no more than
+    ``rows``); beyond that the keys are salted, so that a hot key is met by ``salts``
+    tasks. Keys must not be null."""
+    if (small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), list(keys), "left")
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType.jsonValue(), dict)]), F.lit(salts)).cast("int"))

@@ -295,30 +295,62 @@ def first_completions(counts: dict[int, int], lengths: list[int], first: int, ca
     return [f for _, f in kept]
 
 
+class _Stock:
+    """The pieces still to be packed, and what the fillings in use took: one copy, from
+    which fillings are taken and to which they are put back."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.counts = {k: v for k, v in histogram.items() if v}
+        self.lengths = sorted(self.counts)
+        self.used = self.waste = 0
+
+    def times(self, filling: tuple[int, ...]) -> int:
+        """How often the stock has the filling."""
+        return min(self.counts[x] // n for x, n in Counter(filling).items())
+
+    def use(self, filling: tuple[int, ...], times: int) -> None:
+        """Take the filling from the stock, or put it back where ``times`` is negative."""
+        counts, lengths = self.counts, self.lengths
+        self.used += times
+        self.waste += times * (self.capacity - sum(filling))
+        for x, n in Counter(filling).items():
+            had = counts.get(x, 0)
+            counts[x] = had - n * times
+            if not counts[x]:
+                del counts[x], lengths[bisect_left(lengths, x)]
+            elif not had:
+                insort(lengths, x)
+
+
 def narrow_search(histogram: dict[int, int], capacity: int, best: list[Filling], bound: int, max_nodes: int, branches: int) -> list[Filling]:
     """A better incumbent than ``best``, if there is one among ``branches`` fillings a
-    node, each used as often as the stock has it. It proves nothing."""
+    node, each used as often as the stock has it. It proves nothing. It holds one stock
+    and the fillings in use, so the driver's memory doesn't grow with the nodes."""
+    stock = _Stock(histogram, capacity)
     total = sum(k * v for k, v in histogram.items())
     n_best = sum(n for n, _ in best)
     nodes = 0
-    # (stock, fillings, sequences, waste) still to be completed, the latest first
-    stack: list[tuple[dict[int, int], list[Filling], int, int]] = [(histogram, [], 0, 0)]
+    taken: list[Filling] = []
+    # (how many of ``taken`` stand before it, the filling to take) still to be tried, the latest first
+    stack: list[tuple[int, tuple[int, ...] | None]] = [(0, None)]
     while stack and n_best > bound and nodes < max_nodes:
-        counts, fillings, used, waste = stack.pop()
+        depth, filling = stack.pop()
         nodes += 1
-        if not counts:
-            if used < n_best:
-                best, n_best = fillings, used
+        while len(taken) > depth:
+            times, last = taken.pop()
+            stock.use(last, -times)
+        if filling is not None:
+            taken.append((stock.times(filling), filling))
+            stock.use(filling, taken[-1][0])
+        if not stock.counts:
+            if stock.used < n_best:
+                best, n_best = list(taken), stock.used
             continue
-        if waste > capacity * (n_best - 1) - total:
+        if stock.waste > capacity * (n_best - 1) - total:
             continue  # no completion beats the incumbent
-        lengths = sorted(counts)
-        options = first_completions(counts, lengths, lengths[-1], capacity, branches)
-        for filling in reversed(options):
-            need = Counter(filling)
-            times = min(counts[x] // n for x, n in need.items())
-            left = {x: c - need[x] * times for x, c in counts.items() if c > need[x] * times}
-            stack.append((left, [*fillings, (times, filling)], used + times, waste + times * (capacity - sum(filling))))
+        options = first_completions(stock.counts, stock.lengths, stock.lengths[-1], capacity, branches)
+        stack += [(len(taken), f) for f in reversed(options)]
     return best
 
 
@@ -326,27 +358,14 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
     """Fillings that hold all pieces of a histogram, as few as the search finds.
     ``branches``: fillings a node of the narrow search for an incumbent; the search
     itself tries all."""
-    counts = {k: v for k, v in histogram.items() if v}
+    stock = _Stock(histogram, capacity)
+    counts, lengths = stock.counts, stock.lengths
     total = sum(k * v for k, v in counts.items())
     best = best_fit(counts, capacity)
     bound = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
     best = narrow_search(counts, capacity, best, bound, max_nodes, branches)
     n_best = sum(n for n, _ in best)
-    lengths = sorted(counts)
-    waste, used, nodes = 0, 0, 0
-
-    def use(filling: tuple[int, ...], times: int) -> None:
-        """Take the filling from the stock, or put it back where ``times`` is negative."""
-        nonlocal waste, used
-        used += times
-        waste += times * (capacity - sum(filling))
-        for x, n in Counter(filling).items():
-            had = counts.get(x, 0)
-            counts[x] = had - n * times
-            if not counts[x]:
-                del counts[x], lengths[bisect_left(lengths, x)]
-            elif not had:
-                insort(lengths, x)
+    nodes = 0
 
     # the path of open nodes: [first, latest filling, its times in use, fillings tried,
     # whether they are used less often than they could be, the last filling of a
@@ -362,9 +381,9 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
         node = path[-1]
         first, filling, times, tried, fewer, start = node
         if times:
-            use(filling, -times)
+            stock.use(filling, -times)
             node[2] = 0
-        allowed = capacity * (n_best - 1) - total - waste
+        allowed = capacity * (n_best - 1) - total - stock.waste
         if allowed < 0:  # no completion beats the incumbent
             path.pop()
             continue
@@ -386,7 +405,7 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
                 continue
             node[1], node[3] = found, tried + 1
             filling = found
-            times = min(counts[x] // n for x, n in Counter(filling).items()) - fewer
+            times = stock.times(filling) - fewer
             if not times:
                 continue
         nodes += 1
@@ -396,12 +415,12 @@ def pack(histogram: dict[int, int], capacity: int, max_nodes: int = 20_000, bran
             times = allowed // (capacity - sum(filling))
             if not times:
                 continue
-        use(filling, times)
+        stock.use(filling, times)
         node[2] = times
         if counts:
             enter(filling if lengths[-1] == first else None)
-        elif used < n_best:
-            best, n_best = [(x[2], x[1]) for x in path], used
+        elif stock.used < n_best:
+            best, n_best = [(x[2], x[1]) for x in path], stock.used
     return best
 
 

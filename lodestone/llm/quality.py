@@ -151,15 +151,16 @@ def _vector() -> list[Column]:
     ]
 
 
-def _with_distance(vectors: DataFrame, model: DataFrame) -> DataFrame:
+def _with_distance(vectors: DataFrame, model: DataFrame, rows: int | None = None) -> DataFrame:
     """``vectors`` with the model of their group (a row for each of its starts) and
     ``_d``, the squared distance in regular directions, and ``_e``, in singular ones;
     null where the group has no model. y is built column by column, so that no
-    expression is repeated inside another."""
+    expression is repeated inside another. ``rows``: the most that ``model`` has, where
+    it is known."""
     y = [f"(x{i} - m{i}" + "".join(f" - l{i}{j} * _y{j}" for j in range(i)) + f") / l{i}{i} AS _y{i}" for i in range(P)]
     total = lambda test: " + ".join(f"IF({test}r{i}, _y{i} * _y{i}, 0D)" for i in range(P))
     both = [f"IF(m0 IS NOT NULL, {total(test)}, NULL) AS {name}" for test, name in (("", "_d"), ("NOT ", "_e"))]
-    return attach(vectors, model, ["_g"]).selectExpr("*", *y, *both).drop(*[f"_y{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    return attach(vectors, model, ["_g"], rows=rows).selectExpr("*", *y, *both).drop(*[f"_y{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def _factored(cov: DataFrame) -> DataFrame:
@@ -225,10 +226,10 @@ def _starts(vectors: DataFrame, random_starts: int) -> DataFrame:
     return out.unionByName(few) if random_starts else out
 
 
-def _concentrate(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
+def _concentrate(vectors: DataFrame, model: DataFrame, support: float, rows: int) -> DataFrame:
     """The models estimated on the ``support`` share nearest to each model of a group,
     with ``fell``: by how much the determinant's log did."""
-    df = _with_distance(vectors, model).where(F.col("_d").isNotNull()).withColumn("b", _bucket(F.col("_d") + F.col("_e")))
+    df = _with_distance(vectors, model, rows).where(F.col("_d").isNotNull()).withColumn("b", _bucket(F.col("_d") + F.col("_e")))
     own = [f"m{i}" for i in range(P)]
     cells = df.groupBy("_g", "_s", "b").agg(*_moments(), F.first("ld").alias("_before"), *[F.first(c).alias(c) for c in own])
     w = Window.partitionBy("_g", "_s")
@@ -247,10 +248,10 @@ def _least(models: DataFrame, n: int) -> DataFrame:
     return models.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def _scaled(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
+def _scaled(vectors: DataFrame, model: DataFrame, support: float, rows: int) -> DataFrame:
     """``model`` with _scale: what _d is divided by, so that its ``support`` quantile is
     that of chi-square with as many degrees as there are regular directions."""
-    cells = _with_distance(vectors, model).where(F.col("_d").isNotNull()).groupBy("_g", _bucket(F.col("_d")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = _with_distance(vectors, model, rows).where(F.col("_d").isNotNull()).groupBy("_g", _bucket(F.col("_d")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("_g")
     at = cells.withColumn("up", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     over = F.col("up") - F.col("all") * support
@@ -266,8 +267,9 @@ def robust_model(vectors: DataFrame, *, support: float = 0.75, random_starts: in
     """(_g, m, l, r, _scale): the reweighted MCD estimate of each group of vectors
     (_g, x0, ...)."""
     model = materialize(_starts(vectors, random_starts), "mcd-model")
+    rows = model.count()  # no later model has more
     for _ in range(2):
-        model = _concentrate(vectors, model, support)
+        model = _concentrate(vectors, model, support, rows)
     model = materialize(_least(model, 2), "mcd-model")
     done = model.limit(0)
     while True:
@@ -275,11 +277,14 @@ def robust_model(vectors: DataFrame, *, support: float = 0.75, random_starts: in
         done = done.unionByName(model.where("NOT fell > 1e-5"))
         if moving.isEmpty():
             break
-        model = _concentrate(vectors, moving, support)
-    model = _scaled(vectors, _least(done, 1).drop("_s", "fell"), support)
-    near = _with_distance(vectors, model).where(F.col("_d") / F.col("_scale") + F.col("_e") <= chi2_quantile(0.975, P))
+        model = _concentrate(vectors, moving, support, rows)
+    # the union has a table a step: it is read once, here, and not by all that follows
+    model = materialize(_least(done, 1).drop("_s", "fell"), "mcd-model")
+    model = _scaled(vectors, model, support, rows)
+    near = _with_distance(vectors, model, rows).where(F.col("_d") / F.col("_scale") + F.col("_e") <= chi2_quantile(0.975, P))
     sums = near.groupBy("_g").agg(*_moments(), *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)])
-    return _scaled(vectors, _estimate(sums, ["_g"]), support).drop("ld")
+    model = materialize(_estimate(sums, ["_g"]), "mcd-model")
+    return _scaled(vectors, model, support, rows).drop("ld")
 
 
 def judge(

@@ -573,6 +573,23 @@ def check_sequences(pieces, capacity):
     return len(inside)
 
 
+def test_the_narrow_search_keeps_one_stock():
+    # 1440 lengths: a copy of the stock for each open node would be tens of MB in the driver
+    import tracemalloc
+
+    histogram = {k: 1 + k % 3 for k in range(60, 1500)}
+    bound = -(-sum(k * n for k, n in histogram.items()) // 2048)
+    best = packing.best_fit(histogram, 2048)
+    tracemalloc.start()
+    found = packing.narrow_search(histogram, 2048, best, bound, 1000, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000
+    assert sum(n for n, _ in found) <= sum(n for n, _ in best)
+    found = packing.narrow_search({k: 2 for k in range(200, 900)}, 2048, [(1400, (1,))], 1, 1000, 6)  # one to be bettered
+    assert sum((Counter({x: n * m for x, m in Counter(f).items()}) for n, f in found), Counter()) == {k: 2 for k in range(200, 900)}
+
+
 def test_packing_round_trip(spark, docs, nothing):
     from tokenizers import Tokenizer
 
